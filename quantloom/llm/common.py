@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +54,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     """The batch in runs of rows whose texts hold about `most` bytes; a longer text comes alone."""
     if batch.num_rows == 0:
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
     ends = np.cumsum(np.asarray(size, dtype=np.int64))
     at = 0
     while at < batch.num_rows:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .simhash import near_duplicates
 from .sharding import histogram_sort
 
 
@@ -14,9 +15,14 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_histogram_sort": op6_histogram_sort,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
     }
 
 
