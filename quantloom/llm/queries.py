@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .simhash import near_duplicates
+from .packing import pack_texts
 from .sharding import histogram_sort
+from .simhash import near_duplicates
+from .sketches import fingerprint_edits
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +27,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_bottom_k_sketch": op5_bottom_k_sketch,
         "op6_histogram_sort": op6_histogram_sort,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op10_vector_packing": op10_vector_packing,
     }
 
 
