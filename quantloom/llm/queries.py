@@ -11,12 +11,7 @@ from .packing import pack_texts
 from .sharding import histogram_sort
 from .simhash import near_duplicates
 from .sketches import fingerprint_edits
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from .token_counts import count_tokens
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +22,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op5_bottom_k_sketch": op5_bottom_k_sketch,
         "op6_histogram_sort": op6_histogram_sort,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
