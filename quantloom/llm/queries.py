@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .langid import identify_documents
 from .packing import pack_texts
+from .quality import rate_documents
 from .sharding import histogram_sort
 from .simhash import near_duplicates
 from .sketches import fingerprint_edits
@@ -32,10 +34,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -43,9 +53,11 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_naive_bayes_svm": op4_naive_bayes_svm,
         "op5_bottom_k_sketch": op5_bottom_k_sketch,
         "op6_histogram_sort": op6_histogram_sort,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_string_kernel_language": op8_string_kernel_language,
         "op10_vector_packing": op10_vector_packing,
     }
 
