@@ -14,6 +14,7 @@ from .sharding import histogram_sort
 from .simhash import near_duplicates
 from .sketches import fingerprint_edits
 from .token_counts import count_tokens
+from .toxicity import detect_documents
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +58,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_convolutional_toxicity": op2_convolutional_toxicity,
         "op4_naive_bayes_svm": op4_naive_bayes_svm,
         "op5_bottom_k_sketch": op5_bottom_k_sketch,
         "op6_histogram_sort": op6_histogram_sort,
