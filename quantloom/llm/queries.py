@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import leaks
 from .langid import identify_documents
 from .packing import pack_texts
 from .quality import rate_documents
@@ -51,6 +52,10 @@ def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_histogram_sort": op6_histogram_sort,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_string_kernel_language": op8_string_kernel_language,
+        "op9_benchmark_leaks": op9_benchmark_leaks,
         "op10_vector_packing": op10_vector_packing,
     }
 
