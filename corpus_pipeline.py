@@ -1,10 +1,66 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline: documents without toxic ones, unknown languages, near copies and benchmark passages, packed for training.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the packed pieces. No SQL can express the
+stages; tests/llm/test_pipeline.py holds them against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.llm import decontamination, langid, packing, simhash, toxicity
+from quantloom.llm.common import table
+from quantloom.llm.queries import tokenizer_path
+
+#: A document whose language is known with less than this score goes; a document without letters goes as well.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def kept(docs: DataFrame, mark, condition: str) -> DataFrame:
+    """Rows that a marking operator leaves, with their own columns: others than doc_id and text are put aside while it adds its own."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    aside = docs.select("doc_id", "text", F.struct(*rest).alias("__rest")) if rest else docs
+    return mark(aside).where(condition).select(*[F.col("__rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (trained on labels outside its held-out fold) doesn't call toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return kept(docs, lambda d: toxicity.detect(d, model), "predicted = 0")
+
+
+def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the corpus names."""
+    model = langid.train(docs)
+    return kept(docs, lambda d: langid.identify(d, model), f"lang_pred != 'und' AND score >= {LEAST_LANGUAGE_SCORE}")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("language", of_known_language),
+    ("near_copies", one_of_near_copies),
+    ("benchmark", without_benchmark),
+    ("packing", packed),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import leaks
 from .langid import identify_documents
+from .lm_scores import score_documents
 from .packing import pack_texts
 from .quality import rate_documents
 from .sharding import histogram_sort
@@ -40,6 +41,10 @@ def op2_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_convolutional_toxicity": op2_convolutional_toxicity,
+        "op3_context_mixing": op3_context_mixing,
         "op4_naive_bayes_svm": op4_naive_bayes_svm,
         "op5_bottom_k_sketch": op5_bottom_k_sketch,
         "op6_histogram_sort": op6_histogram_sort,
