@@ -18,10 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices
 
 #: Distinct pieces of text whose ids a task remembers; then it starts anew.
-MOST_PIECES = 400_000
+MOST_PIECES = 1_200_000
+
+#: Text that is cut and looked up at once.
+SLICE = 8_000_000
 
 #: Loose pieces that are packed together; bounds the memory and time of a block.
 BLOCK = 4_096
@@ -101,6 +104,24 @@ def powers(inside: list[tuple[int, int, int]], full: int) -> list[list[tuple[int
     return out
 
 
+#: Marks that may follow a word in a piece; the tokenizer's pattern takes them apart from it.
+MARKS = {".", ",", "!", "?", ":", ";"}
+
+
+def plain_word(piece: str) -> bool:
+    """If a piece is Latin letters, after a blank or not: for the tokenizer one unit."""
+    body = piece[1:] if piece[:1] == " " else piece
+    return body.isalpha() and (body.isascii() or max(body) < "\u0250")
+
+
+#: How byte-level vocabularies spell the bytes of Latin letters and the blank: the bytes that print as themselves, others from U+0100 on.
+_SPELL = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+def byte_spelling(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_SPELL)
+
+
 class PieceTokens:
     """Ids of texts by a byte-level tokenizer, of each distinct piece once.
 
@@ -123,35 +144,88 @@ class PieceTokens:
         self.n = 0
 
     def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.array([x for e in ids for x in e], np.uint32)
-            have = int(self.ends[self.n])
-            while have + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.n + len(part) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[have : have + len(flat)] = flat
-            self.ends[self.n + 1 : self.n + len(part) + 1] = have + np.cumsum([len(e) for e in ids])
-            self.index.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n += len(part)
-
-    def encode(self, many: list[str]) -> list[np.ndarray]:
+        """Ids of new pieces: of a word (after a blank or not) by the tokenizer's model at once, of a word and a mark after it by parts."""
+        words, marked, others = [], [], []
+        for p in new:
+            if plain_word(p):
+                words.append(p)
+            elif p[-1:] in MARKS and plain_word(p[:-1]):
+                marked.append(p)
+            else:
+                others.append(p)
+        parts = {p[:-1] for p in marked} | {p[-1] for p in marked}
+        more = list(parts.difference(self.index, words, others))
+        words += [p for p in more if p not in MARKS]
+        others += [p for p in more if p in MARKS]
+        model = self.tokenizer.model.tokenize
+        self.store(words, [[t.id for t in model(byte_spelling(p))] for p in words])
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            self.store(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        of = self.index
+        self.store(marked, [[*self.one(of[p[:-1]]), *self.one(of[p[-1]])] for p in marked])
+
+    def one(self, i: int) -> list[int]:
+        return self.flat[self.ends[i] : self.ends[i + 1]].tolist()
+
+    def store(self, pieces: list[str], ids: list[list[int]]) -> None:
+        flat = np.array([x for e in ids for x in e], np.uint32)
+        have = int(self.ends[self.n])
+        while have + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(pieces) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[have : have + len(flat)] = flat
+        self.ends[self.n + 1 : self.n + len(pieces) + 1] = have + np.cumsum([len(e) for e in ids])
+        self.index.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
+        self.n += len(pieces)
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces, new ones learned first."""
+        new = list(set(pieces).difference(self.index))
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column of strings; null: none.
+
+        Texts are cut at blanks and the distinct parts looked up once. Where a part is empty or has white space at an end, the text
+        is cut piece by piece instead.
+        """
         if self.n > MOST_PIECES:
             self.clear()
-        pieces = [split_pieces(t) for t in many]
-        new = {p for ps in pieces for p in ps}.difference(self.index)
-        if new:
-            self.learn(list(new))
-        out, get = [], self.index.__getitem__
-        for ps in pieces:
-            i = np.fromiter(map(get, ps), np.int64, len(ps))
-            lo, n = self.ends[i], self.ends[i + 1] - self.ends[i]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(lo - (ends - n), n) + np.arange(total)])
-        return out
+        lists = pc.split_pattern(pc.fill_null(column, ""), " ")
+        offsets = np.asarray(lists.offsets, np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets = offsets - offsets[0]
+        distinct = coded.dictionary.to_pylist()
+        part = coded.indices.to_numpy(zero_copy_only=False)
+        odd = np.array([not x or x[0].isspace() or x[-1].isspace() for x in distinct], bool)
+        place = self.places([" " + x for x in distinct])[part]
+        heads = np.flatnonzero(np.diff(offsets))
+        place[offsets[:-1][heads]] = self.places([distinct[i] for i in part[offsets[:-1][heads]]])
+        # an empty text is one empty part, of no ids
+        slow = np.add.reduceat(odd[part], offsets[:-1]) > 0 if len(part) else np.zeros(0, bool)
+        ids, ends = self.ids(place)
+        cuts = np.concatenate([[0], ends])[offsets]
+        return [self.ids(self.places(split_pieces(column[i].as_py() or "")))[0] if slow[i] else ids[cuts[i] : cuts[i + 1]] for i in range(len(column))]
+
+    def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and where each piece's end."""
+        lo, n = self.ends[place], self.ends[place + 1] - self.ends[place]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
+_encoders: dict[str, PieceTokens] = {}
+
+
+def encoder_of(path: str) -> PieceTokens:
+    """One encoder a process, so that a worker's next task knows the last one's pieces."""
+    if path not in _encoders:
+        _encoders[path] = PieceTokens(path)
+    return _encoders[path]
 
 
 def split_pieces(text: str) -> list[str]:
@@ -182,7 +256,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
     assert limits.loss_tokens >= limits.tokens, "each token of a document bears loss"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceTokens(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         next_id = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         loose: list[tuple] = []
@@ -208,8 +282,8 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
                 rows.clear()
 
         for batch in batches:
-            for part in slices(batch):
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts(part)), strict=True):
+            for part in slices(batch, most=SLICE):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     whole = len(ids) // limits.tokens * limits.tokens
                     put([[(doc, s, ids[s : s + limits.tokens], len(ids))] for s in range(0, whole, limits.tokens)])
