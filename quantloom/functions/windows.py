@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 
 from .num import col, sdiv
 
-BY_CODE = Window.partitionBy("code").orderBy("date")
-BY_DATE = Window.partitionBy("date")
+
+def by_code():
+    return Window.partitionBy("code").orderBy("date")
+
+
+def by_date():
+    return Window.partitionBy("date")
 
 
 def rolling(n: int):
-    return BY_CODE.rowsBetween(-(n - 1), 0)
+    return by_code().rowsBetween(-(n - 1), 0)
 
 
 def lag(x: str | Column, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(BY_CODE)
+    return F.lag(col(x), k).over(by_code())
 
 
 def lead(x: str | Column, k: int = 1) -> Column:
-    return F.lead(col(x), k).over(BY_CODE)
+    return F.lead(col(x), k).over(by_code())
 
 
 def full(n: int, x: str | Column, value: Column, least: int | None = None) -> Column:
@@ -48,7 +53,7 @@ def roll_min(x: str | Column, n: int, least: int | None = None) -> Column:
 
 
 def running(x: str | Column) -> Column:
-    return F.sum(col(x)).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(col(x)).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def present(x: str | Column):
@@ -80,15 +85,15 @@ def position(x: str | Column) -> Column:
 def quantile_by_rank(x: str | Column, q: int) -> Column:
     """1 to q: the rank's share of the date's values, rounded up; 1 if all values are one."""
     x = col(x)
-    n = F.count(x).over(BY_DATE)
-    flat = F.min(x).over(BY_DATE) == F.max(x).over(BY_DATE)
+    n = F.count(x).over(by_date())
+    flat = F.min(x).over(by_date()) == F.max(x).over(by_date())
     return F.when(x.isNotNull(), F.when(flat, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(q), F.ceil(position(x) / n * q)))).cast("int"))
 
 
 def quantile_by_cut(x: str | Column, q: int) -> Column:
     """1 to q: cuts of the ranks at even quantiles between the first and the last."""
     x = col(x)
-    n = F.count(x).over(BY_DATE)
+    n = F.count(x).over(by_date())
     return F.when(x.isNotNull() & (n > 1), F.greatest(F.lit(1), F.ceil((position(x) - 1) * q / (n - 1))).cast("int"))
 
 

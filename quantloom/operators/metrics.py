@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import col, sdiv
-from ..functions.windows import BY_CODE, BY_DATE, average_rank, lag, lead, quantile_by_cut, quantile_by_rank, scorr
+from ..functions.windows import by_code, by_date, average_rank, lag, lead, quantile_by_cut, quantile_by_rank, scorr
 
 
 def ic(df: DataFrame, x: str = "signal", y: str = "fwd", least: int = 5, ranks: bool = False) -> DataFrame:
@@ -38,7 +38,7 @@ def quantile_returns(df: DataFrame, q: int = 5, by_cut: bool = False, x: str = "
 def tail_spread(df: DataFrame, low: float = 0.2, high: float = 0.8, least: int = 5, x: str = "signal", y: str = "fwd") -> DataFrame:
     """date, spread: mean return at or above the high percentile of the signal less that at or below the low one."""
     both = df.where(col(x).isNotNull() & col(y).isNotNull())
-    marked = both.select("date", x, y, F.percentile(col(x), low).over(BY_DATE).alias("lo"), F.percentile(col(x), high).over(BY_DATE).alias("hi"))
+    marked = both.select("date", x, y, F.percentile(col(x), low).over(by_date()).alias("lo"), F.percentile(col(x), high).over(by_date()).alias("hi"))
     spread = F.avg(F.when(col(x) >= F.col("hi"), col(y))) - F.avg(F.when(col(x) <= F.col("lo"), col(y)))
     return marked.groupBy("date").agg(F.when(F.count(F.lit(1)) >= least, spread).alias("spread"))
 
@@ -49,18 +49,19 @@ def top_holdings(df: DataFrame, n: int, x: str = "signal") -> DataFrame:
     return df.where(col(x).isNotNull()).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).groupBy("date").agg(F.sort_array(F.collect_list("code")).alias("held"))
 
 
-_DAYS = Window.orderBy("date")  # over a row a date
+def _days():
+    return Window.orderBy("date")  # over a row a date
 
 
 def turnover_overlap(held: DataFrame) -> DataFrame:
     """date, turnover: share of the holdings that the last date did not have; 1 at first."""
-    before = F.lag("held").over(_DAYS)
+    before = F.lag("held").over(_days())
     return held.select("date", (1 - F.size(F.array_intersect("held", F.coalesce(before, F.array().cast("array<string>")))) / F.size("held")).alias("turnover"))
 
 
 def turnover_union(held: DataFrame) -> DataFrame:
     """date, turnover: holdings of one date alone by those of both; null at first."""
-    before = F.lag("held").over(_DAYS)
+    before = F.lag("held").over(_days())
     change = F.size(F.array_except("held", before)) + F.size(F.array_except(before, "held"))
     return held.select("date", F.when(before.isNotNull(), change / F.size(F.array_union("held", before))).alias("turnover"))
 
@@ -70,7 +71,7 @@ def turnover_weights(weights: DataFrame, half: bool = True) -> DataFrame:
 
     A code that leaves counts on the date after its last: it is carried there with weight 0.
     """
-    days = weights.select("date").distinct().withColumn("nth", F.row_number().over(_DAYS))
+    days = weights.select("date").distinct().withColumn("nth", F.row_number().over(_days()))
     w = weights.join(days, "date").select("nth", "code", "weight")
     changes = w.unionAll(w.select(F.col("nth") + 1, "code", -F.col("weight")))
     moved = changes.groupBy("nth", "code").agg(F.abs(F.sum("weight")).alias("d"))
@@ -98,7 +99,7 @@ def decay(panel: DataFrame, x: str, horizons: tuple[int, ...] = (1, 3, 5, 10, 20
 
 def equity(series: DataFrame, ret: str = "ret") -> DataFrame:
     """series(date, ret) with equity (running product) and drawdown from its peak (at least 1)."""
-    upto = _DAYS.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _days().rowsBetween(Window.unboundedPreceding, 0)
     curve = series.withColumn("equity", F.product(1 + F.coalesce(col(ret), F.lit(0.0))).over(upto))
     return curve.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(upto)) - 1)
 
@@ -134,7 +135,7 @@ def correlations(wide: DataFrame, names: list[str]) -> DataFrame:
 
 
 def code_return(panel: DataFrame) -> DataFrame:
-    return panel.select("date", "code", (sdiv("close", F.lag("close").over(BY_CODE)) - 1).alias("ret"))
+    return panel.select("date", "code", (sdiv("close", F.lag("close").over(by_code())) - 1).alias("ret"))
 
 
 def covariance(rets: DataFrame, scale: float = 252.0) -> DataFrame:
@@ -151,4 +152,4 @@ def portfolio_volatility(cov: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def scaled_rank(x: str) -> Column:
-    return sdiv(average_rank(x, "date"), F.count(col(x)).over(BY_DATE))
+    return sdiv(average_rank(x, "date"), F.count(col(x)).over(by_date()))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import half_up, sdiv
-from ..functions.windows import BY_CODE, BY_DATE, lag, lead
+from ..functions.windows import by_code, by_date, lag, lead
 
 
 def between(panel: DataFrame, start: str, end: str) -> DataFrame:
@@ -37,7 +37,7 @@ def limit_flags(panel: DataFrame, slack: float = 0.011, rate: Column | None = No
 
 def returns(panel: DataFrame, *periods: int) -> DataFrame:
     """return_k: close over the close k rows before, missing closes filled forward."""
-    filled = panel.withColumn("__c", F.last("close", ignorenulls=True).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0)))
+    filled = panel.withColumn("__c", F.last("close", ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0)))
     return filled.withColumns({f"return_{k}": sdiv("__c", lag("__c", k)) - 1 for k in periods}).drop("__c")
 
 
@@ -60,18 +60,18 @@ def open_to_open(h: int = 1) -> Column:
 
 def forward_max(h: int) -> Column:
     """Highest high of the next h rows over the close; null if one of them is unknown or there is none."""
-    w = BY_CODE.rowsBetween(1, h)
+    w = by_code().rowsBetween(1, h)
     known = (F.count(F.lit(1)).over(w) > 0) & (F.count("high").over(w) == F.count(F.lit(1)).over(w))
     return F.when(known, sdiv(F.max("high").over(w), "close") - 1)
 
 
 def forward_drawdown(h: int) -> Column:
     """Lowest low of the next h rows over the close."""
-    return sdiv(F.min("low").over(BY_CODE.rowsBetween(1, h)), "close") - 1
+    return sdiv(F.min("low").over(by_code().rowsBetween(1, h)), "close") - 1
 
 
 def excess(x: str = "fwd") -> Column:
-    return F.col(x) - F.avg(x).over(BY_DATE)
+    return F.col(x) - F.avg(x).over(by_date())
 
 
 def calendar(panel: DataFrame) -> DataFrame:

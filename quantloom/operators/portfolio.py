@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import col, lots, sdiv
-from ..functions.windows import BY_DATE
+from ..functions.windows import by_date
 
 
 def inverse_volatility(rets: DataFrame) -> DataFrame:
@@ -129,4 +129,4 @@ def review(trades: DataFrame, gain: str = "gain") -> DataFrame:
 
 
 def date_share(x: str) -> Column:
-    return sdiv(x, F.sum(col(x)).over(BY_DATE))
+    return sdiv(x, F.sum(col(x)).over(by_date()))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import clip, col, log_positive, sdiv
-from ..functions.windows import BY_DATE, demeaned, rank_pct, scorr
+from ..functions.windows import by_date, demeaned, rank_pct, scorr
 
 
 def _names(x: str, out: str | None) -> tuple[str, str]:
@@ -28,45 +28,45 @@ def rank_normalize(x: str | Column) -> Column:
 def zscore(x: str | Column, flat: float | None = 0.0) -> Column:
     """Population z-score of the date; `flat` (0 or null) where all values are one."""
     x = col(x)
-    sd = F.stddev_pop(x).over(BY_DATE)
-    return F.when(x.isNotNull(), F.when(sd > 1e-12, F.try_divide(x - F.avg(x).over(BY_DATE), F.nullif(sd, F.lit(0.0)))).otherwise(F.lit(flat)))
+    sd = F.stddev_pop(x).over(by_date())
+    return F.when(x.isNotNull(), F.when(sd > 1e-12, F.try_divide(x - F.avg(x).over(by_date()), F.nullif(sd, F.lit(0.0)))).otherwise(F.lit(flat)))
 
 
 def minmax(x: str | Column) -> Column:
     x = col(x)
-    lo, hi = F.min(x).over(BY_DATE), F.max(x).over(BY_DATE)
+    lo, hi = F.min(x).over(by_date()), F.max(x).over(by_date())
     return F.when(x.isNotNull(), F.coalesce(sdiv(x - lo, hi - lo), F.lit(0.5)))
 
 
 def median(x: str | Column) -> Column:
-    return F.percentile(col(x), 0.5).over(BY_DATE)
+    return F.percentile(col(x), 0.5).over(by_date())
 
 
 def with_robust_zscore(df: DataFrame, x: str, out: str | None = None) -> DataFrame:
     """By the median and 1.4826 times the median absolute deviation of the date; 0 where that is 0."""
     name, tmp = _names(x, out)
     dev = df.withColumn(tmp, col(x) - median(x))
-    mad = F.percentile(F.abs(col(tmp)), 0.5).over(BY_DATE) * 1.4826
+    mad = F.percentile(F.abs(col(tmp)), 0.5).over(by_date()) * 1.4826
     return dev.withColumn(name, F.when(col(tmp).isNotNull(), F.coalesce(sdiv(tmp, mad), F.lit(0.0)))).drop(tmp)
 
 
 def winsorize_quantile(x: str | Column, q: float = 0.01) -> Column:
     x = col(x)
-    return clip(x, F.percentile(x, q).over(BY_DATE), F.percentile(x, 1 - q).over(BY_DATE))
+    return clip(x, F.percentile(x, q).over(by_date()), F.percentile(x, 1 - q).over(by_date()))
 
 
 def with_winsorized_mad(df: DataFrame, x: str, limit: float = 3.0, out: str | None = None) -> DataFrame:
     """Within `limit` scaled median absolute deviations of the date's median."""
     name, tmp = _names(x, out)
     dev = df.withColumn(tmp, col(x) - median(x))
-    reach = F.percentile(F.abs(col(tmp)), 0.5).over(BY_DATE) * (1.4826 * limit)
+    reach = F.percentile(F.abs(col(tmp)), 0.5).over(by_date()) * (1.4826 * limit)
     mid = col(x) - col(tmp)
     return dev.withColumn(name, clip(x, mid - reach, mid + reach)).drop(tmp)
 
 
 def fill(x: str | Column, how: str = "median") -> Column:
     """Nulls as the date's median or mean, or 0."""
-    value = {"median": lambda: median(x), "mean": lambda: F.avg(col(x)).over(BY_DATE), "zero": lambda: F.lit(0.0)}[how]()
+    value = {"median": lambda: median(x), "mean": lambda: F.avg(col(x)).over(by_date()), "zero": lambda: F.lit(0.0)}[how]()
     return F.coalesce(col(x), value)
 
 
@@ -94,8 +94,8 @@ def neutralize_size(df: DataFrame, x: str, size: str = "market_cap", out: str =
     base = df.withColumn("__s", log_positive(size))
     base = base.withColumns({"__y": F.when(known, col(x)), "__s": F.when(known, F.col("__s"))})
     base = base.withColumns({"__y": demeaned("__y", *group), "__s": demeaned("__s", *group)})
-    slope = F.coalesce(sdiv(F.sum(F.col("__y") * F.col("__s")).over(BY_DATE), F.sum(F.col("__s") * F.col("__s")).over(BY_DATE), eps=1e-12), F.lit(0.0))
-    value = F.when(F.count("__y").over(BY_DATE) >= least, F.col("__y") - slope * F.col("__s"))
+    slope = F.coalesce(sdiv(F.sum(F.col("__y") * F.col("__s")).over(by_date()), F.sum(F.col("__s") * F.col("__s")).over(by_date()), eps=1e-12), F.lit(0.0))
+    value = F.when(F.count("__y").over(by_date()) >= least, F.col("__y") - slope * F.col("__s"))
     return base.withColumn(out, value).drop("__y", "__s")
 
 

@@ -172,10 +172,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str, status:
     kept = both.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
     if most is None:
         return kept
-    rank = F.lit(0)
+    rank = []
     if status and priority:
-        rank = F.coalesce(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col(status)], F.lit(len(priority)))
-    return kept.orderBy(rank, F.desc(order), *keys).limit(most)  # a stated size of the library
+        rank = [F.coalesce(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col(status)], F.lit(len(priority)))]
+    return kept.orderBy(*rank, F.desc(order), *keys).limit(most)  # a stated size of the library
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
