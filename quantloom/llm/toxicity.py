@@ -231,6 +231,8 @@ def logits(m: ToxicityModel, codes: list[np.ndarray]) -> np.ndarray:
         r = np.zeros((int(n.sum()), FILTERS), np.float32) + m.shift[k].astype(np.float32)
         for i in range(w):
             r += x[i : i + len(r)] @ m.filters[k][i * 2 * DIM : (i + 1) * 2 * DIM].astype(np.float32)
+        for j in range(1, room):  # windows that would reach into the next text
+            r[first + n - j] = 0
         out += np.maximum(np.maximum.reduceat(r, first, axis=0), 0) @ m.out[k * FILTERS : (k + 1) * FILTERS]
     return out
 
