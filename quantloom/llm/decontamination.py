@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words of the test items are numbered; all other words are 0. Of each item's n-grams, those that fewest documents hold are its seeds (at
-least half of them, so that an item whose passage is everywhere has seeds too). Documents with seeds of an item at a like distance
+Words of the test items are numbered; all other words are 0. Of each item's n-grams, those in not many more documents than its median
+n-gram are its seeds (at least half of them, so that an item whose passage is everywhere has seeds too). Documents with seeds of an item at a like distance
 are aligned with it, word by word, in windows around the seeds, so that edited and paraphrased copies score as well.
 """
 
@@ -19,6 +19,8 @@ from .common import schema, slices, text_bytes, with_columns
 
 #: Words in a seed.
 GRAM = 3
+#: An item's n-gram is rare up to so many times the documents of its median one.
+RARE = 4
 #: Scores of an alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's perfect score at which a passage is a copy of it.
@@ -69,7 +71,7 @@ class Items:
 
 
 def index_items(rows: list[tuple]) -> Items:
-    """Of (id, text); items without words have no seeds. Items of fewer words than a seed have their words as often as it takes."""
+    """Of (id, text); items of fewer words than a seed have none and are never found."""
     number: dict[bytes, int] = {}
     words = []
     for _, text in rows:
@@ -116,13 +118,17 @@ def matched(keys: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def rare_seeds(items: Items, distinct: np.ndarray, counts: np.ndarray) -> Items:
-    """Keeps of each item's places those whose n-gram is in no more documents than the item's median n-gram."""
+    """Keeps of each item's places those whose n-gram is in no more than RARE times the documents of the item's median n-gram.
+
+    At least half of an item's places stay, and, where a passage is in many documents, all of it, so that copies edited alike in one
+    place are still found by the others.
+    """
     n = counts[np.searchsorted(distinct, items.grams)]
     keep = np.zeros(len(n), bool)
     for i in range(len(items.ids)):
         own = np.flatnonzero(items.gram_item == i)
         if len(own):
-            keep[own] = n[own] <= np.median(n[own])
+            keep[own] = n[own] <= RARE * np.median(n[own])
     return items.only(keep)
 
 
