@@ -51,9 +51,9 @@ def topn_rotation(spark, sf):
 COSTS = """c AS (SELECT *, abs(price * quantity) AS value FROM fills), f AS (SELECT *, CASE WHEN value > 0 THEN greatest(value * 0.0003::DOUBLE, 5) ELSE 0 END AS commission, CASE WHEN side = 'sell' THEN value * 0.001::DOUBLE ELSE 0 END AS stamp, value * 0.00001::DOUBLE AS transfer, value * 0.0005::DOUBLE AS slippage FROM c)"""
 
 
-@query(f"WITH {COSTS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, side, round(value,4)+0.0 AS value, round(commission + stamp + transfer + slippage,4)+0.0 AS cost FROM f", "fills")
+@query(f"WITH {COSTS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, side, round(value,8)+0.0 AS value, round(commission + stamp + transfer + slippage,8)+0.0 AS cost FROM f", "fills")
 def trade_costs(spark, sf):
-    return op.trade_costs(fills(spark, sf)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "side", *[(F.round(c, 4) + 0.0).alias(c) for c in ("value", "cost")])
+    return op.trade_costs(fills(spark, sf)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "side", *[(F.round(c, 8) + 0.0).alias(c) for c in ("value", "cost")])
 
 
 @query(f"WITH {COSTS} SELECT count(*) AS n_trades, round(sum(stamp),2)+0.0 AS stamp, round(sum(commission),2)+0.0 AS commission, round(sum(commission + stamp + transfer + slippage) / sum(value),6)+0.0 AS cost_rate FROM f", "fills")

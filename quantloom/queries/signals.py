@@ -120,7 +120,7 @@ def drawdown_curve(spark, sf):
 
 
 @query(
-    f"""WITH {MARKET} SELECT count(ret) AS n, round(avg(ret),6)+0.0 AS mean, round(stddev_samp(ret) * sqrt(252),6)+0.0 AS volatility, round(avg(ret) / stddev_samp(ret) * sqrt(252),6)+0.0 AS sharpe, round(avg(ret) / sqrt(avg(pow(least(ret, 0), 2))) * sqrt(252),6)+0.0 AS sortino,
+    f"""WITH {MARKET} SELECT count(ret) AS n, round(avg(ret),6)+0.0 AS mean, round(stddev_samp(ret) * sqrt(252),6)+0.0 AS volatility, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252),6)+0.0 AS sharpe, round(avg(ret) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) * sqrt(252),6)+0.0 AS sortino,
     round(min(drawdown),6)+0.0 AS max_drawdown, round(count(*) FILTER (ret > 0) / count(ret),6)+0.0 AS win_rate, round(sum(ret) FILTER (ret > 0) / nullif(-sum(ret) FILTER (ret < 0), 0),6)+0.0 AS profit_factor FROM c""",
     "signals",
 )
