@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(checkpoint(linked(nodes)))  # node, root
     roots = labels.join(nodes, labels.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     moved = labels.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join below is between two exchanges, of which adaptive execution can split a fingerprint with very many copies
+    named = checkpoint(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
 
