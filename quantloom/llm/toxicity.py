@@ -33,7 +33,7 @@ FALSE_COST = 4
 #: predicted is score >= THRESHOLD.
 THRESHOLD = 0.7
 #: Distinct words whose hashes a task remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 #: Frequent words that show a text's language, by which thresholds are calibrated (fixed values).
 SIGNS = {
