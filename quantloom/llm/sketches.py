@@ -146,7 +146,8 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * source.rdd.getNumPartitions())
     dealt = ordered_neighbours(source, parts)
     n = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = dealt.repartition(max(parts, int(n)), "part").sortWithinPartitions("part", "donor", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    # each range is a partition, so that no two share a task
+    dealt = dealt.repartitionById(max(parts, int(n)), F.col("part").cast("int")).sortWithinPartitions("part", "donor", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
