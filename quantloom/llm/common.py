@@ -122,3 +122,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     # at most 2 * per_class rows of two numbers
     return docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(picked.select("doc_id", "y")), "doc_id")
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(name: str, forget: Callable[[], None]) -> None:
+    """Says that an operator works in this process with what it remembers between tasks: all others forget theirs."""
+    _memories[name] = forget
+    for other in [k for k in _memories if k != name]:
+        _memories.pop(other)()

@@ -18,13 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, sole_memory
 
 #: Distinct pieces of text whose ids a task remembers; then it starts anew.
 MOST_PIECES = 1_200_000
 
 #: Text that is cut and looked up at once.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 #: Loose pieces that are packed together; bounds the memory and time of a block.
 BLOCK = 4_096
@@ -223,6 +223,7 @@ _encoders: dict[str, PieceTokens] = {}
 
 def encoder_of(path: str) -> PieceTokens:
     """One encoder a process, so that a worker's next task knows the last one's pieces."""
+    sole_memory("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = PieceTokens(path)
     return _encoders[path]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, schema, text_bytes, with_columns
+from .common import fold, labelled_sample, schema, sole_memory, text_bytes, with_columns
 
 #: Rows of each of the two embedding tables, and the columns of each.
 BITS = 18
@@ -297,6 +297,7 @@ def detect(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
 
     def made(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m = sent.value
+        sole_memory("toxicity", _hashes.known.clear)
         codes = [_hashes.codes(words_of(t)) for t in text_bytes(batch)]
         score = m.score(logits(m, codes), np.array([group_of(c) for c in codes]))
         return {"score": pa.array(score), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))}
