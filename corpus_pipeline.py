@@ -17,6 +17,10 @@ from quantloom.llm.queries import tokenizer_path
 LEAST_LANGUAGE_SCORE = 0.2
 
 
+#: Distinct pieces that a worker remembers in packing: few, as the stages before have filled the executors' memory.
+MOST_PIECES = 300_000
+
+
 def kept(docs: DataFrame, mark, condition: str) -> DataFrame:
     """Rows that a marking operator leaves, with their own columns: others than doc_id and text are put aside while it adds its own."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -45,7 +49,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_texts(docs, tokenizer_path("byte_bpe_50k.json"), most_pieces=MOST_PIECES)
 
 
 STAGES = [

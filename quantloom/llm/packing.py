@@ -135,6 +135,7 @@ class PieceTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.most = MOST_PIECES
         self.clear()
 
     def clear(self) -> None:
@@ -193,7 +194,7 @@ class PieceTokens:
         Texts are cut at blanks and the distinct parts looked up once. Where a part is empty or has white space at an end, the text
         is cut piece by piece instead.
         """
-        if self.n > MOST_PIECES:
+        if self.n > self.most:
             self.clear()
         lists = pc.split_pattern(pc.fill_null(column, ""), " ")
         offsets = np.asarray(lists.offsets, np.int64)
@@ -245,7 +246,7 @@ def split_pieces(text: str) -> list[str]:
     return out
 
 
-def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1) -> DataFrame:  # noqa: B008
+def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, most_pieces: int = MOST_PIECES) -> DataFrame:  # noqa: B008
     """Pieces of all texts, each text's ids followed by end_id, in sequences of at most limits.tokens.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A text is cut into whole sequences and a rest; the
@@ -258,6 +259,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
+        encoder.most = most_pieces
         next_id = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         loose: list[tuple] = []
