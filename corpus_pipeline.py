@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontamination, langid, packing, simhash, toxicity
+from quantloom.llm import decontamination, langid, near_copies, packing, toxicity
 from quantloom.llm.common import table
 from quantloom.llm.queries import tokenizer_path
 
@@ -41,7 +41,7 @@ def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
