@@ -30,19 +30,16 @@ SHARES = {0: ((0, 1), (1, 4), (5, 2)), 1: ((7, 1), (8, 2), (10, 2), (12, 4))}
 #: Words with a code of their own (at most so many, seen so often), and words whose counts every task holds (the most frequent ones).
 CODED, CODED_LEAST = 1 << 17, 4
 FREQUENT = 1 << 17
-#: Bits of a word's code that contexts predict; the share of a word under the node there is known from the counts.
-MIXED = 14
 #: Parts of the table that are summed apart.
 PARTS = 64
 #: Predictors of a bit: by words before (none, one, two); by bytes before in the word (two, three, five, all).
 BY_WORDS, BY_BYTES = 3, 4
 GATES, LEVELS, STEPS, FINE = 12, 12, 48, 2049
-#: Text that is worked on at once, bits of a step, and of how many steps one also refines the weights.
+#: Text that is worked on at once, and bits of a step.
 SLICE = 8_000_000
 STEP = 1 << 16
 #: Text of a task's first slice in training; each next one is twice as large, up to SLICE.
 FIRST_SLICE = 250_000
-REFINE_EVERY = 16
 #: Distinct words that a task counts before it hands them on.
 MOST_WORDS = 400_000
 
@@ -82,7 +79,6 @@ class Codes:
     counts: dict[bytes, int]  # in falling order of counts, then by word
     coded: int
     words: tuple  # Huffman code: 0 end, 1 escape, 2 + i the i-th word
-    tails: np.ndarray  # log10 of each symbol's share of the node where its head ends
     letters: tuple  # 256: the word's end
     train_tokens: int
     distinct: int
@@ -108,23 +104,7 @@ def make_codes(frequent: list[tuple[bytes, int]], tokens: int, distinct: int, en
     for w, c in frequent[len(coded) :]:
         np.add.at(letters, np.frombuffer(w, np.uint8), c)
         letters[256] += c
-    words, tails = headed(words, [ends + 1, tokens - sum(c for _, c in coded) + 1] + [c for _, c in coded])
-    return Codes(dict(frequent), len(coded), words, tails, huffman(letters.astype(np.int64).tolist()), tokens + ends, distinct + (ends > 0), ends)
-
-
-def headed(code: tuple, counts: list[int]) -> tuple[tuple, np.ndarray]:
-    """The code's first MIXED bits, and log10 of each symbol's share of the counts of all symbols that go on from there."""
-    first, nodes, bits, depths = code
-    length = np.minimum(np.diff(first), MIXED)
-    counts = np.array(counts, float)
-    long = np.flatnonzero(np.diff(first) > MIXED)
-    total = np.zeros(int(nodes.max(initial=0)) + 1)
-    at = nodes[first[:-1][long] + MIXED]
-    np.add.at(total, at, counts[long])
-    tails = np.zeros(len(counts))
-    tails[long] = np.log10(counts[long] / total[at])
-    _, keep = spread(first[:-1], length)
-    return (np.concatenate([[0], np.cumsum(length)]), nodes[keep], bits[keep], depths[keep]), tails
+    return Codes(dict(frequent), len(coded), words, huffman(letters.astype(np.int64).tolist()), tokens + ends, distinct + (ends > 0), ends)
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -177,7 +157,7 @@ def symbols(t: Tokens, codes: Codes) -> np.ndarray:
 
 
 def word_steps(t: Tokens, codes: Codes, symbol: np.ndarray) -> Iterator[tuple]:
-    """(owner, slots, bits, gates) of the heads of the tokens' codes, a step at a time; owner: the token of each bit; slots: one row a predictor."""
+    """(owner, slots, bits, gates) of the tokens' codes, a step at a time; owner: the token of each bit; slots: one row a predictor."""
     h = np.fromiter(map(zlib.crc32, t.distinct), np.uint32, len(t.distinct))
     own = np.where(t.number < 0, np.uint32(0), h[t.number] if len(h) else np.uint32(0)).astype(np.uint32)
     # words before, none beyond the text's start; an end is 0
@@ -377,11 +357,11 @@ def find_codes(vocabulary: DataFrame, ends: int) -> tuple[Codes, int]:
     return make_codes(frequent, tokens, distinct, ends), least
 
 
-def learned(steps: Iterator[tuple], kind: int, weights: np.ndarray | None, table: np.ndarray | None, counts: np.ndarray, mixer: Mixer, every: int) -> int:
-    """Counts the bits, each as often as its owner's weight (else once), and before that, every so many steps, refines the mixer. Returns the bits refined on."""
+def learned(steps: Iterator[tuple], kind: int, weights: np.ndarray | None, table: np.ndarray | None, counts: np.ndarray, mixer: Mixer) -> int:
+    """Counts the bits, each as often as its owner's weight (else once), and before that refines the mixer. Returns the bits refined on."""
     n = 0
-    for k, (owner, slots, bit, gate) in enumerate(steps):
-        if table is not None and k % every == 0:
+    for owner, slots, bit, gate in steps:
+        if table is not None:
             odds, level = known(table, slots)
             total, where = mixer.mix(kind, odds, level, gate)
             mixer.learn(kind, odds, total, where, gate, bit, np.minimum(weights[owner], 16) if weights is not None else np.ones(len(owner), np.float32))
@@ -418,7 +398,7 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
                 part = next(slices(batch.slice(at), most=most))
                 at, some = at + part.num_rows, True
                 t = tokens_of(part.column(0))
-                seen += learned(word_steps(t, sent.value, symbols(t, sent.value)), 0, None, table, counts, mixer, REFINE_EVERY if most == SLICE else 1)
+                seen += learned(word_steps(t, sent.value, symbols(t, sent.value)), 0, None, table, counts, mixer)
                 table = packed(counts)
                 most = min(SLICE, 2 * most)
         if some:
@@ -433,7 +413,7 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
             words, often = [w for w, k in zip(words, keep, strict=True) if k], often[keep]
             at = 0
             while at < len(words):
-                seen += learned(letter_steps(words[at : at + most], sent.value), 1, often[at : at + most], table, counts, mixer, 1 if most < 64_000 else 4)
+                seen += learned(letter_steps(words[at : at + most], sent.value), 1, often[at : at + most], table, counts, mixer)
                 table, at, most = packed(counts), at + most, min(64_000, 2 * most)
         if table is not None:
             yield from handed_on(counts, mixer, 1, seen)
@@ -501,7 +481,7 @@ class Costs:
     def of(self, t: Tokens) -> np.ndarray:
         """log10 of each token's probability, without the spelling of words that aren't frequent."""
         symbol = symbols(t, self.codes)
-        cost = step_costs(word_steps(t, self.codes, symbol), 0, len(t.number), self.table, self.mixer, self.bits) + self.codes.tails[symbol]
+        cost = step_costs(word_steps(t, self.codes, symbol), 0, len(t.number), self.table, self.mixer, self.bits)
         own = np.fromiter((self.spelled.get(w, 0.0) for w in t.distinct), np.float64, len(t.distinct))
         return cost + np.where(t.number < 0, 0, own[t.number] if len(own) else 0)
 

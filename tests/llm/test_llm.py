@@ -189,6 +189,19 @@ def test_language_model_bits_of_a_code_sum_to_one():
     assert total == pytest.approx(1)
 
 
+def test_language_model_mixes_and_refines_on_every_bit():
+    words = [(f"w{i}".encode(), 4 + 400_000 // (i + 1)) for i in range(40_000)]
+    codes = lm_scores.make_codes(words, sum(c for _, c in words), len(words), 100)
+    length = np.diff(lm_scores.huffman([101, 1] + [c for _, c in words])[0])
+    t = lm_scores.tokens_of(pa.array([" ".join(f"w{i}" for i in range(39_000, 40_000)), " ".join(["w0", "w39999"] * 9000)]))
+    symbol = lm_scores.symbols(t, codes)
+    steps = list(lm_scores.word_steps(t, codes, symbol))
+    bits = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(symbol))
+    assert length.max() > 14 and (bits == length[symbol]).all() and len(steps) > 2
+    counts, mixer = np.zeros(2 * lm_scores.SLOTS, np.float32), lm_scores.Mixer.new()
+    assert lm_scores.learned(iter(steps), 0, None, lm_scores.packed(counts), counts, mixer) == bits.sum() == mixer.seen[0].sum()
+
+
 # 5 sketches
 
 
