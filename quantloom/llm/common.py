@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import binascii
+import re
+import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +84,40 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER_WORDS).split()
 
 
+@dataclass
+class Tokens:
+    """The words of some texts: numbers of distinct words, text by text, an end (-1) after each."""
+
+    distinct: list[bytes]
+    number: np.ndarray  # of each token among the distinct, -1: end
+    doc: np.ndarray  # of each token
+
+
+def tokens_of(column: pa.Array, letters: bytes = LOWER_WORDS) -> Tokens:
+    """Words of a column of texts; null: none. Cut and numbered by Arrow, on the column's bytes as `letters` maps them, blanks between words."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    column = pa.concat_arrays([column])  # offsets from 0, nothing outside the slice
+    _, offsets, data = column.buffers()
+    even = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(letters))
+    lists = pc.split_pattern(pa.Array.from_buffers(pa.large_binary(), len(column), [None, offsets, even], offset=column.offset), " ")
+    bounds = np.asarray(lists.offsets, np.int64)
+    coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    bounds = bounds - bounds[0]
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), np.diff(bounds))
+    if b"" in distinct:  # beside each other or at the ends, blanks leave empty parts
+        gap = distinct.index(b"")
+        keep = number != gap
+        number, row = number[keep], row[keep]
+        number -= number > gap
+        distinct.pop(gap)
+    n = np.bincount(row, minlength=len(column))
+    out = np.full(len(number) + len(n), -1, np.int64)
+    out[np.arange(len(number)) + row] = number
+    return Tokens(distinct, out, np.repeat(np.arange(len(n)), n + 1))
+
+
 def pack_array(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
 
@@ -88,17 +126,34 @@ def unpack_array(x: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), dtype)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, lineage cut. A folder of this process's own is set only where the session has none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share. Only a session that runs in one machine gets a folder of its own where none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of the shared checkpoint folder, lineage cut: smaller than a checkpoint, and readers take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc32(x: bytes) -> int:
     return binascii.crc32(x)
 

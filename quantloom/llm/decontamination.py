@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words of the test items are numbered; all other words are 0. Of each item's n-grams, those in not many more documents than its median
-n-gram are its seeds (at least half of them, so that an item whose passage is everywhere has seeds too). Documents with seeds of an item at a like distance
-are aligned with it, word by word, in windows around the seeds, so that edited and paraphrased copies score as well.
+A seed is two words of a test item, neighbours or one apart. An alignment at the threshold can't do without them: of its M matching words and X
+other columns, 2 M - X >= 2 t n (n the item's words, t the threshold), and two matches in turn that are further apart than a seed take two of
+the X, so at least t n - 1 of the M - 1 turns are seeds, inside 3 n - 2 t n words of text. Windows with fewer hits needn't be aligned, so
+nothing is lost. Of each item the most frequent seeds go, up to half of those that a passage must have, and the hits asked for go down by as
+many. Substitutions, insertions and drops count alike.
 """
 
 from __future__ import annotations
@@ -12,154 +14,172 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema, slices, text_bytes, with_columns
+from .common import slices, tokens_of
 
-#: Words in a seed.
-GRAM = 3
-#: An item's n-gram is rare up to so many times the documents of its median one.
-RARE = 4
+#: Words from the first to the second of a seed, in items and in texts.
+REACH = 2
+#: A seed is frequent if the corpus has it more than so many times as often as its item's median seed.
+RARE = 2
+#: Items of fewer words are found only whole, as a few words of theirs stand anywhere; those of one or two words only if the corpus
+#: has them no more than once in SHORT_RARE documents.
+LEAST_WORDS, SHORT_RARE = 8, 1000
 #: Scores of an alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's perfect score at which a passage is a copy of it.
 THRESHOLD = 0.4
 #: Cells of the alignment tables that are worked on at once.
 CELLS = 2_000_000
-#: Bytes of test items that are broadcast as one block; more items go block by block.
-BLOCK_BYTES = 4_000_000
+#: Bytes of test items that are broadcast as one block; more items go block by block, each with a scan of its own.
+BLOCK_BYTES = 8_000_000
+#: Seeds are counted by so many bits of their hash.
+SLOT_BITS = 20
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def plain_words(text: bytes) -> list[bytes]:
-    """Runs of letters, digits and all beyond ASCII, A-Z lower-cased."""
-    return text.translate(_WORD).split()
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, its row) of a column of texts, an end (hash 0) after each; words are runs of letters, digits and all beyond
+    ASCII, A-Z lower-cased."""
+    t = tokens_of(column, _WORD)
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, t.distinct), np.uint64, len(t.distinct)) | np.uint64(1)
+    return np.where(t.number < 0, np.uint64(0), own[t.number] if len(own) else np.uint64(0)).astype(np.uint64), t.doc
 
 
-@dataclass
-class Items:
-    """A block of test items: their words' numbers, and seeds with the places where items have them."""
-
-    ids: list
-    words: list[np.ndarray]
-    number: dict[bytes, int]
-    grams: np.ndarray  # sorted, one row for each item and place
-    gram_item: np.ndarray
-    gram_at: np.ndarray
-
-    def numbers(self, text: bytes) -> np.ndarray:
-        get = self.number.get
-        w = plain_words(text)
-        return np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """The n-gram at each place, -1 where a word is no item's."""
-        n = len(words) - GRAM + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        base, key, known = len(self.number) + 1, np.zeros(n, np.int64), np.ones(n, bool)
-        for i in range(GRAM):
-            part = words[i : i + n]
-            key = key * base + part
-            known &= part > 0
-        return np.where(known, key, -1)
-
-    def only(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.number, self.grams[keep], self.gram_item[keep], self.gram_at[keep])
-
-
-def index_items(rows: list[tuple]) -> Items:
-    """Of (id, text); items of fewer words than a seed have none and are never found."""
-    number: dict[bytes, int] = {}
-    words = []
-    for _, text in rows:
-        w = plain_words(text or b"")
-        words.append(np.array([number.setdefault(x, len(number) + 1) for x in w], np.int64))
-    assert (len(number) + 1) ** GRAM < 2**63, "too many words in a block"
-    empty = Items([r[0] for r in rows], words, number, *(np.zeros(0, np.int64),) * 3)
-    keys = [empty.keys(w) for w in words]
-    grams = np.concatenate([*keys, np.zeros(0, np.int64)])
-    item = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    at = np.concatenate([np.arange(len(k)) for k in keys] + [np.zeros(0, np.int64)])
-    order = np.argsort(grams, kind="stable")
-    return Items(empty.ids, words, number, grams[order], item[order], at[order])
-
-
-def document_counts(docs: DataFrame, sent, grams: np.ndarray) -> np.ndarray:
-    """For each of the distinct grams, the documents that hold it; summed where the rows are, so that a task sends one number a gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, distinct = sent.value, None
-        distinct = np.unique(items.grams)
-        total = np.zeros(len(distinct), np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                for text in text_bytes(part):
-                    total[np.unique(matched(items.keys(items.numbers(text)), distinct)[1])] += 1
-        has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["g", "n"])
+def seed_keys(words: np.ndarray, doc: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of the pairs of words `apart` words apart in one text; with 0 the words themselves."""
+    if apart == 0:
+        at = np.flatnonzero(words != 0)
+        return at, words[at] * _K1
+    a, b = words[:-apart], words[apart:]
+    known = (a != 0) & (b != 0)
+    if apart > 1:
+        known &= doc[:-apart] == doc[apart:]
+    at = np.flatnonzero(known)
+    key = a[at] * _K1
+    key ^= key >> np.uint64(29)
+    return at, (key + b[at]) * _K2
 
-    counts = np.zeros(len(grams), np.int64)
-    for r in docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():  # a row a gram at most
-        counts[r.g] = r.n
-    return counts
 
+def slot(keys: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
-def matched(keys: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in keys, place in distinct) of the keys that are there."""
-    known = np.flatnonzero(keys >= 0)
-    if not len(known) or not len(distinct):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(distinct, keys[known]), len(distinct) - 1)
-    hit = distinct[at] == keys[known]
-    return known[hit], at[hit]
 
+@dataclass
+class Items:
+    """A block of test items: their words, and their seeds in the order of keys."""
 
-def rare_seeds(items: Items, distinct: np.ndarray, counts: np.ndarray) -> Items:
-    """Keeps of each item's places those whose n-gram is in no more than RARE times the documents of the item's median n-gram.
-
-    At least half of an item's places stay, and, where a passage is in many documents, all of it, so that copies edited alike in one
-    place are still found by the others.
-    """
-    n = counts[np.searchsorted(distinct, items.grams)]
-    keep = np.zeros(len(n), bool)
-    for i in range(len(items.ids)):
-        own = np.flatnonzero(items.gram_item == i)
-        if len(own):
-            keep[own] = n[own] <= RARE * np.median(n[own])
-    return items.only(keep)
-
-
-def candidate_windows(items: Items, words: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, from, to) of places in a text to align: the seeds of an item by their diagonals, one window a cluster.
-
-    Seeds of one item on diagonals that differ by no more than half its length, in order, are one cluster.
+    ids: list
+    words: list[np.ndarray]
+    keys: np.ndarray  # sorted, one row for each item, place and reach
+    item: np.ndarray
+    at: np.ndarray
+    need: np.ndarray  # hits that a passage of each item has at least
+    span: np.ndarray  # words that it has at most
+
+    def __post_init__(self) -> None:
+        self.singles = any(len(w) == 1 for w in self.words)
+        self.bits = min(24, max(12, int(len(self.keys)).bit_length() + 4))
+        self.maybe = np.zeros(1 << self.bits, bool)
+        self.maybe[slot(self.keys, self.bits)] = True
+
+
+def index_items(rows: list[tuple], threshold: float = THRESHOLD) -> Items:
+    """Of (id, text). Items without words are never found."""
+    column = pa.array([t or b"" for _, t in rows], pa.binary()).cast(pa.string())
+    words, doc = words_of(column)
+    size = np.bincount(doc, minlength=len(rows)) - 1 if len(rows) else np.zeros(0, np.int64)
+    first = np.cumsum(size + 1) - (size + 1)
+    keys, item, at = [], [], []
+    for apart in range(REACH + 1):
+        i, k = seed_keys(words, doc, apart)
+        # single words and whole pairs for the items that have no more
+        keep = size[doc[i]] == 1 if apart == 0 else (size[doc[i]] > REACH) | (apart == 1)
+        i, k = i[keep], k[keep]
+        keys.append(k)
+        item.append(doc[i])
+        at.append(i - first[doc[i]])
+    keys, item, at = (np.concatenate(x) for x in (keys, item, at))
+    order = np.argsort(keys, kind="stable")
+    share = np.where(size >= LEAST_WORDS, threshold, 1.0)
+    need = np.maximum(1, np.ceil(share * size - 1 - 1e-9)).astype(np.int64)
+    span = np.ceil(size * (3 - 2 * share)).astype(np.int64)
+    lists = [words[a : a + n].view(np.int64) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+    return Items([r[0] for r in rows], lists, keys[order], item[order].astype(np.int32), at[order].astype(np.int32), need, span)
+
+
+def rare_seeds(items: Items, counts: np.ndarray, documents: int) -> Items:
+    """items without their frequent seeds (by counts of their slots in the corpus), their needs lowered by as many places.
+
+    At most half of the hits that a passage must have are given up, so that every passage still has some. Items of one or two frequent words go.
     """
-    distinct = items.grams
-    keys = items.keys(words)
-    known = np.flatnonzero(keys >= 0)
-    if not len(known) or not len(distinct):
+    if not len(items.keys):
+        return items
+    size = np.fromiter(map(len, items.words), np.int64, len(items.words))
+    n = counts[slot(items.keys)]
+    # by item and place, the most frequent seed of each
+    place = items.item.astype(np.int64) << 32 | items.at
+    order = np.lexsort((-n, place))
+    ahead = order[np.r_[True, place[order][1:] != place[order][:-1]]]
+    order = ahead[np.lexsort((-n[ahead], items.item[ahead]))]  # each item's places from the most frequent on
+    own = items.item[order]
+    start = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+    length = np.diff(np.r_[start, len(own)])
+    rank = np.arange(len(own)) - np.repeat(start, length)
+    median = np.repeat(n[order][start + length // 2], length)
+    spare = items.need[own] // 2
+    gone = (rank < spare) & (n[order] > RARE * median)
+    need = items.need - np.bincount(own[gone], minlength=len(items.ids))
+    keep = ~np.isin(place, place[order[gone]])
+    keep &= (size[items.item] > REACH) | (n * SHORT_RARE <= documents)
+    return Items(items.ids, items.words, items.keys[keep], items.item[keep], items.at[keep], need, items.span)
+
+
+def candidate_windows(items: Items, words: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, item, from, to) of places in the texts to align: around every run of as many hits as an item's passage has, near enough."""
+    at, entry = [], []
+    for apart in range(0 if items.singles else 1, REACH + 1):
+        i, k = seed_keys(words, doc, apart)
+        some = items.maybe[slot(k, items.bits)]
+        i, k = i[some], k[some]
+        lo, hi = np.searchsorted(items.keys, k, "left"), np.searchsorted(items.keys, k, "right")
+        n = hi - lo
+        at.append(np.repeat(i, n))
+        entry.append(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+    at, entry = np.concatenate(at), np.concatenate(entry)
+    if not len(at):
         return []
-    lo, hi = np.searchsorted(distinct, keys[known], "left"), np.searchsorted(distinct, keys[known], "right")
-    n = hi - lo
-    if not n.any():
+    item, row = items.item[entry].astype(np.int64), doc[at]
+    if len(items.ids) * (int(doc[-1]) + 1) <= CELLS:  # too few hits in the whole text
+        pair = row * len(items.ids) + item
+        some = np.bincount(pair)[pair] >= items.need[item]
+        at, item, row = at[some], item[some], row[some]
+        if not len(at):
+            return []
+    order = np.lexsort((at, item, row))
+    at, item, row = at[order], item[order], row[order]
+    need, span = items.need[item], items.span[item]
+    last = np.arange(len(at)) + need - 1
+    inside = np.minimum(last, len(at) - 1)
+    good = np.flatnonzero((last < len(at)) & (row[inside] == row) & (item[inside] == item) & (at[inside] - at <= span))
+    if not len(good):
         return []
-    row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    item, diagonal = items.gram_item[row], np.repeat(known, n) - items.gram_at[row]
-    order = np.lexsort((diagonal, item))
-    item, diagonal = item[order], diagonal[order]
-    size = np.array([len(items.words[i]) for i in item])
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 2)
+    at, end, item, row, span = at[good], at[inside[good]], item[good], row[good], span[good]
+    # neighbours whose windows touch are one
+    lo, hi = end - span, at + span
+    new = np.r_[True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(item)) - 1
+    last = np.r_[first[1:], len(item)] - 1
+    stop = np.cumsum(np.bincount(doc)) - 1  # of each text, its end
+    begin = np.r_[0, stop[:-1] + 1]
     out = []
-    for a, b in zip(first, last, strict=True):
-        n, lo, hi = int(size[a]), max(0, int(diagonal[a]) - int(size[a]) // 2), min(len(words), int(diagonal[b]) + int(size[a]) * 3 // 2)
-        # long clusters in windows of 32 items' lengths, of which neighbours share four
-        out += [(int(item[a]), x, min(hi, x + 32 * n)) for x in range(lo, max(lo + 1, hi - 4 * n), 28 * n)]
+    for r, i, x, y, n in zip(row[first].tolist(), item[first].tolist(), np.maximum(lo[first], begin[row[first]]).tolist(), np.minimum(hi[last] + 1, stop[row[first]]).tolist(), span[first].tolist(), strict=True):
+        # long ones in windows of sixteen passages, of which neighbours share two
+        out += [(r, i, a, min(y, a + 16 * n)) for a in range(x, max(x + 1, y - 2 * n), 14 * n)]
     return out
 
 
@@ -171,13 +191,12 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
     """
     k = len(items)
     n, m = max(map(len, items), default=0), max(map(len, passages), default=0)
-    a, b = np.full((k, n), -1, np.int32), np.zeros((k, m), np.int32)
+    a, b = np.full((k, n), -1, np.int64), np.zeros((k, m), np.int64)
     for i in range(k):
         a[i, : len(items[i])] = items[i]
         b[i, : len(passages[i])] = passages[i]
-    # score << 20 | 2^20 - 1 - start, so that the greatest has the best score and then the earliest start
-    bits = 20
-    assert m < 1 << bits
+    # score << 32 | 2^32 - 1 - start, so that the greatest has the best score and then the earliest start
+    bits = 32
     fresh = np.broadcast_to((1 << bits) - 1 - np.arange(m + 1, dtype=np.int64), (k, m + 1))
     up = fresh.copy()
     steps = np.arange(m + 1, dtype=np.int64) * (-GAP << bits)
@@ -197,56 +216,115 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
     return best >> bits, (1 << bits) - 1 - (best & ((1 << bits) - 1)), end
 
 
-def align(items: Items, words: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
-    """(item, matched score, share of a perfect score, start word, end word) of the passages of a text at or above the threshold."""
-    found, todo = [], candidate_windows(items, words)
+def best_scores(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+    """The scores of smith_waterman alone, in small numbers."""
+    k = len(items)
+    n, m = max(map(len, items), default=0), max(map(len, passages), default=0)
+    kind = np.int16 if max(m, n) < 8000 else np.int32
+    a, b = np.full((k, n), -1, np.int64), np.zeros((k, m), np.int64)
+    for i in range(k):
+        a[i, : len(items[i])] = items[i]
+        b[i, : len(passages[i])] = passages[i]
+    up, best = np.zeros((k, m + 1), kind), np.zeros(k, kind)
+    steps = np.arange(m + 1, dtype=kind) * kind(-GAP)
+    now = np.zeros((k, m + 1), kind)
+    for i in range(n):
+        gain = np.where(a[:, i : i + 1] == b, kind(MATCH), kind(MISMATCH))
+        gain += up[:, :-1]
+        np.maximum(gain, up[:, 1:] + kind(GAP), out=gain)
+        np.maximum(gain, 0, out=now[:, 1:])
+        now += steps
+        np.maximum.accumulate(now, axis=1, out=up)
+        up -= steps
+        np.maximum(best, up.max(axis=1), out=best)
+        now[:, 0] = 0
+    return best
+
+
+def align(items: Items, words: np.ndarray, doc: np.ndarray, threshold: float) -> list[tuple[int, int, int, float, int, int]]:
+    """(row, item, score, share of a perfect score, start word, end word) of the passages of texts at or above the threshold."""
+    found = []
+    todo = sorted(candidate_windows(items, words, doc), key=lambda x: (len(items.words[x[1]]), x[3] - x[2]))
+    begin = np.r_[0, np.cumsum(np.bincount(doc))]
     while todo:
         some, cells = [], 0
         while todo and (not some or cells < CELLS):
             some.append(todo.pop())
-            cells += len(items.words[some[-1][0]]) * (some[-1][2] - some[-1][1])
-        score, start, end = smith_waterman([items.words[i] for i, _, _ in some], [words[lo:hi] for _, lo, hi in some])
-        for (i, lo, _), s, x, y in zip(some, score, start, end, strict=True):
-            share = float(s) / (MATCH * len(items.words[i]))
-            if share >= threshold:
-                found.append((i, int(s), share, lo + int(x), lo + int(y)))
+            cells += len(items.words[some[-1][1]]) * (some[-1][3] - some[-1][2])
+        score = best_scores([items.words[i] for _, i, _, _ in some], [words[lo:hi].view(np.int64) for _, _, lo, hi in some])
+        some = [x for x, s in zip(some, score.tolist(), strict=True) if s >= threshold * MATCH * len(items.words[x[1]])]
+        score, start, end = smith_waterman([items.words[i] for _, i, _, _ in some], [words[lo:hi].view(np.int64) for _, _, lo, hi in some])
+        for (r, i, lo, _), s, x, y in zip(some, score.tolist(), start.tolist(), end.tolist(), strict=True):
+            n = len(items.words[i])
+            share = s / (MATCH * n)
+            if share >= (threshold if n >= LEAST_WORDS else 1):
+                at = lo - int(begin[r])
+                found.append((r, i, int(s), share, at + int(x), at + int(y)))
     return sorted(set(found))  # neighbouring windows may both hold a passage
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """Test items (item_id, text), in blocks of at most BLOCK_BYTES of text, each taken to the driver in turn; null texts: left out."""
+    """Test items (item_id, text), in blocks of at most about BLOCK_BYTES of text, each taken to the driver in turn; null texts: left out."""
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
-    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // BLOCK_BYTES))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     for i in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         yield sorted(((r.item_id, r.text.encode()) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+def seed_counts(docs: DataFrame, used: np.ndarray) -> tuple[np.ndarray, int]:
+    """For each slot that items use, how often documents have a seed there; and the documents. Tasks send sums: a row a used slot at most."""
+    sent = docs.sparkSession.sparkContext.broadcast(used)  # 2 ** SLOT_BITS flags
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(1 << SLOT_BITS, np.int64), 0
+        for batch in batches:
+            for part in slices(batch):
+                words, doc = words_of(part.column(0))
+                rows += part.num_rows
+                for apart in range(REACH + 1):
+                    s = slot(seed_keys(words, doc, apart)[1])
+                    total += np.bincount(s[sent.value[s]], minlength=len(total))
+        has = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[has, -1]), pa.array(np.r_[total[has], rows])], names=["g", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # a row a slot at most
+    slots, n = sums.column(0).to_numpy(), sums.column(1).to_numpy()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[slots[slots >= 0]] = n[slots >= 0]
+    return counts, int(n[slots < 0].sum())
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator:
+    """A broadcast of the rare seeds of each block of items. One scan counts for all blocks."""
+    used = np.zeros(1 << SLOT_BITS, bool)
+    for rows in blocks(benchmark):
+        used[slot(index_items(rows, threshold).keys)] = True
+    counts, documents = seed_counts(docs, used)
     for rows in blocks(benchmark):
-        items = index_items(rows)
-        sc = docs.sparkSession.sparkContext
-        distinct = np.unique(items.grams)
-        yield sc.broadcast(rare_seeds(items, distinct, document_counts(docs, sc.broadcast(items), distinct)))
+        yield docs.sparkSession.sparkContext.broadcast(rare_seeds(index_items(rows, threshold), counts, documents))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each passage of a document that copies a test item: doc_id, item_id, score, share, start_word, end_word.
 
-    score: of the local alignment; share: of the item's perfect score. Words are counted from 0; end_word is behind the passage. Null
-    texts hold none; null ids stay null; repeated rows are found each. Empty tables give an empty result. Only doc_id and text, and
-    item_id and text, are read.
+    score: of the local alignment; share: of the item's perfect score. Words are counted from 0; end_word is behind the passage. Copies of
+    an item that lie within a passage's length of each other are one row, the best one's. Items of fewer than LEAST_WORDS words are found
+    only whole, those of one or two only where rare (SHORT_RARE). Null texts hold none; null ids stay null; repeated rows are found each. Texts of any length are searched
+    whole; time and memory of an alignment go as the item's words times its window's (at most 16 passages). Empty tables give an empty
+    result. Only doc_id and text, and item_id and text, are read.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = benchmark.schema["item_id"].dataType
     result = None
-    for sent in _searched(source, benchmark):
+    for sent in _searched(source, benchmark, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
                 for part in slices(batch):
-                    rows = [(d, items.ids[i], s, share, x, y) for d, t in zip(part.column(0).to_pylist(), text_bytes(part), strict=True) for i, s, share, x, y in align(items, items.numbers(t), threshold)]
+                    ids = part.column(0).to_pylist()
+                    rows = [(ids[r], items.ids[i], *rest) for r, i, *rest in align(items, *words_of(part.column(1)), threshold)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], to) for k, to in enumerate((pa.int64(), arrow_kind, pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "share", "start_word", "end_word"])
 
@@ -257,13 +335,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that hold a copy of a test item; all columns stay. Nothing is shuffled."""
-    result = docs
-    for sent in _searched(docs, benchmark):
+    """docs without the documents that hold a copy of a test item (see leaks); all columns stay. Nothing is shuffled."""
+    result, text = docs, docs.columns.index("text")
+    for sent in _searched(docs, benchmark, threshold):
 
-        def made(batch: pa.RecordBatch, sent=sent) -> dict[str, pa.Array]:
-            items = sent.value
-            return {"__leak": pa.array([bool(align(items, items.numbers(t), threshold)) for t in text_bytes(batch)], pa.bool_())}
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[x[0] for x in align(sent.value, *words_of(part.column(text)), threshold)]] = False
+                    yield part.filter(pa.array(clean))
 
-        result = with_columns(result, made, schema(__leak="boolean")).where("NOT __leak").drop("__leak")
+        result = result.mapInArrow(run, docs.schema)
     return result

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_WORDS, checkpoint, fold, pack_array, slices, unpack_array
+from .common import Tokens, checkpoint, fold, pack_array, slices, tokens_of, unpack_array
 
 #: Slots of the table of predictors, of which each predictor has its own sixteenths, so that rare contexts don't crowd out others.
 SLOTS = 1 << 23
@@ -115,40 +115,6 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-@dataclass
-class Tokens:
-    """The words of some texts: numbers of distinct words, text by text, an end (-1) after each."""
-
-    distinct: list[bytes]
-    number: np.ndarray  # of each token among the distinct, -1: end
-    doc: np.ndarray  # of each token
-
-
-def tokens_of(column: pa.Array) -> Tokens:
-    """Words of a column of texts; null: none. Cut and numbered by Arrow, on the column's bytes with A-Z and white space made even."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
-    column = pa.concat_arrays([column])  # offsets from 0, nothing outside the slice
-    _, offsets, data = column.buffers()
-    even = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(LOWER_WORDS))
-    lists = pc.split_pattern(pa.Array.from_buffers(pa.large_binary(), len(column), [None, offsets, even], offset=column.offset), " ")
-    bounds = np.asarray(lists.offsets, np.int64)
-    coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    bounds = bounds - bounds[0]
-    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(column)), np.diff(bounds))
-    if b"" in distinct:  # beside each other or at the ends, blanks leave empty parts
-        gap = distinct.index(b"")
-        keep = number != gap
-        number, row = number[keep], row[keep]
-        number -= number > gap
-        distinct.pop(gap)
-    n = np.bincount(row, minlength=len(column))
-    out = np.full(len(number) + len(n), -1, np.int64)
-    out[np.arange(len(number)) + row] = number
-    return Tokens(distinct, out, np.repeat(np.arange(len(n)), n + 1))
-
-
 def symbols(t: Tokens, codes: Codes) -> np.ndarray:
     """Each token's symbol of the word code."""
     place = codes.places()

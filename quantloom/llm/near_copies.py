@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, slices
+from .common import checkpoint, slices, tokens_of
 from .components import connected_components
-from .lm_scores import tokens_of
 
 WIDTH = 5
 #: Least likeness, as a fraction.

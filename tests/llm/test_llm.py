@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quantloom.llm import decontamination, langid, lm_scores, packing, quality, sharding, simhash, sketches, token_counts, toxicity
+from quantloom.llm.common import tokens_of
 from quantloom.llm.components import connected_components
 
 DATA = "/root/testdata/sf0.001"
@@ -193,7 +194,7 @@ def test_language_model_mixes_and_refines_on_every_bit():
     words = [(f"w{i}".encode(), 4 + 400_000 // (i + 1)) for i in range(40_000)]
     codes = lm_scores.make_codes(words, sum(c for _, c in words), len(words), 100)
     length = np.diff(lm_scores.huffman([101, 1] + [c for _, c in words])[0])
-    t = lm_scores.tokens_of(pa.array([" ".join(f"w{i}" for i in range(39_000, 40_000)), " ".join(["w0", "w39999"] * 9000)]))
+    t = tokens_of(pa.array([" ".join(f"w{i}" for i in range(39_000, 40_000)), " ".join(["w0", "w39999"] * 9000)]))
     symbol = lm_scores.symbols(t, codes)
     steps = list(lm_scores.word_steps(t, codes, symbol))
     bits = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(symbol))
@@ -353,16 +354,64 @@ def test_smith_waterman_equals_the_table():
         assert got == h.max() and (got == 0 or 0 <= lo < hi <= len(y))
 
 
+def all_pairs(items, texts):
+    """(row, item) of all passages at the threshold, every text aligned with every item."""
+    ix = decontamination.index_items([(i, t.encode()) for i, t in enumerate(items)])
+    out = set()
+    for r, t in enumerate(texts):
+        w = decontamination.words_of(pa.array([t]))[0][:-1].view(np.int64)
+        score, _, _ = decontamination.smith_waterman(ix.words, [w] * len(items))
+        out |= {(r, i) for i, s in enumerate(score) if s >= 2 * len(ix.words[i]) * (decontamination.THRESHOLD if len(ix.words[i]) >= decontamination.LEAST_WORDS else 1)}
+    return out
+
+
 def test_leaks_equal_alignment_of_all_pairs(spark, docs, texts):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
-    items = decontamination.index_items([(r.item_id, r.text.encode()) for r in bench.collect()])
-    want = set()
-    for d, t in texts.items():
-        w = items.numbers(t.encode())
-        score, _, _ = decontamination.smith_waterman(items.words, [w] * len(items.words))
-        want |= {(d, i) for i, s, x in zip(items.ids, score, items.words, strict=True) if s / (2 * len(x)) >= decontamination.THRESHOLD}
-    assert got == want and want
+    rows, ids = bench.collect(), sorted(texts)
+    want = {(ids[r], rows[i].item_id) for r, i in all_pairs([x.text for x in rows], [texts[d] for d in ids])}
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want and want
+
+
+def test_leaks_of_edited_copies_equal_alignment_of_all_pairs(spark):
+    """Words replaced, dropped and put in, up to half of them; no candidate filter may lose a passage at the threshold."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [vocabulary[min(2999, int(rng.paretovariate(0.7)) - 1)] for _ in range(n)]
+    items = [draw(rng.randrange(3, 60)) for _ in range(30)] + [[f"w{i}" for i in range(1, 11)] * 3, [f"w{i}" for i in range(100, 140)]]
+    texts = []
+    for j in range(240):
+        w, share = [], rng.choice([0, 0.1, 0.2, 0.3, 0.4, 0.5])
+        for x in items[j % len(items)]:
+            r = rng.random()
+            w += [] if r < share / 3 else [rng.choice(vocabulary)] if r < share * 2 / 3 else [x, rng.choice(vocabulary)] if r < share else [x]
+        texts.append(" ".join(draw(rng.randrange(80)) + w + draw(rng.randrange(80))))
+    texts.append(" ".join("other" if k % 3 == 2 else x for k, x in enumerate(items[-1])))  # every third word replaced
+    texts.append(" ".join(y for x in items[-1] for y in (x, "other")))  # a word put in after each
+    want = all_pairs([" ".join(i) for i in items], texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, bench).collect()} == want
+    assert {(240, 31), (241, 31)} <= want and len(want) > 200
+
+
+def test_short_items_are_found_whole_where_rare(spark):
+    rows = [(i, "plain words of a text" + (" seldom seen" if i == 7 else "")) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "seldom"), ("b", "seldom seen"), ("c", "of a"), ("d", "plain"), ("e", "seen seldom"), ("f", "words of some text")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, bench).collect()} == {(7, "a"), (7, "b")}
+
+
+def test_seeds_of_many_items_and_blocks(spark, docs, monkeypatch):
+    rng = np.random.default_rng(0)
+    items = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 40) % 5000).encode()) for i in range(2000)]
+    ix = decontamination.index_items(items)
+    few = decontamination.rare_seeds(ix, rng.integers(0, 1000, 1 << decontamination.SLOT_BITS), 1000)
+    assert (few.need >= 1).all() and (few.need >= ix.need - ix.need // 2).all() and set(few.item) == set(ix.item)
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    found = lambda: sorted((r.doc_id, r.item_id, r.share) for r in decontamination.leaks(docs, bench).collect())
+    whole = found()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 3000)
+    assert found() == whole and decontamination.without_leaks(docs, bench).count() == docs.count() - len({r[0] for r in whole})
 
 
 def test_edited_and_hot_passages_are_found(spark):
@@ -377,7 +426,7 @@ def test_edited_and_hot_passages_are_found(spark):
             del w[9]
         rows.append((i, " ".join(["before"] * 50 + w + ["after"] * 50).upper()))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "w1 w2")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, bench).collect()} == {(i, 1) for i in range(0, 300, 3)}
     assert decontamination.without_leaks(d, bench).count() == 200
 

@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage against brute force."""
 
 import collections
+import re
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from quantloom.llm import decontamination, simhash
+from quantloom.llm import simhash
 from quantloom.llm.common import lower_words
 
 DATA = "/root/testdata/sf0.01"
@@ -47,11 +48,11 @@ def test_stages(spark):
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == want
 
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
-    items = decontamination.index_items([(r.item_id, r.text.encode()) for r in bench])
-    exact = {d for d in want if any(f" {' '.join(b)} " in f" {' '.join(a)} " for a in [list(map(bytes.decode, decontamination.plain_words(before[d].text.encode())))] for b in ([x.decode() for x in decontamination.plain_words(r.text.encode())] for r in bench))}
+    plain = lambda t: " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    exact = {d for d in want if any(f" {plain(r.text)} " in f" {plain(before[d].text)} " for r in bench)}
     kept = cp.STAGES[3][1](spark, kept, DATA).cache()
     ids = {r.doc_id for r in kept.collect()}
-    assert kept.columns == columns and exact and ids <= want - exact and len(items.ids) == len(bench)
+    assert kept.columns == columns and exact and ids <= want - exact
     assert len(want - exact - ids) <= 2
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
