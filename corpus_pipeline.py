@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import decontamination, langid, near_copies, packing, toxicity
-from quantloom.llm.common import table
+from quantloom.llm.common import table, written
 from quantloom.llm.queries import tokenizer_path
 
 #: A document whose language is known with less than this score goes; a document without letters goes as well.
@@ -64,7 +64,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents. Each stage's result is written before the next one reads it, so no stage runs twice."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = written(stage(spark, docs, sf_dir))
     return docs
