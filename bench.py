@@ -19,18 +19,20 @@ DATA, CPUS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.
 
 def main() -> None:
     tmp = tempfile.mkdtemp(prefix="spark-")
-    spark = session(f"local[{CPUS}]", int(CPUS), spark__ui__enabled="false", spark__driver__memory="8g", spark__local__dir=tmp, spark__ui__showConsoleProgress="false")
+    spark = session(f"local[{CPUS}]", int(CPUS), f"{tmp}/checkpoints", spark__ui__enabled="false", spark__driver__memory="8g", spark__local__dir=tmp, spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     names = dict(QUERIES)
     try:
         from quantloom.llm.queries import queries
 
-        names |= queries()
+        import corpus_pipeline
+
+        names |= queries() | {"pipeline": corpus_pipeline.run}
     except ImportError:
         pass
     took = {}
     QUERIES["event_bars"](spark, DATA).count()  # starts the engine
-    for name in [*HEADLINE, *[n for n in names if n.startswith("op")]]:
+    for name in [*HEADLINE, *[n for n in names if n.startswith("op") or n == "pipeline"]]:
         began = time.time()
         names[name](spark, DATA).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)

@@ -12,8 +12,7 @@ def spark():
     from quantloom.session import session
 
     tmp = tempfile.mkdtemp(prefix="spark-")
-    s = session("local[4]", 4, spark__ui__enabled="false", spark__local__dir=tmp, spark__sql__warehouse__dir=f"{tmp}/warehouse", spark__driver__memory="3g", spark__ui__showConsoleProgress="false")
+    s = session("local[4]", 4, f"{tmp}/checkpoints", spark__ui__enabled="false", spark__local__dir=tmp, spark__sql__warehouse__dir=f"{tmp}/warehouse", spark__driver__memory="3g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
-    s.sparkContext.setCheckpointDir(f"{tmp}/checkpoints")
     yield s
     s.stop()
