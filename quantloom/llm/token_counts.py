@@ -4,13 +4,14 @@ Two deterministic transducers run in turn. The first, over classes of characters
 of one length, each chunk gets the map of entry state to exit state and words started, and the maps compose through a parallel
 prefix scan, which gives each chunk its entry state. The second, over the bytes of a word, annotates each transition with the tokens
 that it adds (or takes back); it is the determinized form of byte-pair merging, compiled as far as the words at hand need it, and
-runs over all words of a slice in lockstep.
+runs over all words of a slice in lockstep. Long words are cut into chunks as well: a chunk's map holds the entry states that may reach it,
+first the one that the chunk before ends in if it is taken for a word's start, then all that maps lead to; once they are closed the scan
+composes them.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -25,20 +26,42 @@ CHUNK = 128
 
 #: Transitions that a task keeps compiled; beyond it starts anew.
 MOST_TRANSITIONS = 3_000_000
+#: Bytes of a word beyond which it is cut into chunks, and of the words that are counted at once.
+LONG, AT_ONCE = 512, 1 << 20
+#: Rounds in which maps are closed; after that the one true entry state goes from chunk to chunk.
+ROUNDS = 12
 
 # classes of characters for the word transducer
 SPACE, LETTER, NUMBER, OTHER, QUOTE, ONE, R, V, L, E = range(10)
 
-#: White space of Unicode (fixed values).
-UNICODE_SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
-
 @cache
-def char_classes() -> np.ndarray:
-    """The class of each code point."""
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.array([kind.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
-    out[UNICODE_SPACES] = SPACE
+def char_classes(path: str) -> np.ndarray:
+    """The class of each code point, as the file's own cutting into words has it: blocks that are all of one class are found whole."""
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    out = np.full(0x110000, OTHER, np.uint8)
+
+    def find(lo: int, hi: int) -> None:
+        if lo < 0xE000 and hi > 0xD800:  # surrogates stand in no text
+            for a, b in ((lo, min(hi, 0xD800)), (max(lo, 0xE000), hi)):
+                if a < b:
+                    find(a, b)
+            return
+        block = "".join(map(chr, range(lo, hi)))
+        whole = (0, hi - lo + 1)
+        if [x for _, x in cut("a" + block)] == [whole]:
+            out[lo:hi] = LETTER
+        elif [x for _, x in cut("!" + block)] == [whole]:
+            return
+        elif hi - lo == 1:
+            out[lo] = NUMBER if cut(block) else SPACE
+        else:
+            find(lo, (lo + hi) // 2)
+            find((lo + hi) // 2, hi)
+
+    for lo in range(0, 0x110000, 1024):
+        find(lo, lo + 1024)
     out[ord("'")] = QUOTE
     for c in "stmd":
         out[ord(c)] = ONE
@@ -284,20 +307,18 @@ class MergeTransducer:
             odd = odd[~hit]
         return out
 
-    def count(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Tokens of each word, data[start : start + length]."""
-        if self.n > MOST_TRANSITIONS:
-            self.clear()
+    def run(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exit state, tokens added) of each stretch data[start : start + length] from its entry state; last: if it ends its word."""
         order = np.argsort(-length.astype(np.int32), kind="stable")
-        first, size = start[order], length[order]
-        state = np.zeros(len(order), np.int64)
+        first, size, state, last = start[order], length[order], entry[order], last[order]
         total = np.zeros(len(order), np.int32)
-        # words in use at each step: those longer than it
+        # stretches in use at each step: those longer than it
         active = len(size) - np.cumsum(np.bincount(size, minlength=int(size[0]) + 1 if len(size) else 1))
         for j in range(int(size[0]) if len(size) else 0):
             n = int(active[j])
             symbol = data[first[:n] + j].astype(np.int64)
-            symbol[int(active[j + 1]) :] += 256
+            at = int(active[j + 1])
+            symbol[at:] += 256 * last[at:n]
             keys = state[:n] * 512 + symbol
             value = self._find(keys)
             lost = np.flatnonzero(value < 0)
@@ -308,8 +329,71 @@ class MergeTransducer:
                 value[lost] = made[where]
             state[:n] = value >> 8
             total[:n] += (value & 255).astype(np.int32) - 128
-        out = np.empty_like(total)
-        out[order] = total
+        exits, added = np.empty_like(state), np.empty_like(total)
+        exits[order], added[order] = state, total
+        return exits, added
+
+    def long_count(self, data: np.ndarray) -> int:
+        """Tokens of one long word, by maps of its chunks."""
+        n = -(-len(data) // CHUNK)
+        first = np.arange(n) * CHUNK
+        size = np.minimum(CHUNK, len(data) - first)
+        # chunks of the same bytes have one map
+        kinds, kind = np.unique(data[: first[-1]].reshape(n - 1, CHUNK), axis=0, return_inverse=True) if n > 1 else (None, np.zeros(0, np.int64))
+        kind = np.r_[kind.ravel(), len(kinds) if n > 1 else 0]
+        sample = np.zeros(int(kind.max()) + 1, np.int64)
+        sample[kind] = np.arange(n)
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in sample]
+
+        def work(todo: list[tuple[int, int]]) -> None:
+            k = np.array([x for x, _ in todo])
+            at = sample[k]
+            exits, added = self.run(data, first[at], size[at], np.array([e for _, e in todo], np.int64), at == n - 1)
+            for (x, e), to, c in zip(todo, exits.tolist(), added.tolist(), strict=True):
+                maps[x][e] = to, c
+
+        work([(k, 0) for k in range(len(sample))])
+        pairs = np.unique(np.stack([kind[:-1], kind[1:]], axis=1), axis=0).tolist()
+        for _ in range(ROUNDS):
+            todo = sorted({(b, to) for a, b in pairs for to, _ in maps[a].values() if to not in maps[b]})
+            if not todo:
+                break
+            work(todo)
+        else:
+            state, total = 0, 0
+            for k in kind.tolist():
+                if state not in maps[k]:
+                    work([(k, state)])
+                state, c = maps[k][state]
+                total += c
+            return total
+        # closed: a chunk's entry states by their place in its map
+        place = [{e: i for i, e in enumerate(m)} for m in maps]
+        to = np.zeros((max(map(len, maps)), n), np.int64)
+        count = np.zeros_like(to)
+        after = [*kind.tolist()[1:], -1]
+        for i, (k, then) in enumerate(zip(kind.tolist(), after, strict=True)):
+            for e, (x, c) in enumerate(maps[k].values()):
+                to[e, i], count[e, i] = place[then][x] if then >= 0 else 0, c
+        return int(prefix_scan(to, count)[1][0, -1])  # the first entry of a map is the start of a word
+
+    def count(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Tokens of each word, data[start : start + length]."""
+        out = np.zeros(len(start), np.int64)
+        whole = np.flatnonzero(length <= LONG)
+        ends = np.cumsum(length[whole])
+        at = 0
+        while at < len(whole):
+            if self.n > MOST_TRANSITIONS:
+                self.clear()
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            some = whole[at:to]
+            out[some] = self.run(data, start[some], length[some], np.zeros(len(some), np.int64), np.ones(len(some), bool))[1]
+            at = to
+        for i in np.flatnonzero(length > LONG).tolist():
+            if self.n > MOST_TRANSITIONS:
+                self.clear()
+            out[i] = self.long_count(data[start[i] : start[i] + length[i]])
         return out
 
 
@@ -331,6 +415,7 @@ class TokenCounter:
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.merges = MergeTransducer(path)
+        self.classes = char_classes(path)
 
     def segments(self, text: str) -> tuple[list[str], int]:
         """The text between special strings, and how many of these it has."""
@@ -355,7 +440,7 @@ class TokenCounter:
             sizes.append(size)
         joined = "\n".join(own) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        classes = char_classes()[points]
+        classes = self.classes[points]
         starts = word_starts(classes)
         edges = np.flatnonzero(starts | (classes == SPACE))
         is_start = starts[edges]
@@ -385,8 +470,8 @@ def counter(path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). Nothing is shuffled.
 
-    Null text: as empty, 0 bytes and tokens. Null ids and repeated rows stay. An empty table gives an empty result. Only doc_id and
-    text are read.
+    Null text: as empty, 0 bytes and tokens. Null ids and repeated rows stay. Texts of any length are counted whole, runs without blanks
+    too. An empty table gives an empty result. Only doc_id and text are read.
     """
 
     def made(batch: pa.RecordBatch) -> dict[str, pa.Array]:

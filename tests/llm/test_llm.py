@@ -65,6 +65,25 @@ def test_token_counts_of_random_and_edge_texts(spark):
     assert token_counts.count_tokens(edges(spark).limit(0), WORD).count() == 0
 
 
+def test_token_counts_of_every_code_point():
+    library, own = Tokenizer.from_file(WORD), token_counts.counter(WORD)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    many = [" ".join(f"{c}'s ab{c}cd !{c}1" for c in points[at : at + 256]) for at in range(0, len(points), 256)]
+    assert own.counts(many).tolist() == [len(e.ids) for e in library.encode_batch(many, add_special_tokens=False)]
+
+
+def test_token_counts_of_long_runs(monkeypatch):
+    library, own = Tokenizer.from_file(WORD), token_counts.counter(WORD)
+    rng = random.Random(4)
+    many = ["a" * 1_000_000, "ab" * 40_000 + "c", "'" * 5000, "é" * 3000, "x" * 511, "x" * 513, *["".join(rng.choices(k, k=20_000)) for k in ("etaoin", "abcdefghijklmnopqrstuvwxyz", "aé漢")]]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in many]
+    assert own.counts(many).tolist() == want
+    monkeypatch.setattr(token_counts, "ROUNDS", 0)  # the way without closed maps
+    assert own.counts(many[1:]).tolist() == want[1:]
+    monkeypatch.setattr(token_counts, "MOST_TRANSITIONS", 10)
+    assert own.counts(many[4:6] * 3).tolist() == want[4:6] * 3
+
+
 def test_chunk_maps_compose_to_a_sequential_run():
     rng = np.random.default_rng(1)
     classes = rng.integers(0, 10, 3000).astype(np.uint8)
