@@ -1,16 +1,20 @@
 """Language-model scores by online logistic context mixing.
 
 A token is a sequence of bits: its Huffman code among the frequent words (the end and an escape are two of them), and after the
-escape the Huffman codes of its bytes and of its end. Each bit has several predictors, counts of zeros and ones in a slot of a
-hashed table by context (the words before; inside a word, the bytes before). Their log odds are combined by weights that a gate (the
-place in the code or word) and each predictor's confidence select, learned online by each task ahead of the counts; an adaptive map
-refines the result. Counts add up over tasks, so the table holds all of the corpus; weights are averaged.
+escape the Huffman codes of its bytes and of its end. Each bit has several predictors: the code's own odds, and counts of zeros and ones
+in slots of a hashed table by context (the words before; inside a word, the bytes before). Their log odds are combined by weights that a
+gate (the place in the code or word) and each predictor's confidence select, learned online by each task ahead of the counts; an adaptive
+map refines the result. Counts add up over tasks, so the table holds all of the corpus; weights are averaged.
+
+The table has a fixed size; what grows with the corpus are the words' counts and the memory of passages: texts fall into segments of
+about SEGMENT words at places that their words alone decide, and for the three words before a segment the whole training corpus says which
+segment follows most often (a text's own occurrence left out). As segments form a prefix code, the share that such a forecast deserves, by
+how often and how surely it was right, and the mixed bits give one distribution.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
@@ -18,42 +22,45 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, checkpoint, fold, pack_array, slices, tokens_of, unpack_array
+from .common import Tokens, fold, pack_array, slices, tokens_of, unpack_array, written
 
-#: Slots of the table of predictors, of which each predictor has its own sixteenths, so that rare contexts don't crowd out others.
-SLOTS = 1 << 23
-SHARES = {0: ((0, 1), (1, 4), (5, 2)), 1: ((7, 1), (8, 2), (10, 2), (12, 4))}
+#: Slots of the table of hashed contexts, of which each has its own sixteenths (a power of two): first sixteenth, their number.
+SLOTS = 1 << 22
+SHARES = {0: ((0, 8), (8, 4)), 1: ((12, 1), (13, 1), (14, 1), (15, 1))}
 #: Words with a code of their own (at most so many, seen so often), and words whose counts every task holds (the most frequent ones).
 CODED, CODED_LEAST = 1 << 17, 4
 FREQUENT = 1 << 17
-#: Parts of the table that are summed apart.
-PARTS = 64
-#: Predictors of a bit: by words before (none, one, two); by bytes before in the word (two, three, five, all).
-BY_WORDS, BY_BYTES = 3, 4
+#: Parts of the table that are summed apart, and tables that are summed at once.
+PARTS, FAN = 64, 16
 GATES, LEVELS, STEPS, FINE = 12, 12, 48, 2049
+#: Words of a segment on average and at most.
+SEGMENT, LONGEST = 16, 256
 #: Text that is worked on at once, and bits of a step.
 SLICE = 8_000_000
 STEP = 1 << 16
-#: Text of a task's first slice in training; each next one is twice as large, up to SLICE.
-FIRST_SLICE = 250_000
 #: Distinct words that a task counts before it hands them on.
 MOST_WORDS = 400_000
+#: Spellings that a task remembers.
+MOST_SPELLED = 300_000
 
-_K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_K1, _K2, _K64 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint64(0x9E3779B97F4A7C15)
 
 
-def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, nodes, bits, depths): symbol s has nodes[first[s] : first[s + 1]] (inner nodes from 1, the root) and its bits."""
+def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, nodes, bits, depths, odds): symbol s has nodes[first[s] : first[s + 1]] (inner nodes from 1, the root) and its bits; odds: of
+    a one at each node, as a logarithm."""
     heap = [(c, s, s) for s, c in enumerate(counts)]
     heapq.heapify(heap)
     up: dict[int, tuple[int, int]] = {}
-    new = len(counts)
+    new, split = len(counts), []
     while len(heap) > 1:
         (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        split.append((a, b))
         up[x], up[y] = (new, 0), (new, 1)
         heapq.heappush(heap, (a + b, new, new))
         new += 1
@@ -69,7 +76,8 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         bits += [b for _, b in path]
         depths += range(len(path))
         first.append(len(nodes))
-    return np.array(first), np.array(nodes, np.uint32), np.array(bits, np.uint8), np.minimum(np.array(depths, np.int64), GATES - 1)
+    odds = np.array([0.0, *(np.log(b / a) for a, b in reversed(split))], np.float32)
+    return np.array(first), np.array(nodes, np.uint32), np.array(bits, np.uint8), np.minimum(np.array(depths, np.int64), GATES - 1), odds
 
 
 @dataclass
@@ -122,10 +130,15 @@ def symbols(t: Tokens, codes: Codes) -> np.ndarray:
     return np.where(t.number < 0, 0, symbol[t.number] if len(symbol) else 0)
 
 
-def word_steps(t: Tokens, codes: Codes, symbol: np.ndarray) -> Iterator[tuple]:
-    """(owner, slots, bits, gates) of the tokens' codes, a step at a time; owner: the token of each bit; slots: one row a predictor."""
-    h = np.fromiter(map(zlib.crc32, t.distinct), np.uint32, len(t.distinct))
-    own = np.where(t.number < 0, np.uint32(0), h[t.number] if len(h) else np.uint32(0)).astype(np.uint32)
+def word_hashes(t: Tokens) -> np.ndarray:
+    """A 64-bit hash of each token, an end's is 0."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, t.distinct), np.uint64, len(t.distinct))
+    return np.where(t.number < 0, np.uint64(0), h[t.number] if len(h) else np.uint64(0)).astype(np.uint64)
+
+
+def word_steps(t: Tokens, codes: Codes, symbol: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
+    """(owner, nodes, slots, bits, gates) of the tokens' codes, a step at a time; owner: the token of each bit; slots: one row a hashed context."""
+    own = hashes.astype(np.uint32)
     # words before, none beyond the text's start; an end is 0
     before = []
     for k in (1, 2):
@@ -133,18 +146,19 @@ def word_steps(t: Tokens, codes: Codes, symbol: np.ndarray) -> Iterator[tuple]:
         b[k:] = np.where(t.doc[k:] == t.doc[:-k], own[:-k], np.uint32(0))
         before.append(b)
     b1, b2 = before
-    tag = [np.full(len(own), i, np.uint32) for i in range(1, 4)]
-    contexts = [mixed(tag[0]), mixed(tag[1], b1), mixed(tag[2], b1, b2)]
-    first, nodes, bits, depths = codes.words
+    tag = [np.full(len(own), i, np.uint32) for i in range(1, 3)]
+    contexts = [mixed(tag[0], b1), mixed(tag[1], b1, b2)]
+    first, nodes, bits, depths, _ = codes.words
     length = np.diff(first)[symbol]
     for lo, hi in runs(length):
         owner, path = spread(first[symbol[lo:hi]], length[lo:hi])
-        yield owner + lo, slots_of(0, [c[lo:hi][owner] for c in contexts], nodes[path]), bits[path], depths[path]
+        node = nodes[path]
+        yield owner + lo, node, slots_of(0, [c[lo:hi][owner] for c in contexts], node), bits[path], depths[path]
 
 
 def letter_steps(words: list[bytes], codes: Codes) -> Iterator[tuple]:
-    """(owner, slots, bits, gates) of the words' spellings, a step of whole words at a time; owner: the word of each bit."""
-    first, nodes, bits, depths = codes.letters
+    """(owner, nodes, slots, bits, gates) of the words' spellings, a step of whole words at a time; owner: the word of each bit."""
+    first, nodes, bits, _, _ = codes.letters
     size = np.diff(first)
     at = 0
     while at < len(words):
@@ -162,7 +176,8 @@ def letter_steps(words: list[bytes], codes: Codes) -> Iterator[tuple]:
         length = size[letters]
         for lo, hi in runs(length):
             owner, path = spread(first[letters[lo:hi]], length[lo:hi])
-            yield word[lo:hi][owner], slots_of(1, [c[lo:hi][owner] for c in contexts], nodes[path]), bits[path], np.minimum(place[lo:hi][owner], GATES - 1)
+            node = nodes[path]
+            yield word[lo:hi][owner], node, slots_of(1, [c[lo:hi][owner] for c in contexts], node), bits[path], np.minimum(place[lo:hi][owner], GATES - 1)
         at = to
 
 
@@ -203,14 +218,14 @@ def spread(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def slots_of(kind: int, contexts: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-    """The slots of a node in each context, one row a predictor."""
+    """The slots of a node in each context, one row a context."""
     out = np.empty((len(contexts), len(node)), np.int32)
     salt = node * _K2
     for row, c, (first, n) in zip(out, contexts, SHARES[kind], strict=True):
         h = (c ^ salt) * _K1
-        h ^= h >> np.uint32(13)
+        h ^= h >> np.uint32(15)
         h *= _K2
-        row[:] = ((h.astype(np.uint64) * np.uint64(n * (SLOTS // 16))) >> np.uint64(32)).astype(np.int32) + first * (SLOTS // 16)
+        row[:] = (h >> np.uint32(33 - (n * (SLOTS // 16)).bit_length())).astype(np.int32) + first * (SLOTS // 16)
     return out
 
 
@@ -224,18 +239,20 @@ class Mixer:
 
     @staticmethod
     def new() -> Mixer:
-        # trust grows with confidence; first of all in words' own frequency
+        # trust grows with confidence; the code's own odds count whole
         trust = np.arange(LEVELS) / LEVELS
-        w = [np.tile(np.array(share)[None, :, None] * trust, (GATES, 1, 1)) for share in ((1.0, 0.5, 0.5), (0.4, 0.5, 0.5, 0.5))]
+        w = []
+        for shares in ((0.3, 0.3), (0.3, 0.4, 0.5, 0.5)):
+            w.append(np.concatenate([np.ones((GATES, 1, LEVELS)), np.tile(np.array(shares)[None, :, None] * trust, (GATES, 1, 1))], axis=1))
         return Mixer(w, np.zeros((2, GATES, STEPS)), np.zeros((2, GATES, STEPS)))
 
-    def mix(self, kind: int, odds: np.ndarray, level: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def mix(self, kind: int, odds: list[np.ndarray], level: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Mixed log odds, and where each predictor's weights are."""
         k = len(odds)
         flat = self.weights[kind].ravel().astype(np.float32)
         base = gate * (k * LEVELS)
         where = [base + (i * LEVELS) + level[i] for i in range(k)]
-        total = np.zeros(odds.shape[1], np.float32)
+        total = np.zeros(len(gate), np.float32)
         for i in range(k):
             total += flat[where[i]] * odds[i]
         return np.clip(total, -11, 11), where
@@ -249,38 +266,51 @@ class Mixer:
         rate = (self.ones[kind] + 20 / (1 + np.exp(-(np.arange(STEPS) + 0.5) * (24 / STEPS) + 12))) / (self.seen[kind] + 20)
         return np.clip((p + rate.astype(np.float32)[gate, self.step(total)]) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, kind: int, odds: np.ndarray, total: np.ndarray, where: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+    def learn(self, kind: int, odds: list[np.ndarray], total: np.ndarray, where: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None) -> None:
         p = 1 / (1 + np.exp(-total))
-        err, curve = (bit - p) * weight, p * (1 - p) * weight
+        err, curve = bit - p, p * (1 - p)
+        if weight is not None:
+            err, curve = err * weight, curve * weight
         flat = self.weights[kind].reshape(-1)
         for x, at in zip(odds, where, strict=True):
             g, c = np.bincount(at, err * x, len(flat)), np.bincount(at, curve * x * x, len(flat))
             flat += np.clip(0.5 / len(odds) * g / (c + 50), -0.1, 0.1)
         cell = gate * STEPS + self.step(total)
-        self.ones[kind] += np.bincount(cell, bit * weight, GATES * STEPS).reshape(GATES, STEPS)
+        self.ones[kind] += np.bincount(cell, bit if weight is None else bit * weight, GATES * STEPS).reshape(GATES, STEPS)
         self.seen[kind] += np.bincount(cell, weight, GATES * STEPS).reshape(GATES, STEPS)
 
 
 #: The log odds that a packed value stands for, by its upper 12 bits.
 ODDS = ((np.arange(4096) - 2048) * (24 / 4096)).astype(np.float32)
+#: The confidence of a count: one more than the whole part of its binary logarithm.
+LEVEL = np.minimum(np.frexp(np.arange(1 << LEVELS))[1], LEVELS - 1).astype(np.int64)
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
-    """Of each slot of counts (zeros, ones, zeros, ...): log odds of a one << 4 | confidence, one more than the whole part of the
-    binary logarithm of its count."""
+    """Of each slot of counts (zeros, ones, zeros, ...): log odds of a one << 4 | confidence."""
     out = np.empty(SLOTS, np.uint16)
     for at in range(0, SLOTS, 1 << 18):
         c = counts[2 * at : 2 * (at + (1 << 18))].reshape(-1, 2)
-        odds = np.log((c[:, 1] + np.float32(0.2)) / (c[:, 0] + np.float32(0.2)))
-        level = np.minimum(np.frexp(c[:, 0] + c[:, 1])[1], LEVELS - 1)
-        out[at : at + (1 << 18)] = (np.clip(np.rint(odds * np.float32(4096 / 24)) + 2048, 0, 4095).astype(np.uint16) << 4) | level.astype(np.uint16)
+        odds = np.log((c[:, 1] + 0.2) / (c[:, 0] + 0.2))
+        level = LEVEL[np.minimum(c[:, 0] + c[:, 1], len(LEVEL) - 1)]
+        out[at : at + (1 << 18)] = (np.clip(np.rint(odds * (4096 / 24)) + 2048, 0, 4095).astype(np.uint16) << 4) | level.astype(np.uint16)
     return out
 
 
-def known(table: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds and confidence at slots."""
-    v = table[slots]
-    return ODDS[v >> 4], v & 15
+def known(own: np.ndarray, node: np.ndarray, table: np.ndarray, slots: np.ndarray) -> tuple[list[np.ndarray], list]:
+    """Log odds and confidence of each predictor: the code's own odds, then slots of a packed table or of one of counts."""
+    odds, level = [own[node]], [LEVELS - 1]
+    for row in slots:
+        if table.dtype == np.uint16:
+            v = table[row]
+            odds.append(ODDS[v >> 4])
+            level.append((v & 15).astype(np.int64))
+        else:
+            pair = table.view(np.uint64)[row]  # both counts at once
+            zeros, ones = pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint32)
+            odds.append(np.log((ones.astype(np.float32) + np.float32(0.2)) / (zeros.astype(np.float32) + np.float32(0.2))))
+            level.append(LEVEL[np.minimum(zeros + ones, np.uint32(len(LEVEL) - 1))])
+    return odds, level
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -323,84 +353,92 @@ def find_codes(vocabulary: DataFrame, ends: int) -> tuple[Codes, int]:
     return make_codes(frequent, tokens, distinct, ends), least
 
 
-def learned(steps: Iterator[tuple], kind: int, weights: np.ndarray | None, table: np.ndarray | None, counts: np.ndarray, mixer: Mixer) -> int:
-    """Counts the bits, each as often as its owner's weight (else once), and before that refines the mixer. Returns the bits refined on."""
+def learned(steps: Iterator[tuple], kind: int, own: np.ndarray, counts: np.ndarray, mixer: Mixer, weights: np.ndarray | None = None) -> int:
+    """Predicts each step's bits, refines the mixer and counts them, each as often as its owner's weight (else once). Returns their number."""
     n = 0
-    for owner, slots, bit, gate in steps:
-        if table is not None:
-            odds, level = known(table, slots)
-            total, where = mixer.mix(kind, odds, level, gate)
-            mixer.learn(kind, odds, total, where, gate, bit, np.minimum(weights[owner], 16) if weights is not None else np.ones(len(owner), np.float32))
-            n += len(owner)
-        np.add.at(counts, (2 * slots + bit).ravel(), np.tile(weights[owner], len(slots)) if weights is not None else np.float32(1))
+    for owner, node, slots, bit, gate in steps:
+        odds, level = known(own, node, counts, slots)
+        total, where = mixer.mix(kind, odds, level, gate)
+        often = None if weights is None else weights[owner]
+        mixer.learn(kind, odds, total, where, gate, bit, often)
+        for row in slots:
+            np.add.at(counts, 2 * row + bit, np.int32(1) if often is None else often.astype(np.int32))
+        n += len(owner)
     return n
 
 
 def handed_on(counts: np.ndarray, mixer: Mixer, kind: int, seen: int) -> Iterator[pa.RecordBatch]:
     """A task's counts, in PARTS parts, and its mixer's share, times the bits it was refined on."""
-    each = 2 * SLOTS // PARTS
+    task, each = TaskContext.get().partitionId(), 2 * SLOTS // PARTS
     for p in range(PARTS):
         mine = counts[p * each : (p + 1) * each]
         if mine.any():
-            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([pack_array(mine)], pa.binary())], names=["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([task]), pa.array([pack_array(mine)], pa.binary())], names=["part", "task", "data"])
     scale = max(1, seen)
     flat = np.concatenate([[scale], mixer.weights[kind].ravel() * scale, mixer.ones[kind].ravel(), mixer.seen[kind].ravel()])
-    yield pa.RecordBatch.from_arrays([pa.array([PARTS + kind]), pa.array([pack_array(flat)], pa.binary())], names=["part", "data"])
+    yield pa.RecordBatch.from_arrays([pa.array([PARTS + kind]), pa.array([task]), pa.array([pack_array(flat)], pa.binary())], names=["part", "task", "data"])
+
+
+def unpacked(part: int, data: bytes) -> np.ndarray:
+    """Counts as long integers, or a mixer's share."""
+    if part >= PARTS:
+        return unpack_array(data, np.float64)
+    x = unpack_array(data, np.int8)
+    return x.view(np.int32 if len(x) == 4 * (2 * SLOTS // PARTS) else np.int64).astype(np.int64)
 
 
 def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndarray, Mixer]:
     """The packed table and the mixer: codes learned from all texts of docs, spellings from all words of the vocabulary by their counts.
 
-    Each task predicts what it reads by what it has seen, learns its weights from that, and counts. Tables are summed in PARTS parts
-    where they meet, by a running sum, and come to the driver once summed: SLOTS pairs of numbers.
+    Each task predicts what it reads by what it has seen, learns its weights from that, and counts. Tables are summed part by part, FAN
+    tasks at a time, so that no task gets more than FAN parts however many tasks there are; one table comes to the driver.
     """
     sent = docs.sparkSession.sparkContext.broadcast(codes)  # FREQUENT words at most
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer, table, seen, most, some = np.zeros(2 * SLOTS, np.float32), Mixer.new(), None, 0, FIRST_SLICE, False
+        counts, mixer, seen = np.zeros(2 * SLOTS, np.int32), Mixer.new(), 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = next(slices(batch.slice(at), most=most))
-                at, some = at + part.num_rows, True
+            for part in slices(batch, most=SLICE):
                 t = tokens_of(part.column(0))
-                seen += learned(word_steps(t, sent.value, symbols(t, sent.value)), 0, None, table, counts, mixer)
-                table = packed(counts)
-                most = min(SLICE, 2 * most)
-        if some:
+                seen += learned(word_steps(t, sent.value, symbols(t, sent.value), word_hashes(t)), 0, sent.value.words[4], counts, mixer)
+        if seen:
             yield from handed_on(counts, mixer, 0, seen)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer, table, seen, most = np.zeros(2 * SLOTS, np.float32), Mixer.new(), None, 0, 2_000
+        counts, mixer, seen = np.zeros(2 * SLOTS, np.int32), Mixer.new(), 0
         coded = sent.value.places()
         for batch in batches:
-            words, often = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float32)
+            words, often = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
             keep = np.array([w not in coded for w in words], bool)
             words, often = [w for w, k in zip(words, keep, strict=True) if k], often[keep]
-            at = 0
-            while at < len(words):
-                seen += learned(letter_steps(words[at : at + most], sent.value), 1, often[at : at + most], table, counts, mixer)
-                table, at, most = packed(counts), at + most, min(64_000, 2 * most)
-        if table is not None:
+            seen += learned(letter_steps(words, sent.value), 1, sent.value.letters[4], counts, mixer, often)
+        if seen:
             yield from handed_on(counts, mixer, 1, seen)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, np.ndarray] = {}
+        have: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = unpack_array(data, np.float64 if part >= PARTS else np.float32).astype(np.float64)
-                have[part] = have[part] + x if part in have else x
-        for part, x in have.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pack_array(x)], pa.binary())], names=["part", "data"])
+            for part, task, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = unpacked(part, data)
+                have[part, task] = have[part, task] + x if (part, task) in have else x
+        for (part, task), x in have.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([task]), pa.array([pack_array(x)], pa.binary())], names=["part", "task", "data"])
 
-    out = "part long, data binary"
+    out = "part long, task long, data binary"
     # a task over the vocabulary has a table of its own to hand on, so a few large tasks are better than many small ones
-    words = vocabulary.select("word", "c").coalesce(max(1, vocabulary.rdd.getNumPartitions() // 4))
+    words = vocabulary.select("word", "c")
+    words = words.coalesce(max(1, words.rdd.getNumPartitions() // 4))
     both = docs.select("text").mapInArrow(of_texts, out).unionAll(words.mapInArrow(of_words, out))
-    counts, mixer = np.zeros(2 * SLOTS, np.float32), Mixer.new()
+    tasks = docs.rdd.getNumPartitions() + words.rdd.getNumPartitions()
+    while True:
+        tasks = -(-tasks // FAN)
+        both = both.withColumn("task", F.floor(F.col("task") / FAN)).repartition(PARTS * min(tasks, 64), "part", "task").mapInArrow(summed, out)
+        if tasks == 1:
+            break
+    counts, mixer = np.zeros(2 * SLOTS, np.int64), Mixer.new()
     each = 2 * SLOTS // PARTS
-    for r in both.repartition(PARTS, "part").mapInArrow(summed, out).collect():
-        x = unpack_array(bytes(r.data), np.float64)
+    for r in both.collect():  # a row a part
+        x = unpacked(r.part, bytes(r.data))
         if r.part < PARTS:
             counts[r.part * each : (r.part + 1) * each] = x
         else:
@@ -420,11 +458,11 @@ def cost_tables(mixer: Mixer) -> list[np.ndarray]:
     return out
 
 
-def step_costs(steps: Iterator[tuple], kind: int, n: int, table: np.ndarray, mixer: Mixer, costs: list[np.ndarray]) -> np.ndarray:
+def step_costs(steps: Iterator[tuple], kind: int, n: int, own: np.ndarray, table: np.ndarray, mixer: Mixer, costs: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each of n owners' bits."""
     cost = np.zeros(n)
-    for owner, slots, bit, gate in steps:
-        odds, level = known(table, slots)
+    for owner, node, slots, bit, gate in steps:
+        odds, level = known(own, node, table, slots)
         total, _ = mixer.mix(kind, odds, level, gate)
         value = costs[kind][(gate * 2 + bit) * FINE + np.rint((total + 11) * ((FINE - 1) / 22)).astype(np.int64)]
         lo = int(owner[0])
@@ -434,24 +472,55 @@ def step_costs(steps: Iterator[tuple], kind: int, n: int, table: np.ndarray, mix
 
 
 class Costs:
-    """Costs of tokens by a model. Those of the spelled frequent words are worked out once."""
+    """Costs of tokens by a model. Words that are spelled often are remembered."""
 
     def __init__(self, codes: Codes, table: np.ndarray, mixer: Mixer):
         self.codes, self.table, self.mixer, self.bits = codes, table, mixer, cost_tables(mixer)
-        words = list(codes.counts)[codes.coded :]
-        self.spelled = dict(zip(words, self.spelling(words).tolist(), strict=True))
+        self.spelled: dict[bytes, float] = {}
 
     def spelling(self, words: list[bytes]) -> np.ndarray:
-        return step_costs(letter_steps(words, self.codes), 1, len(words), self.table, self.mixer, self.bits)
+        return step_costs(letter_steps(words, self.codes), 1, len(words), self.codes.letters[4], self.table, self.mixer, self.bits)
 
-    def of(self, t: Tokens) -> np.ndarray:
-        """log10 of each token's probability, without the spelling of words that aren't frequent."""
+    def of(self, t: Tokens, hashes: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability."""
         symbol = symbols(t, self.codes)
-        cost = step_costs(word_steps(t, self.codes, symbol), 0, len(t.number), self.table, self.mixer, self.bits)
-        own = np.fromiter((self.spelled.get(w, 0.0) for w in t.distinct), np.float64, len(t.distinct))
+        cost = step_costs(word_steps(t, self.codes, symbol, hashes), 0, len(t.number), self.codes.words[4], self.table, self.mixer, self.bits)
+        place = self.codes.places()
+        new = [w for w in t.distinct if w not in place and w not in self.spelled]
+        found = dict(zip(new, self.spelling(new).tolist(), strict=True))
+        own = np.fromiter((0.0 if w in place else found[w] if w in found else self.spelled[w] for w in t.distinct), np.float64, len(t.distinct))
+        if len(self.spelled) + len(found) > MOST_SPELLED:
+            self.spelled.clear()
+        if len(found) <= MOST_SPELLED:
+            self.spelled |= found
         return cost + np.where(t.number < 0, 0, own[t.number] if len(own) else 0)
 
 
+def segments(t: Tokens, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, key, segment) of the segments: tokens first to end - 1, hashes of the three words before and of the segment.
+
+    One begins behind each pair of words that a hash picks, if the text has three words there, and goes on up to such a pair, the text's end
+    or LONGEST tokens.
+    """
+    n = len(hashes)
+    if n < 4:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    pair = ((hashes[1:] * _K64) ^ hashes[:-1]) * _K64
+    at = np.flatnonzero((pair >> np.uint64(40)) % np.uint64(SEGMENT) == 0) + 1
+    at = at[(at >= 2)]
+    at = at[(t.doc[at] == t.doc[at - 2]) & (t.number[at] >= 0)]
+    ends = np.flatnonzero(t.number < 0)
+    stop = np.minimum(np.minimum(np.r_[at[1:], n], ends[t.doc[at]]), at + LONGEST)
+    key = (((hashes[at - 2] * _K64) ^ hashes[at - 1]) * _K64 ^ hashes[at]) * _K64
+    own, token = spread(at + 1, stop - at)
+    x = (hashes[token] ^ np.uint64(1)) * _K64
+    x = ((x ^ (x >> np.uint64(29))) + (token - at[own]).astype(np.uint64)) * _K64
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(x ^ (x >> np.uint64(32)), dtype=np.uint64)]
+    edge = np.r_[0, np.cumsum(stop - at)]
+    return at + 1, stop + 1, key.view(np.int64), (sums[edge[1:]] - sums[edge[:-1]]).view(np.int64)
+
+
 _costs: list = [None, None]
 
 
@@ -462,17 +531,41 @@ def costs_of(sent, model: str) -> Costs:
     return _costs[1]
 
 
+#: Classes of forecasts: how often the segment was seen (1, 2, 3-4, ... beyond 16), and in which share of the places, in quarters.
+OFTEN, SURE = 6, 5
+
+
+def forecast_class(seen: Column, places: Column) -> Column:
+    return F.least(F.floor(F.log2(seen.cast("double")) - 1e-9) + 1, F.lit(OFTEN - 1)).cast("int") * SURE + F.floor(4 * seen / places).cast("int")
+
+
+def forecasts(passages: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(key, segment, seen, places) of the segment that most often follows the three words of key in passages(key, segment), and each class's
+    share of right ones, every training passage told by the others."""
+    counted = passages.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("key").agg(F.max(F.struct("n", "segment")).alias("x"), F.sum("n").alias("places"))
+    best = written(best.select("key", F.col("x.segment").alias("segment"), F.col("x.n").alias("seen"), "places"))
+    # a passage that is the best one of its key lacks itself, another one is missed
+    right = best.where("seen > 1").select(forecast_class(F.col("seen") - 1, F.col("places") - 1).alias("k"), F.col("seen").alias("right"), F.lit(0).alias("wrong"))
+    wrong = best.where("places > seen").select(forecast_class(F.col("seen"), F.col("places") - 1).alias("k"), F.lit(0).alias("right"), (F.col("places") - F.col("seen")).alias("wrong"))
+    share = [0.1] * (OFTEN * SURE)
+    for r in right.unionAll(wrong).groupBy("k").agg(F.sum("right").alias("right"), F.sum("wrong").alias("wrong")).collect():  # a row a class
+        share[r.k] = min(0.999, (r.right + 0.1) / (r.right + r.wrong + 1))
+    return best, share
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, mixed_score.
 
     Learns from documents whose crc32(doc_id as text) mod 5 is not 1. Null and empty texts are one token, the end; null ids are learned
-    from. Repeated rows each get a row. bits_per_byte: of the UTF-8 text with one byte for its end. Without training documents
-    base_score is that of unseen tokens. An empty table gives an empty result.
+    from. Repeated rows each get a row. bits_per_byte: of the UTF-8 text with one byte for its end; mixed_score: the score without
+    forecasts of whole passages. Without training documents base_score is that of unseen tokens. An empty table gives an empty result.
+    Texts of any length are scored whole, one at a time beyond SLICE bytes.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = source.where(fold(F.col("doc_id"), 5) != 1)
-    vocabulary = checkpoint(counted_words(training))
+    vocabulary = written(counted_words(training))
     codes, least = find_codes(vocabulary, training.count())
     model = uuid4().hex
     sent = spark.sparkContext.broadcast((codes, *train(training, vocabulary, codes)))  # FREQUENT words and SLOTS slots
@@ -481,57 +574,57 @@ def score_documents(docs: DataFrame) -> DataFrame:
         costs = costs_of(sent, model)
         codes = costs.codes
         row = TaskContext.get().partitionId() << 33
+        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64(), "word": pa.binary(), "rows": pa.list_(pa.int64()), "times": pa.list_(pa.int32()), "key": pa.int64(), "segment": pa.int64(), "held": pa.bool_()}
+
+        def made(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns and not isinstance(columns[k], pa.Array) else columns.get(k, pa.nulls(n, kind)) for k, kind in kinds.items()], names=list(kinds))
+
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 t = tokens_of(part.column(1))
                 n = part.num_rows
-                held = part.column(2).to_numpy(zero_copy_only=False)
-                score = np.bincount(t.doc, costs.of(t), n)
+                hashes = word_hashes(t)
+                cost = costs.of(t, hashes)
                 counts = np.fromiter((codes.counts.get(w, 0) for w in t.distinct), np.int64, len(t.distinct))
                 c = np.where(t.number < 0, codes.ends, counts[t.number] if len(counts) else 0)
                 sure = (c > 0) | (t.number < 0)
                 base = np.bincount(t.doc[sure], np.log10((c[sure] + 0.5) / codes.total), n)
-                known = np.bincount(t.doc[c > 0], minlength=n)
-                size = pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
-                names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "word", "rows", "times", "spell"]
-                blank = pa.nulls(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(n)), part.column(0), pa.array(np.bincount(t.doc, minlength=n)), pa.array(known), pa.array(base), pa.array(score), pa.array(size, pa.int64()), blank.cast(pa.binary()), blank.cast(pa.list_(pa.int64())), blank.cast(pa.list_(pa.int32())), blank.cast(pa.float64())], names=names
-                )
+                size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+                yield made(row=row + np.arange(n), doc_id=part.column(0), n_tokens=np.bincount(t.doc, minlength=n), n_known=np.bincount(t.doc[c > 0], minlength=n), base_score=base, score=np.bincount(t.doc, cost, n), n_bytes=size)
+                first, end, key, segment = segments(t, hashes)
+                if len(first):
+                    sums = np.r_[0, np.cumsum(cost)]
+                    held = part.column(2).to_numpy(zero_copy_only=False)[t.doc[first]]
+                    yield made(row=row + t.doc[first], key=key, segment=segment, score=sums[end] - sums[first], held=held)
                 # other words: once for each, with the rows that have it and how often
                 rest = np.flatnonzero(~sure)
                 if len(rest):
                     pair, times = np.unique(t.number[rest] * n + t.doc[rest], return_counts=True)
                     word, at = pair // n, pair % n
-                    ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word))
-                    offsets = np.concatenate([[0], ends]).astype(np.int32)
-                    void = pa.nulls(len(ends))
-                    which = [t.distinct[i] for i in word[offsets[:-1]]]
-                    new = np.maximum.reduceat(held[at], offsets[:-1])
-                    cost = np.zeros(len(ends))
-                    cost[new] = costs.spelling([w for w, k in zip(which, new, strict=True) if k])
-                    yield pa.RecordBatch.from_arrays(
-                        [*[void.cast(pa.int64())] * 4, *[void.cast(pa.float64())] * 2, void.cast(pa.int64()), pa.array(which, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(row + at)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))), pa.array(cost, mask=~new)], names=names
-                    )
+                    offsets = np.r_[0, np.flatnonzero(np.diff(word)) + 1, len(word)].astype(np.int32)
+                    yield made(word=[t.distinct[i] for i in word[offsets[:-1]]], rows=pa.ListArray.from_arrays(offsets, pa.array(row + at)), times=pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))))
                 row += n
 
-    kinds = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, word binary, rows array<long>, times array<int>, spell double"
-    passed = checkpoint(source.withColumn("held", fold(F.col("doc_id"), 5) == 1).mapInArrow(run, kinds))
-    seldom = vocabulary.where(F.col("c") < least)
+    kinds = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, word binary, rows array<long>, times array<int>, key long, segment long, held boolean"
+    passed = written(source.withColumn("held", fold(F.col("doc_id"), 5) == 1).mapInArrow(run, kinds))
+    # counts of the other words
     value = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(codes.total))
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cost = costs_of(sent, model).spelling(b.column(0).to_numpy(zero_copy_only=False).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cost)], names=[*b.schema.names, "s"])
-
-    # the vocabulary's words are spelled once each; words of held-out texts, which it may lack, were spelled with their slice
-    met = passed.where("word IS NOT NULL").select("word", "rows", "times", "spell").join(seldom.mapInArrow(spelled, "word binary, c long, s double"), "word", "left").withColumn("s", F.coalesce("s", "spell"))
-    others = (
-        met.select(F.explode(F.arrays_zip("rows", "times")).alias("x"), value.alias("v"), F.col("c").isNotNull().cast("long").alias("k"), "s")
-        .groupBy(F.col("x.rows").alias("row")).agg(F.sum(F.col("x.times") * F.col("v")).alias("b"), F.sum(F.col("x.times") * F.col("k")).alias("m"), F.sum(F.col("x.times") * F.col("s")).alias("s"))
-    )
+    met = passed.where("word IS NOT NULL").select("word", "rows", "times").join(vocabulary.where(F.col("c") < least), "word", "left")
+    others = met.select(F.explode(F.arrays_zip("rows", "times")).alias("x"), value.alias("v"), F.col("c").isNotNull().cast("long").alias("k"))
+    others = others.select(F.col("x.rows").alias("row"), (F.col("x.times") * F.col("v")).alias("b"), (F.col("x.times") * F.col("k")).alias("m"), F.lit(None).cast("double").alias("s"))
+    # what forecasts change
+    told = passed.where("key IS NOT NULL").select("row", "key", F.col("segment").alias("own"), F.col("score").alias("cost"), "held")
+    best, share = forecasts(told.where("NOT held").select("key", F.col("own").alias("segment")))
+    itself = F.when(F.col("held"), 0).otherwise(1)
+    hit = F.col("own") == F.col("segment")
+    told = told.join(best, "key").select("row", "cost", hit.alias("hit"), (F.col("seen") - F.when(hit, itself).otherwise(0)).alias("seen"), (F.col("places") - itself).alias("places")).where("seen > 0")
+    given = F.element_at(F.array(*[F.lit(x) for x in share]), forecast_class(F.col("seen"), F.col("places")) + 1)
+    gain = F.when(F.col("hit"), F.log10(given + (1 - given) * F.pow(F.lit(10.0), F.col("cost"))) - F.col("cost")).otherwise(F.log10(1 - given))
+    told = told.select("row", F.lit(None).cast("double").alias("b"), F.lit(None).cast("long").alias("m"), gain.alias("s"))
+    extra = others.unionAll(told).groupBy("row").agg(F.sum("b").alias("b"), F.sum("m").alias("m"), F.sum("s").alias("s"))
     scored = F.col("score") + F.coalesce("s", F.lit(0.0))
-    return passed.where("word IS NULL").join(others, "row", "left").select(
+    return passed.where("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes").join(extra, "row", "left").select(
         "doc_id",
         (fold(F.col("doc_id"), 5) == 1).alias("held_out"),
         "n_tokens",
@@ -540,4 +633,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
         (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
         scored.alias("score"),
         (-scored * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        F.col("score").alias("mixed_score"),
     )
