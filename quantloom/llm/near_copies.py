@@ -1,6 +1,9 @@
 """Near copies by likeness: texts whose sets of five-word shingles have a Jaccard index of 0.8 or more.
 
-Exact, by a prefix filter: of two such sets, in any one order of all shingles, the first n - ceil(0.8 n) + 1 of both share one. The order is
+SimHash fingerprints of the sets come first: those that Golay-code keys link within two bits are compared, and alike ones are one component.
+That finds most copies at little cost, but many pairs at 0.8 are further apart than any keys of 64 bits reach, so the rest comes by a prefix
+filter, which loses none: of two such sets, in any one order of all
+shingles, the first n - ceil(0.8 n) + 1 of both share one. The order is
 by hash, very common shingles last; which count as common bears on the speed alone. Those that share a shingle of their prefixes are
 compared with the least of them first, then only across the components that this leaves, so a large group of copies needs no pairs.
 Shingles are 63-bit hashes; texts with equal sets are one node.
@@ -16,10 +19,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import checkpoint, slices, tokens_of
+from .common import slices, tokens_of, written
 from .components import connected_components
+from .simhash import linked
 
 WIDTH = 5
 #: Least likeness, as a fraction.
@@ -71,6 +74,20 @@ def nodes_of(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
 
 
+def fingerprints_of(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """SimHash of each text's set: a bit is 1 if set in over half of the hashes."""
+    n = np.diff(bounds)
+    out = np.zeros((len(n), 8), np.uint8)
+    some = np.flatnonzero(n)
+    x = (shingles & ~_LAST) * _K
+    x = np.ascontiguousarray(x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8)
+    if len(some):
+        for byte in range(8):  # a byte of all hashes at a time
+            ones = np.add.reduceat(np.unpackbits(x[:, byte : byte + 1], axis=1, bitorder="little"), bounds[:-1][some], axis=0, dtype=np.int32)
+            out[some, byte] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little")[:, 0]
+    return out.reshape(-1).view(np.int64)
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +114,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return checkpoint(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
@@ -118,19 +135,20 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
                 head = np.where(size > 0, size - (LEAST * size + OF - 1) // OF + 1, 0)
                 at = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(head)[:-1]]), head) + np.arange(int(head.sum()))
                 heads = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(head)]).astype(np.int32), pa.array(shingles[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row + np.arange(part.num_rows)), pa.array(nodes_of(bounds, shingles)), pa.array(size), heads], names=[*part.schema.names, "__row", "__node", "__size", "__heads"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row + np.arange(part.num_rows)), pa.array(nodes_of(bounds, shingles)), pa.array(fingerprints_of(bounds, shingles)), pa.array(size), heads], names=[*part.schema.names, "__row", "__node", "__fp", "__size", "__heads"])
                 row += part.num_rows
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    rows = checkpoint(plain.mapInArrow(numbered, f"{kinds}, __row long, __node long, __size long, __heads array<long>"))
+    rows = written(plain.mapInArrow(numbered, f"{kinds}, __row long, __node long, __fp long, __size long, __heads array<long>"))
     # a node's first row speaks for its set
     nodes = rows.groupBy("__node").agg(F.min("__row").alias("__row"))
     heads = rows.select("__row", "__node", "__size", "__heads").join(nodes.select("__row"), "__row", "left_semi")
     # place and size in one number
     heads = heads.select(F.col("__node").alias("node"), "__size", F.posexplode("__heads").alias("place", "key")).select("key", "node", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("__size")).alias("at"))
-    by_key = Window.partitionBy("key")
-    shared = heads.withColumns({"n": F.count(F.lit(1)).over(by_key), "least": F.min("node").over(by_key)}).where("n > 1")
-    shared = checkpoint(shared.select("key", "node", "n", "least", F.shiftright("at", 32).alias("place"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("size")))
+    # counts first, then a join that adaptive execution can split, so that a shingle of very many texts is not one task's
+    often = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    shared = heads.join(often, "key").select("key", "node", "n", "least", F.shiftright("at", 32).alias("place"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("size"))
+    shared = written(shared)
 
     def setted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,24 +160,38 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     def likely(x: DataFrame) -> DataFrame:
         """Pairs whose sizes, and what follows this shingle in both orders, let them be alike; at the first that alike ones share they pass."""
         fits = f"{OF} * least(n, m) >= {LEAST} * greatest(n, m) AND {OF + LEAST} * least(n - p, m - q) >= {LEAST} * (n + m)"
-        return checkpoint(x.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return written(x.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
         met = pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct().join(nodes, "__node").select("__row")
-        return alike(pairs, checkpoint(rows.select("__row", "__node", "text").join(met, "__row", "left_semi").select("__node", "text").mapInArrow(setted, "node long, shingles binary")))
+        return alike(pairs, written(rows.select("__row", "__node", "text").join(met, "__row", "left_semi").select("__node", "text").mapInArrow(setted, "node long, shingles binary")))
+
+    # fingerprints within two bits: each node with the least of its fingerprint, and these with each other
+    prints = written(rows.where("__size > 0").groupBy("__node").agg(F.min("__fp").alias("fp")))
+    least = prints.groupBy("fp").agg(F.min("__node").alias("a"))
+    near = linked(least).join(least.select(F.col("fp").alias("x"), F.col("a").alias("p")), F.col("a") == F.col("x")).select("p", "b")
+    near = near.join(least.select(F.col("fp").alias("y"), F.col("a").alias("q")), F.col("b") == F.col("y")).select("p", "q")
+    near = near.unionAll(prints.join(least, "fp").where("__node > a").select("a", "__node"))
+    copies = compared(written(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
+    known = written(connected_components(copies))
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of different components."""
+        x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        return written(pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(x, a) != coalesce(y, b)").select("a", "b"))
 
     right = shared.select("key", "least", F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
     heads_of = shared.where("node = least").select("key", F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"))
-    first = compared(likely(heads_of.join(right.where("b > least"), "key")))
-    roots = checkpoint(connected_components(first))
+    first = compared(apart(likely(heads_of.join(right.where("b > least"), "key")), known))
+    roots = written(connected_components(copies.unionAll(first)))
     # across components, all who share a shingle; pairs with the least have been compared
-    members = checkpoint(shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", F.coalesce("root", "node").alias("root")))
+    members = written(shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", F.coalesce("root", "node").alias("root")))
     groups = members.select("key", "root").distinct()
     across = groups.withColumnRenamed("root", "r").join(groups.withColumnRenamed("root", "s"), "key").where("r < s")
     left = members.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"))
     right = members.select("key", F.col("root").alias("s"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
     second = compared(likely(across.join(left, ["key", "r"]).join(right, ["key", "s"])))
-    roots = connected_components(first.unionAll(second))
+    roots = connected_components(copies.unionAll(first).unionAll(second))
     found = rows.select("__row", "__node", F.col("doc_id")).join(roots.withColumnRenamed("node", "__node"), "__node", "left")
     best = found.groupBy(F.coalesce("root", "__node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("x"))
     return rows.join(best.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*columns)
