@@ -1,6 +1,6 @@
 """Histogram sort: documents to shards of near equal bytes, by exact counts below probed keys.
 
-The order is (hash of the text, hash of the id). Rounds count the exact bytes and rows between candidate boundaries over all
+The order is (hash of the text, hash of the id and the row). Rounds count the exact bytes and rows between candidate boundaries over all
 partitions, then probe anew inside the intervals that hold a wanted boundary, until every splitter is within tolerance. Only then
 do rows move, once. DataFrame functions only.
 """
@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 KEY_BITS = 62
 
 
@@ -84,35 +85,38 @@ def histogram_sort(docs: DataFrame, shards: int = 8, ranges: int = 256, id_col:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text plus 1 (null text: 1). Sizes of the shards are near equal; equal texts stay in one shard where
-    that leaves the shard within 2 percent. Null ids are an ordinary key. Repeated rows each get a slot. An empty table gives an
-    empty result. Only the named columns are read, so others of any name do no harm.
+    that leaves the shard within 2 percent, else they are dealt by hashes of id and row. Null ids are an ordinary key. Repeated rows each get
+    a slot. Texts of any length are one row. An empty table gives an empty result. Only the named columns are read, so others of any name do
+    no harm.
 
-    Slots are numbered in (shard, range) parts, of which there are `ranges` or, for large tables, one for each rows_a_range rows,
-    at most most_ranges; a text that fills more than two parts is dealt over 64 parts by its ids.
+    Slots are numbered in (shard, range, part) pieces. There are `ranges` ranges or, for large tables, one for each rows_a_range rows, at
+    most most_ranges; a text with more rows than two ranges has parts of its own, one for each range that it would fill.
     """
     text, doc = F.col(text_col), F.col(id_col)
-    keyed = docs.select(
-        doc.cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 64 - KEY_BITS).alias("k1"),
-        F.shiftrightunsigned(F.xxhash64(doc), 64 - KEY_BITS).alias("k2"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)  # recomputed from the source if an executor is lost
+    # numbers only, written once: what is dealt by row stays so if a task runs again
+    keyed = written(
+        docs.select(
+            doc.cast("long").alias("doc_id"),
+            (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+            F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 64 - KEY_BITS).alias("k1"),
+            F.shiftrightunsigned(F.xxhash64(doc, F.monotonically_increasing_id()), 64 - KEY_BITS).alias("k2"),
+        )
+    )
     total, n = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     splitters = find_splitters(keyed, total, shards) if n else []
 
     bits = max(1, min(most_ranges, max(ranges, n // rows_a_range)) - 1).bit_length()
+    each = max(1000, n >> bits)
     shard = F.lit(0)
     for s1, s2 in splitters:
         shard = shard + F.when((F.col("k1") > s1) | ((F.col("k1") == s1) & (F.col("k2") >= s2)), 1).otherwise(0)
-    placed = keyed.withColumn("shard", shard.cast("int")).withColumn("cell", F.shiftright("k1", KEY_BITS - bits))
-    # texts that alone fill two cells: at most 2 ** bits / 2 of them
-    hot = sorted(r.k1 for r in keyed.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * (1 << bits) > 2 * n + 1000 * (1 << bits)).select("k1").collect())
-    part = F.lit(0)
-    if hot:
-        keys = F.array(*[F.lit(k) for k in hot])
-        part = F.size(F.filter(keys, lambda k: k < F.col("k1"))) * 66 + F.when(F.array_contains(keys, F.col("k1")), F.lit(1) + F.shiftright("k2", KEY_BITS - 6)).otherwise(0)
-    placed = placed.withColumn("part", part.cast("long"))
+    # texts that alone fill two ranges, at most half as many as ranges, and their parts; the others are part 0
+    hot = keyed.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 2 * each).select("k1", F.ceil(F.col("c") / each).alias("parts"))
+    hot = docs.sparkSession.createDataFrame(hot.collect(), "k1 long, parts long")
+    placed = keyed.withColumn("shard", shard.cast("int")).withColumn("cell", F.shiftright("k1", KEY_BITS - bits)).join(F.broadcast(hot), "k1", "left")
+    part = F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("k1", "k2"), F.col("parts"))).otherwise(0)
+    placed = placed.withColumn("part", part.cast("long")).drop("parts")
 
     counts = sorted(tuple(r) for r in placed.groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("c")).collect())
     starts, at, last = [], 0, None
@@ -120,7 +124,7 @@ def histogram_sort(docs: DataFrame, shards: int = 8, ranges: int = 256, id_col:
         at = 0 if s != last else at
         starts.append((s, cell, p, at))
         at, last = at + c, s
-    # at most 2 ** bits + shards + 66 * len(hot) rows
+    # at most 3 * 2 ** bits + shards rows
     starts = docs.sparkSession.createDataFrame(starts, "shard int, cell long, part long, start long")
     w = Window.partitionBy("shard", "cell", "part").orderBy("k1", "k2", "doc_id", "size", "text_crc32")
     return (
