@@ -25,6 +25,8 @@ BUCKETS = 1 << BITS
 #: Training texts of each language at most, those with the least hash of their id; of these, landmarks.
 PER_LANGUAGE = 400
 LANDMARKS_EACH = 24
+#: Landmarks of all languages together.
+MOST_LANDMARKS = 1536
 RIDGE = 1e-3
 #: Texts of one matrix product.
 ROWS = 128
@@ -98,18 +100,24 @@ def fit(x: np.ndarray, langs: list[str], landmarks_each: int = LANDMARKS_EACH, r
     return LanguageModel(names, marks, project, weights, centre - mean @ weights)
 
 
-def train(docs: DataFrame, n_folds: int = 5, held_out: int = 0, per_language: int = PER_LANGUAGE, most_languages: int = 64) -> LanguageModel:
-    """Fits on at most per_language texts of each of the most_languages most frequent non-null lang values, outside the held-out fold.
+def train(docs: DataFrame, n_folds: int = 5, held_out: int = 0, per_language: int = PER_LANGUAGE, landmarks_each: int = LANDMARKS_EACH) -> LanguageModel:
+    """Fits on at most per_language texts of each non-null lang value outside the held-out fold: all values are learned.
 
-    The sample is bounded by these parameters; its texts come to the driver as presence bits of BUCKETS.
+    The sample is bounded by these parameters; its texts come to the driver as presence bits of BUCKETS. Beyond MOST_LANDMARKS / landmarks_each
+    values, each has fewer landmarks and texts, so that the model keeps its size. Of rows that repeat an id the least text is taken.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), n_folds) != held_out))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    # ranks up to a bound: each task keeps its own first rows, so that a language with many texts isn't gathered
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = known.where(F.col("lang").isin(names)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
-    # at most per_language * most_languages ids
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    values = known.agg(F.count_distinct("lang")).first()[0]
+    share = min(1.0, MOST_LANDMARKS / (landmarks_each * max(1, values)))
+    landmarks_each, per_language = max(1, int(landmarks_each * share)), max(1, int(per_language * share))
+    # ranks up to a bound, first in parts of a language: a language with very many texts isn't gathered
+    part = F.pmod(F.xxhash64("h"), F.lit(32))
+    some = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", part)
+    for by in (["lang", "part"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        some = some.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+    # at most per_language ids of each value
+    sample = docs.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(some.drop("part").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))
 
     def bits(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         rows = []
@@ -123,7 +131,7 @@ def train(docs: DataFrame, n_folds: int = 5, held_out: int = 0, per_language: in
     if not rows:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
     x = np.unpackbits(np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    return fit(x, [r[2] for r in rows])
+    return fit(x, [r[2] for r in rows], landmarks_each)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
@@ -162,7 +170,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
 def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document: learned from the folds that are not held out (crc32 of the id mod 5 is not 0).
 
-    Null ids are in the held-out fold and are never learned from. Repeated rows stay; an empty table gives an empty result.
+    Null ids are in the held-out fold and are never learned from. Repeated rows stay; an empty table gives an empty result. Texts of any
+    length are read whole, PIECE characters at a time.
     """
     model = train(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
