@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import checkpoint, lower_words, schema, text_bytes, with_columns
 from .components import connected_components
@@ -156,7 +155,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
     Equal fingerprints, that of empty and null texts too, are one node, so groups of copies cost one row. Null ids count as above
-    every other; a component of null ids alone has a null component_id. Repeated rows stay. An empty table gives an empty result.
+    every other; a component of null ids alone has a null component_id. Repeated rows stay. Texts of any length are hashed whole. An empty
+    table gives an empty result.
     """
     fps = checkpoint(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -167,11 +167,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = checkpoint(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but the least doc_id of each component; of rows that repeat that id, one stays. Null ids are never dropped."""
-    found = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns, nth.alias("__nth"))
-    return kept.where("__nth = 1 OR doc_id IS NULL").drop("__nth")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,27 +105,48 @@ def merge_sketches(df: DataFrame, group: list[str], fingerprint: str = "fingerpr
     return nth.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]).alias("merged"))
 
 
-def ordered_neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """docs(doc_id, text) in `parts` ranges of falling doc_id, each partition with the first row of the next appended.
+def order_key(doc: Column, text: Column) -> Column:
+    """A string that sorts as the documents do: by falling id, null ids last, then by a hash of the text."""
+    falling = F.lpad(F.hex(doc.bitwiseXOR(F.lit(2**63 - 1))), 16, "0")
+    return F.concat(F.coalesce(falling, F.lit("null")), F.lpad(F.hex(F.xxhash64(F.coalesce(text, F.lit("")))), 16, "0"))
 
-    Columns doc_id, text, part, donor; donor rows belong to another partition and only serve as a neighbour. Only ids are looked at
-    for the ranges; each text moves once. Null ids come last.
+
+def place_of(key: Column, edges: list[str], step: int = 256) -> Column:
+    """The number of the last of the edges (rising) that is not above the key: first among every step-th, then in the run that follows."""
+    below = lambda some: F.size(F.filter(some, lambda e: e <= key))
+    runs = [F.array(*[F.lit(e) for e in edges[i : i + step]]) for i in range(0, len(edges), step)]
+    if len(runs) == 1:
+        return below(runs[0]) - 1
+    run = below(F.array(*[F.lit(e) for e in edges[::step]]))
+    return (run - 1) * step + below(F.element_at(F.array(*runs), run)) - 1
+
+
+def ordered_neighbours(docs: DataFrame, parts: int, least_hot: int = 1000) -> DataFrame:
+    """docs(doc_id, text) in at most `parts` ranges of their order, each with the first row of the next appended.
+
+    Columns key, doc_id, text, part, donor, times; donor rows belong to another range and only serve as a neighbour. Only keys are looked at
+    for the ranges; each text moves once. Of rows alike in id and text that would fill half a range (and are more than least_hot), one
+    moves: times says how many they are.
     """
-    ids = docs.select("doc_id")
-    known = ids.where("doc_id IS NOT NULL")
-    cuts = known.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)  # at most `parts` numbers
-    # falling order: ids above the first cut are part 0; null ids the last part
-    part = F.lit(0)
-    if cuts:
-        part = F.coalesce(F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(len(cuts)))
-    tops = ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("top")).collect()  # a row a part
-    tops = sorted((r.part, r.top) for r in tops)
-    gives = [(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)]  # the first part's top serves the last part
-    placed = docs.withColumn("part", part)
-    to = docs.sparkSession.createDataFrame(gives, "top long, donate int")
-    donors = docs.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("donate").alias("part"), F.lit(True).alias("donor"))
-    return placed.select("doc_id", "text", "part", F.lit(False).alias("donor")).unionAll(donors)
+    placed = docs.withColumn("key", order_key(F.col("doc_id"), F.col("text")))
+    counted = placed.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    edges = sorted(r.e for r in counted.select("key").repartitionByRange(parts, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("e")).collect())  # a row a range
+    if not edges:
+        return placed.select("key", "doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("donor"), F.lit(1).cast("long").alias("times"))
+    placed = placed.withColumn("part", place_of(F.col("key"), edges))
+    rows = placed.count()
+    hot = [(r.key, r.times) for r in counted.where(F.col("times") > max(least_hot, rows // (2 * len(edges)))).collect()]  # 2 * parts rows at most
+    spark = docs.sparkSession
+    single = F.lit(1).cast("long").alias("times")
+    out = placed.select("key", "doc_id", "text", "part", F.lit(False).alias("donor"), single)
+    if hot:
+        known = F.broadcast(spark.createDataFrame(hot, "key string, times long"))
+        one = placed.join(known, "key").groupBy("key", "times").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("part").alias("part"))
+        out = out.join(known.select("key"), "key", "left_anti").unionAll(one.select("key", "doc_id", "text", "part", F.lit(False).alias("donor"), "times"))
+    # the first range's first row serves the last range
+    gives = F.broadcast(spark.createDataFrame([(e, (i or len(edges)) - 1) for i, e in enumerate(edges)], "key string, donate int"))
+    donors = placed.join(gives, "key").groupBy("key", "donate").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return out.unionAll(donors.select("key", "doc_id", "text", F.col("donate").alias("part"), F.lit(True).alias("donor"), single))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -134,43 +155,47 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, parts: int | None = None, least_hot: int = 1000) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, contained.
 
-    The next document is that after it by falling doc_id (after the last: the first); rows of one id go by their text. A null text is
-    empty; null ids come last. A sketch of no shingles is the empty string, and two such are alike (1.0). A table of one row is its
-    own neighbour; an empty table gives an empty result. contained: the estimated share of the text's shingles in the edited text.
+    The next document is that after it by falling doc_id (after the last: the first); null ids come last, rows of one id go by a hash of
+    their text. A null text is empty. A sketch of no shingles is the empty string, and two such are alike (1.0). A table of one row is its
+    own neighbour; an empty table gives an empty result. Texts of any length are read whole. contained: the estimated share of the text's
+    shingles in the edited text.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts is None:
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * source.rdd.getNumPartitions())
-    dealt = ordered_neighbours(source, parts)
-    n = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        parts = max(n, 2 * source.rdd.getNumPartitions())
     # each range is a partition, so that no two share a task
-    dealt = dealt.repartitionById(max(parts, int(n)), F.col("part").cast("int")).sortWithinPartitions("part", "donor", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained"]
+    dealt = ordered_neighbours(source, parts, least_hot)
+    dealt = dealt.repartitionById(max(parts, n), F.col("part").cast("int")).sortWithinPartitions("part", "donor", "key").drop("key")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row whose follower is still to come
 
-        def row(this: tuple, after: tuple) -> tuple:
+        def row(this: tuple, after: tuple, times: int = 1) -> tuple:
             doc, text, own = this[0], this[1], this[4]
             edited = edited_text(text, after[1]).encode()
             other = sketch(shingle_hashes(edited))
-            return (doc, len(text), hashlib.sha256(edited).hexdigest(), to_text(own), to_text(other), resemblance(own, other), resemblance(own, after[4]), int(round(distinct(own))), containment(own, other))
+            return (doc, len(text), hashlib.sha256(edited).hexdigest(), to_text(own), to_text(other), resemblance(own, other), resemblance(own, after[4]), int(round(distinct(own))), containment(own, other), times)
 
         for batch in batches:
             for piece in slices(batch):
                 rows = []
-                for doc, text, part, donor in zip(*[c.to_pylist() for c in piece.columns], strict=True):
+                for doc, text, part, donor, times in zip(*[c.to_pylist() for c in piece.columns], strict=True):
                     if donor and (held is None or held[3] or held[2] != part):
-                        continue  # of donors of one id only the first is the neighbour
+                        continue
                     now = (doc, text or "", part, donor, sketch(shingle_hashes((text or "").encode())))
                     if held is not None and not held[3] and held[2] == part:
                         rows.append(row(held, now))
+                    if times > 1:  # alike rows follow each other
+                        rows.append(row(now, now, times - 1))
                     held = now
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles long, contained double")
+    out = dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles long, contained double, times long")
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*names[:-1])
