@@ -97,6 +97,14 @@ def quantile_by_cut(x: str | Column, q: int) -> Column:
     return F.when(x.isNotNull() & (n > 1), F.greatest(F.lit(1), F.ceil((position(x) - 1) * q / (n - 1))).cast("int"))
 
 
+def quantile_by_value(x: str | Column, q: int) -> Column:
+    """1 to q or fewer: cuts at the values' even percentiles, equal cuts counted once; null if all values are one."""
+    x = col(x)
+    cuts = F.array_distinct(F.percentile(x, [i / q for i in range(q + 1)]).over(by_date()))
+    inner = F.slice(cuts, F.lit(2), F.greatest(F.size(cuts) - 2, F.lit(0)))
+    return F.when(x.isNotNull() & (F.size(cuts) > 1), F.size(F.filter(inner, lambda c: c < x)) + 1)
+
+
 def scorr(x: Column, y: Column) -> Column:
     """Pearson correlation as an aggregate over pairs that are both known; null if either is constant."""
     both = x.isNotNull() & y.isNotNull()

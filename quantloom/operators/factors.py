@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import col, log_positive, mean_present, sdiv
-from ..functions.windows import lag, rank_pct, roll_max, roll_mean, roll_std, running
+from ..functions.windows import lag, lead, rank_pct, roll_max, roll_mean, roll_std, running
 
 
 def momentum(n: int) -> Column:
@@ -102,12 +103,73 @@ def technical(panel: DataFrame, *, spans: dict[str, int] | None = None) -> DataF
     }).drop("ret", "tr", "pvt")
 
 
+#: The default set: factor and its spans.
+DEFAULT_SPANS = {
+    "momentum": (5, 20, 60, 120), "reversal": (5, 20), "volatility": (20, 60), "atr": (14,), "rsi": (14,), "ma_deviation": (5, 20, 60), "volume_ratio": (5, 20), "amount_ratio": (5, 20),
+    "turnover_mean": (20,), "breakout": (20, 60), "drawdown": (20, 60), "high_low_range": (None,), "close_location": (None,), "pvt_change": (20,),
+}
+
+
+def default_set(panel: DataFrame, spans: dict[str, tuple] | None = None) -> DataFrame:
+    """code, date and the default technical factors, <factor>_<span>: windows share one exchange by code, the rsi's recurrence takes another.
+
+    turnover is the panel's column of that name.
+    """
+    made = {
+        "momentum": momentum, "reversal": reversal, "volatility": lambda n: volatility(n, True), "atr": average_true_range, "ma_deviation": mean_deviation,
+        "volume_ratio": lambda n: ratio_to_mean("volume", n), "amount_ratio": lambda n: ratio_to_mean("amount", n), "turnover_mean": lambda n: roll_mean("turnover", n),
+        "breakout": breakout, "drawdown": drawdown, "high_low_range": lambda _: high_low_range(), "close_location": lambda _: close_location(), "pvt_change": volume_trend,
+    }
+    spans = DEFAULT_SPANS if spans is None else spans
+    base = with_volume_trend(with_true_range(with_day_return(panel)))
+    columns = {f"{k}_{n}" if n else k: made[k](n) for k, ns in spans.items() if k != "rsi" for n in ns}
+    out = base.select("code", "date", *[c.alias(k) for k, c in columns.items()])
+    for n in spans.get("rsi", ()):
+        out = out.join(rsi(panel, n).withColumnRenamed("rsi", f"rsi_{n}"), ["code", "date"])
+    return out
+
+
+def features(panel: DataFrame) -> DataFrame:
+    """code, date, return_1, ma5, ma20, volume_change, momentum, target (the next close is higher); rows with all of them known."""
+    out = panel.select(
+        "code", "date", (sdiv("close", lag("close")) - 1).alias("return_1"), roll_mean("close", 5).alias("ma5"), roll_mean("close", 20).alias("ma20"),
+        ratio_to_mean("volume", 20).alias("volume_change"), momentum(20).alias("momentum"), (lead("close") > F.col("close")).cast("int").alias("target"),
+    )
+    return out.na.drop()
+
+
+def run(panel: DataFrame, factors: dict[str, Column], stages=None) -> tuple[DataFrame, DataFrame]:
+    """(values, diagnostics) of factors by name: each made, then put through stages (a function of frame and column name), failures apart.
+
+    values: code, date and the factors that could be made. diagnostics: factor, status, n, coverage, mean, std, smallest, largest, days; a
+    factor that can't be made (a missing column, a wrong type) has status `failed`, n and days 0 and the rest null.
+    """
+    out, good = panel, []
+    for name, column in factors.items():
+        try:
+            trial = out.withColumn(name, column)
+            trial = stages(trial, name) if stages else trial
+            assert trial.schema[name].dataType.simpleString() in ("double", "float", "int", "bigint"), "not a number"
+        except (AnalysisException, AssertionError):
+            continue
+        out, good = trial, [*good, name]
+    values = out.select("code", "date", *good)
+    long = values.unpivot(["code", "date"], good, "factor", "v") if good else values.select("code", "date", F.lit(None).cast("string").alias("factor"), F.lit(None).cast("double").alias("v")).where("false")
+    v = F.col("v").cast("double")
+    by = long.groupBy("factor").agg(
+        F.count(v).alias("n"), sdiv(F.count(v), F.count(F.lit(1))).alias("coverage"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("smallest"),
+        F.max(v).alias("largest"), F.count_distinct(F.when(v.isNotNull(), F.col("date"))).alias("days"),
+    )
+    names = panel.sparkSession.createDataFrame([(k, "ok" if k in good else "failed") for k in factors], "factor string, status string")
+    return values, names.join(F.broadcast(by), "factor", "left").na.fill(0, ["n", "days"])
+
+
 def fundamental() -> dict[str, Column]:
-    """The default fundamental factors."""
+    """The default fundamental factors; with the composites below, sixteen."""
     return {
         "earnings_yield": sdiv(F.lit(1.0), "pe"), "book_to_market": sdiv(F.lit(1.0), "pb"), "sales_yield": sdiv(F.lit(1.0), "ps"), "roe": col("roe"), "roic": col("roic"),
         "profit_margin": sdiv("net_profit", "revenue"), "asset_turnover": sdiv("revenue", "total_assets"), "leverage": sdiv("total_assets", "equity"),
-        "revenue_growth": col("revenue_growth"), "profit_growth": col("profit_growth"), "market_cap": col("market_cap"), "log_market_cap": log_positive("market_cap"),
+        "revenue_growth": col("revenue_growth"), "profit_growth": col("profit_growth"), "roe_growth": col("roe_growth"), "market_cap": col("market_cap"), "log_market_cap": log_positive("market_cap"),
     }
 
 

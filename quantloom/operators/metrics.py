@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import col, sdiv
-from ..functions.windows import by_code, by_date, average_rank, lag, lead, quantile_by_cut, quantile_by_rank, scorr
+from ..functions.windows import by_code, by_date, average_rank, lag, lead, quantile_by_cut, quantile_by_rank, quantile_by_value, scorr
 
 
 def ic(df: DataFrame, x: str = "signal", y: str = "fwd", least: int = 5, ranks: bool = False) -> DataFrame:
@@ -153,3 +153,22 @@ def portfolio_volatility(cov: DataFrame, weights: DataFrame) -> DataFrame:
 
 def scaled_rank(x: str) -> Column:
     return sdiv(average_rank(x, "date"), F.count(col(x)).over(by_date()))
+
+
+def value_quantile_spread(df: DataFrame, q: int = 5, x: str = "signal", y: str = "fwd") -> DataFrame:
+    """date, buckets, spread: mean return of the highest bucket by value less that of the lowest; null with one bucket."""
+    both = df.where(col(x).isNotNull() & col(y).isNotNull()).withColumn("__q", quantile_by_value(x, q)).where("__q IS NOT NULL")
+    means = both.groupBy("date", "__q").agg(F.avg(y).alias("m"))
+    ends = means.groupBy("date").agg(F.count(F.lit(1)).alias("buckets"), F.max_by("m", "__q").alias("high"), F.min_by("m", "__q").alias("low"))
+    return ends.select("date", "buckets", F.when(F.col("buckets") > 1, F.col("high") - F.col("low")).alias("spread"))
+
+
+def quantile_summary(quantiles: DataFrame, q: int = 5) -> DataFrame:
+    """One row of quantile_returns: q1_mean .. qn_mean, high_low_mean, _std, _ir, _positive."""
+    h = F.col("high_low")
+    return quantiles.agg(*[F.avg(f"q{k}").alias(f"q{k}_mean") for k in range(1, q + 1)], F.avg(h).alias("high_low_mean"), F.stddev_samp(h).alias("high_low_std"), sdiv(F.avg(h), F.nullif(F.stddev_samp(h), F.lit(0.0))).alias("high_low_ir"), sdiv(F.count_if(h > 0), F.count(h)).alias("high_low_positive"))
+
+
+def diversity(df: DataFrame, key: str) -> DataFrame:
+    """One row: n, distinct, diversity (their ratio)."""
+    return df.agg(F.count(key).alias("n"), F.count_distinct(key).alias("distinct"), sdiv(F.count_distinct(key), F.count(key)).alias("diversity"))

@@ -100,3 +100,39 @@ def quality(panel: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_distinct("code").alias("n_codes"), F.count_distinct("date").alias("n_dates"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_repeated"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_no_close"), F.coalesce(F.sum("z"), F.lit(0)).alias("n_no_volume"),
     )
+
+
+def in_universe() -> Column:
+    """Rows that may be traded: tradeable, not suspended, not under special treatment; unknown flags count as their defaults."""
+    return F.coalesce("is_tradeable", F.lit(True)) & ~F.coalesce("suspended", F.lit(False)) & ~F.coalesce("is_st", F.lit(False))
+
+
+def can_trade(side: str) -> Column:
+    """If a row can be bought (not at its upper limit) or sold (not at its lower one)."""
+    limit = {"buy": "limit_up", "sell": "limit_down"}[side]
+    return F.coalesce("is_tradeable", F.lit(True)) & ~F.coalesce(limit, F.lit(False))
+
+
+def stock_pool(spot: DataFrame, least_amount: float = 50_000_000.0) -> DataFrame:
+    """spot(name, price, amount, ...) without names of special treatment, suspended ones (no price) and illiquid ones."""
+    return spot.where(~F.coalesce(F.col("name").contains("ST"), F.lit(False)) & (F.col("price") > 0) & (F.col("amount") >= least_amount))
+
+
+def crash(panel: DataFrame, drop: float = -0.2, by: str = "code") -> DataFrame:
+    """panel with `stressed`: the close, from the middle of each code's rows on times 1 + drop."""
+    nth, n = F.row_number().over(Window.partitionBy(by).orderBy("date")), F.count(F.lit(1)).over(Window.partitionBy(by))
+    return panel.withColumn("stressed", F.when(nth > F.floor(n / 2), F.col("close") * (1 + drop)).otherwise(F.col("close")))
+
+
+def shaken(panel: DataFrame, volatility: float = 0.05, seed: int = 42, by: str = "code") -> DataFrame:
+    """panel with `stressed`: the close times the running product of 1 + normal shocks, which hang on seed, code and date alone."""
+    # two uniform numbers of a row make a normal one
+    one, two = ((F.pmod(F.xxhash64(F.lit(seed + k), by, "date"), F.lit(1 << 53)) + 1) / float((1 << 53) + 1) for k in (0, 1))
+    shocked = panel.withColumn("__shock", F.log(1 + volatility * F.sqrt(-2 * F.log(one)) * F.cos(2 * F.pi() * two)))
+    return shocked.withColumn("stressed", F.col("close") * F.exp(F.sum("__shock").over(Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))).drop("__shock")
+
+
+def book_levels(payload: str | Column, first: int, step: int = 2, levels: int = 5) -> Column:
+    """The volumes of a book's levels in a payload split by commas: fields first, first + step, ...; fields that are no number are null."""
+    parts = F.split(F.col(payload) if isinstance(payload, str) else payload, ",")
+    return F.array(*[F.get(parts, F.lit(first + k * step)).try_cast("double") for k in range(levels)])

@@ -81,6 +81,57 @@ def minimum_variance(rets: DataFrame, ridge: float = 1e-6, key: str = "period")
     return rets.select(key, "date", "code", "ret").groupBy(key).applyInPandas(run, f"`{key}` {kind}, code string, weight double")
 
 
+def risk_parity(rets: DataFrame, most: float = 0.2) -> DataFrame:
+    """code, weight: in inverse proportion to volatility (of a variance of 1e-8 at least), none above `most`, then made to sum to 1 again."""
+    inv = sdiv(F.lit(1.0), F.sqrt(F.greatest(F.var_samp("ret"), F.lit(1e-8))))
+    by = rets.groupBy("code").agg(inv.alias("i")).where("i IS NOT NULL")
+    whole = Window.partitionBy()  # a row a code
+    capped = by.select("code", F.least(sdiv("i", F.sum("i").over(whole)), F.lit(most)).alias("w"))
+    return capped.select("code", sdiv("w", F.sum("w").over(whole)).alias("weight"))
+
+
+def mean_variance(rets: DataFrame, expected: DataFrame | None = None, most: float = 1.0, key: str = "period") -> DataFrame:
+    """key, code, weight: the inverse covariance times expected(key, code, mu) (else mean returns), none below 0 or above `most`, summing to 1.
+
+    A period's codes are one group; dates without a return of one of its codes are left out.
+    """
+
+    def run(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot_table(index="date", columns="code", values="ret").dropna()
+        if len(wide) < 2:
+            return pd.DataFrame([], columns=[key, "code", "weight"])
+        mu = group.groupby("code")["mu"].first().reindex(wide.columns).fillna(wide.mean()).to_numpy()
+        cov = np.cov(wide.to_numpy().T).reshape(wide.shape[1], -1) + 1e-8 * np.eye(wide.shape[1])
+        raw = np.maximum(np.linalg.pinv(cov) @ mu, 0)
+        raw = raw if raw.sum() > 0 else np.ones(len(raw))
+        w = np.minimum(raw / raw.sum(), most)
+        return pd.DataFrame({key: k[0], "code": wide.columns.astype(object).tolist(), "weight": w / w.sum()})
+
+    kind = rets.schema[key].dataType.simpleString()
+    known = rets.select(key, "date", "code", "ret")
+    known = known.join(expected.select(key, "code", "mu"), [key, "code"], "left") if expected is not None else known.withColumn("mu", F.lit(None).cast("double"))
+    return known.select(key, "date", "code", "ret", "mu").groupBy(key).applyInPandas(run, f"`{key}` {kind}, code string, weight double")
+
+
+def posterior_returns(cov: DataFrame, market: DataFrame, views: DataFrame, aversion: float = 2.5) -> DataFrame:
+    """code, equilibrium, posterior: returns that the market's weights(code, weight) imply by cov(a, b, cov; each pair once), blended with
+    views(code, view, confidence from 0 to 1) where there are some."""
+    pairs = cov.unionAll(cov.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
+    implied = pairs.join(market.select(F.col("code").alias("b"), "weight"), "b").groupBy(F.col("a").alias("code")).agg((F.sum(F.col("cov") * F.col("weight")) * aversion).alias("equilibrium"))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
+    return implied.join(views, "code", "left").select("code", "equilibrium", (F.col("equilibrium") * (1 - sure) + F.coalesce("view", F.lit(0.0)) * sure).alias("posterior"))
+
+
+def blended(parts: dict[str, DataFrame], shares: dict[str, float]) -> DataFrame:
+    """code, weight: the parts' weights(code, weight) by their shares, summing to 1; a code that a part lacks has weight 0 there."""
+    rows = None
+    for name, part in parts.items():
+        own = part.select("code", (F.coalesce("weight", F.lit(0.0)) * shares[name]).alias("w"))
+        rows = own if rows is None else rows.unionAll(own)
+    by = rows.groupBy("code").agg(F.sum("w").alias("w"))
+    return by.select("code", F.coalesce(sdiv("w", F.sum("w").over(Window.partitionBy())), F.col("w")).alias("weight"))  # a row a code
+
+
 def scan(spot: DataFrame, n: int = 20, cap: tuple[float, float] = (0.0, float("inf")), most_pe: float = 60.0) -> DataFrame:
     """The n first by score of rows whose market cap and earnings multiple pass; an unknown figure passes."""
     ok = (F.col("market_cap").isNull() | F.col("market_cap").between(*cap)) & (F.col("pe").isNull() | ((F.col("pe") > 0) & (F.col("pe") <= most_pe)))

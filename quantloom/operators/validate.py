@@ -110,3 +110,48 @@ def data_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     row = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
     parts = [F.struct(F.lit(c).alias("column"), F.col("n"), *[F.col(f"{c}__{k}").alias(k) for k in ("missing", "zeros", "negative")]) for c in columns]
     return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+
+
+def leakage(df: DataFrame, signal: str = "signal_date", known: str = "available_date", target: str = "target_date", features: Sequence[str] = (), labels: Sequence[str] = ()) -> DataFrame:
+    """check, violations: what was known after the signal, labels of the signal's day or before, unknown dates, columns that are feature and
+    label, and features that equal a label in all of its known rows (two or more of different values)."""
+    checks = {
+        "known_after_signal": F.col(known) > F.col(signal), "target_not_after_signal": F.col(target) <= F.col(signal), "no_signal_date": F.col(signal).isNull(),
+        "no_known_date": F.col(known).isNull(),
+    }
+    aggs = [F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()]
+    pairs = [(f, y) for f in features for y in labels if f != y]
+    for i, (f, y) in enumerate(pairs):
+        apart, there = ~F.col(f).eqNullSafe(F.col(y)) & F.col(y).isNotNull(), F.count_distinct(y) > 1
+        aggs.append(F.when((F.count_if(apart) == 0) & there, 1).otherwise(0).cast("long").alias(f"__{i}"))
+    row = df.agg(*aggs)
+    same = sum((F.col(f"__{i}") for i in range(len(pairs))), F.lit(0).cast("long"))
+    row = row.select(*checks, F.lit(len(set(features) & set(labels))).cast("long").alias("feature_is_label"), same.alias("feature_equals_label"))
+    return row.unpivot([], row.columns, "check", "violations")
+
+
+def split_audit(table: DataFrame, gap: int = 0) -> DataFrame:
+    """split, check, violations of split(split, part, first_day, last_day, last_label): parts train, validation, test in this order, each
+    beginning more than `gap` days after the one before ends and after its last label day; and parts that end before they begin."""
+    place = F.when(F.col("part") == "train", 0).when(F.col("part") == "validation", 1).otherwise(2)
+    w = Window.partitionBy("split").orderBy("place")
+    t = table.withColumn("place", place)
+    t = t.select("split", "first_day", "last_day", F.lag("first_day").over(w).alias("before"), F.lag("last_day").over(w).alias("end"), F.lag("last_label").over(w).alias("label"))
+    checks = {
+        "out_of_order": F.col("first_day") <= F.col("before"), "overlap": F.col("first_day") <= F.col("end"), "short_gap": F.datediff("first_day", "end") <= gap,
+        "label_reaches_in": F.col("label") >= F.col("first_day"), "ends_before_it_begins": F.col("last_day") < F.col("first_day"),
+    }
+    by = t.groupBy("split").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()])
+    return by.unpivot(["split"], list(checks), "check", "violations")
+
+
+def gate(*audits: DataFrame, warn_only: Sequence[str] = ()) -> DataFrame:
+    """One row of audits(check, violations): checks, failed (their names in order), warned, passed (nothing failed)."""
+    rows = None
+    for a in audits:
+        own = a.select("check", "violations")
+        rows = own if rows is None else rows.unionAll(own)
+    bad = rows.groupBy("check").agg(F.sum("violations").alias("n")).withColumn("warn", F.col("check").isin(*warn_only) if warn_only else F.lit(False))
+    names = lambda keep: F.array_join(F.sort_array(F.collect_list(F.when(keep & (F.col("n") > 0), F.col("check")))), ",")
+    out = bad.agg(F.count(F.lit(1)).alias("checks"), names(~F.col("warn")).alias("failed"), names(F.col("warn")).alias("warned"))
+    return out.withColumn("passed", F.col("failed") == "")

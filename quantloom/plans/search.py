@@ -77,8 +77,9 @@ def search(panel: DataFrame, names: Sequence[str], n: int = 64, top: int = 10, s
     return uncorrelated(panel, ranked(panel, [x for x in nodes if expr.features(x)], y)[: 3 * top])[:top]
 
 
-def evolve(panel: DataFrame, names: Sequence[str], generations: int = 5, size: int = 32, elites: int = 4, seed: int = 0, patience: int = 3, y: str = "fwd") -> list[Candidate]:
-    """The last generation by score. Parents are drawn by linear rank; each generation is measured in one go; ends early without gain."""
+def evolve(panel: DataFrame, names: Sequence[str], generations: int = 5, size: int = 32, elites: int = 4, seed: int = 0, patience: int = 3, y: str = "fwd", tournament: int = 0) -> list[Candidate]:
+    """The last generation by score. Parents are drawn by linear rank or, with tournament, as the best of so many drawn; each generation is
+    measured in one go; ends early without gain."""
     rng = random.Random(seed)
     people = distinct([expr.random_tree(rng, names) for _ in range(size)])
     best, stale, found = -1.0, 0, []
@@ -95,7 +96,8 @@ def evolve(panel: DataFrame, names: Sequence[str], generations: int = 5, size: i
         tries = 0
         while len(young) < size and tries < 20 * size:
             tries += 1
-            a, b = rng.choices(found, weights, k=2)
+            # found is by falling score, so the least place wins
+            a, b = (found[min(rng.choices(range(len(found)), k=tournament))] for _ in range(2)) if tournament else rng.choices(found, weights, k=2)
             child = expr.crossed(a.node, b.node, rng) if rng.random() < 0.6 else expr.mutated(a.node, rng, names)
             try:
                 expr.check(child)

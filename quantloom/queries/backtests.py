@@ -62,7 +62,7 @@ def cost_summary(spark, sf):
 
 
 def _strategies(spark, sf):
-    b = bars(spark, sf).where("date < '1996-06-01' AND close > 0")
+    b = bars(spark, sf).where("close > 0")
     prices = b.select(F.col("industry").alias("strategy"), "date", "code", F.col("close").alias("price"))
     first = b.where("day(date) <= 7").select(F.col("industry").alias("strategy"), "date", "code", (F.lit(0.9) / F.count(F.lit(1)).over(me.Window.partitionBy("industry", "date"))).alias("weight"))
     return prices, first

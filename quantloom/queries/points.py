@@ -24,12 +24,12 @@ def pit_latest(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT date FROM bars WHERE month(date) = 6 AND day(date) <= 7) SELECT d.date, f.code, arg_max(f.fact_id, (f.available_date, f.fact_id)) AS fact_id
+    """WITH d AS (SELECT DISTINCT date FROM bars) SELECT d.date, f.code, arg_max(f.fact_id, (f.available_date, f.fact_id)) AS fact_id
     FROM d JOIN facts f ON f.available_date <= d.date GROUP BY d.date, f.code""",
     "bars", "facts",
 )
 def pit_panel(spark, sf):
-    dates = bars(spark, sf).select("date").where("month(date) = 6 AND day(date) <= 7").distinct()
+    dates = bars(spark, sf).select("date").distinct()
     f = facts(spark, sf)
     return op.snapshots(dates, f.withColumn("known_id", F.col("fact_id")), ["known_id"]).select("date", "code", F.col("known_id").alias("fact_id"))
 
@@ -103,10 +103,10 @@ def membership_anti_join(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT code, report_period AS ex_date, 1 + (fact_id % 3) / 100 AS ratio FROM facts WHERE fact_id % 37 = 0)
+    """WITH a AS (SELECT code, report_period AS ex_date, 1 + (fact_id % 3) / 100000 AS ratio FROM facts)
     SELECT b.code, b.date, round(exp(coalesce(sum(ln(a.ratio)), 0)),6)+0.0 AS factor FROM bars b LEFT JOIN a ON a.code = b.code AND a.ex_date <= b.date GROUP BY b.code, b.date""",
     "bars", "facts",
 )
 def corporate_action_factor(spark, sf):
-    actions = facts(spark, sf).where("fact_id % 37 = 0").select("code", F.col("report_period").alias("ex_date"), (1 + (F.col("fact_id") % 3) / 100.0).alias("ratio"))
+    actions = facts(spark, sf).select("code", F.col("report_period").alias("ex_date"), (1 + (F.col("fact_id") % 3) / 100000.0).alias("ratio"))
     return rounded(op.adjustment(bars(spark, sf).select("code", "date"), actions), "code", "date", factor="factor")

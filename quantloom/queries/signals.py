@@ -180,18 +180,24 @@ def alpha_signal_corr_matrix(spark, sf):
     return rounded(op.correlations(expr.evaluate(bars(spark, sf), BATCH), list(BATCH)), "a", "b", corr="corr")
 
 
-def _library(spark, found):
+def _library(spark, sf, find):
+    """What find(panel, columns) comes back with, as a table; the panel is kept while it looks."""
+    panel = _panel(spark, sf).cache()
+    try:
+        found = find(panel, ["open", "high", "low", "close", "volume", "amount"])
+    finally:
+        panel.unpersist()
     return spark.createDataFrame(se.library_rows(found), "fingerprint string, expression string, ic double, ir double, score double")
 
 
 @query()
 def alpha_search(spark, sf):
-    return _library(spark, se.search(_panel(spark, sf).cache(), ["open", "high", "low", "close", "volume", "amount"], n=32, top=8))
+    return _library(spark, sf, lambda p, names: se.search(p, names, n=32, top=8))
 
 
 @query()
 def alpha_evolution(spark, sf):
-    return _library(spark, se.evolve(_panel(spark, sf).cache(), ["open", "high", "low", "close", "volume", "amount"], generations=3, size=12))
+    return _library(spark, sf, lambda p, names: se.evolve(p, names, generations=3, size=12))
 
 
 # splits and walk-forward

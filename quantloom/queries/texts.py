@@ -32,13 +32,13 @@ def token_sets(spark, sf):
 
 
 def _claims(spark, sf):
-    c = src.table(spark, sf, "conversations").where("turn <= 3")
+    c = src.table(spark, sf, "conversations")
     words = op.tokens("text", least=6)
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("claim_id"), F.col("role").alias("agent_id"), F.col("conv_id").alias("category"), (F.col("turn") % 2).alias("direction"), words.alias("words"))
 
 
 @query(
-    """WITH c AS (SELECT conv_id * 100 + turn AS claim_id, role, conv_id, turn % 2 AS direction, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 6)) AS words FROM conversations WHERE turn <= 3),
+    """WITH c AS (SELECT conv_id * 100 + turn AS claim_id, role, conv_id, turn % 2 AS direction, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 6)) AS words FROM conversations),
     p AS (SELECT a.claim_id AS a, b.claim_id AS b, len(list_intersect(a.words, b.words)) AS n, len(a.words) + len(b.words) AS t FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role < b.role AND a.direction <> b.direction)
     SELECT a, b, round(n / (t - n),6)+0.0 AS likeness FROM p WHERE n > 0 AND n / (t - n) >= 0.01::DOUBLE"""
 )
@@ -47,10 +47,23 @@ def claim_conflicts(spark, sf):
 
 
 @query(
-    """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])),6)+0.0 AS likeness FROM embeddings, q
-    ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) DESC, vec_id LIMIT 5"""
+    """WITH s AS (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS likeness FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
+    SELECT query, vec_id, round(likeness,6)+0.0 AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(likeness, 12) DESC, vec_id) AS nth FROM s) WHERE nth <= 5"""
 )
 def vector_topk(spark, sf):
+    """The five nearest of all vectors to each whose id is divisible by 100."""
     v = src.table(spark, sf, "embeddings")
-    q = v.where("vec_id = 0").first()
-    return op.nearest(v, q.embedding, 5).select("vec_id", r6("likeness").alias("likeness"))
+    return op.nearest_of_each(v, v.where("vec_id % 100 = 0"), 5).select("query", "vec_id", r6("likeness").alias("likeness"))
+
+
+@query("WITH c AS (SELECT conv_id, len(regexp_extract_all(text, '[0-9]+')) AS n FROM conversations) SELECT conv_id, count(*) AS claims, round(avg(CASE WHEN n >= 3 THEN 100 WHEN n = 2 THEN 70 WHEN n = 1 THEN 35 ELSE 0 END),6)+0.0 AS score FROM c GROUP BY conv_id")
+def evidence_score(spark, sf):
+    n = F.size(op.evidence("text", "[0-9]+"))
+    level = F.when(n >= 3, "strong").when(n == 2, "moderate").when(n == 1, "weak").otherwise("missing")
+    c = src.table(spark, sf, "conversations").select("conv_id", level.alias("level"))
+    return op.evidence_score(c, "conv_id").select("conv_id", "claims", r6("score").alias("score"))
+
+
+@query("SELECT doc_id FROM documents WHERE lower(lang) = 'en' AND (contains(lower(text), 'the re') OR contains(lower(source), 'the re'))")
+def metadata_search(spark, sf):
+    return op.search(src.table(spark, sf, "documents"), "The re", ["text", "source"], lang="EN").select("doc_id")

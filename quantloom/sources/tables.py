@@ -11,19 +11,32 @@ from ..functions.num import finite, percent, sdiv, security_code, truthy
 
 # Names that columns of daily bars go by (fixed values): canonical name, then others.
 ALIASES = {
-    "date": ["日期", "trade_date", "datetime"],
-    "code": ["代码", "股票代码", "symbol", "ts_code"],
-    "open": ["开盘", "开盘价"],
-    "high": ["最高", "最高价"],
-    "low": ["最低", "最低价"],
-    "close": ["收盘", "收盘价"],
-    "volume": ["成交量", "vol"],
-    "amount": ["成交额", "turnover_value"],
-    "turnover": ["换手率", "turnover_rate"],
-    "pe": ["市盈率", "pe_ttm"],
-    "pb": ["市净率"],
-    "market_cap": ["总市值", "total_mv"],
-    "industry": ["行业", "sector"],
+    "date": ["日期", "交易日期", "交易日", "trade_date", "datetime"],
+    "code": ["股票代码", "证券代码", "代码", "symbol", "ticker", "ts_code"],
+    "open": ["开盘", "开盘价", "open_price"],
+    "high": ["最高", "最高价", "high_price"],
+    "low": ["最低", "最低价", "low_price"],
+    "close": ["收盘", "收盘价", "close_price"],
+    "volume": ["成交量", "成交股数", "volume_shares", "vol"],
+    "amount": ["成交额", "成交金额", "turnover_amount", "turnover_value"],
+    "turnover": ["换手率", "换手", "turnover_rate"],
+    "pe": ["市盈率", "PE", "pe_ttm"],
+    "pb": ["市净率", "PB"],
+    "ps": ["市销率", "PS"],
+    "roe": ["净资产收益率", "ROE"],
+    "roic": ["投入资本回报率", "ROIC"],
+    "revenue_growth": ["营业收入增长率", "营收增长率", "revenue_growth_rate"],
+    "profit_growth": ["净利润增长率", "利润增长率", "profit_growth_rate"],
+    "market_cap": ["总市值", "市值", "market_value", "total_mv"],
+    "available_date": ["数据可用日期", "可用日期", "发布日期", "公告日期", "publish_date"],
+    "is_tradeable": ["是否交易", "可交易", "tradeable"],
+    "limit_up": ["涨停", "涨停状态"],
+    "limit_down": ["跌停", "跌停状态"],
+    "is_st": ["ST", "是否ST", "is_st_stock"],
+    "suspended": ["停牌", "是否停牌"],
+    "industry": ["行业", "所属行业", "sector"],
+    "ipo_date": ["上市日期", "IPO日期"],
+    "delist_date": ["退市日期"],
 }
 NUMBERS = ["open", "high", "low", "close", "volume", "amount", "turnover", "pe", "pb", "ps", "roe", "roic", "revenue_growth", "profit_growth", "market_cap"]
 FLAGS = {"is_tradeable": True, "limit_up": False, "limit_down": False, "is_st": False, "suspended": False}
@@ -75,6 +88,61 @@ def normalize(df: DataFrame, order: str | None = None) -> DataFrame:
     return rows.withColumn("__nth", last).where("__nth = 1").drop("__nth", "__seq")
 
 
+def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows that repeat the keys the first by `order`; rows without one of the keys go."""
+    known = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return known.withColumn("__nth", first).where("__nth = 1").drop("__nth")
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """code: the codes of a csv with a column of that name (or another it goes by), or of a text file with one a line; each once."""
+    names = {"code", *ALIASES["code"]}
+    head = spark.read.option("header", True).csv(path)
+    found = [c for c in head.columns if c.strip() in names]
+    raw = head.select(F.col(f"`{found[0]}`").alias("code")) if found else spark.read.text(path).select(F.col("value").alias("code"))
+    return raw.where("trim(code) != ''").select(security_code(F.trim("code")).alias("code")).distinct()
+
+
+def read_lives(spark: SparkSession, path: str) -> DataFrame:
+    """code, list_date, delist_date, is_st of a csv of listings."""
+    raw = spark.read.option("header", True).csv(path)
+    names = {c: next((k for k in ("code", "ipo_date", "delist_date", "is_st") if c == k or c in ALIASES[k]), c) for c in raw.columns}
+    df = raw.toDF(*[names[c] for c in raw.columns])
+
+    def day(c: str) -> Column:
+        return F.to_date(F.try_to_timestamp(F.col(c))) if c in df.columns else F.lit(None).cast("date")
+
+    return df.select(security_code("code").alias("code"), day("ipo_date").alias("list_date"), day("delist_date").alias("delist_date"), (truthy("is_st") if "is_st" in df.columns else F.lit(False)).alias("is_st"))
+
+
+def read_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """date, ordinal of a csv whose first column, or one named date, holds trading days."""
+    raw = spark.read.option("header", True).csv(path)
+    name = next((c for c in raw.columns if c in ("date", *ALIASES["date"])), raw.columns[0])
+    days = raw.select(F.to_date(F.try_to_timestamp(F.col(f"`{name}`"))).alias("date")).where("date IS NOT NULL").distinct()
+    return days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("ordinal"))  # a row a day
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of each file of a folder, whole."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database; with a whole-number key and its bounds it is read in parts side by side."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
+
+
+def head_tail(panel: DataFrame, share: float = 0.8, by: str = "code", order: str = "date") -> DataFrame:
+    """panel with `part`: head for the first `share` of each group's rows in order, tail for the others."""
+    nth, n = F.row_number().over(Window.partitionBy(by).orderBy(order)), F.count(F.lit(1)).over(Window.partitionBy(by))
+    return panel.withColumn("part", F.when(nth <= F.floor(n * share), "head").otherwise("tail"))
+
+
 def violations(panel: DataFrame) -> DataFrame:
     """One row of counts of what a valid panel has not."""
     bad = {

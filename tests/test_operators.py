@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import num
-from quantloom.operators import backtest, metrics, panel, pit, text, transforms, validate
+from quantloom.operators import backtest, factors, fitness, metrics, panel, pit, portfolio, text, transforms, validate
 from quantloom.plans import expr, search
 from quantloom.sources import tables as src
 
@@ -138,3 +139,91 @@ def test_upsert_and_fingerprint(spark, tmp_path):
     assert src.upsert(old, new, ["k"], "t", most=2).count() == 2
     src.write_table(got, str(tmp_path / "x"), partition_by=["t"])
     assert src.fingerprint(spark.read.parquet(str(tmp_path / "x")).select("k", "t", "v")).first() == src.fingerprint(got).first()
+
+
+def test_aliases_of_all_names(spark):
+    names = {"交易日期": "2024-01-02", "ticker": "7", "open_price": "1", "最高价": "2", "low_price": "1", "收盘价": "1.5", "成交股数": "9", "成交金额": "3", "换手": "1%", "市值": "5", "PS": "2", "ROE": "0.1", "投入资本回报率": "0.2", "公告日期": "2024-01-05", "涨停": "1", "ST": "是", "停牌": "0", "IPO日期": "2020-01-01", "所属行业": "x"}
+    r = src.normalize(spark.createDataFrame([tuple(names.values())], list(names))).first()
+    assert (r.code, r.close, r.volume, r.amount, r.turnover, r.market_cap, r.ps, r.roe, r.roic) == ("000007", 1.5, 9.0, 3.0, pytest.approx(0.01), 5.0, 2.0, 0.1, 0.2)
+    assert (r.date, r.available_date, r.ipo_date, r.limit_up, r.is_st, r.suspended, r.industry) == (D(2024, 1, 2), D(2024, 1, 5), D(2020, 1, 1), True, True, False, "x")
+    every = [a for others in src.ALIASES.values() for a in others]
+    assert len(every) == len(set(every))
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "codes.csv").write_text("证券代码,x\n1,a\n000002,b\n1,c\n", encoding="utf-8")
+    (tmp_path / "codes.txt").write_text("1\n\n600000\n", encoding="utf-8")
+    (tmp_path / "lives.csv").write_text("代码,上市日期,退市日期\n1,2020-01-01,\n2,2021-02-03,2022-01-01\n", encoding="utf-8")
+    (tmp_path / "days.csv").write_text("交易日\n2024-01-03\n2024-01-02\n2024-01-02\nnone\n", encoding="utf-8")
+    (tmp_path / "bars.csv").write_text("date,code,open,high,low,close,volume\n2024-01-02,1,1,2,1,1.5,10\n2024-01-02,1,1,2,1,1.6,10\n", encoding="utf-8")
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "a.txt").write_text("one\ntwo", encoding="utf-8")
+    assert {r.code for r in src.read_codes(spark, f"{tmp_path}/codes.csv").collect()} == {"000001", "000002"}
+    assert {r.code for r in src.read_codes(spark, f"{tmp_path}/codes.txt").collect()} == {"000001", "600000"}
+    assert sorted(rows(src.read_lives(spark, f"{tmp_path}/lives.csv"))) == [("000001", D(2020, 1, 1), None, False), ("000002", D(2021, 2, 3), D(2022, 1, 1), False)]
+    assert sorted(rows(src.read_calendar(spark, f"{tmp_path}/days.csv"))) == [(D(2024, 1, 2), 0), (D(2024, 1, 3), 1)]
+    assert [r.close for r in src.read_panel(spark, f"{tmp_path}/bars.csv").collect()] == [1.6]
+    assert [(r.path[-5:], r.text) for r in src.read_texts(spark, f"{tmp_path}/texts").collect()] == [("a.txt", "one\ntwo")]
+
+
+def returns(spark, periods=2, days=40, codes=4):
+    rng = np.random.default_rng(1)
+    data = {(p, d): rng.normal(0.001, 0.02, codes) for p in range(periods) for d in range(days)}
+    return data, spark.createDataFrame([(p, D(2024, 1, 1) + dt.timedelta(d), f"c{i}", float(x)) for (p, d), v in data.items() for i, x in enumerate(v)], "period int, date date, code string, ret double")
+
+
+def test_optimizers_equal_plain_solutions(spark):
+    data, df = returns(spark)
+    low, mean = portfolio.minimum_variance(df).toPandas(), portfolio.mean_variance(df, most=0.5).toPandas()
+    views = spark.createDataFrame([(0, "c0", 0.5)], "period int, code string, mu double")
+    viewed = portfolio.mean_variance(df, views).toPandas()
+    for p in range(2):
+        x = np.array([data[p, d] for d in range(40)])
+        cov = np.cov(x.T)
+        got = low[low.period == p].sort_values("code").weight.to_numpy()
+        base = got @ cov @ got
+        assert got.sum() == pytest.approx(1)
+        for i in range(4):  # no shift of weight between two codes lowers the variance
+            for j in range(4):
+                w = got.copy()
+                w[i] += 1e-3
+                w[j] -= 1e-3
+                assert w @ cov @ w >= base - 1e-9
+        raw = np.maximum(np.linalg.solve(cov + 1e-8 * np.eye(4), x.mean(axis=0)), 0)
+        want = np.minimum(raw / raw.sum(), 0.5)
+        assert mean[mean.period == p].sort_values("code").weight.to_numpy() == pytest.approx(want / want.sum())
+    assert viewed[(viewed.period == 0) & (viewed.code == "c0")].weight.iloc[0] > 0.6
+
+
+def test_stress_and_tournament(spark):
+    p = spark.createDataFrame([("a", D(2024, 1, 1) + dt.timedelta(i), 10.0) for i in range(2000)], "code string, date date, close double")
+    assert [r.stressed for r in panel.crash(p.limit(3).orderBy("date"), -0.3).orderBy("date").collect()] == [10.0, 7.0, 7.0]
+    shaken = [r.stressed for r in panel.shaken(p, 0.01).orderBy("date").collect()]
+    steps = np.diff(np.log([10.0, *shaken]))
+    assert steps.std() == pytest.approx(0.01, rel=0.1) and abs(steps.mean()) < 0.001
+    assert shaken == [r.stressed for r in panel.shaken(p.repartition(5), 0.01).orderBy("date").collect()]
+    m = spark.createDataFrame([(f"a{i}", float(i)) for i in range(20)] + [("none", None)], "alpha string, fitness double")
+    won = fitness.tournament(m, 200, 3).toPandas()
+    assert len(won) == 200 and won.fitness.mean() > 13 and won.alpha.nunique() > 5
+    assert set(fitness.tournament(m, 5, 20).toPandas().alpha) == {"a19"}
+    none = fitness.fitness(spark.createDataFrame([("a", None)], "alpha string, ic double")).first()
+    assert none.score is None and none.fitness is None and none.penalty == 0.0
+
+
+def test_factor_runs_keep_failures_apart(spark):
+    p = spark.createDataFrame([("a", D(2024, 1, 1), 1.0), ("b", D(2024, 1, 1), 3.0)], "code string, date date, close double")
+    values, told = factors.run(p, {"twice": F.col("close") * 2, "lost": F.col("nothing"), "text": F.col("code")})
+    assert values.columns == ["code", "date", "twice"] and {r.factor: (r.status, r.n) for r in told.collect()} == {"twice": ("ok", 2), "lost": ("failed", 0), "text": ("failed", 0)}
+    assert factors.run(p, {"lost": F.col("nothing")})[1].first().status == "failed"
+
+
+def test_search_and_evolution_measure_what_they_return(spark):
+    """Every signal that comes back has the rank correlation that its expression gives when it is measured alone."""
+    rng = random.Random(1)
+    p = spark.createDataFrame([(D(2024, 1, 1) + dt.timedelta(d), f"{c:06d}", rng.random(), rng.random(), rng.random()) for d in range(12) for c in range(12)], "date date, code string, x double, y double, fwd double").cache()
+    for found in (search.search(p, ["x", "y"], n=12, top=4), search.evolve(p, ["x", "y"], generations=2, size=6, tournament=3)):
+        scores = [f.score for f in found]
+        assert found and scores == sorted(scores, reverse=True) and len({expr.canonical(f.node) for f in found}) == len(found)
+        for f in found:
+            alone = search.measure(p, {"s": f.node}).first()
+            assert alone.ic_mean == pytest.approx(f.ic)

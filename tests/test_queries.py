@@ -23,7 +23,7 @@ def plain(df):
     """Rows as sorted tuples of comparable texts; doubles to five places."""
 
     def one(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>") or v != v:
             return "null"
         if isinstance(v, float):
             return f"{round(v, 5) + 0.0:.5f}"
