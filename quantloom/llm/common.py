@@ -165,18 +165,16 @@ def schema(**fields: str) -> T.StructType:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> DataFrame:
     """Texts and labels of at most `per_class` training rows of each class, those with the least hash of their id.
 
-    The bound is the caller's documented parameter. Rows without a label or an id are never taken. Columns: doc_id, text, y, lang
-    (null where docs has none).
+    The bound is the caller's documented parameter. Rows without a label or an id are never taken; of several labels of an id the highest
+    counts, of its texts the least. Columns: doc_id, text, y.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    known = known.where(train).withColumn("h", F.xxhash64("doc_id"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(train).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).withColumn("h", F.xxhash64("doc_id"))
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     # at most 2 * per_class rows of two numbers
-    return docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(picked.select("doc_id", "y")), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 _memories: dict[str, Callable[[], None]] = {}

@@ -326,3 +326,23 @@ def pack_examples(examples: DataFrame, limits: Limits, id_col: str = "id", token
     source = examples.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("tokens"), F.col(loss_col).cast("long").alias("loss_tokens"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, sequence_id long, slot int, tokens long, loss_tokens long, oversize boolean")
+
+
+def pack_conversations(conversations: DataFrame, tokenizer_path: str, limits: Limits = Limits(2048, 8, 1024)) -> DataFrame:  # noqa: B008
+    """Conversations (conv_id, turn, role, text) as whole examples to sequences under all three limits: id, sequence_id, slot, tokens, loss_tokens, oversize.
+
+    An example's tokens are those of all its turns, with an end each; loss is borne by the assistant's turns. Null texts have the end alone;
+    a null role bears no loss; turns without conv_id are one conversation. Turns are counted where they lie and summed by conversation.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer_path)
+        for batch in batches:
+            for part in slices(batch, most=SLICE):
+                n = pa.array([len(ids) + 1 for ids in encoder.encode(part.column(2))], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n], names=["id", "role", "n"])
+
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    turns = conversations.select("conv_id", "role", "text").mapInArrow(counted, f"id {kind}, role string, n long")
+    sums = turns.groupBy("id").agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("role") == "assistant", F.col("n"))), F.lit(0)).alias("loss_tokens"))
+    return pack_examples(sums, limits)

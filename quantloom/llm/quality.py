@@ -155,8 +155,8 @@ def rate(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) ->
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document; labels of the held-out fold (crc32 of the id mod 5 is 0) are not read.
 
-    Null ids are in the held-out fold. Repeated rows stay; without labels every text gets one score, above the threshold. An empty
-    table gives an empty result.
+    Null ids are in the held-out fold. Repeated rows stay; of several labels of an id the highest counts, and of its texts the least. Without
+    labels every text gets one score, above the threshold. Texts of any length are read whole. An empty table gives an empty result.
     """
     model = train(docs, labels)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -10,7 +10,7 @@ from .common import table
 from .decontamination import leaks
 from .langid import identify_documents
 from .lm_scores import score_documents
-from .packing import pack_texts
+from .packing import pack_conversations, pack_texts
 from .quality import rate_documents
 from .sharding import histogram_sort
 from .simhash import near_duplicates
@@ -65,6 +65,11 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 on instruction data, where tokens, segments and loss are three limits."""
+    return pack_conversations(table(spark, sf_dir, "conversations"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_string_kernel_language": op8_string_kernel_language,
         "op9_benchmark_leaks": op9_benchmark_leaks,
         "op10_vector_packing": op10_vector_packing,
+        "conversation_packing": conversation_packing,
     }
 
 

@@ -1,8 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 Each word has two hashed embeddings side by side, so that words that meet in one table differ in the other. Filters of several widths
-run over the text, their greatest responses (max pooling) feed a logistic unit. Thresholds are calibrated by the language that the
-text itself shows.
+run over the text, their greatest responses (max pooling) feed a logistic unit. Thresholds are calibrated by language, as the
+texts' frequent words group them.
 """
 
 from __future__ import annotations
@@ -35,20 +35,10 @@ THRESHOLD = 0.7
 #: Distinct words whose hashes a task remembers.
 MOST_WORDS = 300_000
 
-#: Frequent words that show a text's language, by which thresholds are calibrated (fixed values).
-SIGNS = {
-    "en": "the of and to in is that it for was on with be as this by are at from",
-    "fr": "le la les des et un une du que qui dans pour pas sur au avec",
-    "de": "der die das und den zu von mit sich des auf ist im dem nicht ein eine",
-    "es": "el los las y que en un una por con para se del su al lo",
-}
-GROUPS = [*SIGNS, "other"]
+#: Groups of texts by their frequent words, and these words: languages, as the training texts show them (their lang isn't looked at).
+GROUPS, SIGNS = 8, 256
 
 _SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 39 else 32 for c in range(256))
-_sign_of: dict[bytes, list[int]] = {}
-for _k, _v in enumerate(SIGNS.values()):
-    for _w in _v.split():
-        _sign_of.setdefault(_w.encode(), []).append(_k)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -57,7 +47,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WordHashes:
-    """Both hashes of words, and the language signs they are."""
+    """Both hashes of words."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -73,27 +63,42 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def sign_table() -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes of sign words and, by row, the groups they are signs of."""
-    h = WordHashes()
-    codes = h.codes(list(_sign_of))
-    order = np.argsort(codes)
-    marks = np.zeros((len(codes), len(GROUPS)))
-    for i, g in enumerate(_sign_of.values()):
-        marks[i, g] = 1 / len(g)
-    return codes[order], marks[order]
-
-
-SIGN_CODES, SIGN_MARKS = sign_table()
-
-
-def group_of(codes: np.ndarray) -> int:
-    """The language group of a text by its sign words; `other` without any."""
-    at = np.minimum(np.searchsorted(SIGN_CODES, codes), len(SIGN_CODES) - 1)
-    hit = SIGN_CODES[at] == codes
-    if not hit.any():
-        return len(GROUPS) - 1
-    return int(SIGN_MARKS[at[hit]].sum(axis=0).argmax())
+@dataclass
+class Groups:
+    """Frequent words and the weight of each in each group; the last group is that of texts without such words."""
+
+    codes: np.ndarray  # sorted
+    weights: np.ndarray  # words x groups
+
+    @staticmethod
+    def learn(texts: list[np.ndarray], rounds: int = 20) -> Groups:
+        """Spherical k-means over the texts' SIGNS most frequent words; each next group begins with the text that is least like the ones so far."""
+        each = [np.unique(c) for c in texts]
+        word, n = np.unique(np.concatenate([*each, np.zeros(0, np.int64)]), return_counts=True)
+        codes = np.sort(word[np.lexsort((word, -n))[:SIGNS]])
+        x = np.stack([np.isin(codes, c, assume_unique=True) for c in each]).astype(np.float64) if len(codes) else np.zeros((0, 0))
+        x = x[x.any(axis=1)] if len(x) else x
+        if not len(x):
+            return Groups(codes, np.zeros((len(codes), 0)))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        middle = x[[int((x @ x.mean(axis=0)).argmax())]]
+        while len(middle) < GROUPS and (far := (x @ middle.T).max(axis=1)).min() < 0.999:
+            middle = np.concatenate([middle, x[[int(far.argmin())]]])
+        for _ in range(rounds):
+            own = (x @ middle.T).argmax(axis=1)
+            sums = np.stack([x[own == k].sum(axis=0) for k in range(len(middle))])
+            size = np.linalg.norm(sums, axis=1)[:, None]
+            middle = np.where(size > 0, sums / np.maximum(size, 1e-12), middle)
+        return Groups(codes, middle.T)
+
+    def of(self, codes: np.ndarray) -> int:
+        if not len(self.codes):
+            return GROUPS
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        hit = at[self.codes[at] == codes]
+        if not len(hit) or not self.weights.shape[1]:
+            return GROUPS
+        return int((np.bincount(hit, minlength=len(self.codes)) > 0).astype(np.float64).dot(self.weights).argmax())
 
 
 @dataclass
@@ -105,7 +110,8 @@ class ToxicityModel:
     out: np.ndarray
     bias: float
     slope: float = 1.0
-    cuts: np.ndarray = field(default_factory=lambda: np.zeros(len(GROUPS)))
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(GROUPS + 1))
+    groups: Groups = field(default_factory=lambda: Groups(np.zeros(0, np.int64), np.zeros((0, 0))))
 
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
         """For each table, the place of each of its ROWS among the kept embeddings."""
@@ -265,9 +271,10 @@ def fit(codes: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
         use, rest = np.flatnonzero(half == part), np.flatnonzero(half != part)
         if len(set(y[use].tolist())) == 2:
             back[rest] = logits(train_filters([codes[i] for i in use], y[use]), [codes[i] for i in rest])
-    group = np.array([group_of(c) for c in codes])
+    m.groups = Groups.learn(codes)
+    group = np.array([m.groups.of(c) for c in codes])
     m.cuts[:] = best_cut(back, y)
-    for g in range(len(GROUPS)):
+    for g in range(GROUPS):
         own = group == g
         if min((own & (y == k)).sum() for k in (0, 1)) >= 50:
             m.cuts[g] = best_cut(back[own], y[own])
@@ -299,7 +306,7 @@ def detect(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
         m = sent.value
         sole_memory("toxicity", _hashes.known.clear)
         codes = [_hashes.codes(words_of(t)) for t in text_bytes(batch)]
-        score = m.score(logits(m, codes), np.array([group_of(c) for c in codes]))
+        score = m.score(logits(m, codes), np.array([m.groups.of(c) for c in codes], np.int64))
         return {"score": pa.array(score), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))}
 
     return with_columns(docs, made, schema(score="double", predicted="int"), keep)
@@ -308,8 +315,8 @@ def detect(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
 def detect_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document; labels of the held-out fold (crc32 of the id mod 3 is 1) are not read.
 
-    Null ids are not held out but never learned from. Repeated rows stay; without labels no text is toxic. An empty table gives an
-    empty result.
+    Null ids are not held out but never learned from. Repeated rows stay; of several labels of an id the highest counts, and of its texts the
+    least. Without labels no text is toxic. Texts of any length are read whole. An empty table gives an empty result.
     """
     model = train(docs, labels)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quantloom.llm import decontamination, langid, lm_scores, packing, quality, sharding, simhash, sketches, token_counts, toxicity
-from quantloom.llm.common import tokens_of
+from quantloom.llm.common import labelled_sample, tokens_of
 from quantloom.llm.components import connected_components
 
 DATA = "/root/testdata/sf0.001"
@@ -132,6 +132,83 @@ def test_toxicity_logits_agree_text_by_text():
     assert np.allclose(toxicity.logits(m, codes), one, atol=1e-4)
 
 
+def test_toxicity_logits_equal_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    words = [f"word{i}".encode() for i in range(60)]
+    h = toxicity.WordHashes()
+    codes = [h.codes([words[j] for j in rng.integers(0, 60, n)]) for n in rng.integers(1, 30, 40)]
+    m = toxicity.train_filters(codes, np.arange(40) % 2, epochs=2)
+    keys = [k.tolist() for k in m.keys]
+
+    def vector(c):
+        if c is None:
+            return [0.0] * (2 * toxicity.DIM)
+        both = [int(c) >> toxicity.BITS, int(c) & (toxicity.ROWS - 1)]
+        return [float(v) for t, k, r in zip(m.tables, keys, both, strict=True) for v in (t[k.index(r) + 1] if r in k else t[0])]
+
+    for c, got in zip([*codes, np.zeros(0, np.int64)], toxicity.logits(m, [*codes, np.zeros(0, np.int64)]), strict=True):
+        want = m.bias
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for at in range(len(c) + 1):  # a window may reach beyond the text's end
+                    x = [v for i in range(w) for v in vector(c[at + i] if at + i < len(c) else None)]
+                    if at < len(c):
+                        best = max(best, m.shift[k][f] + sum(a * b for a, b in zip(x, m.filters[k][:, f], strict=True)))
+                want += best * m.out[k * toxicity.FILTERS + f]
+        assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_toxicity_of_held_out_labels(spark):
+    lab = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.detect_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), lab).join(lab, "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    toxic, clean = [r.predicted for r in got if r.toxic], [r.predicted for r in got if not r.toxic]
+    assert len(toxic) > 30 and np.mean(toxic) > 0.9 and np.mean(clean) < 0.02
+
+
+def test_toxicity_groups_are_languages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200").select("text", "lang").collect()
+    h = toxicity.WordHashes()
+    codes = [h.codes(toxicity.words_of(r.text.encode())) for r in rows]
+    g = toxicity.Groups.learn(codes)
+    by = collections.defaultdict(collections.Counter)
+    for c, r in zip(codes, rows, strict=True):
+        by[g.of(c)][r.lang] += 1
+    assert sum(max(c.values()) for c in by.values()) > 0.85 * len(rows) and len(by) >= 4
+    assert g.of(np.zeros(0, np.int64)) == toxicity.GROUPS
+
+
+def test_labels_of_repeated_ids(spark):
+    lab = labels(spark, [(1, 0, 0), (1, 1, 1), (1, None, None), (2, 0, 0), (2, 0, 0)])
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "doc_id long, text string")
+    got = labelled_sample(docs, lab, "toxic", F.lit(True), 5).collect()
+    assert sorted((r.doc_id, r.y, r.text) for r in got) == [(1, 1, "a"), (2, 0, None)]
+
+
+def test_quality_dual_descent_solves_its_problem():
+    """The gap between the primal and the dual objective, both worked out plainly, is zero only at the solution."""
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(200, rng.integers(1, 30), replace=False)) for _ in range(120)]
+    y = (rng.random(120) < 0.3).astype(int)
+    scale = quality.ratios(rows, y)
+    counts = [[sum(f in set(r.tolist()) for r, k in zip(rows, y, strict=True) if k == c) + 1 for f in range(200)] for c in (0, 1)]
+    rest = quality.WIDTH - 200
+    assert np.allclose(scale[:200], [math.log(b / (sum(counts[1]) + rest)) - math.log(a / (sum(counts[0]) + rest)) for a, b in zip(*counts, strict=True)])
+    w, b = quality.dual_descent(rows, y, scale, 1.0, 4000)
+    x = np.zeros((120, 201))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / math.sqrt(len(r))
+    x[:, 200] = 1
+    sign, v = np.where(y == 1, 1.0, -1.0), np.r_[w[:200], b]
+    upper = len(y) / (2 * np.bincount(y))[y]
+    primal = v @ v / 2 + (upper * np.maximum(0, 1 - sign * (x @ v))).sum()
+    # the dual by a plain projected gradient
+    a, q = np.zeros(120), (x * sign[:, None]) @ (x * sign[:, None]).T
+    for _ in range(20_000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, upper)
+    assert primal == pytest.approx(a.sum() - a @ q @ a / 2, rel=2e-3)
+
+
 def test_quality_learns_and_holds_out(spark, docs):
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -165,6 +242,51 @@ def test_language_edges(spark):
     assert langid.identify_documents(edges(spark).limit(0)).count() == 0
 
 
+def test_language_equals_a_plain_kernel_ridge_regression():
+    """With every text a landmark, Nyström features give kernel ridge regression on explicit n-gram sets."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcd efg" if i % 3 else "efgh xyz", k=40)) for i in range(30)]
+    langs = ["p" if i % 3 else "q" for i in range(30)]
+
+    def grams(t):
+        b, out = b" " + b" ".join(t.encode().split()) + b" ", set()
+        for n in langid.SPECTRUM:
+            for i in range(len(b) - n + 1):
+                h = 0
+                for c in b[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ (c + 1)
+                out.add(((h + n) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - langid.BITS)
+        return out
+
+    sets = [grams(t) for t in texts]
+    k = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    x = np.zeros((30, langid.BUCKETS), np.float32)
+    for row, t in zip(x, texts, strict=True):
+        langid.presence(langid.letters_only(t), row)
+    assert [set(np.flatnonzero(r).tolist()) for r in x] == sets
+    m = langid.fit(x, langs, landmarks_each=30)
+    # explicit features of the kernel, an unpenalized bias, weighted least squares
+    value, vector = np.linalg.eigh(k)
+    phi = vector[:, value > 1e-6 * value.max()] * np.sqrt(value[value > 1e-6 * value.max()])
+    y = np.array([[1.0 if v == name else -1.0 for name in ("p", "q")] for v in langs])
+    w = np.array([1 / langs.count(v) for v in langs]) / 2
+    design = np.c_[phi, np.ones(30)] * np.sqrt(w)[:, None]
+    penalty = np.c_[np.eye(phi.shape[1]) * math.sqrt(langid.RIDGE / 2), np.zeros(phi.shape[1])]
+    solved = np.linalg.lstsq(np.r_[design, penalty], np.r_[y * np.sqrt(w)[:, None], np.zeros((phi.shape[1], 2))], rcond=None)[0]
+    assert np.allclose(m.decide(x), np.c_[phi, np.ones(30)] @ solved, atol=1e-3)
+
+
+def test_all_languages_are_learned(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(90):
+        own = rng.sample(letters, 4)
+        rows += [(k * 100 + i, " ".join("".join(rng.choices(own, k=5)) for _ in range(30)), f"l{k}") for i in range(6)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(m.languages) == 90 and len(m.landmarks) <= langid.MOST_LANDMARKS
+
+
 def test_presence_kernel_is_a_normalized_intersection():
     rows = np.zeros((2, langid.BUCKETS), np.float32)
     langid.presence(b" abc ", rows[0])
@@ -386,6 +508,20 @@ def test_sketch_edges(spark):
     assert one.near_next == 1.0 and sketches.fingerprint_edits(edges(spark).limit(0), 2).count() == 0
 
 
+def test_sketch_likeness_against_all_shingles(spark, docs, texts):
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(max(1, len(w) - 4)) if w}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    ids = sorted(texts, reverse=True)
+    off = []
+    for r in sketches.fingerprint_edits(docs, 4).collect():
+        t, after = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        a, b, c = shingles(t), shingles(after), shingles(t[: len(t) - len(t) // 3] + after[: len(t) // 3])
+        off += [abs(r.near_next - like(a, b)), abs(r.near_edited - like(a, c))]
+        assert abs(r.n_shingles - len(a)) <= 0.35 * len(a)
+    assert max(off) < 0.2 and np.mean(off) < 0.03
+
+
 @pytest.mark.parametrize("least_hot", [2, 1000])
 def test_hot_and_null_ids_are_dealt_over_ranges(spark, least_hot):
     rows = [(None if i % 2 else i, "one text of all of these rows here" if i % 3 == 0 else f"text {i} has words of its own") for i in range(600)]
@@ -430,6 +566,19 @@ def test_shards_are_even_whole_and_gapless(spark):
     assert (got.groupby("text_crc32").shard.nunique() == 1).all()
 
 
+def test_splitters_equal_a_sorted_cut(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << sharding.KEY_BITS, 4000)
+    keys[:900] = keys[0]  # a group larger than a shard
+    size = rng.integers(1, 2000, 4000)
+    rows = [(int(k), int(x), int(n)) for k, x, n in zip(keys, rng.integers(0, 1 << sharding.KEY_BITS, 4000), size, strict=True)]
+    share = int(size.sum()) / 8
+    ordered = sorted(rows)
+    for i, cut in enumerate(sharding.find_splitters(spark.createDataFrame(rows, "k1 long, k2 long, size long"), int(size.sum()), 8), 1):
+        below = sum(n for k1, k2, n in ordered if (k1, k2) < cut)
+        assert abs(below - i * share) <= max(2000, 0.02 * share)
+
+
 def test_shards_split_a_hot_text_and_keep_edges(spark):
     rows = [(i, "hot copy of one text") for i in range(3000)] + [(5000 + i, f"text {i}") for i in range(3000)]
     got = sharding.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string"), 4, rows_a_range=100).toPandas()
@@ -508,6 +657,16 @@ def test_long_chains_are_one_component(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
+def test_fingerprints_bit_by_bit(spark, docs):
+    rows = [(r.doc_id, r.text[:3000]) for r in docs.limit(40).collect()] + [(900, None), (901, "a b"), (902, "A\x0bb")]
+    got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        grams = [" ".join(words[j : j + 3]) for j in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        assert int(got[i], 16) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_near_duplicate_edges(spark):
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(edges(spark)).collect()), key=str)
     assert len(got) == len(EDGES) and {g[2] for g in got if g[0] in (3, 4, 7)} == {3} and {g[1] for g in got if g[0] == 3} == {"0" * 16}
@@ -667,3 +826,21 @@ def test_whole_examples_keep_all_limits(spark):
     assert (fit.tokens <= 512).all() and (fit.loss <= 200).all() and (fit.n <= 4).all()
     least = max(got[~got.oversize].tokens.sum() / 512, got[~got.oversize].loss_tokens.sum() / 200, len(got) / 4)
     assert len(fit) < 1.25 * least
+
+
+def test_conversations_keep_all_limits(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    limits = packing.Limits(2048, 8, 1024)
+    library = Tokenizer.from_file(BYTE)
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in conversations.collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want[r.conv_id][0] += n
+        want[r.conv_id][1] += n if r.role == "assistant" else 0
+    got = packing.pack_conversations(conversations, BYTE, limits).toPandas()
+    assert {r.id: [r.tokens, r.loss_tokens] for r in got.itertuples()} == dict(want) and len(got) == len(want)
+    fit = got[~got.oversize].groupby("sequence_id").agg(tokens=("tokens", "sum"), loss=("loss_tokens", "sum"), n=("id", "size"))
+    assert (fit.tokens <= 2048).all() and (fit.loss <= 1024).all() and (fit.n <= 8).all()
+    assert ((got[got.oversize].tokens > 2048) | (got[got.oversize].loss_tokens > 1024)).all()
+    rows = [(1, 0, "user", None), (1, 1, None, "x y"), (None, 0, "assistant", "z")]
+    assert packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), BYTE).count() == 2
