@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import average_rank, scorr
 from . import metrics
 
 
@@ -60,6 +61,25 @@ def walk_forward(signals: DataFrame, parts: DataFrame, least: int = 5) -> DataFr
     return parts.where(F.col("part").isin("train", "test")).join(daily, "date").groupBy("split", "part").agg(F.avg(c).alias("ic_mean"), F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))).alias("ic_ir"), F.count(c).alias("n_days"))
 
 
+def walk_forward_days(signals: DataFrame, s: Split, x: str = "signal", y: str = "fwd", least: int = 5) -> DataFrame:
+    """split, part, ic_mean, ic_ir, n_days as walk_forward gives them, from one pass: the days of the signals are the calendar.
+
+    Splits are worked out on the daily table, a row a day, so nothing is read or counted beforehand.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    ranks = signals.where("date IS NOT NULL").select("date", average_rank(F.when(both, F.col(x)), "date").alias("a"), average_rank(F.when(both, F.col(y)), "date").alias("b"))
+    daily = ranks.groupBy("date").agg(F.when(F.count("a") >= least, F.round(scorr(F.col("a"), F.col("b")), 12)).alias("ic"))
+    o, n, step = F.col("o"), F.col("n"), s.step or s.test
+    days = daily.withColumns({"o": F.row_number().over(Window.orderBy("date")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})  # a row a day
+    last = F.floor((n - s.train - s.purge - s.test) / step)
+    split = days.where(last >= 0).withColumn("split", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    at = F.col("split") * step
+    test = at + s.train + s.purge
+    part = F.when((o >= (F.lit(0) if s.expanding else at)) & (o < at + s.train), "train").when((o >= test) & (o < test + s.test), "test")
+    c = F.col("ic")
+    return split.withColumn("part", part).where("part IS NOT NULL AND ic IS NOT NULL").groupBy("split", "part").agg(F.avg(c).alias("ic_mean"), F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))).alias("ic_ir"), F.count(c).alias("n_days"))
+
+
 def walk_forward_summary(wf: DataFrame, least: float = 0.0) -> DataFrame:
     """One row: splits, mean, median and deviation of the test parts, share that pass, and how train differs from test."""
     wide = wf.groupBy("split").agg(F.max(F.when(F.col("part") == "train", F.col("ic_mean"))).alias("train"), F.max(F.when(F.col("part") == "test", F.col("ic_mean"))).alias("test"))

@@ -230,8 +230,7 @@ def split_labels(spark, sf):
 
 
 def _walk(spark, sf):
-    days = pn.calendar(bars(spark, sf))
-    return va.walk_forward(signals(spark, sf), va.labelled(days, va.splits(days, SPLIT)))
+    return va.walk_forward_days(signals(spark, sf), SPLIT)
 
 
 WALK = f"{_spans('k * 40', True)}, " + RANK_IC.replace("p AS", "pp AS").replace("FROM p)", "FROM pp)").replace("d AS (SELECT date, count", "dd AS (SELECT date, count")
