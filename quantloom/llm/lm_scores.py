@@ -41,12 +41,12 @@ GATES, LEVELS, STEPS, FINE = 12, 12, 48, 2049
 #: Words of a segment on average and at most.
 SEGMENT, LONGEST = 16, 256
 #: Text that is worked on at once, and bits of a step.
-SLICE = 8_000_000
+SLICE = 4_000_000
 STEP = 1 << 16
 #: Distinct words that a task counts before it hands them on.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 #: Spellings that a task remembers.
-MOST_SPELLED = 300_000
+MOST_SPELLED = 100_000
 
 _K1, _K2, _K64 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,6 +80,12 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.array(first), np.array(nodes, np.uint32), np.array(bits, np.uint8), np.minimum(np.array(depths, np.int64), GATES - 1), odds
 
 
+def steps_of(code: tuple) -> np.ndarray:
+    """A code's node << 5 | depth << 1 | bit, so that one look gives all three."""
+    _, nodes, bits, depths, _ = code
+    return nodes << np.uint32(5) | depths.astype(np.uint32) << np.uint32(1) | bits
+
+
 @dataclass
 class Codes:
     """The frequent words: exact counts of all, codes of the first `coded`."""
@@ -92,11 +98,16 @@ class Codes:
     distinct: int
     ends: int
 
-    def places(self) -> dict[bytes, int]:
-        """The symbol of each coded word."""
+    def __post_init__(self) -> None:
+        self.word_path, self.letter_path = steps_of(self.words), steps_of(self.letters)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word among the frequent ones, -1 for others; those before `coded` have a code."""
         if not hasattr(self, "_places"):
-            self._places = {w: i + 2 for i, w in enumerate(list(self.counts)[: self.coded])}
-        return self._places
+            self._places = {w: i for i, w in enumerate(self.counts)}
+            self.often = np.r_[np.fromiter(self.counts.values(), np.int64, len(self.counts)), 0]
+        get = self._places.get
+        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
     @property
     def total(self) -> float:
@@ -123,10 +134,9 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def symbols(t: Tokens, codes: Codes) -> np.ndarray:
-    """Each token's symbol of the word code."""
-    place = codes.places()
-    symbol = np.fromiter((place.get(w, 1) for w in t.distinct), np.int64, len(t.distinct))
+def symbols(t: Tokens, place: np.ndarray, codes: Codes) -> np.ndarray:
+    """Each token's symbol of the word code; place: of the distinct words."""
+    symbol = np.where((place >= 0) & (place < codes.coded), place + 2, 1)
     return np.where(t.number < 0, 0, symbol[t.number] if len(symbol) else 0)
 
 
@@ -148,17 +158,19 @@ def word_steps(t: Tokens, codes: Codes, symbol: np.ndarray, hashes: np.ndarray)
     b1, b2 = before
     tag = [np.full(len(own), i, np.uint32) for i in range(1, 3)]
     contexts = [mixed(tag[0], b1), mixed(tag[1], b1, b2)]
-    first, nodes, bits, depths, _ = codes.words
+    first = codes.words[0]
     length = np.diff(first)[symbol]
     for lo, hi in runs(length):
-        owner, path = spread(first[symbol[lo:hi]], length[lo:hi])
-        node = nodes[path]
-        yield owner + lo, node, slots_of(0, [c[lo:hi][owner] for c in contexts], node), bits[path], depths[path]
+        n = length[lo:hi]
+        owner, path = spread(first[symbol[lo:hi]], n)
+        step = codes.word_path.take(path)
+        node = step >> np.uint32(5)
+        yield owner + lo, node, slots_of(0, [np.repeat(c[lo:hi], n) for c in contexts], node), (step & np.uint32(1)).astype(np.uint8), (step >> np.uint32(1) & np.uint32(15)).astype(np.int64)
 
 
 def letter_steps(words: list[bytes], codes: Codes) -> Iterator[tuple]:
     """(owner, nodes, slots, bits, gates) of the words' spellings, a step of whole words at a time; owner: the word of each bit."""
-    first, nodes, bits, _, _ = codes.letters
+    first = codes.letters[0]
     size = np.diff(first)
     at = 0
     while at < len(words):
@@ -175,9 +187,10 @@ def letter_steps(words: list[bytes], codes: Codes) -> Iterator[tuple]:
         word = np.repeat(np.arange(at, to), lengths)
         length = size[letters]
         for lo, hi in runs(length):
-            owner, path = spread(first[letters[lo:hi]], length[lo:hi])
-            node = nodes[path]
-            yield word[lo:hi][owner], node, slots_of(1, [c[lo:hi][owner] for c in contexts], node), bits[path], np.minimum(place[lo:hi][owner], GATES - 1)
+            n = length[lo:hi]
+            step = codes.letter_path.take(spread(first[letters[lo:hi]], n)[1])
+            node = step >> np.uint32(5)
+            yield np.repeat(word[lo:hi], n), node, slots_of(1, [np.repeat(c[lo:hi], n) for c in contexts], node), (step & np.uint32(1)).astype(np.uint8), np.repeat(np.minimum(place[lo:hi], GATES - 1), n)
         at = to
 
 
@@ -219,13 +232,13 @@ def spread(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def slots_of(kind: int, contexts: list[np.ndarray], node: np.ndarray) -> np.ndarray:
     """The slots of a node in each context, one row a context."""
-    out = np.empty((len(contexts), len(node)), np.int32)
+    out = np.empty((len(contexts), len(node)), np.int64)
     salt = node * _K2
     for row, c, (first, n) in zip(out, contexts, SHARES[kind], strict=True):
         h = (c ^ salt) * _K1
         h ^= h >> np.uint32(15)
         h *= _K2
-        row[:] = (h >> np.uint32(33 - (n * (SLOTS // 16)).bit_length())).astype(np.int32) + first * (SLOTS // 16)
+        row[:] = (h >> np.uint32(33 - (n * (SLOTS // 16)).bit_length())) + np.uint32(first * (SLOTS // 16))
     return out
 
 
@@ -254,17 +267,20 @@ class Mixer:
         where = [base + (i * LEVELS) + level[i] for i in range(k)]
         total = np.zeros(len(gate), np.float32)
         for i in range(k):
-            total += flat[where[i]] * odds[i]
-        return np.clip(total, -11, 11), where
+            total += flat.take(where[i]) * odds[i]
+        return np.clip(total, -11, 11, out=total), where
 
     def step(self, total: np.ndarray) -> np.ndarray:
         return np.clip((total + 12) * (STEPS / 24), 0, STEPS - 1).astype(np.int64)
 
     def refined(self, kind: int, total: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Probability of a one: the mean of the mixed one and of what such ones turned out to be."""
+        """Probability of a one: the mean of the mixed one and of what such ones turned out to be, between two steps."""
         p = 1 / (1 + np.exp(-total))
         rate = (self.ones[kind] + 20 / (1 + np.exp(-(np.arange(STEPS) + 0.5) * (24 / STEPS) + 12))) / (self.seen[kind] + 20)
-        return np.clip((p + rate.astype(np.float32)[gate, self.step(total)]) / 2, 1e-6, 1 - 1e-6)
+        place = np.clip((total + 12) * (STEPS / 24) - 0.5, 0, STEPS - 2)
+        at = place.astype(np.int64)
+        share, rate = place - at, rate.astype(np.float32)
+        return np.clip((p + rate[gate, at] * (1 - share) + rate[gate, at + 1] * share) / 2, 1e-6, 1 - 1e-6)
 
     def learn(self, kind: int, odds: list[np.ndarray], total: np.ndarray, where: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None) -> None:
         p = 1 / (1 + np.exp(-total))
@@ -299,17 +315,17 @@ def packed(counts: np.ndarray) -> np.ndarray:
 
 def known(own: np.ndarray, node: np.ndarray, table: np.ndarray, slots: np.ndarray) -> tuple[list[np.ndarray], list]:
     """Log odds and confidence of each predictor: the code's own odds, then slots of a packed table or of one of counts."""
-    odds, level = [own[node]], [LEVELS - 1]
+    odds, level = [own.take(node)], [LEVELS - 1]
     for row in slots:
         if table.dtype == np.uint16:
-            v = table[row]
-            odds.append(ODDS[v >> 4])
-            level.append((v & 15).astype(np.int64))
+            v = table.take(row)
+            odds.append(ODDS.take(v >> 4))
+            level.append(v & np.uint16(15))
         else:
-            pair = table.view(np.uint64)[row]  # both counts at once
+            pair = table.view(np.uint64).take(row)  # both counts at once
             zeros, ones = pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint32)
             odds.append(np.log((ones.astype(np.float32) + np.float32(0.2)) / (zeros.astype(np.float32) + np.float32(0.2))))
-            level.append(LEVEL[np.minimum(zeros + ones, np.uint32(len(LEVEL) - 1))])
+            level.append(LEVEL.take(np.minimum(zeros + ones, np.uint32(len(LEVEL) - 1))))
     return odds, level
 
 
@@ -400,17 +416,17 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 t = tokens_of(part.column(0))
-                seen += learned(word_steps(t, sent.value, symbols(t, sent.value), word_hashes(t)), 0, sent.value.words[4], counts, mixer)
+                seen += learned(word_steps(t, sent.value, symbols(t, sent.value.places(t.distinct), sent.value), word_hashes(t)), 0, sent.value.words[4], counts, mixer)
         if seen:
             yield from handed_on(counts, mixer, 0, seen)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mixer, seen = np.zeros(2 * SLOTS, np.int32), Mixer.new(), 0
-        coded = sent.value.places()
         for batch in batches:
             words, often = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
-            keep = np.array([w not in coded for w in words], bool)
-            words, often = [w for w, k in zip(words, keep, strict=True) if k], often[keep]
+            place = sent.value.places(words)
+            keep = (place < 0) | (place >= sent.value.coded)
+            words, often = [w for w, k in zip(words, keep.tolist(), strict=True) if k], often[keep]
             seen += learned(letter_steps(words, sent.value), 1, sent.value.letters[4], counts, mixer, often)
         if seen:
             yield from handed_on(counts, mixer, 1, seen)
@@ -464,7 +480,7 @@ def step_costs(steps: Iterator[tuple], kind: int, n: int, own: np.ndarray, table
     for owner, node, slots, bit, gate in steps:
         odds, level = known(own, node, table, slots)
         total, _ = mixer.mix(kind, odds, level, gate)
-        value = costs[kind][(gate * 2 + bit) * FINE + np.rint((total + 11) * ((FINE - 1) / 22)).astype(np.int64)]
+        value = costs[kind].take((gate * 2 + bit) * FINE + np.rint((total + np.float32(11)) * np.float32((FINE - 1) / 22)).astype(np.int64))
         lo = int(owner[0])
         sums = np.bincount(owner - lo, value)
         cost[lo : lo + len(sums)] += sums
@@ -481,18 +497,25 @@ class Costs:
     def spelling(self, words: list[bytes]) -> np.ndarray:
         return step_costs(letter_steps(words, self.codes), 1, len(words), self.codes.letters[4], self.table, self.mixer, self.bits)
 
-    def of(self, t: Tokens, hashes: np.ndarray) -> np.ndarray:
+    def of(self, t: Tokens, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """log10 of each token's probability."""
-        symbol = symbols(t, self.codes)
+        symbol = symbols(t, place, self.codes)
         cost = step_costs(word_steps(t, self.codes, symbol, hashes), 0, len(t.number), self.codes.words[4], self.table, self.mixer, self.bits)
-        place = self.codes.places()
-        new = [w for w in t.distinct if w not in place and w not in self.spelled]
-        found = dict(zip(new, self.spelling(new).tolist(), strict=True))
-        own = np.fromiter((0.0 if w in place else found[w] if w in found else self.spelled[w] for w in t.distinct), np.float64, len(t.distinct))
-        if len(self.spelled) + len(found) > MOST_SPELLED:
+        other = np.flatnonzero((place < 0) | (place >= self.codes.coded)).tolist()
+        own = np.zeros(len(t.distinct))
+        new = []
+        for i in other:
+            found = self.spelled.get(t.distinct[i])
+            if found is None:
+                new.append(i)
+            else:
+                own[i] = found
+        words = [t.distinct[i] for i in new]
+        own[new] = self.spelling(words)
+        if len(self.spelled) + len(new) > MOST_SPELLED:
             self.spelled.clear()
-        if len(found) <= MOST_SPELLED:
-            self.spelled |= found
+        if len(new) <= MOST_SPELLED:
+            self.spelled.update(zip(words, own[new].tolist(), strict=True))
         return cost + np.where(t.number < 0, 0, own[t.number] if len(own) else 0)
 
 
@@ -585,8 +608,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 t = tokens_of(part.column(1))
                 n = part.num_rows
                 hashes = word_hashes(t)
-                cost = costs.of(t, hashes)
-                counts = np.fromiter((codes.counts.get(w, 0) for w in t.distinct), np.int64, len(t.distinct))
+                place = codes.places(t.distinct)
+                cost = costs.of(t, place, hashes)
+                counts = codes.often[place]  # -1: the last one, 0
                 c = np.where(t.number < 0, codes.ends, counts[t.number] if len(counts) else 0)
                 sure = (c > 0) | (t.number < 0)
                 base = np.bincount(t.doc[sure], np.log10((c[sure] + 0.5) / codes.total), n)
