@@ -1,6 +1,7 @@
 """A corpus pipeline: documents without toxic ones, unknown languages, near copies and benchmark passages, packed for training.
 
-Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the packed pieces. No SQL can express the
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the packed pieces. Null texts and ids, empty tables,
+repeated rows, texts of any length and further columns of any name pass through every stage; what a stage drops is said there. No SQL can express the
 stages; tests/llm/test_pipeline.py holds them against brute force.
 """
 
@@ -41,14 +42,20 @@ def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts whose five-word shingle sets are alike to 0.8 or more: the least doc_id, null ids last.
+
+    Fingerprints joined by Golay-code keys bring most copies together; the pairs that these can't reach come by a prefix filter.
+    """
     return near_copies.one_of_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a test item."""
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of at most 2048 tokens."""
     return packing.pack_texts(docs, tokenizer_path("byte_bpe_50k.json"), most_pieces=MOST_PIECES)
 
 
