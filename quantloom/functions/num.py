@@ -45,6 +45,11 @@ def half_up(x: str | Column, digits: int = 2) -> Column:
     return F.floor(col(x) * m + F.lit(0.5)) / F.lit(m)
 
 
+def half_even(x: str | Column, digits: int = 2) -> Column:
+    """Rounds halves to the even neighbour."""
+    return F.bround(col(x), digits)
+
+
 def lots(value: str | Column, price: str | Column, lot: int = 100) -> Column:
     """Shares in whole lots that a value buys; null without a price."""
     return (F.floor(sdiv(value, price) / F.lit(float(lot))) * lot).cast("long")

@@ -72,6 +72,22 @@ def summarize(days: DataFrame, q: int = 5) -> DataFrame:
     )
 
 
+def full_summary(days: DataFrame, q: int = 5, year: float = 252.0) -> DataFrame:
+    """One row of daily(): correlations, quantiles, costs, and the top quantile's returns before and after costs; passed: some rows and correlations."""
+    c, net = F.col("rank_ic"), F.col("net")
+    curve = metrics.equity(days.select("date", net.alias("ret"))).select("date", "drawdown", F.col("equity").alias("__e"))
+    n = F.count(net)
+    grown = lambda x: F.product(1 + F.coalesce(col(x), F.lit(0.0))) - 1
+    out = days.join(curve, "date").agg(
+        F.count(F.lit(1)).alias("n_days"), F.sum("n").alias("n_observations"), F.avg(c).alias("ic_mean"), F.stddev_samp(c).alias("ic_std"), sdiv(F.avg(c), F.stddev_samp(c)).alias("icir"),
+        sdiv(F.count_if(c > 0), F.count(c)).alias("positive_ic_ratio"), F.avg(f"q{q}").alias("top_mean"), F.avg("q1").alias("q1_mean"), F.avg("spread").alias("spread_mean"), F.avg("turnover").alias("average_turnover"),
+        F.sum("cost").alias("total_cost"), grown(f"q{q}").alias("cumulative_gross"), grown("net").alias("cumulative_net"), (F.stddev_samp(net) * F.sqrt(F.lit(year))).alias("annual_volatility"),
+        (sdiv(F.avg(net), F.stddev_samp(net)) * F.sqrt(F.lit(year))).alias("sharpe"), F.min("drawdown").alias("max_drawdown"), n.alias("__n"), F.count(c).alias("__c"),
+    )
+    out = out.withColumn("annual_return", F.pow(1 + F.col("cumulative_net"), F.lit(year) / F.col("__n")) - 1)
+    return out.withColumn("passed", (F.coalesce("n_observations", F.lit(0)) > 0) & (F.col("__c") > 0)).drop("__n", "__c")
+
+
 def rotation(df: DataFrame, n: int = 5, buy: float = 0.0008, sell: float = 0.0018, x: str = "signal", y: str = "fwd") -> DataFrame:
     """date, ret, buys, sells, cost, net, equity, drawdown: the n greatest signals held in equal parts, the changes paid for."""
     known = df.where(col(x).isNotNull() & col(y).isNotNull())

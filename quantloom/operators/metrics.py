@@ -120,6 +120,19 @@ def performance(series: DataFrame, ret: str = "ret", year: float = 252.0, ddof:
     )
 
 
+def risk_ratios(series: DataFrame, ret: str = "ret", year: float = 252.0) -> DataFrame:
+    """One row by the other definition: sortino and calmar of the yearly growth, by the deviation of the losses alone and the deepest drawdown;
+    0 without losses, a drawdown or a loss to divide by."""
+    c, n = col(ret), F.count(col(ret))
+    lost = F.when(c < 0, c)
+    out = equity(series, ret).agg(n.alias("n"), F.max_by("equity", "date").alias("__e"), F.stddev_samp(lost).alias("__d"), F.count(lost).alias("__k"), F.min("drawdown").alias("__m"), F.sum(F.when(c > 0, c)).alias("__w"), F.sum(lost).alias("__l"))
+    growth = F.pow(F.col("__e"), F.lit(year) / F.col("n")) - 1
+    return out.select(
+        "n", growth.alias("growth"), F.when(F.col("__k") > 1, growth / F.greatest(F.col("__d") * F.sqrt(F.lit(year)), F.lit(1e-8))).otherwise(0.0).alias("sortino"),
+        F.when(F.col("__m") < 0, growth / F.abs("__m")).otherwise(0.0).alias("calmar"), F.when(F.col("__l") < 0, F.coalesce("__w", F.lit(0.0)) / F.abs("__l")).otherwise(0.0).alias("profit_factor"),
+    )
+
+
 def value_at_risk(series: DataFrame, ret: str = "ret", confidence: float = 0.95) -> DataFrame:
     """One row: the return at the place n * (1 - confidence) from the lowest."""
     return series.where(col(ret).isNotNull()).withColumn("nth", F.row_number().over(Window.orderBy(ret, "date"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).where(

@@ -19,10 +19,10 @@ def cross_section(panel: DataFrame, date: str, tradeable: bool = False) -> DataF
     return out.where("is_tradeable") if tradeable else out
 
 
-def limit_rate(code: str = "code") -> Column:
-    """A board's daily limit: 30 percent for codes of 4 and 8, 20 for 300 and 688, else 10."""
+def limit_rate(code: str = "code", st: str | None = None) -> Column:
+    """A board's daily limit: 30 percent for codes of 4 and 8, 20 for 300 and 688, else 10, or 5 under special treatment (the flag `st`)."""
     c = F.col(code)
-    return F.when(c.rlike("^[48]"), 0.30).when(c.rlike("^(300|688)"), 0.20).otherwise(0.10)
+    return F.when(c.rlike("^[48]"), 0.30).when(c.rlike("^(300|688)"), 0.20).when(F.coalesce(st, F.lit(False)) if st else F.lit(False), 0.05).otherwise(0.10)
 
 
 def limit_flags(panel: DataFrame, slack: float = 0.011, rate: Column | None = None) -> DataFrame:

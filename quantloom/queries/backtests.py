@@ -33,6 +33,24 @@ def alpha_backtest_summary(spark, sf):
     return rounded(op.summarize(op.daily(signals(spark, sf))), "n_days", **{c: c for c in ("rank_ic_mean", "q1_mean", "top_mean", "spread_mean", "spread_positive", "turnover_mean", "net_mean")})
 
 
+FULL = {
+    "ic_mean": "avg(rank_ic)", "ic_std": "stddev_samp(rank_ic)", "icir": "avg(rank_ic) / nullif(stddev_samp(rank_ic), 0)", "positive_ic_ratio": "count(*) FILTER (rank_ic > 0) / count(rank_ic)", "top_mean": "avg(q5)", "q1_mean": "avg(q1)",
+    "spread_mean": "avg(spread)", "average_turnover": "avg(turnover)", "total_cost": "sum(cost)", "cumulative_gross": "sum(ln(1 + coalesce(q5, 0)))", "cumulative_net": "sum(ln(1 + coalesce(net, 0)))",
+    "annual_volatility": "stddev_samp(net) * sqrt(252)", "sharpe": "avg(net) / nullif(stddev_samp(net), 0) * sqrt(252)", "max_drawdown": "min(e / greatest(1, m) - 1)", "annual_return": "sum(ln(1 + coalesce(net, 0))) * 252 / count(net)",
+}
+
+
+@query(
+    f"""WITH {DAILY}, x AS (SELECT *, exp(sum(ln(1 + coalesce(net, 0))) OVER (ORDER BY date)) AS e FROM r), y AS (SELECT *, max(e) OVER (ORDER BY date) AS m FROM x)
+    SELECT count(*) AS n_days, CAST(sum(n) AS BIGINT) AS n_observations, {", ".join(f"round({v},6)+0.0 AS {k}" for k, v in FULL.items())}, sum(n) > 0 AND count(rank_ic) > 0 AS passed FROM y""",
+    "signals",
+)
+def alpha_backtest_full_summary(spark, sf):
+    """Growth as its logarithm, as these returns grow beyond what rounding to places can compare."""
+    out = op.full_summary(op.daily(signals(spark, sf)))
+    return rounded(out, "n_days", "n_observations", "passed", **{c: F.log1p(c) if c.startswith("cumulative") or c == "annual_return" else c for c in FULL})
+
+
 @query(f"WITH {Q5}, m AS (SELECT date, avg(fwd) AS ret FROM q WHERE q = 5 GROUP BY date), e AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS equity FROM m) SELECT date, round(ret,6)+0.0 AS ret, round(equity / greatest(1, max(equity) OVER (ORDER BY date)) - 1,6)+0.0 AS drawdown FROM e", "signals")
 def long_only_quantile(spark, sf):
     return rounded(op.long_only(signals(spark, sf)), "date", ret="ret", drawdown="drawdown")

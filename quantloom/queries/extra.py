@@ -306,3 +306,14 @@ def book_payload_pressure(spark, sf):
     e, text = src.table(spark, sf, "events"), lambda c: F.col(c).cast("string")
     payload = F.concat_ws(",", F.lit("x"), text("event_id"), text("user_id"), F.lit(""), (F.col("user_id") % 7).cast("string"), F.lit("n/a"), (F.col("event_id") % 5).cast("string"))
     return e.select("event_id", r6(pf.book_pressure(pa.book_levels(payload, 1, 2, 3), pa.book_levels(payload, 2, 2, 3))).alias("pressure"))
+
+
+@query(
+    """WITH m AS (SELECT date, avg(fwd) / 100 AS ret FROM signals WHERE fwd IS NOT NULL GROUP BY date), e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS e FROM m), d AS (SELECT *, e / greatest(1, max(e) OVER (ORDER BY date)) - 1 AS dd FROM e),
+    a AS (SELECT count(*) AS n, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS growth, stddev_samp(ret) FILTER (ret < 0) AS sd, count(*) FILTER (ret < 0) AS k, min(dd) AS mdd, sum(ret) FILTER (ret > 0) AS w, sum(ret) FILTER (ret < 0) AS l FROM d)
+    SELECT n, round(growth,6)+0.0 AS growth, round(CASE WHEN k > 1 THEN growth / greatest(sd * sqrt(252), 1e-8) ELSE 0 END,6)+0.0 AS sortino, round(CASE WHEN mdd < 0 THEN growth / abs(mdd) ELSE 0 END,6)+0.0 AS calmar, round(CASE WHEN l < 0 THEN coalesce(w, 0) / abs(l) ELSE 0 END,6)+0.0 AS profit_factor FROM a""",
+    "signals",
+)
+def risk_ratios(spark, sf):
+    daily = signals(spark, sf).where("fwd IS NOT NULL").groupBy("date").agg((F.avg("fwd") / 100).alias("ret"))
+    return rounded(me.risk_ratios(daily), "n", **{c: c for c in ("growth", "sortino", "calmar", "profit_factor")})

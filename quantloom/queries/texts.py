@@ -46,6 +46,16 @@ def claim_conflicts(spark, sf):
     return op.conflicts(_claims(spark, sf), 0.01).select("a", "b", r6("likeness").alias("likeness"))
 
 
+@query(
+    """WITH c AS (SELECT conv_id * 100 + turn AS claim_id, role, conv_id, turn // 4 AS direction, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 6)) AS words FROM conversations),
+    p AS (SELECT a.claim_id AS a, b.claim_id AS b, len(list_intersect(a.words, b.words)) AS n, len(a.words) + len(b.words) AS t FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role < b.role AND a.direction = b.direction)
+    SELECT a, b, round(n / (t - n),6)+0.0 AS likeness FROM p WHERE n > 0 AND n / (t - n) >= 0.01::DOUBLE"""
+)
+def claim_agreements(spark, sf):
+    claims = _claims(spark, sf).withColumn("direction", F.floor(F.col("claim_id") % 100 / 4))
+    return op.conflicts(claims, 0.01, agree=True).select("a", "b", r6("likeness").alias("likeness"))
+
+
 @query(
     """WITH s AS (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS likeness FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
     SELECT query, vec_id, round(likeness,6)+0.0 AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(likeness, 12) DESC, vec_id) AS nth FROM s) WHERE nth <= 5"""

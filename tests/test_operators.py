@@ -227,3 +227,8 @@ def test_search_and_evolution_measure_what_they_return(spark):
         for f in found:
             alone = search.measure(p, {"s": f.node}).first()
             assert alone.ic_mean == pytest.approx(f.ic)
+
+
+def test_rounding_and_boards(spark):
+    df = spark.createDataFrame([("300001", True, 0.125), ("600001", True, 0.375), ("600002", None, 2.5)], "code string, is_st boolean, x double")
+    assert rows(df.select(panel.limit_rate(st="is_st"), num.half_even("x"))) == [(0.2, 0.12), (0.05, 0.38), (0.1, 2.5)]
