@@ -122,9 +122,11 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows count one by one, whatever ids they share. Texts without words are copies of each other.
     """
-    columns = docs.columns
+    columns, rest = docs.columns, [c for c in docs.columns if c not in ("doc_id", "text")]
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # COMMON numbers at most
-    plain = docs.select(*[F.col(c) for c in columns if c != "text"], F.col("text"))
+    # other columns are put aside, so that their names clash with none below
+    aside = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []
+    plain = docs.select(*aside, "doc_id", "text")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -140,11 +142,11 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     rows = written(plain.mapInArrow(numbered, f"{kinds}, __row long, __node long, __fp long, __size long, __heads array<long>"))
-    # a node's first row speaks for its set
-    nodes = rows.groupBy("__node").agg(F.min("__row").alias("__row"))
-    heads = rows.select("__row", "__node", "__size", "__heads").join(nodes.select("__row"), "__row", "left_semi")
+    # the first row of equal sets speaks for them, by its number, which is shorter than the set's
+    nodes = written(rows.groupBy("__node").agg(F.min("__row").alias("node")))
+    heads = rows.select(F.col("__row").alias("node"), "__size", "__heads").join(nodes.select("node"), "node", "left_semi")
     # place and size in one number
-    heads = heads.select(F.col("__node").alias("node"), "__size", F.posexplode("__heads").alias("place", "key")).select("key", "node", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("__size")).alias("at"))
+    heads = heads.select("node", "__size", F.posexplode("__heads").alias("place", "key")).select("key", "node", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("__size")).alias("at"))
     # counts first, then a join that adaptive execution can split, so that a shingle of very many texts is not one task's
     often = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
     shared = heads.join(often, "key").select("key", "node", "n", "least", F.shiftright("at", 32).alias("place"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("size"))
@@ -163,15 +165,16 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
         return written(x.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct().join(nodes, "__node").select("__row")
-        return alike(pairs, written(rows.select("__row", "__node", "text").join(met, "__row", "left_semi").select("__node", "text").mapInArrow(setted, "node long, shingles binary")))
+        met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = rows.select(F.col("__row").alias("node"), "text").join(met, "node", "left_semi").select("node", "text")
+        return alike(pairs, written(texts.mapInArrow(setted, "node long, shingles binary")))
 
     # fingerprints within two bits: each node with the least of its fingerprint, and these with each other
-    prints = written(rows.where("__size > 0").groupBy("__node").agg(F.min("__fp").alias("fp")))
-    least = prints.groupBy("fp").agg(F.min("__node").alias("a"))
+    prints = written(rows.where("__size > 0").select(F.col("__row").alias("node"), F.col("__fp").alias("fp")).join(nodes.select("node"), "node", "left_semi"))
+    least = prints.groupBy("fp").agg(F.min("node").alias("a"))
     near = linked(least).join(least.select(F.col("fp").alias("x"), F.col("a").alias("p")), F.col("a") == F.col("x")).select("p", "b")
     near = near.join(least.select(F.col("fp").alias("y"), F.col("a").alias("q")), F.col("b") == F.col("y")).select("p", "q")
-    near = near.unionAll(prints.join(least, "fp").where("__node > a").select("a", "__node"))
+    near = near.unionAll(prints.join(least, "fp").where("node > a").select("a", "node"))
     copies = compared(written(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
     known = written(connected_components(copies))
 
@@ -184,14 +187,17 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     heads_of = shared.where("node = least").select("key", F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"))
     first = compared(apart(likely(heads_of.join(right.where("b > least"), "key")), known))
     roots = written(connected_components(copies.unionAll(first)))
-    # across components, all who share a shingle; pairs with the least have been compared
-    members = written(shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", F.coalesce("root", "node").alias("root")))
-    groups = members.select("key", "root").distinct()
-    across = groups.withColumnRenamed("root", "r").join(groups.withColumnRenamed("root", "s"), "key").where("r < s")
-    left = members.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"))
-    right = members.select("key", F.col("root").alias("s"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
-    second = compared(likely(across.join(left, ["key", "r"]).join(right, ["key", "s"])))
+    # across components, all who share a shingle; pairs with the least have been compared. Of each shingle the component with the most texts
+    # meets the others only, so that a large group of copies makes no pairs of its own
+    members = shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", F.coalesce("root", "node").alias("root"))
+    counted = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("x.root").alias("most"))
+    members = written(members.join(largest, "key").select("key", "node", "place", "size", "root", (F.col("root") == F.col("most")).alias("large")))
+    left = members.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"), F.col("large").alias("l"))
+    right = members.where("NOT large").select("key", F.col("root").alias("s"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
+    pairs = left.where("l").join(right, "key").unionAll(left.where("NOT l").join(right, "key").where("r != s AND a < b"))
+    second = compared(likely(pairs))
     roots = connected_components(copies.unionAll(first).unionAll(second))
-    found = rows.select("__row", "__node", F.col("doc_id")).join(roots.withColumnRenamed("node", "__node"), "__node", "left")
-    best = found.groupBy(F.coalesce("root", "__node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("x"))
-    return rows.join(best.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*columns)
+    found = rows.select("__row", "__node", "doc_id").join(nodes, "__node").join(roots, "node", "left")
+    best = found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("x"))
+    return rows.join(best.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*[F.col("__rest")[c].alias(c) if c in rest else F.col(c) for c in columns])
