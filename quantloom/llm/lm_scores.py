@@ -33,8 +33,8 @@ from .common import Tokens, fold, pack_array, slices, tokens_of, unpack_array, w
 SLOTS = 1 << 22
 SHARES = {0: ((0, 8), (8, 4)), 1: ((12, 1), (13, 1), (14, 1), (15, 1))}
 #: Words with a code of their own (at most so many, seen so often), and words whose counts every task holds (the most frequent ones).
-CODED, CODED_LEAST = 1 << 17, 4
-FREQUENT = 1 << 17
+CODED, CODED_LEAST = 1 << 18, 4
+FREQUENT = 1 << 18
 #: Parts of the table that are summed apart, and tables that are summed at once.
 PARTS, FAN = 64, 16
 GATES, LEVELS, STEPS, FINE = 12, 12, 48, 2049
@@ -54,43 +54,44 @@ _K1, _K2, _K64 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint64(0x9E377
 def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, nodes, bits, depths, odds): symbol s has nodes[first[s] : first[s + 1]] (inner nodes from 1, the root) and its bits; odds: of
     a one at each node, as a logarithm."""
-    heap = [(c, s, s) for s, c in enumerate(counts)]
+    n = len(counts)
+    heap = [(c, s) for s, c in enumerate(counts)]
     heapq.heapify(heap)
-    up: dict[int, tuple[int, int]] = {}
-    new, split = len(counts), []
-    while len(heap) > 1:
-        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+    parent, side = np.full(max(1, 2 * n - 1), -1, np.int64), np.zeros(max(1, 2 * n - 1), np.uint8)
+    split = []
+    for new in range(n, 2 * n - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
         split.append((a, b))
-        up[x], up[y] = (new, 0), (new, 1)
-        heapq.heappush(heap, (a + b, new, new))
-        new += 1
-    first, nodes, bits, depths = [0], [], [], []
-    for s in range(len(counts)):
-        path = []
-        at = s
-        while at in up:
-            at, bit = up[at]
-            path.append((new - at, bit))
-        path.reverse()
-        nodes += [n for n, _ in path]
-        bits += [b for _, b in path]
-        depths += range(len(path))
-        first.append(len(nodes))
+        parent[x] = parent[y] = new
+        side[y] = 1
+        heapq.heappush(heap, (a + b, new))
+    # all symbols go up towards the root side by side
+    at, length, climbed = np.arange(n), np.zeros(n, np.int64), []
+    while len(live := np.flatnonzero(parent[at] >= 0)):
+        climbed.append((live, (2 * n - 1 - parent[at[live]]).astype(np.uint32), side[at[live]]))
+        at[live] = parent[at[live]]
+        length[live] += 1
+    first = np.r_[0, np.cumsum(length)]
+    nodes, bits = np.zeros(first[-1], np.uint32), np.zeros(first[-1], np.uint8)
+    for up, (some, node, bit) in enumerate(climbed):
+        nodes[first[some + 1] - 1 - up], bits[first[some + 1] - 1 - up] = node, bit
+    depths = np.arange(first[-1]) - np.repeat(first[:-1], length)
     odds = np.array([0.0, *(np.log(b / a) for a, b in reversed(split))], np.float32)
-    return np.array(first), np.array(nodes, np.uint32), np.array(bits, np.uint8), np.minimum(np.array(depths, np.int64), GATES - 1), odds
+    return first, nodes, bits, np.minimum(depths, GATES - 1), odds
 
 
-def steps_of(code: tuple) -> np.ndarray:
-    """A code's node << 5 | depth << 1 | bit, so that one look gives all three."""
-    _, nodes, bits, depths, _ = code
-    return nodes << np.uint32(5) | depths.astype(np.uint32) << np.uint32(1) | bits
+def compact(code: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, steps, odds) of a code; a step is node << 5 | depth << 1 | bit, so that one look gives all three."""
+    first, nodes, bits, depths, odds = code
+    return first, nodes << np.uint32(5) | depths.astype(np.uint32) << np.uint32(1) | bits, odds
 
 
 @dataclass
 class Codes:
-    """The frequent words: exact counts of all, codes of the first `coded`."""
+    """The frequent words in falling order of counts, then by word: exact counts of all, codes of the first `coded`."""
 
-    counts: dict[bytes, int]  # in falling order of counts, then by word
+    frequent: list[bytes]
+    often: np.ndarray  # their counts, and a 0 behind
     coded: int
     words: tuple  # Huffman code: 0 end, 1 escape, 2 + i the i-th word
     letters: tuple  # 256: the word's end
@@ -98,14 +99,10 @@ class Codes:
     distinct: int
     ends: int
 
-    def __post_init__(self) -> None:
-        self.word_path, self.letter_path = steps_of(self.words), steps_of(self.letters)
-
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word among the frequent ones, -1 for others; those before `coded` have a code."""
         if not hasattr(self, "_places"):
-            self._places = {w: i for i, w in enumerate(self.counts)}
-            self.often = np.r_[np.fromiter(self.counts.values(), np.int64, len(self.counts)), 0]
+            self._places = {w: i for i, w in enumerate(self.frequent)}
         get = self._places.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
@@ -123,7 +120,8 @@ def make_codes(frequent: list[tuple[bytes, int]], tokens: int, distinct: int, en
     for w, c in frequent[len(coded) :]:
         np.add.at(letters, np.frombuffer(w, np.uint8), c)
         letters[256] += c
-    return Codes(dict(frequent), len(coded), words, huffman(letters.astype(np.int64).tolist()), tokens + ends, distinct + (ends > 0), ends)
+    often = np.array([*[c for _, c in frequent], 0], np.int64)
+    return Codes([w for w, _ in frequent], often, len(coded), compact(words), compact(huffman(letters.astype(np.int64).tolist())), tokens + ends, distinct + (ends > 0), ends)
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -163,7 +161,7 @@ def word_steps(t: Tokens, codes: Codes, symbol: np.ndarray, hashes: np.ndarray)
     for lo, hi in runs(length):
         n = length[lo:hi]
         owner, path = spread(first[symbol[lo:hi]], n)
-        step = codes.word_path.take(path)
+        step = codes.words[1].take(path)
         node = step >> np.uint32(5)
         yield owner + lo, node, slots_of(0, [np.repeat(c[lo:hi], n) for c in contexts], node), (step & np.uint32(1)).astype(np.uint8), (step >> np.uint32(1) & np.uint32(15)).astype(np.int64)
 
@@ -188,7 +186,7 @@ def letter_steps(words: list[bytes], codes: Codes) -> Iterator[tuple]:
         length = size[letters]
         for lo, hi in runs(length):
             n = length[lo:hi]
-            step = codes.letter_path.take(spread(first[letters[lo:hi]], n)[1])
+            step = codes.letters[1].take(spread(first[letters[lo:hi]], n)[1])
             node = step >> np.uint32(5)
             yield np.repeat(word[lo:hi], n), node, slots_of(1, [np.repeat(c[lo:hi], n) for c in contexts], node), (step & np.uint32(1)).astype(np.uint8), np.repeat(np.minimum(place[lo:hi], GATES - 1), n)
         at = to
@@ -416,7 +414,7 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 t = tokens_of(part.column(0))
-                seen += learned(word_steps(t, sent.value, symbols(t, sent.value.places(t.distinct), sent.value), word_hashes(t)), 0, sent.value.words[4], counts, mixer)
+                seen += learned(word_steps(t, sent.value, symbols(t, sent.value.places(t.distinct), sent.value), word_hashes(t)), 0, sent.value.words[2], counts, mixer)
         if seen:
             yield from handed_on(counts, mixer, 0, seen)
 
@@ -427,7 +425,7 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
             place = sent.value.places(words)
             keep = (place < 0) | (place >= sent.value.coded)
             words, often = [w for w, k in zip(words, keep.tolist(), strict=True) if k], often[keep]
-            seen += learned(letter_steps(words, sent.value), 1, sent.value.letters[4], counts, mixer, often)
+            seen += learned(letter_steps(words, sent.value), 1, sent.value.letters[2], counts, mixer, often)
         if seen:
             yield from handed_on(counts, mixer, 1, seen)
 
@@ -495,12 +493,12 @@ class Costs:
         self.spelled: dict[bytes, float] = {}
 
     def spelling(self, words: list[bytes]) -> np.ndarray:
-        return step_costs(letter_steps(words, self.codes), 1, len(words), self.codes.letters[4], self.table, self.mixer, self.bits)
+        return step_costs(letter_steps(words, self.codes), 1, len(words), self.codes.letters[2], self.table, self.mixer, self.bits)
 
     def of(self, t: Tokens, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """log10 of each token's probability."""
         symbol = symbols(t, place, self.codes)
-        cost = step_costs(word_steps(t, self.codes, symbol, hashes), 0, len(t.number), self.codes.words[4], self.table, self.mixer, self.bits)
+        cost = step_costs(word_steps(t, self.codes, symbol, hashes), 0, len(t.number), self.codes.words[2], self.table, self.mixer, self.bits)
         other = np.flatnonzero((place < 0) | (place >= self.codes.coded)).tolist()
         own = np.zeros(len(t.distinct))
         new = []

@@ -344,7 +344,7 @@ def test_language_model_mixes_and_refines_on_every_bit():
     bits = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(symbol))
     assert length.max() > 14 and (bits == length[symbol]).all() and len(steps) > 2
     counts, mixer = np.zeros(2 * lm_scores.SLOTS, np.int32), lm_scores.Mixer.new()
-    assert lm_scores.learned(iter(steps), 0, codes.words[4], counts, mixer) == bits.sum() == mixer.seen[0].sum()
+    assert lm_scores.learned(iter(steps), 0, codes.words[2], counts, mixer) == bits.sum() == mixer.seen[0].sum()
     assert counts.sum() == 2 * bits.sum()
 
 
@@ -365,10 +365,10 @@ def naive_scores(rows, codes, table, mixer):
     mixed = lambda *parts: functools.reduce(lambda h, p: (lambda x: x ^ x >> 15)((h ^ p) * k1 & m32), parts, 0)
 
     def bits(kind, code, symbol, contexts, gate):
-        first, nodes, bit, _, own = code
+        first, steps, own = code
         total = 0.0
         for j, at in enumerate(range(first[symbol], first[symbol + 1])):
-            node, g = int(nodes[at]), min(j, lm_scores.GATES - 1) if gate is None else gate
+            node, g = int(steps[at]) >> 5, min(j, lm_scores.GATES - 1) if gate is None else gate
             mix = mixer.weights[kind][g, 0, lm_scores.LEVELS - 1] * own[node]
             for i, c in enumerate(contexts):
                 start, n = lm_scores.SHARES[kind][i]
@@ -377,11 +377,11 @@ def naive_scores(rows, codes, table, mixer):
                 v = int(table[h * n * (lm_scores.SLOTS // 16) // (1 << 32) + start * (lm_scores.SLOTS // 16)])
                 mix += mixer.weights[kind][g, i + 1, v & 15] * ((v >> 4) - 2048) * 24 / 4096
             p = float(mixer.refined(kind, np.array([min(11, max(-11, mix))], np.float32), np.array([g]))[0])
-            total += math.log10(p if bit[at] else 1 - p)
+            total += math.log10(p if int(steps[at]) & 1 else 1 - p)
         return total
 
     out, parts = [], []
-    place = {w: i + 2 for i, w in enumerate(list(codes.counts)[: codes.coded])}
+    place = {w: i + 2 for i, w in enumerate(codes.frequent[: codes.coded])}
     for _, text in rows:
         words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
         h = [xxhash.xxh3_64_intdigest(w) for w in words] + [0]

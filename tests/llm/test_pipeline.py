@@ -3,14 +3,13 @@
 import collections
 import re
 
-import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from quantloom.llm import simhash
-from quantloom.llm.common import lower_words
+
+from test_near_copies import brute
 
 DATA = "/root/testdata/sf0.01"
 
@@ -30,20 +29,8 @@ def test_stages(spark):
     kept = cp.STAGES[1][1](spark, kept, DATA).cache()
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == ids  # all have letters of a known language
 
-    # one document of each component of fingerprints within two bits
-    rows = sorted(kept.collect(), key=lambda r: r.doc_id)
-    fps = np.array([simhash.simhash64(lower_words(r.text.encode())) for r in rows], np.uint64)
-    seen, want = set(), set()
-    for i, r in enumerate(rows):
-        if i in seen:
-            continue
-        want.add(r.doc_id)
-        todo = [i]
-        while todo:
-            j = todo.pop()
-            if j not in seen:
-                seen.add(j)
-                todo += np.flatnonzero(np.bitwise_count(fps ^ fps[j]) <= 2).tolist()
+    # one document of each component of five-word likeness
+    want = brute(sorted((r.doc_id, r.text) for r in kept.collect()))
     kept = cp.STAGES[2][1](spark, kept, DATA).cache()
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == want
 
@@ -70,3 +57,41 @@ def test_stages_keep_rows_with_nulls_and_extra_columns(spark):
         assert out.columns == docs.columns, name
         assert {r.score for r in out.where(F.col("doc_id") == 3).collect()} == {0.5}, name
     assert cp.STAGES[1][1](spark, docs, "/root/testdata/sf0.001").where("doc_id = 1").count() == 0
+
+
+SMALL = "/root/testdata/sf0.001"
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, __nth int, __leak int, __row int, __rest int, score double, predicted int"
+
+
+def row(i, text, lang="en"):
+    return (i, text, lang, "s", None, 1, 2, 3, 4, 0.5, 6)
+
+
+def test_stages_take_empty_tables_and_clashing_names(spark):
+    none = spark.createDataFrame([], KINDS)
+    for name, stage in cp.STAGES:
+        out = stage(spark, none, SMALL)
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns), name
+    some = spark.createDataFrame([row(i, f"some words of text {i} and words that no other text of these has so far") for i in range(6)], KINDS)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, some, SMALL).collect()
+        assert len(out) == 6 and all(tuple(r)[5:] == (1, 2, 3, 4, 0.5, 6) for r in out), name
+
+
+def test_stages_keep_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"word{i % 5000} and" for i in range(60_000))
+    docs = spark.createDataFrame([row(1, long), row(2, "one short text of a few words"), row(2, "one short text of a few words"), row(2, "another text that has the same number"), row(None, long + " end")], KINDS)
+    for name, stage in cp.STAGES[:2] + cp.STAGES[3:4]:
+        assert stage(spark, docs, SMALL).count() == 5, name
+    kept = cp.STAGES[2][1](spark, docs, SMALL).collect()  # copies go, whatever ids they share
+    assert sorted((r.doc_id, r.text[:7]) for r in kept) == [(1, "word0 a"), (2, "another"), (2, "one sho")]
+    assert sum(r.length for r in cp.STAGES[4][1](spark, docs, SMALL).collect()) > 200_000
+
+
+def test_run_chains_the_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in cp.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SMALL).toArrow())
+    want = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in docs.collect())
+    got = cp.run(spark, SMALL)
+    assert {r.doc_id for r in got.collect()} == {w[0] for w in want} and sum(w[2] for w in want) == got.agg(F.sum("length")).first()[0]
