@@ -6,7 +6,8 @@ filter, which loses none: of two such sets, in any one order of all
 shingles, the first n - ceil(0.8 n) + 1 of both share one. The order is
 by hash, very common shingles last; which count as common bears on the speed alone. Those that share a shingle of their prefixes are
 compared with the least of them first, then only across the components that this leaves, so a large group of copies needs no pairs.
-Shingles are 63-bit hashes; texts with equal sets are one node.
+Pairs whose sets' parities differ too much are left out before sets meet. Shingles are 63-bit hashes, of which 32 bits are compared; texts
+with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -88,6 +89,37 @@ def fingerprints_of(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.int64)
 
 
+def parities(bounds: np.ndarray, shingles: np.ndarray) -> pa.Array:
+    """For each text's set, the parity of how many shingles fall in each of 64 or more slots (a power of two, the set's size or more, at most
+    2 ** 16), as bytes. Two sets differ in at least as many shingles as their parities in bits; longer parities fold to shorter ones."""
+    size = np.minimum(np.maximum(np.diff(bounds), 64), 1 << 16)
+    bits = 1 << np.ceil(np.log2(size)).astype(np.int64)
+    ends = np.cumsum(bits)
+    own = np.repeat(np.arange(len(bits)), np.diff(bounds))
+    slot = (shingles & (bits[own] - 1).astype(np.uint64)).astype(np.int64) + (ends - bits)[own]
+    odd = np.bincount(slot, minlength=int(ends[-1]) if len(ends) else 0) & 1
+    return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(np.r_[0, ends // 8].astype(np.int32)), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))])
+
+
+def may_be_alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """pairs(a, b) without those whose parities, in known(node, size, bits), show that they differ in too many shingles: none alike is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, s in zip(b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
+                p, q = sorted((np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), key=len)
+                while len(q) > len(p):
+                    q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+                keep.append((OF + LEAST) * int(np.bitwise_count(p ^ q).sum()) <= (OF - LEAST) * s)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    x = known.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("size").alias("n"))
+    y = known.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("size").alias("m"))
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("s")).mapInArrow(run, "a long, b long"))
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,14 +133,14 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sets(node, shingles) have the least likeness."""
+    """Those of pairs(a, b) whose sets(node, shingles; 32 bits of each) have the least likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                both = len(np.intersect1d(p, q))
                 keep.append(OF * both >= LEAST * (len(p) + len(q) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
@@ -137,11 +169,11 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
                 head = np.where(size > 0, size - (LEAST * size + OF - 1) // OF + 1, 0)
                 at = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(head)[:-1]]), head) + np.arange(int(head.sum()))
                 heads = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(head)]).astype(np.int32), pa.array(shingles[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row + np.arange(part.num_rows)), pa.array(nodes_of(bounds, shingles)), pa.array(fingerprints_of(bounds, shingles)), pa.array(size), heads], names=[*part.schema.names, "__row", "__node", "__fp", "__size", "__heads"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row + np.arange(part.num_rows)), pa.array(nodes_of(bounds, shingles)), pa.array(fingerprints_of(bounds, shingles)), parities(bounds, shingles), pa.array(size), heads], names=[*part.schema.names, "__row", "__node", "__fp", "__bits", "__size", "__heads"])
                 row += part.num_rows
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    rows = written(plain.mapInArrow(numbered, f"{kinds}, __row long, __node long, __fp long, __size long, __heads array<long>"))
+    rows = written(plain.mapInArrow(numbered, f"{kinds}, __row long, __node long, __fp long, __bits binary, __size long, __heads array<long>"))
     # the first row of equal sets speaks for them, by its number, which is shorter than the set's
     nodes = written(rows.groupBy("__node").agg(F.min("__row").alias("node")))
     heads = rows.select(F.col("__row").alias("node"), "__size", "__heads").join(nodes.select("node"), "node", "left_semi")
@@ -156,8 +188,8 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 bounds, shingles = shingle_sets(part.column(1), np.zeros(0, np.uint64))
-                raw = shingles.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "shingles"])
+                raw = (shingles >> np.uint64(31)).astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[4 * i : 4 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
     def likely(x: DataFrame) -> DataFrame:
         """Pairs whose sizes, and what follows this shingle in both orders, let them be alike; at the first that alike ones share they pass."""
@@ -165,12 +197,13 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
         return written(x.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
+        pairs = may_be_alike(pairs, prints)
         met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         texts = rows.select(F.col("__row").alias("node"), "text").join(met, "node", "left_semi").select("node", "text")
         return alike(pairs, written(texts.mapInArrow(setted, "node long, shingles binary")))
 
     # fingerprints within two bits: each node with the least of its fingerprint, and these with each other
-    prints = written(rows.where("__size > 0").select(F.col("__row").alias("node"), F.col("__fp").alias("fp")).join(nodes.select("node"), "node", "left_semi"))
+    prints = written(rows.where("__size > 0").select(F.col("__row").alias("node"), F.col("__fp").alias("fp"), F.col("__bits").alias("bits"), F.col("__size").alias("size")).join(nodes.select("node"), "node", "left_semi"))
     least = prints.groupBy("fp").agg(F.min("node").alias("a"))
     near = linked(least).join(least.select(F.col("fp").alias("x"), F.col("a").alias("p")), F.col("a") == F.col("x")).select("p", "b")
     near = near.join(least.select(F.col("fp").alias("y"), F.col("a").alias("q")), F.col("b") == F.col("y")).select("p", "q")
