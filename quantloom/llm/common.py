@@ -43,15 +43,19 @@ def with_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Arra
     """
     new = [f.name for f in schema]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    out = T.StructType([df.schema[c] for c in kept] + list(schema))
+    names, at = df.columns, [df.columns.index(c) for c in kept]
+    # columns have plain names on the way, as Spark takes a dot for a field
+    plain = [f"c{i}" for i in range(len(kept) + len(new))]
+    kinds = [*[df.schema[i] for i in at], *schema]
+    out = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(plain, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.rename_columns(names)):
                 made = fn(part)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [made[c] for c in new], names=[*kept, *new])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in at], *[made[c] for c in new]], names=plain)
 
-    return df.mapInArrow(run, out)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, out).toDF(*kept, *new)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -148,12 +152,43 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table of the shared checkpoint folder, lineage cut: smaller than a checkpoint, and readers take only the columns they need."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    """df as a Parquet table of the shared checkpoint folder, lineage cut: smaller than a checkpoint, and readers take only the columns they need.
+
+    The table goes when the application ends, or with `dropped`.
+    """
+    path = scratch_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Like `written`, in n buckets by key, so that tables of as many buckets join on it without an exchange."""
+    path = scratch_path(df.sparkSession)
+    name = "scratch_" + path.rpartition("/")[2]
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` or `bucketed` have made; nobody may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if re.fullmatch("[0-9a-f]{32}", at.getName()):
+                if spark.catalog.tableExists(f"scratch_{at.getName()}"):
+                    spark.sql(f"DROP TABLE scratch_{at.getName()}")
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def crc32(x: bytes) -> int:
     return binascii.crc32(x)
 

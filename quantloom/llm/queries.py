@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .clusters import cluster_embeddings
 from .common import table
 from .decontamination import leaks
 from .langid import identify_documents
+from .licenses import scan_documents
 from .lm_scores import score_documents
 from .packing import pack_conversations, pack_texts
 from .quality import rate_documents
 from .sharding import histogram_sort
 from .simhash import near_duplicates
 from .sketches import fingerprint_edits
+from .spellings import spelling_variants
 from .token_counts import count_tokens
 from .toxicity import detect_documents
 
@@ -65,6 +69,18 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 on instruction data, where tokens, segments and loss are three limits."""
     return pack_conversations(table(spark, sf_dir, "conversations"), tokenizer_path("byte_bpe_50k.json"))
@@ -82,9 +98,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_string_kernel_language": op8_string_kernel_language,
         "op9_benchmark_leaks": op9_benchmark_leaks,
         "op10_vector_packing": op10_vector_packing,
+        "op11_delta_lloyd": op11_delta_lloyd,
+        "op12_errata_trie": op12_errata_trie,
+        "op13_license_scan": op13_license_scan,
         "conversation_packing": conversation_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_delta_lloyd": oracles.cluster_embeddings(), "op13_license_scan": oracles.license_scan()}
