@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import col, log_positive, mean_present, sdiv
-from ..functions.windows import lag, lead, rank_pct, roll_max, roll_mean, roll_std, running
+from ..functions.windows import by_code, lag, lead, rank_pct, roll_max, roll_mean, roll_std, running
 
 
 def momentum(n: int) -> Column:
@@ -74,22 +76,44 @@ def volume_trend(n: int) -> Column:
     return F.col("pvt") - lag("pvt", n)
 
 
-def rsi(panel: DataFrame, n: int = 14) -> DataFrame:
-    """panel's code and date with Wilder's relative strength: gains and losses smoothed by 1 / n, null for the first n rows.
+def smoothed(panel: DataFrame, alpha: float, **columns: str) -> DataFrame:
+    """panel with new columns, each the exponential smoothing of another by date: y = (1 - alpha) * y before + alpha * x, from the first x on; nulls change nothing.
 
-    A recurrence of first order over each code's rows, which no window expresses; a code's rows are one group of prices.
+    Each row is the map y -> a * y + b, and maps of rows in a row compose to one of the same form. In blocks of rows they compose by running sums of b scaled by powers
+    of a; each row then takes the end of the block before. Blocks are as long as the powers fit a double, so that what comes from further back is below its
+    smallest step. Windows by code, one exchange.
     """
+    a = 1 - alpha
+    size = max(1, int(-550 / math.log(a))) if 0 < a < 1 else 1
+    upto = by_code().rowsBetween(Window.unboundedPreceding, 0)
+    for name, x in columns.items():
+        panel = panel.withColumn("__n", F.count(x).over(upto) - 1).withColumns({"__block": F.floor(F.col("__n") / size), "__k": F.col("__n") % size})
+        # the first value stands for all before it
+        step = F.col(x) * F.when(F.col("__n") == 0, 1.0).otherwise(alpha)
+        inside = Window.partitionBy("code", "__block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        panel = panel.withColumn("__own", F.sum(F.when(F.col(x).isNotNull(), step * F.pow(F.lit(a), -F.col("__k")))).over(inside) * F.pow(F.lit(a), F.col("__k")))
+        ended = F.when((F.col("__k") == size - 1) & F.col(x).isNotNull(), F.col("__own"))
+        before = F.last(ended, ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, -1))
+        panel = panel.withColumn("__before", before)
+        # rows after a block's end without a value of their own belong to it still
+        carried = F.when(F.col("__block") > 0, F.col("__before") * F.pow(F.lit(a), F.col("__k") + 1))
+        panel = panel.withColumn(name, F.when(F.col("__n") >= 0, F.col("__own") + F.coalesce(carried, F.lit(0.0)))).drop("__n", "__block", "__k", "__own", "__before")
+    return panel
+
+
+def with_rsi(panel: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
+    """panel with Wilder's relative strength: gains and losses smoothed by 1 / n, null for the first n rows and for rows without a close."""
+    step = F.col("close") - lag("close")
+    made = smoothed(panel.withColumn("__step", step).withColumns({"__gain": F.greatest("__step", F.lit(0.0) * F.col("__step")), "__loss": F.greatest(-F.col("__step"), F.lit(0.0) * F.col("__step"))}), 1 / n, __up="__gain", __down="__loss")
+    made = made.withColumn("__seen", F.count("__step").over(by_code().rowsBetween(Window.unboundedPreceding, 0)))
+    up, down = F.col("__up"), F.col("__down")
+    value = F.when((down == 0) & (up > 0), 100.0).when(down == 0, 50.0).otherwise(100 - 100 / (1 + sdiv(up, down)))
+    return made.withColumn(name, F.when((F.col("__seen") >= n) & F.col("close").isNotNull(), value)).drop("__step", "__gain", "__loss", "__up", "__down", "__seen")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        step = group["close"].diff()
-        up = step.clip(lower=0).ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        down = (-step).clip(lower=0).ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        value = 100 - 100 / (1 + up / down.where(down != 0))
-        value = value.mask((down == 0) & (up > 0), 100.0).mask((down == 0) & (up == 0), 50.0)
-        return pd.DataFrame({"code": group["code"], "date": group["date"], "rsi": value})
 
-    return panel.select("code", "date", "close").groupBy("code").applyInPandas(run, "code string, date date, rsi double")
+def rsi(panel: DataFrame, n: int = 14) -> DataFrame:
+    """code, date and rsi of `with_rsi`."""
+    return with_rsi(panel.select("code", "date", "close"), n).select("code", "date", "rsi")
 
 
 def technical(panel: DataFrame, *, spans: dict[str, int] | None = None) -> DataFrame:
@@ -111,7 +135,7 @@ DEFAULT_SPANS = {
 
 
 def default_set(panel: DataFrame, spans: dict[str, tuple] | None = None) -> DataFrame:
-    """code, date and the default technical factors, <factor>_<span>: windows share one exchange by code, the rsi's recurrence takes another.
+    """code, date and the default technical factors, <factor>_<span>: all windows, those of the rsi's recurrence as well, share one exchange by code.
 
     turnover is the panel's column of that name.
     """
@@ -123,10 +147,10 @@ def default_set(panel: DataFrame, spans: dict[str, tuple] | None = None) -> Data
     spans = DEFAULT_SPANS if spans is None else spans
     base = with_volume_trend(with_true_range(with_day_return(panel)))
     columns = {f"{k}_{n}" if n else k: made[k](n) for k, ns in spans.items() if k != "rsi" for n in ns}
-    out = base.select("code", "date", *[c.alias(k) for k, c in columns.items()])
+    kept = [f"rsi_{n}" for n in spans.get("rsi", ())]
     for n in spans.get("rsi", ()):
-        out = out.join(rsi(panel, n).withColumnRenamed("rsi", f"rsi_{n}"), ["code", "date"])
-    return out
+        base = with_rsi(base, n, f"rsi_{n}")
+    return base.select("code", "date", *[c.alias(k) for k, c in columns.items()], *kept)
 
 
 def features(panel: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -133,11 +134,38 @@ def risk_ratios(series: DataFrame, ret: str = "ret", year: float = 252.0) -> Dat
     )
 
 
+def order_statistic(df: DataFrame, x: str, k: int, probes: int = 32, most: int = 10_000) -> float | None:
+    """The value at place k (from 0) of x in rising order, exact; nulls take no part, null beyond the last.
+
+    Rounds count the rows below probes, which a sketch of the rows left sets, and keep the interval between two probes that holds the place, until it has at most
+    `most` rows: those are read. No sort of all rows, nothing of them in one task.
+    """
+    v = col(x)
+    left, below = df.where(v.isNotNull()), 0
+    while True:
+        r = left.agg(F.count(v).alias("n"), F.percentile_approx(v, [i / (probes - 1) for i in range(probes)], 1000).alias("c")).first()
+        if k < below or k - below >= r.n:
+            return None
+        if r.n <= most:
+            return sorted(x[0] for x in left.select(v).collect())[k - below]
+        cuts = sorted(set(r.c))
+        row = left.agg(*[F.count_if(v < c).alias(f"a{i}") for i, c in enumerate(cuts)], *[F.count_if(v <= c).alias(f"b{i}") for i, c in enumerate(cuts)]).first()
+        under, upto = [below + row[f"a{i}"] for i in range(len(cuts))], [below + row[f"b{i}"] for i in range(len(cuts))]
+        for i, c in enumerate(cuts):
+            if under[i] <= k < upto[i]:
+                return c
+        at = max((i for i in range(len(cuts)) if upto[i] <= k), default=None)
+        keep = F.lit(True) if at is None else v > cuts[at]
+        if at is None or at + 1 < len(cuts):
+            keep = keep & (v < cuts[0 if at is None else at + 1])
+        left, below = left.where(keep), below if at is None else upto[at]
+
+
 def value_at_risk(series: DataFrame, ret: str = "ret", confidence: float = 0.95) -> DataFrame:
-    """One row: the return at the place n * (1 - confidence) from the lowest."""
-    return series.where(col(ret).isNotNull()).withColumn("nth", F.row_number().over(Window.orderBy(ret, "date"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).where(
-        F.col("nth") - 1 == F.floor(F.round(F.col("n") * (1 - confidence), 9))
-    ).select(F.col(ret).alias("value_at_risk"))
+    """One row: the return at the place n * (1 - confidence) from the lowest; none without returns."""
+    n = series.agg(F.count(col(ret)).alias("n")).first().n
+    value = order_statistic(series, ret, math.floor(round(n * (1 - confidence), 9))) if n else None
+    return series.sparkSession.createDataFrame([(value,)] if n else [], "value_at_risk double")
 
 
 def correlations(wide: DataFrame, names: list[str]) -> DataFrame:

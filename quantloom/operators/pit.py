@@ -39,25 +39,61 @@ def latest(df: DataFrame, as_of: str, key: str = "code", known: str = "available
     return best.select(key, "r.*")
 
 
-def as_of_join(left: DataFrame, facts: DataFrame, columns: list[str], key: str = "code", on: str = "date", known: str = "available_date", tie: str = "fact_id") -> DataFrame:
+def date_edges(dates: DataFrame, on: str, ranges: int) -> list:
+    """At most ranges - 1 dates that cut dates(on) into ranges of about as many rows, by a sketch of quantiles."""
+    if ranges < 2:
+        return []
+    places = [i / ranges for i in range(1, ranges)]
+    cuts = dates.select(F.percentile_approx(F.unix_date(F.col(on).cast("date")), places, 1000).alias("c")).first().c
+    return sorted(set(cuts or []))
+
+
+def range_of(on: str, edges: list) -> Column:
+    """The number of a date's range."""
+    day = F.unix_date(F.col(on).cast("date"))
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<int>"), lambda e: e <= day)) if edges else F.lit(0)
+
+
+def as_of_join(left: DataFrame, facts: DataFrame, columns: list[str], key: str = "code", on: str = "date", known: str = "available_date", tie: str = "fact_id", ranges: int = 16) -> DataFrame:
     """left with the facts' columns as last known on each row's date, that day's included; null before the first.
 
-    Both sides meet in one shuffle by key and one sort: facts come before rows of the same date, and the last one is carried on. A key
-    with very many rows makes one long partition; split it by ranges of dates and carry the last fact of each range over if so.
+    Two levels: dates are cut into ranges, and facts and rows of a key and a range meet in one sort, facts before rows of the same date, the last one carried on. A
+    range's last fact goes to the ranges after it by a table of a row a key and range, joined on the partitioning that is there already. So a key with very many
+    rows is sorted by several tasks.
     """
     f = facts.where(F.col(known).isNotNull()).select(key, F.col(known).alias(on), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.struct(*columns).alias("__fact"))
+    edges = date_edges(left.select(on), on, ranges)
+    f = f.withColumn("__range", range_of(on, edges))
     rest = [c for c in left.columns if c not in (key, on)]
-    both = left.select(key, on, F.lit(1).alias("__side"), F.struct(*rest).alias("__row")).unionByName(f, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(on, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("__fact", F.last("__fact", ignorenulls=True).over(w)).where("__side = 1")
-    return carried.select(key, on, *[F.col("__row")[c].alias(c) for c in rest], *[F.col("__fact")[c].alias(c) for c in columns])
+    both = left.select(key, on, F.lit(1).alias("__side"), F.struct(*rest).alias("__row"), range_of(on, edges).alias("__range")).unionByName(f, allowMissingColumns=True)
+    w = Window.partitionBy(key, "__range").orderBy(on, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("__fact", F.last("__fact", ignorenulls=True).over(w)).where("__side = 1")
+    if edges:
+        # each task keeps a row a key and range; then a key has at most as many rows as there are ranges
+        ends = f.groupBy(key, "__range").agg(F.max_by("__fact", F.struct(on, "__tie")).alias("__end"))
+        until = F.lead("__range", 1, len(edges) + 1).over(Window.partitionBy(key).orderBy("__range"))
+        to = F.least(F.col("__until"), F.lit(len(edges)))
+        carry = ends.withColumn("__until", until).select(key, "__end", F.explode(F.when(F.col("__range") < to, F.sequence(F.col("__range") + 1, to))).alias("__range"))
+        own = own.join(carry, [key, "__range"], "left").withColumn("__fact", F.coalesce("__fact", "__end"))
+    return own.select(key, on, *[F.col("__row")[c].alias(c) for c in rest], *[F.col("__fact")[c].alias(c) for c in columns])
 
 
 def snapshots(dates: DataFrame, facts: DataFrame, columns: list[str], key: str = "code", known: str = "available_date", tie: str = "fact_id") -> DataFrame:
-    """For each of dates(date) and each key, the last fact known then: as-of joined on the grid of both, no pairs by range."""
-    keys = facts.where(F.col(known).isNotNull()).groupBy(key).agg(F.min(known).alias("__first"))
-    grid = keys.join(dates.select("date"), F.col("date") >= F.col("__first")).select(key, "date")
-    return as_of_join(grid, facts, columns, key, "date", known, tie)
+    """For each of dates(date) and each key, the last fact known then.
+
+    Dates are numbered; a merge of both kinds of dates (a row a date) tells each known date the first number from it on. A fact holds from there to
+    the next fact of its key, so its rows are a run of numbers: no grid and no join of ranges.
+    """
+    days = dates.select("date").distinct().withColumn("n", F.row_number().over(Window.orderBy("date")))  # a row a date
+    asked = facts.where(F.col(known).isNotNull()).select(F.col(known).alias("date")).distinct()
+    after = Window.orderBy("date", F.col("n").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    start = asked.withColumn("n", F.lit(None).cast("int")).unionByName(days).withColumn("from", F.first("n", ignorenulls=True).over(after)).where("n IS NULL AND from IS NOT NULL").select(F.col("date").alias(known), "from")
+    # of the facts that start on one date the last; each task keeps one a key and date
+    held = facts.join(start, known).groupBy(key, "from").agg(F.max_by(F.struct(*columns), F.struct(known, tie)).alias("__fact"))
+    until = F.lead("from").over(Window.partitionBy(key).orderBy("from"))
+    last = days.agg(F.max("n").alias("__last"))  # one row
+    runs = held.withColumn("__until", until).crossJoin(F.broadcast(last)).select(key, "__fact", F.explode(F.sequence("from", F.coalesce(F.col("__until") - 1, F.col("__last")))).alias("n"))
+    return runs.join(days, "n").select(key, "date", *[F.col("__fact")[c].alias(c) for c in columns])
 
 
 def audit(df: DataFrame) -> DataFrame:

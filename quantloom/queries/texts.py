@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import text as op
+from ..operators import vectors
 from ..sources import tables as src
 from .registry import query, r6
 
@@ -63,7 +64,7 @@ def claim_agreements(spark, sf):
 def vector_topk(spark, sf):
     """The five nearest of all vectors to each whose id is divisible by 100."""
     v = src.table(spark, sf, "embeddings")
-    return op.nearest_of_each(v, v.where("vec_id % 100 = 0"), 5).select("query", "vec_id", r6("likeness").alias("likeness"))
+    return vectors.nearest_of_each(v, v.where("vec_id % 100 = 0"), 5).select("query", "vec_id", r6("likeness").alias("likeness"))
 
 
 @query("WITH c AS (SELECT conv_id, len(regexp_extract_all(text, '[0-9]+')) AS n FROM conversations) SELECT conv_id, count(*) AS claims, round(avg(CASE WHEN n >= 3 THEN 100 WHEN n = 2 THEN 70 WHEN n = 1 THEN 35 ELSE 0 END),6)+0.0 AS score FROM c GROUP BY conv_id")
