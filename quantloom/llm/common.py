@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import binascii
-import re
-import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import bucketed, checkpoint, dropped, shared_folder, written
+
+__all__ = ["Tokens", "bucketed", "checkpoint", "crc32", "dropped", "fold", "labelled_sample", "lower_words", "pack_array", "schema", "shared_folder", "slices", "sole_memory", "table", "text_bytes", "texts", "tokens_of", "unpack_array", "with_columns", "written"]
+
 #: Text bytes that one vectorized step works on; bounds a task's memory whatever the Arrow batch holds.
 SLICE_BYTES = 4_000_000
 
@@ -130,65 +131,6 @@ def unpack_array(x: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), dtype)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share. Only a session that runs in one machine gets a folder of its own where none is set."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table of the shared checkpoint folder, lineage cut: smaller than a checkpoint, and readers take only the columns they need.
-
-    The table goes when the application ends, or with `dropped`.
-    """
-    path = scratch_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Like `written`, in n buckets by key, so that tables of as many buckets join on it without an exchange."""
-    path = scratch_path(df.sparkSession)
-    name = "scratch_" + path.rpartition("/")[2]
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
-def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_folder(spark)}/{uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that `written` or `bucketed` have made; nobody may read them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            if re.fullmatch("[0-9a-f]{32}", at.getName()):
-                if spark.catalog.tableExists(f"scratch_{at.getName()}"):
-                    spark.sql(f"DROP TABLE scratch_{at.getName()}")
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def crc32(x: bytes) -> int:
     return binascii.crc32(x)
 

@@ -97,7 +97,8 @@ def light_steps(words: DataFrame) -> DataFrame:
     path = steps(words)
     counts = path.groupBy("node", "ch").agg(F.count(F.lit(1)).alias("c"))
     best = F.max(F.struct(F.col("ch") != "", "c", "ch"))  # the end of a word is never the heavy child
-    heavy = counts.groupBy("node").agg(best.alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", F.col("x.ch").alias("heavy"))
+    # a table of its own, so that the join stands between two exchanges and adaptive execution can split the topmost nodes
+    heavy = written(counts.groupBy("node").agg(best.alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", F.col("x.ch").alias("heavy")))
     return path.join(heavy, "node").where("ch != heavy").select("id", "at", "ch", "then", "heavy")
 
 
