@@ -21,6 +21,9 @@ from .common import bucketed, dropped
 #: Largest size of an integer component; squared distances of 64 of them fit a long.
 MOST = 1 << 27
 
+#: Sums of tasks come to the driver in so many rows at most.
+GROUPS = 32
+
 STATE = "row long, owner int, distance long, transfers array<long>"
 
 
@@ -91,6 +94,16 @@ def _round(rows: DataFrame, centroids: Sequence[Sequence[int]], changed: Sequenc
     return rows.select("row", "q", "owner", "distance").mapInArrow(run, STATE)
 
 
+def summed(tasks: DataFrame) -> DataFrame:
+    """transfers of tasks(row, transfers), a row a task, added up to at most GROUPS rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        total = np.stack(rows.column("transfers").to_numpy(zero_copy_only=False)).sum(axis=0)
+        return pa.table({"transfers": pa.array([total], pa.list_(pa.int64()))})
+
+    return tasks.select("transfers", F.pmod(F.xxhash64("row"), F.lit(GROUPS)).alias("part")).groupBy("part").applyInArrow(run, "transfers array<long>")
+
+
 def delta_lloyd(vectors: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed: str = "3", key: str = "vec_id", x: str = "embedding") -> tuple[DataFrame, list[tuple[int, ...]]]:
     """(key, cluster, distance) of each usable vector, and the final centroids.
 
@@ -109,9 +122,8 @@ def delta_lloyd(vectors: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64,
     state = bucketed(_round(base.withColumns({"owner": F.lit(-1), "distance": F.lit(0).cast("long")}), centroids, [True] * k), "row", n)
     sums = np.zeros((k, 1 + dim), object)  # of Python's integers
     for _ in range(rounds):
-        moves = state.where("transfers IS NOT NULL").select(F.posexplode("transfers").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # k * (1 + dim) rows
-        for r in moves:
-            sums[r["at"] // (1 + dim), r["at"] % (1 + dim)] += r["x"]
+        for r in summed(state.where("transfers IS NOT NULL")).collect():  # GROUPS rows at most
+            sums += np.array(r["transfers"], object).reshape(sums.shape)
         now = [tuple(int(s) // int(row[0]) for s in row[1:]) if row[0] else c for row, c in zip(sums, centroids, strict=True)]
         changed = [a != b for a, b in zip(now, centroids, strict=True)]
         centroids = now
