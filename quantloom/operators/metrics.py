@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.num import col, sdiv
+from ..functions.num import col, finite, sdiv
 from ..functions.windows import by_code, by_date, average_rank, lag, lead, quantile_by_cut, quantile_by_rank, quantile_by_value, scorr
 
 
@@ -175,6 +179,50 @@ def correlations(wide: DataFrame, names: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
+def gram_correlations(wide: DataFrame, names: list[str], least: int = 30, block: int = 64) -> DataFrame:
+    """a, b, n, corr of every two of the named columns over the rows where both are known; null below `least` rows or if one is constant there.
+
+    Each task multiplies its rows once for all pairs and hands on counts and sums in blocks of block x block pairs; blocks are summed in two steps by a shuffle, so the
+    plan has the same size for two columns and for hundreds. Columns are shifted by their means first, so that sums of squares don't cancel.
+    """
+    spark, s = wide.sparkSession, len(names)
+    plain = wide.select(*[finite(c).alias(f"c{i}") for i, c in enumerate(names)])
+    means = plain.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in plain.columns]).first()
+    sent = spark.sparkContext.broadcast(np.array(means, np.float64))  # a number a column
+    cuts = [(at, min(at + block, s)) for at in range(0, s, block)]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, s, s))
+        for b in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in b.columns]) - sent.value
+            m = (~np.isnan(x)).astype(np.float64)
+            x = np.where(m > 0, x, 0.0)
+            sums += (m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x)
+        rows = [(i, j, sums[:, a:b, c:d].ravel()) for i, (a, b) in enumerate(cuts) for j, (c, d) in enumerate(cuts) if j >= i]
+        part = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["i", "j", "part", "sums"])
+
+    def total(rows: pa.Table) -> np.ndarray:
+        return np.stack(rows.column("sums").to_numpy()).sum(axis=0)
+
+    def merged(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"i": rows.column("i")[:1], "j": rows.column("j")[:1], "sums": pa.array([total(rows)], pa.list_(pa.float64()))})
+
+    def told(key: tuple, rows: pa.Table) -> pa.Table:
+        (a, b), (c, d) = cuts[key[0].as_py()], cuts[key[1].as_py()]
+        n, x, y, xx, yy, xy = total(rows).reshape(6, b - a, d - c)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy, cov = xx - x * x / n, yy - y * y / n, xy - x * y / n
+            ok = (n >= least) & (vx > 1e-12 * xx) & (vy > 1e-12 * yy)
+            corr = np.where(ok, np.clip(cov / np.sqrt(vx * vy), -1, 1), 0)
+        p, q = np.nonzero(np.arange(a, b)[:, None] < np.arange(c, d))
+        names_of = lambda at, k: pa.array([names[at + i] for i in k], pa.string())
+        return pa.table({"a": names_of(a, p), "b": names_of(c, q), "n": pa.array(n[p, q].astype(np.int64)), "corr": pa.array(corr[p, q], mask=~ok[p, q])})
+
+    parts = plain.mapInArrow(partial, "i int, j int, part int, sums array<double>")
+    return parts.groupBy("i", "j", "part").applyInArrow(merged, "i int, j int, sums array<double>").groupBy("i", "j").applyInArrow(told, "a string, b string, n long, corr double")
+
+
 def code_return(panel: DataFrame) -> DataFrame:
     return panel.select("date", "code", (sdiv("close", F.lag("close").over(by_code())) - 1).alias("ret"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.windows import average_rank, scorr
 from . import metrics
@@ -80,6 +83,74 @@ def walk_forward_days(signals: DataFrame, s: Split, x: str = "signal", y: str =
     return split.withColumn("part", part).where("part IS NOT NULL AND ic IS NOT NULL").groupBy("split", "part").agg(F.avg(c).alias("ic_mean"), F.try_divide(F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))).alias("ic_ir"), F.count(c).alias("n_days"))
 
 
+def with_splits(rows: DataFrame, days: DataFrame, s: Split, parts: Sequence[str] = ("train", "test")) -> DataFrame:
+    """rows(date, ...) once for each split and part that has their date, with columns split and part.
+
+    Days are numbered in days(date, ordinal), a row a date; the splits of an ordinal follow from arithmetic, so that there is no join of ranges.
+    """
+    n = days.agg(F.count(F.lit(1)).alias("n")).first().n
+    spans = [x for x in split_spans(n, s) if x[1] in parts]
+    step, o = s.step or s.test, F.col("ordinal")
+    last = max((k for k, *_ in spans), default=-1)
+    if last < 0:
+        return rows.select(F.lit(0).alias("split"), F.lit("").alias("part"), *rows.columns).where("false")
+    # the splits whose span holds the ordinal are those from the first that reaches it to the last that begins before it
+    reach = s.train + s.purge + s.test + s.embargo
+    first = F.lit(0) if s.expanding else F.greatest(F.lit(0), F.ceil((o - (reach - 1)) / step)).cast("int")
+    upto = F.least(F.lit(last), F.floor(o / step) if not s.expanding else F.lit(last)).cast("int")
+    named = days.select("date", o, F.explode(F.when(first <= upto, F.sequence(first, upto))).alias("split"))
+    at = F.col("split") * step
+    test = at + s.train + s.purge
+    inside = {"train": (F.lit(0) if s.expanding else at, at + s.train), "purge": (at + s.train, test), "test": (test, test + s.test), "embargo": (test + s.test, test + s.test + s.embargo)}
+    part = None
+    for p in parts:
+        lo, hi = inside[p]
+        hit = (o >= lo) & (o < hi)
+        part = F.when(hit, p) if part is None else part.when(hit, p)
+    marked = named.withColumn("part", part).where("part IS NOT NULL").select("date", "split", "part")
+    return rows.join(marked, "date").select("split", "part", *rows.columns)
+
+
+def walk_forward_with(rows: DataFrame, columns: Sequence[str], fit: Callable[[np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray], score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """rows(split, part, ...) of the test parts with `prediction`, by a model of the user's that is fitted to each split's train part.
+
+    fit(x) gives the sums that a batch x of rows (its columns, as doubles, null as NaN) adds; sums of all batches of a split are added up by a shuffle and finish(sums) makes the
+    model from them; score(x, model) gives a batch's predictions. So a split's rows are never in one place, however many. Models (one small array a split) go to
+    the tasks; a split without a model gives null.
+    """
+    names, split_at = list(columns), rows.columns.index("split")
+    kept = [c for c in rows.columns if c != "prediction"]
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([np.asarray(b.column(b.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in names])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            split, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b)
+            for k in np.unique(split):
+                more = np.asarray(fit(x[split == k]), np.float64)
+                total[int(k)] = total[int(k)] + more if int(k) in total else more
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["split", "sums"])
+
+    places = F.posexplode("sums").alias("at", "v")
+    sums = rows.where("part = 'train'").select("split", *names).mapInArrow(partial, "split int, sums array<double>").select("split", places).groupBy("split", "at").agg(F.sum("v").alias("v"))
+    found = sums.groupBy("split").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("sums")).collect()  # an array a split
+    models = rows.sparkSession.sparkContext.broadcast({r["split"]: np.asarray(finish(np.array(r["sums"]))) for r in found})
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split, x = b.column(split_at).to_numpy(zero_copy_only=False), matrix(b)
+            out = np.full(b.num_rows, np.nan)
+            for k in np.unique(split):
+                if k in models.value:
+                    out[split == k] = score(x[split == k], models.value[k])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], pa.array(out, mask=np.isnan(out))], names=[*kept, "prediction"])
+
+    kind = StructType([*[rows.schema[c] for c in kept], StructField("prediction", DoubleType())])
+    return rows.where("part = 'test'").mapInArrow(predicted, kind)
+
+
 def walk_forward_summary(wf: DataFrame, least: float = 0.0) -> DataFrame:
     """One row: splits, mean, median and deviation of the test parts, share that pass, and how train differs from test."""
     wide = wf.groupBy("split").agg(F.max(F.when(F.col("part") == "train", F.col("ic_mean"))).alias("train"), F.max(F.when(F.col("part") == "test", F.col("ic_mean"))).alias("test"))

@@ -57,15 +57,23 @@ def ranked(panel: DataFrame, nodes: Sequence[expr.Node], y: str = "fwd", batch:
     return sorted(out, key=lambda c: (-c.score, expr.canonical(c.node)))
 
 
-def uncorrelated(panel: DataFrame, found: Sequence[Candidate], most: float = 0.9) -> list[Candidate]:
-    """Those that, in order, correlate with none kept before by `most` or more; correlations of all pairs in one aggregation."""
+def uncorrelated(panel: DataFrame, found: Sequence[Candidate], most: float = 0.9, least: int = 30) -> list[Candidate]:
+    """Those that, in order, correlate with none kept before by `most` or more; pairs known together on fewer than `least` rows count as apart.
+
+    Correlations of all pairs come from one pass of blocked sums.
+    """
     if len(found) < 2:
         return list(found)
     wide = expr.evaluate(panel, {c.name: c.node for c in found})
-    corr = {frozenset((r.a, r.b)): abs(r.corr or 0.0) for r in metrics.correlations(wide, [c.name for c in found]).collect()}
+    return greedy(found, metrics.gram_correlations(wide, [c.name for c in found], least), most)
+
+
+def greedy(found: Sequence[Candidate], pairs: DataFrame, most: float) -> list[Candidate]:
+    """Candidates kept in order, by pairs(a, b, corr) of their names: only the pairs at `most` or above are read."""
+    near = {frozenset((r.a, r.b)) for r in pairs.where(F.abs("corr") >= most).select("a", "b").collect()}
     kept: list[Candidate] = []
     for c in found:
-        if all(corr[frozenset((c.name, k.name))] < most for k in kept):
+        if all(frozenset((c.name, k.name)) not in near for k in kept):
             kept.append(c)
     return kept
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import rank_pct
 from ..operators import factors as op
+from ..operators import lifecycle
 from ..operators import transforms as tr
 from .registry import bars, facts, query, rounded
 
@@ -167,3 +168,37 @@ query(
     "signals",
     name="orthogonalized",
 )(orthogonalized)
+
+
+@query(
+    """WITH k AS (SELECT code, date, signal AS y, ln(market_cap) AS a, CAST(regexp_extract(code, '(\\d+)$', 1) AS DOUBLE) AS b FROM signals WHERE signal IS NOT NULL AND market_cap > 0),
+    m AS (SELECT *, y - avg(y) OVER w AS yy, a - avg(a) OVER w AS aa, b - avg(b) OVER w AS bb, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY date)),
+    g AS (SELECT *, sum(aa * aa) OVER w AS saa, sum(aa * bb) OVER w AS sab, sum(bb * bb) OVER w AS sbb, sum(aa * yy) OVER w AS say, sum(bb * yy) OVER w AS sby, sum(yy * yy) OVER w AS syy FROM m WINDOW w AS (PARTITION BY date)),
+    r AS (SELECT code, date, n, yy - (say * sbb - sby * sab) / (saa * sbb - sab * sab) * aa - (sby * saa - say * sab) / (saa * sbb - sab * sab) * bb AS e, syy FROM g WHERE n > 3)
+    SELECT x.code, x.date, round(e,6)+0.0 AS residual, round(1 - sum(e * e) OVER (PARTITION BY x.date) / nullif(any_value(syy) OVER (PARTITION BY x.date), 0),6)+0.0 AS r2 FROM signals x LEFT JOIN r USING (code, date)""",
+    "signals",
+)
+def orthogonalized_two_controls(spark, sf):
+    """Residual of the signal on log size and the code's number, with the share that they explain; dates where only some codes have a signal count these."""
+    from .registry import signals
+
+    d = signals(spark, sf).select("code", "date", "signal", F.log("market_cap").alias("a"), F.regexp_extract("code", r"(\d+)$", 1).cast("double").alias("b"))
+    return rounded(tr.orthogonalize(d, "signal", ["a", "b"], diagnostics=True), "code", "date", residual="residual", r2="residual_r2")
+
+
+@query(
+    """WITH f AS (SELECT code, report_period AS date, arg_max(pe, fact_id) AS pe, arg_max(roe, fact_id) AS roe FROM facts WHERE coalesce(available_date, announcement_date) <= DATE '1998-12-31' GROUP BY code, report_period),
+    v AS (SELECT code, date, 1 / nullif(pe, 0) AS earnings_yield, roe FROM f), z AS (SELECT CASE WHEN stddev_pop(earnings_yield) OVER w > 1e-12 THEN (earnings_yield - avg(earnings_yield) OVER w) / stddev_pop(earnings_yield) OVER w WHEN earnings_yield IS NOT NULL THEN 0 END AS earnings_yield,
+      CASE WHEN stddev_pop(roe) OVER w > 1e-12 THEN (roe - avg(roe) OVER w) / stddev_pop(roe) OVER w WHEN roe IS NOT NULL THEN 0 END AS roe FROM v WINDOW w AS (PARTITION BY date))
+    SELECT * FROM (SELECT 'earnings_yield' AS factor, count(earnings_yield) AS n, round(count(earnings_yield) / count(*),6)+0.0 AS coverage, round(avg(earnings_yield),6)+0.0 AS mean, round(stddev_samp(earnings_yield),6)+0.0 AS std, round(min(earnings_yield),6)+0.0 AS smallest, round(max(earnings_yield),6)+0.0 AS largest FROM z
+      UNION ALL SELECT 'roe', count(roe), round(count(roe) / count(*),6)+0.0, round(avg(roe),6)+0.0, round(stddev_samp(roe),6)+0.0, round(min(roe),6)+0.0, round(max(roe),6)+0.0 FROM z)""",
+    "facts",
+)
+def factor_lifecycle(spark, sf):
+    """Diagnostics of two factors from facts known by the end of 1998, the last fact of each code and period; checks stand in the plan."""
+    f = facts(spark, sf).withColumn("date", F.col("report_period")).where("coalesce(available_date, announcement_date) <= DATE '1998-12-31'")
+    known = ["available_date", "announcement_date", "report_period", "pe", "roe"]
+    one = f.groupBy("code", "date").agg(F.max_by(F.struct(*known), "fact_id").alias("r")).select("code", "date", "r.*")
+    made = {"earnings_yield": op.fundamental()["earnings_yield"], "roe": F.col("roe").cast("double")}
+    _, found = lifecycle.run(one, {f"{k}_z": c for k, c in made.items()}, "1998-12-31", stages=lambda d, c: d.withColumn(c, tr.zscore(c)))
+    return rounded(found.withColumn("factor", F.regexp_replace("factor", "_z$", "")), "factor", "n", coverage="coverage", mean="mean", std="std", smallest="smallest", largest="largest")

@@ -142,6 +142,11 @@ def every_three_trigger(spark, sf):
     return st.every(_ticks(spark, sf)).select("code", "nth", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), r6("mean").alias("mean"))
 
 
+@query("SELECT user_id AS code, CAST(nth AS INT) AS nth, ts, event_id, round(value,6)+0.0 AS price FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 5")
+def recent_ticks(spark, sf):
+    return st.recent(_ticks(spark, sf), 5).select("code", "nth", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", r6("price").alias("price"))
+
+
 @query("SELECT event_id, user_id AS code, CASE WHEN value > 40 THEN 'price' ELSE 'error' END AS reason FROM events WHERE value > 40 OR event_type = 'error'")
 def anomaly_alerts(spark, sf):
     return st.alerts(_ticks(spark, sf), 40.0).select("event_id", "code", "reason")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.windows import scorr
 from ..operators import metrics as op
 from ..operators import panel as pn
 from ..operators import validate as va
 from ..plans import expr
 from ..plans import search as se
 from .factors import rank_sql
-from .registry import bars, query, rounded, signals
+from .registry import bars, query, r6, rounded, signals
 
 D = "OVER (PARTITION BY date)"
 PAIRS = "p AS (SELECT date, code, signal, fwd FROM signals WHERE signal IS NOT NULL AND fwd IS NOT NULL)"
@@ -256,3 +258,27 @@ def oos_ic(spark, sf):
     return rounded(va.out_of_sample(signals(spark, sf), "2000-01-01"), "days_out", ic_in="ic_in", ic_out="ic_out")
 
 
+def _line(x: np.ndarray) -> np.ndarray:
+    """Sums of rows (x, y) whose both are known: n, x, y, xx, xy."""
+    a, b = x[~np.isnan(x).any(axis=1)].T
+    return np.array([len(a), a.sum(), b.sum(), (a * a).sum(), (a * b).sum()])
+
+
+def _slope(sums: np.ndarray) -> np.ndarray:
+    n, a, b, aa, ab = sums
+    slope = (n * ab - a * b) / (n * aa - a * a) if n * aa - a * a > 0 else np.nan
+    return np.array([slope, (b - slope * a) / n if n else np.nan])
+
+
+@query(
+    f"""WITH {_spans('k * 40', True)}, x AS (SELECT t.split, t.part, s.* FROM t JOIN signals s ON s.date BETWEEN t.first_day AND t.last_day),
+    m AS (SELECT split, regr_slope(fwd, signal) AS slope, regr_intercept(fwd, signal) AS icpt FROM x WHERE part = 'train' GROUP BY split)
+    SELECT x.split, count(x.signal) AS n, round(avg(slope * x.signal + icpt) * 1000,6)+0.0 AS mean_prediction, round(corr(slope * x.signal + icpt, x.fwd),6)+0.0 AS corr FROM x JOIN m USING (split) WHERE part = 'test' GROUP BY x.split""",
+    "signals",
+)
+def walk_forward_callbacks(spark, sf):
+    """A line fitted to each split's train part by the user's functions, scored on its test part."""
+    rows = va.with_splits(signals(spark, sf).select("code", "date", "signal", "fwd"), pn.calendar(bars(spark, sf)), SPLIT)
+    found = va.walk_forward_with(rows, ["signal", "fwd"], _line, _slope, lambda x, m: m[0] * x[:, 0] + m[1])
+    p = F.col("prediction")
+    return found.groupBy("split").agg(F.count(p).alias("n"), r6(F.avg(p) * 1000).alias("mean_prediction"), r6(scorr(p, F.col("fwd"))).alias("corr"))

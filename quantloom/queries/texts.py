@@ -57,6 +57,29 @@ def claim_agreements(spark, sf):
     return op.conflicts(claims, 0.01, agree=True).select("a", "b", r6("likeness").alias("likeness"))
 
 
+@query(
+    """WITH c AS (SELECT conv_id * 100 + turn AS claim_id, role AS agent_id, conv_id % 2 AS category, turn // 4 AS direction, text, length(text) / 1000 AS confidence,
+      list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2))) AS words FROM conversations),
+    k AS (SELECT * FROM c WHERE len(words) > 0), h AS (SELECT category, direction, words, min(claim_id) AS node FROM k GROUP BY category, direction, words),
+    e AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM h a JOIN h b ON a.category = b.category AND a.direction = b.direction AND a.node < b.node
+      WHERE len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) >= 0.1::DOUBLE),
+    o AS MATERIALIZED (SELECT h.category, h.direction, h.node, row_number() OVER (PARTITION BY h.category, h.direction ORDER BY h.node) AS i, coalesce(n.earlier, []) AS earlier FROM h LEFT JOIN (SELECT b, list(a) AS earlier FROM e GROUP BY b) n ON n.b = h.node),
+    walk AS (SELECT category, direction, i, node, node AS leader, [node] AS led FROM o WHERE i = 1 UNION ALL
+      SELECT o.category, o.direction, o.i, o.node, coalesce(list_min(list_intersect(w.led, o.earlier)), o.node), CASE WHEN len(list_intersect(w.led, o.earlier)) = 0 THEN list_append(w.led, o.node) ELSE w.led END
+      FROM walk w JOIN o ON o.category = w.category AND o.direction = w.direction AND o.i = w.i + 1),
+    m AS (SELECT k.*, walk.leader FROM k JOIN h USING (category, direction, words) JOIN walk ON walk.node = h.node)
+    SELECT leader, CAST(category AS VARCHAR) AS category, CAST(direction AS VARCHAR) AS direction, arg_min(text, (-length(text), claim_id)) AS representative, count(*) AS claims, count(DISTINCT agent_id) AS agents, round(avg(confidence),6)+0.0 AS confidence
+    FROM m GROUP BY leader, category, direction HAVING count(DISTINCT agent_id) >= 2""",
+    recursive=True,
+)
+def consensus_clusters(spark, sf):
+    """What agents of different roles say alike, within two topics (groups of conversations) and directions (early and late turns)."""
+    c = src.table(spark, sf, "conversations")
+    claims = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("claim_id"), F.col("role").alias("agent_id"), (F.col("conv_id") % 2).alias("category"), F.floor(F.col("turn") / 4).alias("direction"), op.tokens("text").alias("words"), "text", (F.length("text") / 1000).alias("confidence"))
+    found = op.consensus(claims, 0.1)
+    return found.select("leader", "category", "direction", "representative", "claims", "agents", r6("confidence").alias("confidence"))
+
+
 @query(
     """WITH s AS (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS likeness FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
     SELECT query, vec_id, round(likeness,6)+0.0 AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(likeness, 12) DESC, vec_id) AS nth FROM s) WHERE nth <= 5"""
