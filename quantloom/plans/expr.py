@@ -194,8 +194,8 @@ def replaced(n: Node, at: tuple[int, ...], new: Node) -> Node:
 
 
 def mutated(n: Node, rng: random.Random, names: Sequence[str]) -> Node:
-    """One change: another feature, constant or operator of like arity, a new subtree, or a unary operator put in or taken out."""
-    kind = rng.choices(["feature", "constant", "operator", "subtree", "insert", "remove"], [20, 10, 15, 30, 15, 10])[0]
+    """One change: another feature, constant or operator of like arity, a new subtree, a unary operator put in or taken out, or a subtree in place of the whole."""
+    kind = rng.choices(["feature", "constant", "operator", "subtree", "insert", "remove", "hoist"], [20, 10, 15, 25, 15, 10, 5])[0]
     places = list(paths(n))
     rng.shuffle(places)
     for at, x in places:
@@ -205,6 +205,8 @@ def mutated(n: Node, rng: random.Random, names: Sequence[str]) -> Node:
             return replaced(n, at, Constant(round(x.value + rng.gauss(0, 0.5), 3)))
         if kind == "operator" and isinstance(x, Op):
             return replaced(n, at, Op(rng.choice([o for o in (*SCALARS, *DATED) if arity(o) == len(x.args)]), x.args))
+        if kind == "hoist" and at and isinstance(x, Op):
+            return x
         if kind == "remove" and isinstance(x, Op) and len(x.args) == 1:
             return replaced(n, at, x.args[0])
         if kind == "insert":
@@ -218,3 +220,9 @@ def crossed(a: Node, b: Node, rng: random.Random) -> Node:
     at, _ = rng.choice(list(paths(a)))
     _, part = rng.choice(list(paths(b)))
     return replaced(a, at, part)
+
+
+def crossed_at_root(a: Node, b: Node, rng: random.Random) -> Node:
+    """Both whole trees under one operator of two arguments; where that is too deep or too large, a with a subtree of b."""
+    made = Op(rng.choice([o for o in (*SCALARS, *DATED) if arity(o) == 2]), (a, b))
+    return made if depth(made) <= MAX_DEPTH and size(made) <= MAX_NODES else crossed(a, b, rng)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -192,14 +194,39 @@ def _library(spark, sf, find):
     return spark.createDataFrame(se.library_rows(found), "fingerprint string, expression string, ic double, ir double, score double")
 
 
+@query(
+    f"""WITH f AS (SELECT *, lead(close) OVER w / nullif(lead(open) OVER w, 0) - 1 AS fwd FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)), g AS (SELECT *, {rank_sql('amount')} AS ra FROM f WHERE fwd IS NOT NULL),
+    x AS (SELECT 'a' AS signal, date, fwd, (close - open) / nullif(high - low + 0.001::DOUBLE, 0) AS x FROM g UNION ALL SELECT 'b', date, fwd, -volume FROM g UNION ALL SELECT 'c', date, fwd, ra FROM g),
+    k AS (SELECT signal, date, fwd, {rank_sql('x', 'signal, date')} AS a, {rank_sql('fwd', 'signal, date')} AS b FROM x WHERE x IS NOT NULL),
+    d AS (SELECT signal, date, date < DATE '1998-01-01' AS early, CASE WHEN count(*) >= 5 THEN {CORR.format('a', 'b')} END AS ic, CASE WHEN count(*) >= 5 THEN avg(fwd) FILTER (round(a * n * 2) / 2 > n * (1 - 0.2::DOUBLE)) - avg(fwd) FILTER (round(a * n * 2) / 2 <= n * 0.2::DOUBLE) END AS spread
+      FROM (SELECT *, count(*) OVER (PARTITION BY signal, date) AS n FROM k) GROUP BY signal, date),
+    m AS (SELECT signal, avg(ic) FILTER (early) AS ic, avg(ic) FILTER (early) / nullif(stddev_samp(ic) FILTER (early), 0) AS icir, count(*) FILTER (early AND ic > 0) / count(ic) FILTER (early) AS hit_rate, avg(spread) FILTER (early) AS quantile_spread,
+      avg(ic) FILTER (NOT early) AS oos_ic, avg(ic) FILTER (NOT early) / nullif(stddev_samp(ic) FILTER (NOT early), 0) AS oos_icir, count(ic) FILTER (early) AS n_days FROM d GROUP BY signal),
+    w AS (SELECT *, (0.3::DOUBLE * tanh(ic / 0.03::DOUBLE) + 0.2::DOUBLE * tanh(icir) + 0.2::DOUBLE * tanh(quantile_spread / 0.03::DOUBLE) + 0.1::DOUBLE * (2 * hit_rate - 1) + 0.1::DOUBLE * (tanh(oos_ic / 0.03::DOUBLE) + tanh(oos_icir)) / 2) / 0.9::DOUBLE - 0.01::DOUBLE * complexity AS fitness,
+      concat_ws(',', CASE WHEN ic < 0 THEN 'ic_failed_threshold' END, CASE WHEN n_days < 20 THEN 'n_days_failed_threshold' END, CASE WHEN complexity > 25 THEN 'complexity_failed_threshold' END, CASE WHEN oos_ic <= 0 THEN 'oos_ic_not_positive' END) AS failures
+      FROM m JOIN (VALUES {", ".join(f"('{k}', {expr.complexity(n)}::DOUBLE)" for k, n in BATCH.items())}) c(signal, complexity) USING (signal))
+    SELECT signal, n_days, failures, round(ic,6)+0.0 AS ic, round(icir,6)+0.0 AS icir, round(quantile_spread,6)+0.0 AS quantile_spread, round(oos_ic,6)+0.0 AS oos_ic, round(fitness,6)+0.0 AS fitness, CASE WHEN failures = '' THEN CAST(row_number() OVER (PARTITION BY failures = '' ORDER BY fitness DESC, signal) AS INT) ELSE 0 END AS place FROM w""",
+    "bars",
+)
+def alpha_gated_batch(spark, sf):
+    """Three signals with all measures, fitness, failed gates and place."""
+    found = se.graded(_panel(spark, sf), BATCH, since="1998-01-01")
+    return rounded(found.withColumns({"failures": F.array_join("failures", ","), "place": F.coalesce("place", F.lit(0))}), "signal", "n_days", "failures", "place", **{c: c for c in ("ic", "icir", "quantile_spread", "oos_ic", "fitness")})
+
+
 @query()
 def alpha_search(spark, sf):
-    return _library(spark, sf, lambda p, names: se.search(p, names, n=32, top=8))
+    """All candidates of a search with measures, fitness, failed gates and place."""
+    panel, names = _panel(spark, sf), ["open", "high", "low", "close", "volume", "amount"]
+    rng = random.Random(0)
+    nodes = [n for n in se.distinct([expr.random_tree(rng, names) for _ in range(32)]) if expr.features(n)]
+    told = spark.createDataFrame([(f"s{i}", expr.fingerprint(n), expr.to_json(n)) for i, n in enumerate(nodes)], "signal string, fingerprint string, expression string")
+    return told.join(se.graded(panel, {f"s{i}": n for i, n in enumerate(nodes)}, since="1998-01-01"), "signal")
 
 
 @query()
 def alpha_evolution(spark, sf):
-    return _library(spark, sf, lambda p, names: se.evolve(p, names, generations=3, size=12))
+    return _library(spark, sf, lambda p, names: se.evolve(p, names, generations=3, size=12, since="1998-01-01"))
 
 
 # splits and walk-forward

@@ -178,3 +178,66 @@ def test_walk_forward_callbacks(spark):
     for r in got:
         train = [y for d, _, _, y in rows if day(2 * r.split) <= d < day(2 * r.split + 4) and y is not None]
         assert r.part == "test" and r.prediction == pytest.approx(np.mean(train) + r.x)
+
+
+def test_search_grades_as_plain_code_does(spark):
+    """Measures, fitness and places of several expressions against loops over dates."""
+    from quantloom.plans.expr import Feature, Op
+
+    rng = np.random.default_rng(8)
+    rows = [(f"c{c}", day(k), *[float(v) for v in np.round(3 * rng.normal(size=2))], float(rng.normal()) if (k, c) != (2, 1) else None) for k in range(40) for c in range(10 if k else 4)]
+    panel = spark.createDataFrame(rows, "code string, date date, u double, v double, fwd double")
+    signals = {"s1": Feature("u"), "s2": Op("neg", (Feature("u"),)), "s3": Op("add", (Feature("u"), Feature("v"))), "s4": Op("rank", (Feature("v"),)), "s5": Op("mul", (Feature("u"), Feature("v")))}
+    value = {"s1": lambda u, v: u, "s2": lambda u, v: -u, "s3": lambda u, v: u + v, "s4": None, "s5": lambda u, v: u * v}
+    got = {r.signal: r for r in search.graded(panel, signals, since=str(day(25)), least={"ic": -0.05, "n_days": 20}, most={"complexity": 4.0}).collect()}
+
+    def ranks(x):
+        x = np.round(np.asarray(x), 12)
+        return np.array([(x < a).sum() + ((x == a).sum() + 1) / 2 for a in x])
+
+    want = {}
+    for name, fn in value.items():
+        ic, spread = {}, {}
+        for k in range(40):
+            own = [(u, v, y) for _, d, u, v, y in rows if d == day(k) and y is not None]
+            x = ranks([v for _, v, _ in own]) if fn is None else [fn(u, v) for u, v, _ in own]
+            a, y, n = ranks(x), np.array([y for *_, y in own]), len(own)
+            if n >= 5:
+                ic[k] = np.corrcoef(a, ranks(y))[0, 1]
+                high, low = y[a > 0.8 * n], y[a <= n * 0.2]
+                if len(high) and len(low):
+                    spread[k] = high.mean() - low.mean()
+        one, two = np.array([v for k, v in ic.items() if k < 25]), np.array([v for k, v in ic.items() if k >= 25])
+        want[name] = (one.mean(), one.mean() / one.std(ddof=1), (one > 0).mean(), np.mean([v for k, v in spread.items() if k < 25]), two.mean(), two.mean() / two.std(ddof=1), len(one))
+        r = got[name]
+        assert (r.ic, r.icir, r.hit_rate, r.quantile_spread, r.oos_ic, r.oos_icir, r.n_days) == pytest.approx(want[name], abs=1e-9)
+        bounded = [(0.3, np.tanh(r.ic / 0.03)), (0.2, np.tanh(r.icir)), (0.2, np.tanh(r.quantile_spread / 0.03)), (0.1, 2 * r.hit_rate - 1), (0.1, (np.tanh(r.oos_ic / 0.03) + np.tanh(r.oos_icir)) / 2)]
+        assert r.fitness == pytest.approx(sum(w * v for w, v in bounded) / 0.9 - 0.01 * r.complexity)
+        failed = ["ic_failed_threshold"] * (r.ic < -0.05) + ["complexity_failed_threshold"] * (r.complexity > 4) + ["oos_ic_not_positive"] * (r.oos_ic <= 0)
+        assert r.failures == failed and r.accepted == (not failed)
+    order = sorted((n for n in got if got[n].accepted), key=lambda n: (-got[n].fitness, n))
+    assert {n: got[n].place for n in got} == {n: order.index(n) + 1 if n in order else None for n in got}
+    assert any(got[n].accepted for n in got) and not all(got[n].accepted for n in got)
+
+
+def test_gates_hold_inside_the_search(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"c{c}", day(k), float(u := rng.normal()), float(rng.normal()), float(u + rng.normal())) for k in range(45) for c in range(8)]
+    panel = spark.createDataFrame(rows, "code string, date date, u double, v double, fwd double")
+    found = search.search(panel, ["u", "v"], n=24, top=5, since=str(day(30)))
+    assert found and all(c.ic >= 0 for c in found) and [c.score for c in found] == sorted((c.score for c in found), reverse=True)
+    bred = search.evolve(panel, ["u", "v"], generations=2, size=8, since=str(day(30)))
+    assert bred and bred[0].ic > 0
+
+
+def test_root_crossover_and_hoist_keep_limits():
+    from quantloom.plans import expr
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (expr.random_tree(rng, ["u", "v"], 5) for _ in range(2))
+        c = expr.crossed_at_root(a, b, rng)
+        if expr.depth(expr.Op("add", (a, b))) <= expr.MAX_DEPTH and expr.size(a) + expr.size(b) < expr.MAX_NODES:
+            assert isinstance(c, expr.Op) and c.args == (a, b)
+        m = expr.mutated(a, rng, ["u", "v"])
+        assert all(x.name in expr.SCALARS or x.name in expr.DATED for x in expr.walk(m) if isinstance(x, expr.Op))
