@@ -57,12 +57,16 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that `written` or `bucketed` have made; nobody may read them any more."""
+    """Deletes what tables read of those that `written` or `bucketed` have made, and nothing else; nobody may read them any more."""
     for df in tables:
         spark = df.sparkSession
+        path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        home = path(shared_folder(spark))
+        home = home.getFileSystem(conf).makeQualified(home)
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            if re.fullmatch("[0-9a-f]{32}", at.getName()):
+            at = path(folder)
+            fs = at.getFileSystem(conf)
+            if fs.makeQualified(at).getParent() == home and re.fullmatch("[0-9a-f]{32}", at.getName()):
                 if spark.catalog.tableExists(f"scratch_{at.getName()}"):
                     spark.sql(f"DROP TABLE scratch_{at.getName()}")
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                fs.delete(at, True)
