@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..sources.scratch import bucketed, checkpoint, dropped, shared_folder, written
 
-__all__ = ["Tokens", "bucketed", "checkpoint", "crc32", "dropped", "fold", "labelled_sample", "lower_words", "pack_array", "schema", "shared_folder", "slices", "sole_memory", "table", "text_bytes", "texts", "tokens_of", "unpack_array", "with_columns", "written"]
+__all__ = ["Tokens", "bucketed", "checkpoint", "crc32", "dropped", "fold", "labelled_sample", "lower_words", "named", "pack_array", "schema", "shared_folder", "slices", "sole_memory", "table", "text_bytes", "texts", "tokens_of", "unpack_array", "with_columns", "written"]
 
 #: Text bytes that one vectorized step works on; bounds a task's memory whatever the Arrow batch holds.
 SLICE_BYTES = 4_000_000
@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of just that name, dots and backquotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(n)

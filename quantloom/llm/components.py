@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import dropped, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links(a, b): root is the least node of its component.
 
     Large-star and small-star steps in turn, as joins against each node's least neighbour, so that no neighbourhood is gathered in
-    one place. The table is checkpointed after each round; rounds grow as the logarithm of a component's size.
+    one place. Each round writes its table and deletes the one before; rounds grow as the logarithm of a component's size, and there are none without links.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
-    while True:
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    before = _state(edges)
+    while before[0]:
         # large star: each node's larger neighbours go to the least of its neighbourhood
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each node and its smaller neighbours go to the least of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = checkpoint(edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).union(least).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = written(large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).union(least).distinct())
+        dropped(edges)
+        edges, now = small, _state(small)
         # a fixed point is a forest of stars: no node is both root and leaf, and each leaf has one root
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if now == before:
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first())

@@ -3,8 +3,9 @@
 A seed is two words of a test item, neighbours or one apart. An alignment at the threshold can't do without them: of its M matching words and X
 other columns, 2 M - X >= 2 t n (n the item's words, t the threshold), and two matches in turn that are further apart than a seed take two of
 the X, so at least t n - 1 of the M - 1 turns are seeds, inside 3 n - 2 t n words of text. Windows with fewer hits needn't be aligned, so
-nothing is lost. Of each item the most frequent seeds go, up to half of those that a passage must have, and the hits asked for go down by as
-many. Substitutions, insertions and drops count alike.
+nothing is lost. Where t n is 1 or less one matching word is a passage, and the seeds are the words themselves. Of each item the most frequent seeds go, up to
+half of those that a passage must have, and the hits asked for go down by as many. Substitutions, insertions and drops count alike, and one rule holds for
+items of all sizes: of an item of very few words a word or two are a passage, so leaks gives the item's words and the share, by which a user may cut.
 """
 
 from __future__ import annotations
@@ -24,9 +25,6 @@ from .common import slices, tokens_of
 REACH = 2
 #: A seed is frequent if the corpus has it more than so many times as often as its item's median seed.
 RARE = 2
-#: Items of fewer words are found only whole, as a few words of theirs stand anywhere; those of one or two words only if the corpus
-#: has them no more than once in SHORT_RARE documents.
-LEAST_WORDS, SHORT_RARE = 8, 1000
 #: Scores of an alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's perfect score at which a passage is a copy of it.
@@ -80,9 +78,9 @@ class Items:
     at: np.ndarray
     need: np.ndarray  # hits that a passage of each item has at least
     span: np.ndarray  # words that it has at most
+    singles: bool  # if some seeds are words
 
     def __post_init__(self) -> None:
-        self.singles = any(len(w) == 1 for w in self.words)
         self.bits = min(24, max(12, int(len(self.keys)).bit_length() + 4))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[slot(self.keys, self.bits)] = True
@@ -97,29 +95,26 @@ def index_items(rows: list[tuple], threshold: float = THRESHOLD) -> Items:
     keys, item, at = [], [], []
     for apart in range(REACH + 1):
         i, k = seed_keys(words, doc, apart)
-        # single words and whole pairs for the items that have no more
-        keep = size[doc[i]] == 1 if apart == 0 else (size[doc[i]] > REACH) | (apart == 1)
+        keep = (threshold * size[doc[i]] <= 1 + 1e-9) == (apart == 0)
         i, k = i[keep], k[keep]
         keys.append(k)
         item.append(doc[i])
         at.append(i - first[doc[i]])
     keys, item, at = (np.concatenate(x) for x in (keys, item, at))
     order = np.argsort(keys, kind="stable")
-    share = np.where(size >= LEAST_WORDS, threshold, 1.0)
-    need = np.maximum(1, np.ceil(share * size - 1 - 1e-9)).astype(np.int64)
-    span = np.ceil(size * (3 - 2 * share)).astype(np.int64)
+    need = np.maximum(1, np.ceil(threshold * size - 1 - 1e-9)).astype(np.int64)
+    span = np.ceil(size * (3 - 2 * threshold)).astype(np.int64)
     lists = [words[a : a + n].view(np.int64) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
-    return Items([r[0] for r in rows], lists, keys[order], item[order].astype(np.int32), at[order].astype(np.int32), need, span)
+    return Items([r[0] for r in rows], lists, keys[order], item[order].astype(np.int32), at[order].astype(np.int32), need, span, bool((threshold * size[size > 0] <= 1 + 1e-9).any()))
 
 
-def rare_seeds(items: Items, counts: np.ndarray, documents: int) -> Items:
+def rare_seeds(items: Items, counts: np.ndarray) -> Items:
     """items without their frequent seeds (by counts of their slots in the corpus), their needs lowered by as many places.
 
-    At most half of the hits that a passage must have are given up, so that every passage still has some. Items of one or two frequent words go.
+    At most half of the hits that a passage must have are given up, so that every passage still has some.
     """
     if not len(items.keys):
         return items
-    size = np.fromiter(map(len, items.words), np.int64, len(items.words))
     n = counts[slot(items.keys)]
     # by item and place, the most frequent seed of each
     place = items.item.astype(np.int64) << 32 | items.at
@@ -135,8 +130,7 @@ def rare_seeds(items: Items, counts: np.ndarray, documents: int) -> Items:
     gone = (rank < spare) & (n[order] > RARE * median)
     need = items.need - np.bincount(own[gone], minlength=len(items.ids))
     keep = ~np.isin(place, place[order[gone]])
-    keep &= (size[items.item] > REACH) | (n * SHORT_RARE <= documents)
-    return Items(items.ids, items.words, items.keys[keep], items.item[keep], items.at[keep], need, items.span)
+    return Items(items.ids, items.words, items.keys[keep], items.item[keep], items.at[keep], need, items.span, items.singles)
 
 
 def candidate_windows(items: Items, words: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -255,9 +249,8 @@ def align(items: Items, words: np.ndarray, doc: np.ndarray, threshold: float) ->
         some = [x for x, s in zip(some, score.tolist(), strict=True) if s >= threshold * MATCH * len(items.words[x[1]])]
         score, start, end = smith_waterman([items.words[i] for _, i, _, _ in some], [words[lo:hi].view(np.int64) for _, _, lo, hi in some])
         for (r, i, lo, _), s, x, y in zip(some, score.tolist(), start.tolist(), end.tolist(), strict=True):
-            n = len(items.words[i])
-            share = s / (MATCH * n)
-            if share >= (threshold if n >= LEAST_WORDS else 1):
+            share = s / (MATCH * len(items.words[i]))
+            if share >= threshold:
                 at = lo - int(begin[r])
                 found.append((r, i, int(s), share, at + int(x), at + int(y)))
     return sorted(set(found))  # neighbouring windows may both hold a passage
@@ -272,27 +265,26 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield sorted(((r.item_id, r.text.encode()) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def seed_counts(docs: DataFrame, used: np.ndarray) -> tuple[np.ndarray, int]:
-    """For each slot that items use, how often documents have a seed there; and the documents. Tasks send sums: a row a used slot at most."""
+def seed_counts(docs: DataFrame, used: np.ndarray) -> np.ndarray:
+    """For each slot that items use, how often documents have a seed there. Tasks send sums: a row a used slot at most."""
     sent = docs.sparkSession.sparkContext.broadcast(used)  # 2 ** SLOT_BITS flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(1 << SLOT_BITS, np.int64), 0
+        total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for part in slices(batch):
                 words, doc = words_of(part.column(0))
-                rows += part.num_rows
                 for apart in range(REACH + 1):
                     s = slot(seed_keys(words, doc, apart)[1])
                     total += np.bincount(s[sent.value[s]], minlength=len(total))
         has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[has, -1]), pa.array(np.r_[total[has], rows])], names=["g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["g", "n"])
 
     sums = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # a row a slot at most
     slots, n = sums.column(0).to_numpy(), sums.column(1).to_numpy()
     counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[slots[slots >= 0]] = n[slots >= 0]
-    return counts, int(n[slots < 0].sum())
+    counts[slots] = n
+    return counts
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator:
@@ -300,17 +292,16 @@ def _searched(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterat
     used = np.zeros(1 << SLOT_BITS, bool)
     for rows in blocks(benchmark):
         used[slot(index_items(rows, threshold).keys)] = True
-    counts, documents = seed_counts(docs, used)
+    counts = seed_counts(docs, used)
     for rows in blocks(benchmark):
-        yield docs.sparkSession.sparkContext.broadcast(rare_seeds(index_items(rows, threshold), counts, documents))
+        yield docs.sparkSession.sparkContext.broadcast(rare_seeds(index_items(rows, threshold), counts))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each passage of a document that copies a test item: doc_id, item_id, score, share, start_word, end_word.
+    """One row for each passage of a document that copies a test item: doc_id, item_id, score, share, start_word, end_word, item_words.
 
-    score: of the local alignment; share: of the item's perfect score. Words are counted from 0; end_word is behind the passage. Copies of
-    an item that lie within a passage's length of each other are one row, the best one's. Items of fewer than LEAST_WORDS words are found
-    only whole, those of one or two only where rare (SHORT_RARE). Null texts hold none; null ids stay null; repeated rows are found each. Texts of any length are searched
+    score: of the local alignment; share: of the item's perfect score, at least `threshold` whatever the item's size. Words are counted from 0; end_word is
+    behind the passage; item_words is the item's length. Copies of an item that lie within a passage's length of each other are one row, the best one's. Null texts hold none; null ids stay null; repeated rows are found each. Texts of any length are searched
     whole; time and memory of an alignment go as the item's words times its window's (at most 16 passages). Empty tables give an empty
     result. Only doc_id and text, and item_id and text, are read.
     """
@@ -324,27 +315,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
             for batch in batches:
                 for part in slices(batch):
                     ids = part.column(0).to_pylist()
-                    rows = [(ids[r], items.ids[i], *rest) for r, i, *rest in align(items, *words_of(part.column(1)), threshold)]
+                    rows = [(ids[r], items.ids[i], *rest, len(items.words[i])) for r, i, *rest in align(items, *words_of(part.column(1)), threshold)]
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], to) for k, to in enumerate((pa.int64(), arrow_kind, pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "share", "start_word", "end_word"])
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], to) for k, to in enumerate((pa.int64(), arrow_kind, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "share", "start_word", "end_word", "item_words"])
 
         arrow_kind = pa.string() if kind.simpleString() == "string" else pa.int64()
-        found = source.mapInArrow(run, f"doc_id long, item_id {'string' if arrow_kind == pa.string() else 'long'}, score long, share double, start_word long, end_word long")
+        found = source.mapInArrow(run, f"doc_id long, item_id {'string' if arrow_kind == pa.string() else 'long'}, score long, share double, start_word long, end_word long, item_words long")
         result = found if result is None else result.unionAll(found)
     return result
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that hold a copy of a test item (see leaks); all columns stay. Nothing is shuffled."""
-    result, text = docs, docs.columns.index("text")
+    text = docs.columns.index("text")
+    result = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # plain names on the way, as Spark takes a dot for a field
+    kinds = result.schema
     for sent in _searched(docs, benchmark, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, f"c{text}"):
                     clean = np.ones(part.num_rows, bool)
                     clean[[x[0] for x in align(sent.value, *words_of(part.column(text)), threshold)]] = False
                     yield part.filter(pa.array(clean))
 
-        result = result.mapInArrow(run, docs.schema)
-    return result
+        result = result.mapInArrow(run, kinds)
+    return result.toDF(*docs.columns)

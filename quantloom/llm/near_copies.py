@@ -6,8 +6,8 @@ filter, which loses none: of two such sets, in any one order of all
 shingles, the first n - ceil(0.8 n) + 1 of both share one. The order is
 by hash, very common shingles last; which count as common bears on the speed alone. Those that share a shingle of their prefixes are
 compared with the least of them first, then only across the components that this leaves, so a large group of copies needs no pairs.
-Pairs whose sets' parities differ too much are left out before sets meet. Shingles are 63-bit hashes, of which 32 bits are compared; texts
-with equal sets are one node.
+Pairs whose sets' parities differ too much are left out before sets meet. Shingles are 63-bit hashes, of which 32 bits are compared, so that two texts may link whose sets
+are a few shingles further apart than they should be (one pair of shingles in 4 billion has equal bits); no pair is lost by it. Texts with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, tokens_of, written
+from .common import dropped, named, schema, slices, tokens_of, written
 from .components import connected_components
 from .simhash import linked
 
@@ -157,7 +158,7 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     columns, rest = docs.columns, [c for c in docs.columns if c not in ("doc_id", "text")]
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # COMMON numbers at most
     # other columns are put aside, so that their names clash with none below
-    aside = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []
+    aside = [F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest")] if rest else []
     plain = docs.select(*aside, "doc_id", "text")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +173,7 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row + np.arange(part.num_rows)), pa.array(nodes_of(bounds, shingles)), pa.array(fingerprints_of(bounds, shingles)), parities(bounds, shingles), pa.array(size), heads], names=[*part.schema.names, "__row", "__node", "__fp", "__bits", "__size", "__heads"])
                 row += part.num_rows
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    rows = written(plain.mapInArrow(numbered, f"{kinds}, __row long, __node long, __fp long, __bits binary, __size long, __heads array<long>"))
+    rows = written(plain.mapInArrow(numbered, T.StructType([*plain.schema, *schema(__row="long", __node="long", __fp="long", __bits="binary", __size="long", __heads="array<long>")])))
     # the first row of equal sets speaks for them, by its number, which is shorter than the set's
     nodes = written(rows.groupBy("__node").agg(F.min("__row").alias("node")))
     heads = rows.select(F.col("__row").alias("node"), "__size", "__heads").join(nodes.select("node"), "node", "left_semi")
@@ -196,11 +196,16 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
         fits = f"{OF} * least(n, m) >= {LEAST} * greatest(n, m) AND {OF + LEAST} * least(n - p, m - q) >= {LEAST} * (n + m)"
         return written(x.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        pairs = may_be_alike(pairs, prints)
+    def compared(met_pairs: DataFrame) -> DataFrame:
+        """The alike ones of a written table of pairs, which goes."""
+        pairs = may_be_alike(met_pairs, prints)
+        dropped(met_pairs)
         met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         texts = rows.select(F.col("__row").alias("node"), "text").join(met, "node", "left_semi").select("node", "text")
-        return alike(pairs, written(texts.mapInArrow(setted, "node long, shingles binary")))
+        sets = written(texts.mapInArrow(setted, "node long, shingles binary"))
+        found = alike(pairs, sets)
+        dropped(pairs, sets)
+        return found
 
     # fingerprints within two bits: each node with the least of its fingerprint, and these with each other
     prints = written(rows.where("__size > 0").select(F.col("__row").alias("node"), F.col("__fp").alias("fp"), F.col("__bits").alias("bits"), F.col("__size").alias("size")).join(nodes.select("node"), "node", "left_semi"))
@@ -209,7 +214,7 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     near = near.join(least.select(F.col("fp").alias("y"), F.col("a").alias("q")), F.col("b") == F.col("y")).select("p", "q")
     near = near.unionAll(prints.join(least, "fp").where("node > a").select("a", "node"))
     copies = compared(written(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
-    known = written(connected_components(copies))
+    roots = components_of(copies)
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs of different components."""
@@ -218,19 +223,39 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
 
     right = shared.select("key", "least", F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
     heads_of = shared.where("node = least").select("key", F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"))
-    first = compared(apart(likely(heads_of.join(right.where("b > least"), "key")), known))
-    roots = written(connected_components(copies.unionAll(first)))
+    first = compared(apart(likely(heads_of.join(right.where("b > least"), "key")), roots))
+    copies, roots = joined(copies, first, roots)
     # across components, all who share a shingle; pairs with the least have been compared. Of each shingle the component with the most texts
-    # meets the others only, so that a large group of copies makes no pairs of its own
+    # meets the others only, so that a large group of copies makes no pairs of its own. Texts meet in classes of size, each a quarter larger than the one before: alike
+    # ones are in one class or in neighbouring ones
     members = shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", F.coalesce("root", "node").alias("root"))
     counted = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("x.root").alias("most"))
-    members = written(members.join(largest, "key").select("key", "node", "place", "size", "root", (F.col("root") == F.col("most")).alias("large")))
-    left = members.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"), F.col("large").alias("l"))
-    right = members.where("NOT large").select("key", F.col("root").alias("s"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
-    pairs = left.where("l").join(right, "key").unionAll(left.where("NOT l").join(right, "key").where("r != s AND a < b"))
-    second = compared(likely(pairs))
-    roots = connected_components(copies.unionAll(first).unionAll(second))
+    size_class = F.floor(F.log("size") / float(np.log(OF / LEAST))).cast("int")
+    members = written(members.join(largest, "key").select("key", "node", "place", "size", "root", (F.col("root") == F.col("most")).alias("large"), size_class.alias("class")))
+    near_class = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+    left = members.select("key", near_class, F.col("root").alias("r"), F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"), F.col("large").alias("l"))
+    right = members.where("NOT large").select("key", "class", F.col("root").alias("s"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
+    second = compared(likely(left.join(right, ["key", "class"]).where("l OR (r != s AND a < b)")))
+    copies, roots = joined(copies, second, roots)
     found = rows.select("__row", "__node", "doc_id").join(nodes, "__node").join(roots, "node", "left")
     best = found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("x"))
-    return rows.join(best.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*[F.col("__rest")[c].alias(c) if c in rest else F.col(c) for c in columns])
+    best = written(best.select(F.col("x.__row").alias("__row")))
+    dropped(nodes, shared, prints, members, roots)
+    return rows.join(best, "__row", "left_semi").select(*[F.col(f"__rest.c{rest.index(c)}").alias(c) if c in rest else F.col(c) for c in columns])
+
+
+def joined(copies: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, and the components of them; roots are those without `more`."""
+    if more.isEmpty():
+        return copies, roots
+    every = copies.unionAll(more)
+    dropped(roots)
+    return every, components_of(every)
+
+
+def components_of(links: DataFrame) -> DataFrame:
+    labels = connected_components(links)
+    roots = written(labels)
+    dropped(labels)
+    return roots

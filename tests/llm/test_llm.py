@@ -694,7 +694,7 @@ def all_pairs(items, texts):
     for r, t in enumerate(texts):
         w = decontamination.words_of(pa.array([t]))[0][:-1].view(np.int64)
         score, _, _ = decontamination.smith_waterman(ix.words, [w] * len(items))
-        out |= {(r, i) for i, s in enumerate(score) if s >= 2 * len(ix.words[i]) * (decontamination.THRESHOLD if len(ix.words[i]) >= decontamination.LEAST_WORDS else 1)}
+        out |= {(r, i) for i, s in enumerate(score) if len(ix.words[i]) and s >= 2 * len(ix.words[i]) * decontamination.THRESHOLD}
     return out
 
 
@@ -727,18 +727,32 @@ def test_leaks_of_edited_copies_equal_alignment_of_all_pairs(spark):
     assert {(240, 31), (241, 31)} <= want and len(want) > 200
 
 
-def test_short_items_are_found_whole_where_rare(spark):
-    rows = [(i, "plain words of a text" + (" seldom seen" if i == 7 else "")) for i in range(2000)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([("a", "seldom"), ("b", "seldom seen"), ("c", "of a"), ("d", "plain"), ("e", "seen seldom"), ("f", "words of some text")], "item_id string, text string")
-    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, bench).collect()} == {(7, "a"), (7, "b")}
+def test_short_items_go_by_the_same_rule(spark):
+    """Items of one to seven words, whole and edited, among words that are rare or in every text."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [rng.sample(vocabulary, n) for n in range(1, 8) for _ in range(5)] + [["plain"], ["plain", "words"], ["w1", "w1"]]
+    texts = []
+    for j in range(200):
+        w = list(items[j % len(items)])
+        if j % 3:
+            w[rng.randrange(len(w))] = "edited"
+        if j % 5 == 0:
+            w.insert(rng.randrange(len(w) + 1), "put")
+        texts.append(" ".join(["plain words of a text"] + [rng.choice(vocabulary) for _ in range(rng.randrange(4))] + w + ["and an end"]))
+    want = all_pairs([" ".join(i) for i in items], texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = decontamination.leaks(d, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {len(items[i]) for _, i in want} == {1, 2, 3, 4, 5, 6, 7}
+    assert all(r.item_words == len(items[r.item_id]) and r.share >= decontamination.THRESHOLD for r in got)
 
 
 def test_seeds_of_many_items_and_blocks(spark, docs, monkeypatch):
     rng = np.random.default_rng(0)
     items = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 40) % 5000).encode()) for i in range(2000)]
     ix = decontamination.index_items(items)
-    few = decontamination.rare_seeds(ix, rng.integers(0, 1000, 1 << decontamination.SLOT_BITS), 1000)
+    few = decontamination.rare_seeds(ix, rng.integers(0, 1000, 1 << decontamination.SLOT_BITS))
     assert (few.need >= 1).all() and (few.need >= ix.need - ix.need // 2).all() and set(few.item) == set(ix.item)
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     found = lambda: sorted((r.doc_id, r.item_id, r.share) for r in decontamination.leaks(docs, bench).collect())
@@ -759,7 +773,7 @@ def test_edited_and_hot_passages_are_found(spark):
             del w[9]
         rows.append((i, " ".join(["before"] * 50 + w + ["after"] * 50).upper()))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "w1 w2")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, bench).collect()} == {(i, 1) for i in range(0, 300, 3)}
     assert decontamination.without_leaks(d, bench).count() == 200
 

@@ -60,11 +60,11 @@ def test_stages_keep_rows_with_nulls_and_extra_columns(spark):
 
 
 SMALL = "/root/testdata/sf0.001"
-KINDS = "doc_id long, text string, lang string, source string, n_chars long, __nth int, __leak int, __row int, __rest int, score double, predicted int"
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, __nth int, __leak int, __row int, __rest int, score double, predicted int, `a.b` int, `x y``z` string"
 
 
 def row(i, text, lang="en"):
-    return (i, text, lang, "s", None, 1, 2, 3, 4, 0.5, 6)
+    return (i, text, lang, "s", None, 1, 2, 3, 4, 0.5, 6, 7, "v")
 
 
 def test_stages_take_empty_tables_and_clashing_names(spark):
@@ -75,7 +75,7 @@ def test_stages_take_empty_tables_and_clashing_names(spark):
     some = spark.createDataFrame([row(i, f"some words of text {i} and words that no other text of these has so far") for i in range(6)], KINDS)
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, some, SMALL).collect()
-        assert len(out) == 6 and all(tuple(r)[5:] == (1, 2, 3, 4, 0.5, 6) for r in out), name
+        assert len(out) == 6 and all(tuple(r)[5:] == (1, 2, 3, 4, 0.5, 6, 7, "v") for r in out), name
 
 
 def test_stages_keep_repeated_rows_and_long_texts(spark):
