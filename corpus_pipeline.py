@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import decontamination, langid, near_copies, packing, toxicity
-from quantloom.llm.common import table, written
+from quantloom.llm.common import dropped, named, table, written
 from quantloom.llm.queries import tokenizer_path
 
 #: A document whose language is known with less than this score goes; a document without letters goes as well.
@@ -25,8 +25,8 @@ MOST_PIECES = 300_000
 def kept(docs: DataFrame, mark, condition: str) -> DataFrame:
     """Rows that a marking operator leaves, with their own columns: others than doc_id and text are put aside while it adds its own."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    aside = docs.select("doc_id", "text", F.struct(*rest).alias("__rest")) if rest else docs
-    return mark(aside).where(condition).select(*[F.col("__rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
+    aside = docs.select("doc_id", "text", F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest")) if rest else docs
+    return mark(aside).where(condition).select(*[F.col(f"__rest.c{rest.index(c)}").alias(c) if c in rest else named(c) for c in docs.columns])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of documents. Each stage's result is written before the next one reads it, so no stage runs twice."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        dropped(before)  # never the table of documents, which lies elsewhere
     return docs
