@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import col, lots, sdiv
 from ..functions.windows import by_date
+from . import linear
 
 
 def inverse_volatility(rets: DataFrame) -> DataFrame:
@@ -66,19 +66,11 @@ def concentration(weights: DataFrame, group: str = "date") -> DataFrame:
     return weights.groupBy(group).agg(F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.max("weight").alias("largest"), F.sum("weight").alias("invested"))
 
 
-def minimum_variance(rets: DataFrame, ridge: float = 1e-6, key: str = "period") -> DataFrame:
-    """key, code, weight: weights of least variance that sum to 1, from each period's covariance; a period's codes are one group."""
-
-    def run(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot_table(index="date", columns="code", values="ret").dropna()
-        if len(wide) < 2:
-            return pd.DataFrame([], columns=[key, "code", "weight"])
-        cov = np.cov(wide.to_numpy().T).reshape(wide.shape[1], -1) + ridge * np.eye(wide.shape[1])
-        w = np.linalg.solve(cov, np.ones(len(cov)))
-        return pd.DataFrame({key: k[0], "code": wide.columns.astype(object).tolist(), "weight": w / w.sum()})
-
-    kind = rets.schema[key].dataType.simpleString()
-    return rets.select(key, "date", "code", "ret").groupBy(key).applyInPandas(run, f"`{key}` {kind}, code string, weight double")
+def minimum_variance(rets: DataFrame, ridge: float = 1e-6, key: str = "period", dense: int = linear.DENSE) -> DataFrame:
+    """key, code, weight: weights of least variance that sum to 1, from each period's covariance over the dates that have all of its codes."""
+    p = linear.periods(rets, key)
+    found = linear.solved(p, {k: np.ones(len(c)) for k, c in p.codes.items()}, ridge, dense)
+    return linear.weights_table(rets, p, {k: w / w.sum() for k, w in found.items()})
 
 
 def risk_parity(rets: DataFrame, most: float = 0.2) -> DataFrame:
@@ -90,27 +82,21 @@ def risk_parity(rets: DataFrame, most: float = 0.2) -> DataFrame:
     return capped.select("code", sdiv("w", F.sum("w").over(whole)).alias("weight"))
 
 
-def mean_variance(rets: DataFrame, expected: DataFrame | None = None, most: float = 1.0, key: str = "period") -> DataFrame:
+def mean_variance(rets: DataFrame, expected: DataFrame | None = None, most: float = 1.0, key: str = "period", dense: int = linear.DENSE) -> DataFrame:
     """key, code, weight: the inverse covariance times expected(key, code, mu) (else mean returns), none below 0 or above `most`, summing to 1.
 
-    A period's codes are one group; dates without a return of one of its codes are left out.
+    Dates without a return of one of the period's codes are left out.
     """
-
-    def run(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot_table(index="date", columns="code", values="ret").dropna()
-        if len(wide) < 2:
-            return pd.DataFrame([], columns=[key, "code", "weight"])
-        mu = group.groupby("code")["mu"].first().reindex(wide.columns).fillna(wide.mean()).to_numpy()
-        cov = np.cov(wide.to_numpy().T).reshape(wide.shape[1], -1) + 1e-8 * np.eye(wide.shape[1])
-        raw = np.maximum(np.linalg.pinv(cov) @ mu, 0)
+    p = linear.periods(rets, key)
+    told = {(r[0], r[1]): r[2] for r in expected.where("mu IS NOT NULL").select(key, "code", "mu").collect()} if expected is not None else {}  # a number a code and period
+    mu = {k: np.array([told.get((k, c), m) for c, m in zip(p.codes[k], p.means[k], strict=True)]) for k in p.means}
+    out = {}
+    for k, w in linear.solved(p, mu, 1e-8, dense).items():
+        raw = np.maximum(w, 0)
         raw = raw if raw.sum() > 0 else np.ones(len(raw))
         w = np.minimum(raw / raw.sum(), most)
-        return pd.DataFrame({key: k[0], "code": wide.columns.astype(object).tolist(), "weight": w / w.sum()})
-
-    kind = rets.schema[key].dataType.simpleString()
-    known = rets.select(key, "date", "code", "ret")
-    known = known.join(expected.select(key, "code", "mu"), [key, "code"], "left") if expected is not None else known.withColumn("mu", F.lit(None).cast("double"))
-    return known.select(key, "date", "code", "ret", "mu").groupBy(key).applyInPandas(run, f"`{key}` {kind}, code string, weight double")
+        out[k] = w / w.sum()
+    return linear.weights_table(rets, p, out)
 
 
 def posterior_returns(cov: DataFrame, market: DataFrame, views: DataFrame, aversion: float = 2.5) -> DataFrame:

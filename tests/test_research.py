@@ -241,3 +241,27 @@ def test_root_crossover_and_hoist_keep_limits():
             assert isinstance(c, expr.Op) and c.args == (a, b)
         m = expr.mutated(a, rng, ["u", "v"])
         assert all(x.name in expr.SCALARS or x.name in expr.DATED for x in expr.walk(m) if isinstance(x, expr.Op))
+
+
+def test_wide_systems_equal_dense_ones(spark):
+    """Conjugate gradients (no matrix made) and the summed matrix against numpy, for periods of several sizes at once."""
+    from quantloom.operators import portfolio
+
+    rng = np.random.default_rng(12)
+    sizes = {2001: (30, 12), 2002: (6, 9), 2003: (25, 1), 2004: (1, 5)}  # dates, codes: fewer dates than codes; one code; one date
+    data = {k: rng.normal(size=s) * 0.02 for k, s in sizes.items()}
+    rows = [(k, day(d), f"c{c:02d}", float(v)) for k, m in data.items() for d, r in enumerate(m) for c, v in enumerate(r)]
+    rows += [(2001, day(40), "c00", 0.5), (2002, day(3), "c01", None), (2005, day(1), "c01", None)]  # an incomplete date, nulls
+    df = spark.createDataFrame(rows, "period int, date date, code string, ret double").repartition(4)
+    df = df.where("NOT (period = 2002 AND code = 'c01' AND ret IS NULL)")
+    for dense in (256, 0):
+        got = {}
+        for r in portfolio.minimum_variance(df, dense=dense).collect():
+            got[r.period, r.code] = r.weight
+        assert {k for k, _ in got} == {2001, 2002, 2003}
+        for k in (2001, 2002, 2003):
+            n = sizes[k][1]
+            cov = np.cov(data[k].T).reshape(n, n) + 1e-6 * np.eye(n)
+            w = np.linalg.solve(cov, np.ones(n))
+            assert [got[k, f"c{c:02d}"] for c in range(n)] == pytest.approx((w / w.sum()).tolist(), abs=1e-6)
+    assert portfolio.minimum_variance(df.where("false")).count() == 0
