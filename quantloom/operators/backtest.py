@@ -17,12 +17,21 @@ def side(x: str | Column = "side") -> Column:
     return F.when(s.isin("buy", "b"), "buy").when(s.isin("sell", "s"), "sell")
 
 
-def trade_costs(trades: DataFrame, commission: float = 0.0003, least: float = 5.0, stamp: float = 0.001, transfer: float = 0.00001, slippage: float = 0.0005) -> DataFrame:
-    """trades with value, commission (at least `least`), stamp duty on sales, transfer fee, slippage and cost."""
+# Rates and least fees of the cost models (fixed values).
+COST_MODELS = {
+    "least_fee": {},
+    "no_least_fee": {"least": 0.0},
+    "plain": {"least": 0.0, "transfer": 0.0, "slippage": 0.001},
+    "both_sides": {"transfer": 0.0, "slippage": 0.0, "stamp_on": ("buy", "sell")},
+}
+
+
+def trade_costs(trades: DataFrame, commission: float = 0.0003, least: float = 5.0, stamp: float = 0.001, transfer: float = 0.00001, slippage: float = 0.0005, stamp_on: tuple[str, ...] = ("sell",)) -> DataFrame:
+    """trades with value, commission (at least `least`), stamp duty on the sides `stamp_on`, transfer fee, slippage and cost. COST_MODELS has the options of known models."""
     value = F.abs(F.col("price") * F.col("quantity"))
     out = trades.withColumns({"side": side(), "value": value}).withColumns({
         "commission": F.when(F.col("value") > 0, F.greatest(F.col("value") * commission, F.lit(least))).otherwise(0.0),
-        "stamp": F.when(F.col("side") == "sell", F.col("value") * stamp).otherwise(0.0),
+        "stamp": F.when(F.col("side").isin(*stamp_on), F.col("value") * stamp).otherwise(0.0),
         "transfer": F.col("value") * transfer,
         "slippage": F.col("value") * slippage,
     })

@@ -138,6 +138,46 @@ def risk_ratios(series: DataFrame, ret: str = "ret", year: float = 252.0) -> Dat
     )
 
 
+#: Parts of an equity curve's score (fixed values).
+CURVE_SCORE = {"cagr": 0.30, "sharpe": 0.25, "sortino": 0.15, "calmar": 0.15, "total_return": 0.15}
+
+
+def curve_performance(curve: DataFrame, value: str = "equity", ddof: int = 1, calendar: bool = True, none: float | None = None, floor: float = 0.0, year: float = 252.0, stop: float = -0.15) -> DataFrame:
+    """One row of an equity curve(date, value): n, total_return, cagr, volatility, sharpe, sortino, max_drawdown, calmar, score, stopped.
+
+    Variants of one measure are options. ddof: of all deviations. calendar: years are days by 365.25, else rows by `year`. none: what sharpe, sortino and calmar are
+    where there is no deviation, loss or drawdown (null or 0). floor: the least deviation of losses that is divided by. sortino goes by the deviation of the losses
+    alone. score: weighted sum of the parts; stopped: the deepest drawdown is below `stop`. Null and non-finite values are left out; null measures with fewer than two.
+    """
+    rows = curve.select("date", finite(value).alias("v")).where("v IS NOT NULL")
+    days = _days()
+    rows = rows.withColumns({"r": sdiv("v", F.lag("v").over(days)) - 1, "dd": sdiv("v", F.max("v").over(days.rowsBetween(Window.unboundedPreceding, 0))) - 1})  # a row a day
+    spread = F.stddev_samp if ddof else F.stddev_pop
+    first, last = F.min_by("v", "date"), F.max_by("v", "date")
+    one = rows.agg(
+        F.count("v").alias("n"), (sdiv(last, first) - 1).alias("total_return"), F.datediff(F.max("date"), F.min("date")).alias("__days"), F.avg("r").alias("__mean"), spread("r").alias("__sd"),
+        spread(F.when(F.col("r") < 0, F.col("r"))).alias("__down"), F.count_if(F.col("r") < 0).alias("__lost"), F.min("dd").alias("max_drawdown"),
+    )
+    years = F.greatest(F.col("__days") / 365.25, F.lit(1 / 365.25)) if calendar else F.greatest(F.col("n") / year, F.lit(1 / year))
+    whole, root, missing = F.col("total_return"), F.sqrt(F.lit(year)), F.lit(none).cast("double")
+    down = F.greatest("__down", F.lit(floor)) if floor else F.col("__down")
+    had_losses = F.col("__lost") > 0 if floor else F.col("__down") > 0
+    one = one.withColumns({"cagr": F.when(whole > -1, F.pow(1 + whole, 1 / years) - 1).otherwise(-1.0), "volatility": F.col("__sd") * root})
+    one = one.withColumns({
+        "sharpe": F.when(F.col("__sd") > 0, sdiv("__mean", "__sd") * root).otherwise(missing), "sortino": F.when(had_losses, sdiv("__mean", down) * root).otherwise(missing),
+        "calmar": F.when(F.col("max_drawdown") < 0, sdiv("cagr", F.abs("max_drawdown"))).otherwise(missing), "stopped": F.col("max_drawdown") < stop,
+    })
+    one = one.withColumn("score", sum((F.col(k) * w for k, w in CURVE_SCORE.items()), F.lit(0.0)))
+    measures = ["total_return", "cagr", "volatility", "sharpe", "sortino", "max_drawdown", "calmar", "score", "stopped"]
+    return one.select("n", *[F.when(F.col("n") > 1, F.col(m)).alias(m) for m in measures])
+
+
+def long_picks(df: DataFrame, x: str = "signal", share: float = 0.8) -> DataFrame:
+    """date, code, x, cut: the rows of each date at or above the date's percentile `share` of x (between ranks in proportion)."""
+    cut = F.percentile(x, share).over(by_date())
+    return df.select("date", "code", x).withColumn("cut", cut).where(F.col(x) >= F.col("cut"))
+
+
 def order_statistic(df: DataFrame, x: str, k: int, probes: int = 32, most: int = 10_000) -> float | None:
     """The value at place k (from 0) of x in rising order, exact; nulls take no part, null beyond the last.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.num import half_up, sdiv
+from ..functions.num import finite, half_up, sdiv
 from ..functions.windows import by_code, by_date, lag, lead
 
 
@@ -58,6 +58,29 @@ def open_to_open(h: int = 1) -> Column:
     return sdiv(lead("open", h + 1), lead("open")) - 1
 
 
+def forward_returns(panel: DataFrame, horizon: int = 1, entry: str = "open", exit: str = "close", same_day: bool = False, positive: bool = True) -> DataFrame:
+    """panel with entry_date, exit_date, entry_price, exit_price, forward_return and forward_return_valid.
+
+    Enter at the next row's `entry` (the row's own with same_day), leave at the `exit` of the row `horizon` on. Valid if both prices are known and, by choice, above
+    0; the return is null where a price is unknown or the entry is 0. Rows of a code go by date, one exchange.
+    """
+    at = 0 if same_day else 1
+    take = lambda x, k: F.lead(x, k).over(by_code())
+    out = panel.withColumns({"entry_date": take("date", at), "exit_date": take("date", horizon), "entry_price": finite(take(entry, at)), "exit_price": finite(take(exit, horizon))})
+    valid = F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull()
+    if positive:
+        valid = valid & (F.col("entry_price") > 0) & (F.col("exit_price") > 0)
+    return out.withColumns({"forward_return": sdiv("exit_price", "entry_price") - 1, "forward_return_valid": F.coalesce(valid, F.lit(False))})
+
+
+def forward_return_stats(df: DataFrame) -> DataFrame:
+    """One row of `forward_returns`: n_rows, n_valid, n_missing, and mean, median, std (0 of a single one), smallest and largest return known."""
+    r, n = F.col("forward_return"), F.count(F.lit(1))
+    good = F.count_if("forward_return_valid")
+    std = F.when(F.count(r) == 1, 0.0).otherwise(F.stddev_samp(r))
+    return df.agg(n.alias("n_rows"), good.alias("n_valid"), (n - good).alias("n_missing"), F.avg(r).alias("mean"), F.percentile(r, 0.5).alias("median"), std.alias("std"), F.min(r).alias("smallest"), F.max(r).alias("largest"))
+
+
 def forward_max(h: int) -> Column:
     """Highest high of the next h rows over the close; null if one of them is unknown or there is none."""
     w = by_code().rowsBetween(1, h)
@@ -136,3 +159,32 @@ def book_levels(payload: str | Column, first: int, step: int = 2, levels: int =
     """The volumes of a book's levels in a payload split by commas: fields first, first + step, ...; fields that are no number are null."""
     parts = F.split(F.col(payload) if isinstance(payload, str) else payload, ",")
     return F.array(*[F.get(parts, F.lit(first + k * step)).try_cast("double") for k in range(levels)])
+
+
+def weekday_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """Mondays to Fridays from start to end and their ordinals from 0, for want of an exchange's calendar; none if start is after end."""
+    span = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day"))
+    days = spark.range(1).select(F.explode(F.when(F.lit(start).cast("date") <= F.lit(end).cast("date"), span)).alias("date")).where(F.weekday("date") < 5)
+    return days.withColumn("ordinal", F.row_number().over(Window.orderBy("date")) - 1)  # a row a day
+
+
+def days_between(days: DataFrame, start: str, end: str, with_start: bool = True, with_end: bool = True) -> DataFrame:
+    """Trading days from start to end, each end counted by choice."""
+    d, a, b = F.col("date"), F.lit(start).cast("date"), F.lit(end).cast("date")
+    return days.where((d >= a if with_start else d > a) & (d <= b if with_end else d < b))
+
+
+def nearest_day(dates: DataFrame, days: DataFrame, forward: bool = False) -> DataFrame:
+    """dates(date) with `nearest` and its `ordinal`: the date itself if it is a trading day, else the last one before or, forward, the first one after; null beyond."""
+    both = dates.select("date", F.lit(None).cast("date").alias("day"), F.lit(None).cast("int").alias("ordinal")).unionByName(days.select("date", F.col("date").alias("day"), "ordinal"))
+    frame = (0, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, 0)
+    # a trading day comes last of its date's rows, forward first
+    w = Window.orderBy("date", F.col("day").isNotNull() if forward else F.col("day").isNull()).rowsBetween(*frame)  # a row a date
+    pick = F.first if forward else F.last
+    return both.withColumns({"nearest": pick("day", ignorenulls=True).over(w), "ordinal_": pick("ordinal", ignorenulls=True).over(w)}).where("day IS NULL").select("date", "nearest", F.col("ordinal_").alias("ordinal"))
+
+
+def shift_from(dates: DataFrame, days: DataFrame, k: int) -> DataFrame:
+    """dates(date) with `shifted`, k trading days on: from a day without trade counted from the next trading day, for negative k from the last one."""
+    there = days.select(F.col("date").alias("shifted"), (F.col("ordinal") - k).alias("ordinal"))
+    return nearest_day(dates, days, k >= 0).join(there, "ordinal", "left").select("date", "shifted")

@@ -23,11 +23,11 @@ def rank_normalize(x: str | Column) -> Column:
     return (rank_pct(x) - 0.5) * 2
 
 
-def zscore(x: str | Column, flat: float | None = 0.0) -> Column:
-    """Population z-score of the date; `flat` (0 or null) where all values are one."""
+def zscore(x: str | Column, flat: float | None = 0.0, eps: float = 1e-12) -> Column:
+    """Population z-score of the date; `flat` (0 or null) where the deviation is no larger than eps (0: where all values are one)."""
     x = col(x)
     sd = F.stddev_pop(x).over(by_date())
-    return F.when(x.isNotNull(), F.when(sd > 1e-12, F.try_divide(x - F.avg(x).over(by_date()), F.nullif(sd, F.lit(0.0)))).otherwise(F.lit(flat)))
+    return F.when(x.isNotNull(), F.when(sd > eps, F.try_divide(x - F.avg(x).over(by_date()), F.nullif(sd, F.lit(0.0)))).otherwise(F.lit(flat)))
 
 
 def minmax(x: str | Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -249,3 +250,31 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str, status:
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: rows and an order-free checksum of all columns."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")), F.lit(0)).alias("checksum"))
+
+
+def clear(spark: SparkSession, path: str, **equal: object) -> int:
+    """Deletes the partitions of a partitioned table whose columns have the given values, files and folders; returns how many. Other partitions are not read.
+
+    Columns that the table isn't partitioned by raise; without any column nothing goes.
+    """
+    if not equal:
+        return 0
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    home = jvm.Path(path)
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted = {k: "__HIVE_DEFAULT_PARTITION__" if v is None else str(v) for k, v in equal.items()}
+
+    def walk(at, left: dict[str, str]) -> int:
+        if not left:
+            return int(fs.delete(at, True))
+        gone = 0
+        for f in fs.listStatus(at):
+            name, eq, value = f.getPath().getName().partition("=")
+            if f.isDirectory() and eq and left.get(name, unquote(value)) == unquote(value):
+                gone += walk(f.getPath(), {k: v for k, v in left.items() if k != name})
+        return gone
+
+    known = {f.getPath().getName().partition("=")[0] for f in fs.globStatus(jvm.Path(path + "/*=*"))} | {f.getPath().getName().partition("=")[0] for f in fs.globStatus(jvm.Path(path + "/*=*/*=*"))}
+    if missing := set(equal) - known:
+        raise ValueError(f"the table is not partitioned by {', '.join(sorted(missing))}")
+    return walk(home, wanted)
