@@ -2,7 +2,7 @@
 
 A token is a sequence of bits: its Huffman code among the frequent words (the end and an escape are two of them), and after the
 escape the Huffman codes of its bytes and of its end. Each bit has several predictors: the code's own odds, and counts of zeros and ones
-in slots of a hashed table by context (the words before; inside a word, the bytes before). Their log odds are combined by weights that a
+in slots of a hashed table by context (the words before; inside a word, the bytes before and their place). Their log odds are combined by weights that a
 gate (the place in the code or word) and each predictor's confidence select, learned online by each task ahead of the counts; an adaptive
 map refines the result. Counts add up over tasks, so the table holds all of the corpus; weights are averaged.
 
@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import Tokens, fold, pack_array, slices, tokens_of, unpack_array, written
 
-#: Slots of the table of hashed contexts, of which each has its own sixteenths (a power of two): first sixteenth, their number.
-SLOTS = 1 << 22
-SHARES = {0: ((0, 8), (8, 4)), 1: ((12, 1), (13, 1), (14, 1), (15, 1))}
+#: Slots of the table of hashed contexts, of which each has its own sixteenths (a power of two): first sixteenth, their number. Codes have the first half of
+#: the table, spellings the second.
+SLOTS = 1 << 24
+SHARES = {0: ((0, 4), (4, 4)), 1: ((8, 2), (10, 2), (12, 2), (14, 2))}
+#: A task counts codes in 16 bits: both counts of a slot are halved where one is above this.
+HALVED = 16_000
 #: Words with a code of their own (at most so many, seen so often), and words whose counts every task holds (the most frequent ones).
 CODED, CODED_LEAST = 1 << 18, 4
 FREQUENT = 1 << 18
@@ -42,7 +45,7 @@ GATES, LEVELS, STEPS, FINE = 12, 12, 48, 2049
 SEGMENT, LONGEST = 16, 256
 #: Text that is worked on at once, and bits of a step.
 SLICE = 4_000_000
-STEP = 1 << 16
+STEP = 1 << 15
 #: Distinct words that a task counts before it hands them on.
 MOST_WORDS = 250_000
 #: Spellings that a task remembers.
@@ -193,10 +196,10 @@ def letter_steps(words: list[bytes], codes: Codes) -> Iterator[tuple]:
 
 
 def letter_contexts(letters: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Of each letter: the two, three, five before it in its word, and all before it with their number."""
+    """Of each letter: the two and the four before it in its word, all before it with their number, and the two before it with their place."""
     x = letters.astype(np.uint32) + np.uint32(1)
     prev = []
-    for k in range(1, 6):
+    for k in range(1, 5):
         p = np.zeros(len(x), np.uint32)
         p[k:] = np.where(place[k:] >= k, x[:-k], np.uint32(0))
         prev.append(p)
@@ -205,10 +208,10 @@ def letter_contexts(letters: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum((x * _K2) ^ (x >> np.uint32(3)) * power[place], dtype=np.uint32)])
     i = np.arange(len(x))
     front = sums[i] - sums[i - place]
-    a, b, c, d, e = prev
+    a, b, c, d = prev
     tag = [np.full(len(x), i, np.uint32) for i in range(11, 15)]
     ab = mixed(a, b)
-    return [mixed(tag[0], ab), mixed(tag[1], ab, c), mixed(tag[2], ab, c, d, e), mixed(tag[3], front, place.astype(np.uint32))]
+    return [mixed(tag[0], ab), mixed(tag[1], ab, c, d), mixed(tag[2], front, place.astype(np.uint32)), mixed(tag[3], ab, np.minimum(place, 15).astype(np.uint32))]
 
 
 def runs(length: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -300,30 +303,43 @@ ODDS = ((np.arange(4096) - 2048) * (24 / 4096)).astype(np.float32)
 LEVEL = np.minimum(np.frexp(np.arange(1 << LEVELS))[1], LEVELS - 1).astype(np.int64)
 
 
+def new_counts(kind: int) -> np.ndarray:
+    """Zeros and ones, in turn, of each slot of a kind: 16 bits for codes, which every task counts in millions, 32 for spellings."""
+    return np.zeros(SLOTS, np.uint16 if kind == 0 else np.int32)
+
+
 def packed(counts: np.ndarray) -> np.ndarray:
     """Of each slot of counts (zeros, ones, zeros, ...): log odds of a one << 4 | confidence."""
-    out = np.empty(SLOTS, np.uint16)
-    for at in range(0, SLOTS, 1 << 18):
-        c = counts[2 * at : 2 * (at + (1 << 18))].reshape(-1, 2)
-        odds = np.log((c[:, 1] + 0.2) / (c[:, 0] + 0.2))
-        level = LEVEL[np.minimum(c[:, 0] + c[:, 1], len(LEVEL) - 1)]
-        out[at : at + (1 << 18)] = (np.clip(np.rint(odds * (4096 / 24)) + 2048, 0, 4095).astype(np.uint16) << 4) | level.astype(np.uint16)
-    return out
+    c = counts.reshape(-1, 2)
+    odds = np.log((c[:, 1] + 0.2) / (c[:, 0] + 0.2))
+    level = LEVEL[np.minimum(c[:, 0] + c[:, 1], len(LEVEL) - 1)]
+    return (np.clip(np.rint(odds * (4096 / 24)) + 2048, 0, 4095).astype(np.uint16) << 4) | level.astype(np.uint16)
 
 
 def known(own: np.ndarray, node: np.ndarray, table: np.ndarray, slots: np.ndarray) -> tuple[list[np.ndarray], list]:
-    """Log odds and confidence of each predictor: the code's own odds, then slots of a packed table or of one of counts."""
+    """Log odds and confidence of each predictor: the code's own odds, then slots of a packed table."""
     odds, level = [own.take(node)], [LEVELS - 1]
     for row in slots:
-        if table.dtype == np.uint16:
-            v = table.take(row)
-            odds.append(ODDS.take(v >> 4))
-            level.append(v & np.uint16(15))
-        else:
-            pair = table.view(np.uint64).take(row)  # both counts at once
-            zeros, ones = pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint32)
-            odds.append(np.log((ones.astype(np.float32) + np.float32(0.2)) / (zeros.astype(np.float32) + np.float32(0.2))))
-            level.append(LEVEL.take(np.minimum(zeros + ones, np.uint32(len(LEVEL) - 1))))
+        v = table.take(row)
+        odds.append(ODDS.take(v >> 4))
+        level.append(v & np.uint16(15))
+    return odds, level
+
+
+def counted(own: np.ndarray, node: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[list[np.ndarray], list]:
+    """The same of places in a kind's counts. Slots of 16 bits with a large count are halved behind it."""
+    odds, level = [own.take(node)], [LEVELS - 1]
+    small = counts.dtype == np.uint16
+    pairs = counts.view(np.uint32 if small else np.uint64)  # both counts at once
+    for row in places:
+        pair = pairs.take(row)
+        zeros, ones = (pair & np.uint32(0xFFFF), pair >> np.uint32(16)) if small else (pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint32))
+        odds.append(np.log((ones.astype(np.float32) + np.float32(0.2)) / (zeros.astype(np.float32) + np.float32(0.2))))
+        level.append(LEVEL.take(np.minimum(zeros + ones, np.uint32(len(LEVEL) - 1))))
+        if small and max(int(zeros.max()), int(ones.max())) > HALVED:
+            large = np.unique(row[np.maximum(zeros, ones) > HALVED])
+            both = counts.reshape(-1, 2)
+            both[large] = (both[large] + np.uint16(1)) >> np.uint16(1)
     return odds, level
 
 
@@ -368,26 +384,28 @@ def find_codes(vocabulary: DataFrame, ends: int) -> tuple[Codes, int]:
 
 
 def learned(steps: Iterator[tuple], kind: int, own: np.ndarray, counts: np.ndarray, mixer: Mixer, weights: np.ndarray | None = None) -> int:
-    """Predicts each step's bits, refines the mixer and counts them, each as often as its owner's weight (else once). Returns their number."""
-    n = 0
+    """Predicts each step's bits, refines the mixer and counts them in a kind's counts, each as often as its owner's weight (else once). Returns their number."""
+    n, first = 0, kind * (SLOTS // 2)
+    one = counts.dtype.type(1)
     for owner, node, slots, bit, gate in steps:
-        odds, level = known(own, node, counts, slots)
+        places = slots - first
+        odds, level = counted(own, node, counts, places)
         total, where = mixer.mix(kind, odds, level, gate)
         often = None if weights is None else weights[owner]
         mixer.learn(kind, odds, total, where, gate, bit, often)
-        for row in slots:
-            np.add.at(counts, 2 * row + bit, np.int32(1) if often is None else often.astype(np.int32))
+        for row in places:
+            np.add.at(counts, 2 * row + bit, one if often is None else often.astype(counts.dtype))
         n += len(owner)
     return n
 
 
 def handed_on(counts: np.ndarray, mixer: Mixer, kind: int, seen: int) -> Iterator[pa.RecordBatch]:
-    """A task's counts, in PARTS parts, and its mixer's share, times the bits it was refined on."""
+    """A task's counts of a kind, half of the PARTS parts, and its mixer's share, times the bits it was refined on."""
     task, each = TaskContext.get().partitionId(), 2 * SLOTS // PARTS
-    for p in range(PARTS):
+    for p in range(PARTS // 2):
         mine = counts[p * each : (p + 1) * each]
         if mine.any():
-            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([task]), pa.array([pack_array(mine)], pa.binary())], names=["part", "task", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind * (PARTS // 2) + p]), pa.array([task]), pa.array([pack_array(mine)], pa.binary())], names=["part", "task", "data"])
     scale = max(1, seen)
     flat = np.concatenate([[scale], mixer.weights[kind].ravel() * scale, mixer.ones[kind].ravel(), mixer.seen[kind].ravel()])
     yield pa.RecordBatch.from_arrays([pa.array([PARTS + kind]), pa.array([task]), pa.array([pack_array(flat)], pa.binary())], names=["part", "task", "data"])
@@ -398,7 +416,7 @@ def unpacked(part: int, data: bytes) -> np.ndarray:
     if part >= PARTS:
         return unpack_array(data, np.float64)
     x = unpack_array(data, np.int8)
-    return x.view(np.int32 if len(x) == 4 * (2 * SLOTS // PARTS) else np.int64).astype(np.int64)
+    return x.view({2: np.uint16, 4: np.int32, 8: np.int64}[len(x) // (2 * SLOTS // PARTS)]).astype(np.int64)
 
 
 def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndarray, Mixer]:
@@ -410,7 +428,7 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
     sent = docs.sparkSession.sparkContext.broadcast(codes)  # FREQUENT words at most
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer, seen = np.zeros(2 * SLOTS, np.int32), Mixer.new(), 0
+        counts, mixer, seen = new_counts(0), Mixer.new(), 0
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 t = tokens_of(part.column(0))
@@ -419,7 +437,7 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
             yield from handed_on(counts, mixer, 0, seen)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer, seen = np.zeros(2 * SLOTS, np.int32), Mixer.new(), 0
+        counts, mixer, seen = new_counts(1), Mixer.new(), 0
         for batch in batches:
             words, often = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
             place = sent.value.places(words)
@@ -449,17 +467,18 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
         both = both.withColumn("task", F.floor(F.col("task") / FAN)).repartition(PARTS * min(tasks, 64), "part", "task").mapInArrow(summed, out)
         if tasks == 1:
             break
-    counts, mixer = np.zeros(2 * SLOTS, np.int64), Mixer.new()
-    each = 2 * SLOTS // PARTS
+    table, mixer = np.empty(SLOTS, np.uint16), Mixer.new()
+    each = SLOTS // PARTS
+    table[:] = packed(np.zeros(2, np.int64))[0]  # nothing counted
     for r in both.collect():  # a row a part
         x = unpacked(r.part, bytes(r.data))
         if r.part < PARTS:
-            counts[r.part * each : (r.part + 1) * each] = x
+            table[r.part * each : (r.part + 1) * each] = packed(x)
         else:
             kind, w = r.part - PARTS, mixer.weights[r.part - PARTS]
             mixer.weights[kind] = (x[1 : 1 + w.size] / x[0]).reshape(w.shape)
             mixer.ones[kind], mixer.seen[kind] = x[1 + w.size :].reshape(2, GATES, STEPS)
-    return packed(counts), mixer
+    return table, mixer
 
 
 def cost_tables(mixer: Mixer) -> list[np.ndarray]:
