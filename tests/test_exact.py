@@ -169,3 +169,18 @@ def test_order_statistic(spark, most):
             assert metrics.order_statistic(df, "x", k, probes=5, most=most) == sorted(values)[k]
         assert metrics.order_statistic(df, "x", len(values)) is None
     assert metrics.value_at_risk(spark.createDataFrame([(None,)], "ret double")).count() == 0
+
+
+def test_scratch_tables_go_and_others_stay(spark, tmp_path):
+    from quantloom.sources.scratch import bucketed, dropped, written
+
+    own = str(tmp_path / ("0123456789abcdef" * 2))  # a user's table that has a name like a scratch table's
+    spark.range(5).write.parquet(own)
+    a, b = written(spark.range(10)), bucketed(spark.range(20).withColumn("k", F.col("id") % 3), "id", 4)
+    files = [*a.inputFiles(), *b.inputFiles()]
+    assert a.count() == 10 and b.count() == 20 and files
+    dropped(a, b, spark.read.parquet(own))
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
+    assert spark.read.parquet(own).count() == 5 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
