@@ -222,3 +222,13 @@ def custom(panel: DataFrame, name: str, fn) -> DataFrame:
 
     keep = [c for c in panel.columns if c != name]
     return panel.select(*keep).groupBy("code").applyInPandas(run, f"{kinds}, `{name}` double")
+
+
+def positive_yield(x: str) -> Column:
+    """1 / x of multiples above 0; null for losses and nonsense."""
+    return sdiv(F.lit(1.0), F.when(col(x) > 0, col(x)))
+
+
+def plain_mean(*xs: str | Column) -> Column:
+    """Mean of those that are not null, 0 if none is: composites as older callers want them."""
+    return F.coalesce(mean_present(*xs), F.lit(0.0))

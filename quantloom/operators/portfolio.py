@@ -132,6 +132,17 @@ def opportunity_score() -> Column:
     )
 
 
+def signal_score(momentum: str = "momentum", volume_ratio: str = "volume_ratio", flow: str = "fund_flow") -> Column:
+    """30 points for rising prices, 30 for volume above one and a half times the usual, 40 for money coming in."""
+    points = ((F.col(momentum) > 0, 30), (F.col(volume_ratio) > 1.5, 30), (F.col(flow) > 0, 40))
+    return sum((F.when(hit, n).otherwise(0) for hit, n in points), F.lit(0))
+
+
+def shortlist(spot: DataFrame, least: int = 70, score: Column | None = None) -> DataFrame:
+    """code and score of the rows that reach `least` points."""
+    return spot.withColumn("score", score if score is not None else signal_score()).where(F.col("score") >= least)
+
+
 def grade(score: str | Column) -> Column:
     return F.when(col(score) >= 80, "A").when(col(score) >= 60, "B").when(col(score) >= 40, "C").otherwise("D")
 

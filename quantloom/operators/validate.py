@@ -8,7 +8,7 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -176,6 +176,39 @@ def look_ahead(df: DataFrame, signal: str = "signal_date", entry: str = "entry_d
     return row.unpivot([], list(checks), "check", "violations")
 
 
+#: Checks that only warn: by themselves they prove no look-ahead.
+WARNINGS = ("same_day_entry", "no_known_date")
+
+
+def look_ahead_report(df: DataFrame, needed: Sequence[str] = ("date", "code"), lookback: int | None = None, shift: int | None = None) -> DataFrame:
+    """check, severity (violation or warning), count, passed: every check that the table's columns allow, in one pass.
+
+    Columns by name: date, code, available_date, signal_date, entry_date, exit_date, forward_return. A needed column that is missing is a violation of its own; the others
+    leave out the checks that need them. Checks: rows without a key, repeated keys, facts known after the signal (without a signal_date: after the date), facts
+    without a known date, signals after their date, entries before or on the signal's day, exits not after entries, returns of such a window; a negative look-back or
+    shift of the signal's recipe.
+    """
+    have = set(df.columns)
+    c = F.col
+    missing = {f"missing_{n}": F.lit(1) for n in needed if n not in have}
+    rules: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+        "no_key": (("date", "code"), lambda: F.count_if(c("date").isNull() | c("code").isNull())),
+        "repeated_key": (("date", "code"), lambda: F.count(F.struct("date", "code")) - F.count_distinct(F.struct("date", "code"))),
+        "known_after_signal": (("available_date", "signal_date" if "signal_date" in have else "date"), lambda: F.count_if(c("available_date") > c("signal_date" if "signal_date" in have else "date"))),
+        "no_known_date": (("available_date",), lambda: F.count_if(c("available_date").isNull())),
+        "signal_after_date": (("signal_date", "date"), lambda: F.count_if(c("signal_date") > c("date"))),
+        "entry_before_signal": (("entry_date", "signal_date"), lambda: F.count_if(c("entry_date") < c("signal_date"))),
+        "same_day_entry": (("entry_date", "signal_date"), lambda: F.count_if(c("entry_date") == c("signal_date"))),
+        "exit_not_after_entry": (("exit_date", "entry_date"), lambda: F.count_if(c("exit_date") <= c("entry_date"))),
+        "return_of_no_window": (("forward_return", "exit_date", "entry_date"), lambda: F.count_if((c("exit_date") <= c("entry_date")) & c("forward_return").isNotNull())),
+    }
+    found = missing | {k: count() for k, (names, count) in rules.items() if have >= set(names)}
+    found |= {k: F.lit(int(v < 0)) for k, v in (("negative_lookback", lookback), ("negative_shift", shift)) if v is not None}
+    row = df.agg(*[n.cast("long").alias(k) for k, n in found.items()])
+    long = row.unpivot([], list(found), "check", "count")
+    return long.select("check", F.when(F.col("check").isin(*WARNINGS), "warning").otherwise("violation").alias("severity"), "count", (F.col("count") == 0).alias("passed"))
+
+
 def temporal(df: DataFrame, key: str = "code", on: str = "date", seq: str = "seq") -> DataFrame:
     """key, n, backward, repeated: rows that step back in time in the order of `seq`, and repeated times; keys with either."""
     before = F.lag(on).over(Window.partitionBy(key).orderBy(seq))

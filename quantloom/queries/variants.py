@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.num import sdiv
+from ..functions.windows import lag, roll_mean
 from ..operators import backtest as bt
+from ..operators import factors as fa
 from ..operators import metrics as me
 from ..operators import panel as pn
+from ..operators import portfolio as pf
 from ..operators import transforms as tr
+from ..operators import validate as va
 from ..sources import tables as src
-from .registry import bars, fills, query, r6, rounded, signals
+from .registry import bars, facts, fills, query, r6, rounded, signals
 
 CHECKED = """f AS (SELECT code, date, lead(date) OVER w AS entry_date, lead(date, 5) OVER w AS exit_date, lead(open) OVER w AS a, lead(close, 5) OVER w AS b FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)),
     g AS (SELECT code, date, entry_date, exit_date, b / nullif(a, 0) - 1 AS r, coalesce(a > 0 AND b > 0, false) AS ok FROM f)"""
@@ -100,3 +105,58 @@ def calendar_shift_from_any_day(spark, sf):
 @query("SELECT DISTINCT date FROM bars WHERE date > DATE '1996-01-01' AND date <= DATE '1996-12-30'", "bars")
 def calendar_range(spark, sf):
     return pn.days_between(pn.calendar(bars(spark, sf)), "1996-01-01", "1996-12-30", with_start=False).select("date")
+
+
+_AUDIT = {
+    "no_key": ("violation", "count(*) FILTER (date IS NULL OR code IS NULL)"), "repeated_key": ("violation", "count(*) - count(DISTINCT (date, code))"),
+    "known_after_signal": ("violation", "count(*) FILTER (available_date > signal_date)"), "no_known_date": ("warning", "count(*) FILTER (available_date IS NULL)"),
+    "signal_after_date": ("violation", "count(*) FILTER (signal_date > date)"), "entry_before_signal": ("violation", "count(*) FILTER (entry_date < signal_date)"),
+    "same_day_entry": ("warning", "count(*) FILTER (entry_date = signal_date)"), "exit_not_after_entry": ("violation", "count(*) FILTER (exit_date <= entry_date)"),
+    "return_of_no_window": ("violation", "count(*) FILTER (exit_date <= entry_date AND forward_return IS NOT NULL)"), "negative_lookback": ("violation", "0"), "negative_shift": ("violation", "1"),
+}
+
+
+@query(
+    """WITH l AS (SELECT code, report_period AS date, available_date, report_period - CAST(fact_id % 3 AS INT) + 1 AS signal_date, CASE WHEN fact_id % 7 <> 0 THEN report_period + CAST(fact_id % 4 AS INT) END AS entry_date,
+      report_period + CAST(fact_id % 6 AS INT) AS exit_date, CASE WHEN fact_id % 5 <> 0 THEN roe END AS forward_return FROM facts), c AS ("""
+    + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", '{kind}' AS severity, CAST({n} AS BIGINT) AS count FROM l" for k, (kind, n) in _AUDIT.items())
+    + ') SELECT DISTINCT "check", severity, count, count = 0 AS passed FROM c',
+    "facts",
+)
+def lookahead_report(spark, sf):
+    k, day = F.col("fact_id"), F.col("report_period")
+    f = facts(spark, sf).select(
+        "code", day.alias("date"), "available_date", F.date_add(day, (1 - k % 3).cast("int")).alias("signal_date"), F.when(k % 7 != 0, F.date_add(day, (k % 4).cast("int"))).alias("entry_date"),
+        F.date_add(day, (k % 6).cast("int")).alias("exit_date"), F.when(k % 5 != 0, F.col("roe")).alias("forward_return"),
+    )
+    return va.look_ahead_report(f, lookback=20, shift=-1)
+
+
+@query(
+    """WITH s AS (SELECT code, date, close / nullif(lag(close) OVER w, 0) - 1 AS momentum, CASE WHEN count(volume) OVER v >= 20 THEN volume / nullif(avg(volume) OVER v, 0) END AS volume_ratio, close - open AS fund_flow
+      FROM bars WINDOW w AS (PARTITION BY code ORDER BY date), v AS (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    p AS (SELECT code, date, CAST(CASE WHEN momentum > 0 THEN 30 ELSE 0 END + CASE WHEN volume_ratio > 1.5 THEN 30 ELSE 0 END + CASE WHEN fund_flow > 0 THEN 40 ELSE 0 END AS INT) AS score FROM s) SELECT * FROM p WHERE score >= 70""",
+    "bars",
+)
+def scanner_shortlist(spark, sf):
+    s = bars(spark, sf).select("code", "date", (sdiv("close", lag("close")) - 1).alias("momentum"), sdiv("volume", roll_mean("volume", 20)).alias("volume_ratio"), (F.col("close") - F.col("open")).alias("fund_flow"))
+    return pf.shortlist(s).select("code", "date", F.col("score").cast("int").alias("score"))
+
+
+@query(
+    """SELECT fact_id, round(coalesce(list_avg(list_filter([1 / CASE WHEN pe > 0 THEN pe END, 1 / CASE WHEN pb > 0 THEN pb END, 1 / CASE WHEN ps > 0 THEN ps END], lambda x: x IS NOT NULL)), 0),6)+0.0 AS value,
+    round(coalesce(list_avg(list_filter([roe, roic, revenue_growth, profit_growth], lambda x: x IS NOT NULL)), 0),6)+0.0 AS quality FROM facts""",
+    "facts",
+)
+def plain_composites(spark, sf):
+    value = fa.plain_mean(*[fa.positive_yield(c) for c in ("pe", "pb", "ps")])
+    return rounded(facts(spark, sf), "fact_id", value=value, quality=fa.plain_mean("roe", "roic", "revenue_growth", "profit_growth"))
+
+
+@query(
+    """SELECT code, date, round(coalesce(signal, avg(signal) OVER w),6)+0.0 AS by_mean, round(coalesce(signal, 0),6)+0.0 AS by_zero,
+    round(CASE WHEN signal IS NOT NULL THEN (rank() OVER (PARTITION BY date, signal IS NULL ORDER BY signal) + (count(*) OVER (PARTITION BY date, signal) - 1) / 2) / count(signal) OVER w - 0.5 END,6)+0.0 AS centered FROM signals WINDOW w AS (PARTITION BY date)""",
+    "signals",
+)
+def fill_and_center(spark, sf):
+    return rounded(signals(spark, sf), "code", "date", by_mean=tr.fill("signal", "mean"), by_zero=tr.fill("signal", "zero"), centered=tr.rank("signal", True))

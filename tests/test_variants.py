@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from quantloom.operators import backtest, metrics, panel
+from quantloom.operators import backtest, factors, metrics, panel, portfolio, validate
 from quantloom.sources import tables
 
 DAY = datetime.date(2024, 1, 1)  # a Monday
@@ -83,3 +83,21 @@ def test_partitions_are_cleared(spark, tmp_path):
     assert tables.clear(spark, path, symbol="none") == 0
     with pytest.raises(ValueError, match="x"):
         tables.clear(spark, path, x=4)
+
+
+def test_look_ahead_report(spark):
+    rows = [("a", day(0), day(0), day(0), day(1), day(2), 0.1), ("a", day(0), day(2), day(1), day(1), day(1), 0.1), ("b", None, None, day(1), day(0), day(0), None)]
+    df = spark.createDataFrame(rows, "code string, date date, available_date date, signal_date date, entry_date date, exit_date date, forward_return double")
+    got = {r.check: (r["count"], r.severity, r.passed) for r in validate.look_ahead_report(df, lookback=-1).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"no_key": 1, "repeated_key": 1, "known_after_signal": 1, "no_known_date": 1, "signal_after_date": 1, "entry_before_signal": 1, "same_day_entry": 1, "exit_not_after_entry": 2, "return_of_no_window": 1, "negative_lookback": 1}
+    assert got["same_day_entry"][1:] == ("warning", False) and got["no_key"][1] == "violation"
+    few = {r.check: r["count"] for r in validate.look_ahead_report(df.select("date", "available_date"), ("date", "code"), shift=1).collect()}
+    assert few == {"missing_code": 1, "known_after_signal": 1, "no_known_date": 1, "negative_shift": 0}
+    assert all(r.passed for r in validate.look_ahead_report(df.where("false")).collect())
+
+
+def test_shortlist_and_plain_means(spark):
+    df = spark.createDataFrame([("a", 0.1, 2.0, 1.0), ("b", 0.1, 1.0, 1.0), ("c", None, 2.0, None), ("d", -1.0, 2.0, 1.0)], "code string, momentum double, volume_ratio double, fund_flow double")
+    assert {r.code: r.score for r in portfolio.shortlist(df).collect()} == {"a": 100, "b": 70, "d": 70}
+    d = spark.createDataFrame([(4.0, -2.0), (0.0, None), (None, 2.0)], "pe double, pb double")
+    assert [r[0] for r in d.select(factors.plain_mean(factors.positive_yield("pe"), factors.positive_yield("pb"))).collect()] == [0.25, 0.0, 0.5]
