@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,11 @@ OF, LEAST = 5, 4
 #: Shingles in so many texts of a slice are handed on to be counted, and the most common ones, at most so many, come last in the order.
 OFTEN, COMMON_LEAST, COMMON = 3, 24, 1 << 20
 
+#: Texts of a shingle up to which all of them meet, whatever their sizes.
+FEW = 64
+#: Pairs whose sizes n and m, and what follows a shingle at places p and q of their orders, let them be alike; at the first that alike ones share they pass.
+FITS = f"{OF} * least(n, m) >= {LEAST} * greatest(n, m) AND {OF + LEAST} * least(n - p, m - q) >= {LEAST} * (n + m)"
+
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(1 << 63)
 
@@ -179,10 +184,14 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     heads = rows.select(F.col("__row").alias("node"), "__size", "__heads").join(nodes.select("node"), "node", "left_semi")
     # place and size in one number
     heads = heads.select("node", "__size", F.posexplode("__heads").alias("place", "key")).select("key", "node", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("__size")).alias("at"))
-    # counts first, then a join that adaptive execution can split, so that a shingle of very many texts is not one task's
-    often = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    shared = heads.join(often, "key").select("key", "node", "n", "least", F.shiftright("at", 32).alias("place"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("size"))
-    shared = written(shared)
+    # common shingles: counts first, then a join that adaptive execution can split, so that a shingle of very many texts is not one task's. All others have
+    # few texts, so one exchange counts them and keeps those that two texts share
+    common = heads.where("key < 0")
+    often = common.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    of_key = Window.partitionBy("key")
+    rare = heads.where("key >= 0").withColumns({"n": F.count(F.lit(1)).over(of_key), "least": F.min("node").over(of_key)}).where("n > 1")
+    shared = common.join(often, "key").select("key", "node", "at", "n", "least").unionAll(rare.select("key", "node", "at", "n", "least"))
+    shared = written(shared.select("key", "node", "n", "least", F.shiftright("at", 32).alias("place"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("size")))
 
     def setted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +201,7 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[4 * i : 4 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
     def likely(x: DataFrame) -> DataFrame:
-        """Pairs whose sizes, and what follows this shingle in both orders, let them be alike; at the first that alike ones share they pass."""
-        fits = f"{OF} * least(n, m) >= {LEAST} * greatest(n, m) AND {OF + LEAST} * least(n - p, m - q) >= {LEAST} * (n + m)"
-        return written(x.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return written(x.where(FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def compared(met_pairs: DataFrame) -> DataFrame:
         """The alike ones of a written table of pairs, which goes."""
@@ -221,19 +228,23 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
         x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
         return written(pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(x, a) != coalesce(y, b)").select("a", "b"))
 
-    right = shared.select("key", "least", F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
+    # every text with the least ones of its shingles: first the one of its most common shingle alone, which brings groups of copies together, then those that
+    # are in other components still
+    right = shared.where("node > least").select("key", F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"), F.col("n").alias("often"))
     heads_of = shared.where("node = least").select("key", F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"))
-    first = compared(apart(likely(heads_of.join(right.where("b > least"), "key")), roots))
-    copies, roots = joined(copies, first, roots)
+    met = written(heads_of.join(right, "key").where(FITS).groupBy("a", "b").agg(F.max("often").alias("often")))
+    copies, roots = joined(copies, compared(apart(met.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")), roots)), roots)
+    copies, roots = joined(copies, compared(apart(met, roots)), roots)
+    dropped(met)
     # across components, all who share a shingle; pairs with the least have been compared. Of each shingle the component with the most texts
-    # meets the others only, so that a large group of copies makes no pairs of its own. Texts meet in classes of size, each a quarter larger than the one before: alike
-    # ones are in one class or in neighbouring ones
-    members = shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", F.coalesce("root", "node").alias("root"))
+    # meets the others only, so that a large group of copies makes no pairs of its own. Those of a shingle of many texts meet in classes of size, each a quarter
+    # larger than the one before: alike ones are in one class or in neighbouring ones
+    members = shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", "n", F.coalesce("root", "node").alias("root"))
     counted = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("x.root").alias("most"))
-    size_class = F.floor(F.log("size") / float(np.log(OF / LEAST))).cast("int")
-    members = written(members.join(largest, "key").select("key", "node", "place", "size", "root", (F.col("root") == F.col("most")).alias("large"), size_class.alias("class")))
-    near_class = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+    size_class = F.when(F.col("n") > FEW, F.floor(F.log("size") / float(np.log(OF / LEAST))).cast("int"))
+    members = written(members.join(largest, "key").select("key", "node", "place", "size", "root", (F.col("root") == F.col("most")).alias("large"), F.coalesce(size_class, F.lit(-1)).alias("class")))
+    near_class = F.explode(F.when(F.col("class") < 0, F.array("class")).otherwise(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).alias("class")
     left = members.select("key", near_class, F.col("root").alias("r"), F.col("node").alias("a"), F.col("place").alias("p"), F.col("size").alias("n"), F.col("large").alias("l"))
     right = members.where("NOT large").select("key", "class", F.col("root").alias("s"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
     second = compared(likely(left.join(right, ["key", "class"]).where("l OR (r != s AND a < b)")))
