@@ -48,3 +48,23 @@ def license_scan() -> str:
             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ordered) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY r)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
         FROM texts LEFT JOIN sums USING (r)"""
+
+
+def spelling_variants(least_length: int = 7, least_count: int = 2, errata: int = 31, times: int = 10) -> str:
+    """Near words by words that are equal after a code point is left out; crc32 by its table, a byte at a time."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    digit = "(instr('0123456789ABCDEF', substr(x, {0}, 1)) - 1)"
+    byte = f"16 * {digit.format('2 * i - 1')} + {digit.format('2 * i')}"
+    return f"""WITH RECURSIVE tab AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+        runs AS MATERIALIZED (SELECT id, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= {least_length} GROUP BY id, run),
+        coded AS (SELECT run, k, list_transform(range(1, len(x) // 2 + 1), lambda i: {byte}) AS bytes FROM (SELECT run, k, hex(encode(id || ':' || run)) AS x FROM runs)),
+        hashed AS MATERIALIZED (SELECT run, k, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM coded, tab),
+        words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {errata} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+            WHERE length(word) >= {least_length} GROUP BY word HAVING sum(k) >= {least_count}),
+        less AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS d FROM words, range(1, length(word) + 1) r(i)),
+        longer AS (SELECT DISTINCT less.word AS a, w.word AS b FROM less JOIN words w ON w.word = less.d),
+        near AS MATERIALIZED (SELECT a, b FROM longer UNION SELECT b, a FROM longer UNION SELECT x.word, y.word FROM less x JOIN less y ON x.d = y.d AND x.i = y.i AND x.word <> y.word),
+        best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS b, max(w.n) AS m FROM near JOIN words w ON w.word = near.b GROUP BY a),
+        forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {times} * n THEN b END AS form, CASE WHEN m >= {times} * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS here, 0 AS steps FROM forms UNION ALL SELECT walk.word, forms.form, steps + 1 FROM walk JOIN forms ON forms.word = walk.here WHERE forms.form IS NOT NULL)
+        SELECT word, form, arg_max(here, steps) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n FROM walk JOIN forms USING (word) GROUP BY word, form"""

@@ -106,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_delta_lloyd": oracles.cluster_embeddings(), "op13_license_scan": oracles.license_scan()}
+    return {"op11_delta_lloyd": oracles.cluster_embeddings(), "op12_errata_trie": oracles.spelling_variants(), "op13_license_scan": oracles.license_scan()}

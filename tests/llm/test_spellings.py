@@ -88,3 +88,15 @@ def test_roots_follow_long_chains(spark):
     forms = [(f"w{k}", f"w{k + 1}") for k in range(9)]
     got = dict(map(tuple, roots(spark.createDataFrame(forms, "word string, form string"), 10**10, 10).collect()))
     assert got == {f"w{k}": "w9" for k in range(9)}
+
+
+def test_sql_equals_brute_force_on_edge_texts():
+    import duckdb
+    import pyarrow as pa
+
+    from quantloom.llm.oracles import spelling_variants as sql
+
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(["Variants variants VARIANTS variantes xvariants vaariants", None, "", "ÉTERNEL éternel éternels", "abcdefg-abcdefg_abcdefg abcdefgh"] * 6)] + [(3, "variants " * 500)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    assert sorted(con.sql(sql()).fetchall()) == variants(counted(rows))
