@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of the parts, scales of the bounded ones, and rates of the penalties (fixed values).
@@ -59,11 +59,31 @@ def gates(measures: DataFrame, least: Mapping[str, float] | None = None, most: M
     return measures.withColumn("failures", names).withColumn("accepted", F.size("failures") == 0)
 
 
+def _prime(n: int) -> int:
+    """The least prime from n on."""
+    n = max(2, n)
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def tournament(measures: DataFrame, rounds: int, size: int, seed: int = 0, key: str = "alpha", by: str = "fitness") -> DataFrame:
-    """round, key, by: the fittest of `size` drawn in each round (ties by key); unknown fitness takes no part. Draws hang on seed and round."""
+    """round, key, by: the fittest of `size` drawn in each round, without putting back (ties by the greater key); unknown fitness takes no part.
+
+    Rows are numbered once, in an order that hangs on the seed. A round draws places in steps of its own modulo a prime, so no place comes twice, and looks up only
+    these: work goes as the rows and as rounds times size.
+    """
     rows = measures.where(F.col(by).isNotNull()).select(key, by)
-    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    luck = F.xxhash64(F.lit(seed), "round", key)
-    firsts = drawn.groupBy("round").agg(F.slice(F.sort_array(F.collect_list(F.struct(luck.alias("luck"), F.col(by).alias("v"), F.col(key).alias("k")))), 1, size).alias("drawn"))
-    best = F.array_max(F.transform("drawn", lambda x: F.struct(x["v"].alias("v"), x["k"].alias("k"))))
-    return firsts.select("round", best["k"].alias(key), best["v"].alias(by))  # a population's few rows, rounds times
+    n = rows.count()
+    if not n:
+        return rows.select(F.lit(0).alias("round"), key, by).where("false")
+    p, size = _prime(n), min(size, n)
+    numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)) - 1)  # a row a candidate
+    luck = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "round")
+    # p - n places have no row, so that many more are drawn
+    draws = measures.sparkSession.range(rounds).select(F.col("id").cast("int").alias("round"))
+    draws = draws.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size + p - n - 1)))).withColumn("place", F.pmod(F.pmod(luck("from"), F.lit(p)) + F.col("j") * (F.pmod(luck("step"), F.lit(p - 1)) + 1), F.lit(p)).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("round").orderBy("j"))
+    drawn = draws.where(F.col("place") < n).withColumn("nth", nth).where(F.col("nth") <= size).join(numbered, "place")
+    best = F.max(F.struct(F.col(by).alias("v"), F.col(key).alias("k")))
+    return drawn.groupBy("round").agg(best.alias("x")).select("round", F.col("x.k").alias(key), F.col("x.v").alias(by))

@@ -57,12 +57,12 @@ def range_of(on: str, edges: list) -> Column:
 def as_of_join(left: DataFrame, facts: DataFrame, columns: list[str], key: str = "code", on: str = "date", known: str = "available_date", tie: str = "fact_id", ranges: int = 16) -> DataFrame:
     """left with the facts' columns as last known on each row's date, that day's included; null before the first.
 
-    Two levels: dates are cut into ranges, and facts and rows of a key and a range meet in one sort, facts before rows of the same date, the last one carried on. A
+    Two levels: dates are cut into ranges (by quantiles of the facts' dates, which are the smaller side), and facts and rows of a key and a range meet in one sort, facts before rows of the same date, the last one carried on. A
     range's last fact goes to the ranges after it by a table of a row a key and range, joined on the partitioning that is there already. So a key with very many
     rows is sorted by several tasks.
     """
     f = facts.where(F.col(known).isNotNull()).select(key, F.col(known).alias(on), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.struct(*columns).alias("__fact"))
-    edges = date_edges(left.select(on), on, ranges)
+    edges = date_edges(f, on, ranges)
     f = f.withColumn("__range", range_of(on, edges))
     rest = [c for c in left.columns if c not in (key, on)]
     both = left.select(key, on, F.lit(1).alias("__side"), F.struct(*rest).alias("__row"), range_of(on, edges).alias("__range")).unionByName(f, allowMissingColumns=True)

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from quantloom.operators import backtest, factors, metrics, panel, portfolio, validate
+from quantloom.operators import backtest, factors, fitness, metrics, panel, portfolio, validate
 from quantloom.sources import tables
 
 DAY = datetime.date(2024, 1, 1)  # a Monday
@@ -101,3 +101,13 @@ def test_shortlist_and_plain_means(spark):
     assert {r.code: r.score for r in portfolio.shortlist(df).collect()} == {"a": 100, "b": 70, "d": 70}
     d = spark.createDataFrame([(4.0, -2.0), (0.0, None), (None, 2.0)], "pe double, pb double")
     assert [r[0] for r in d.select(factors.plain_mean(factors.positive_yield("pe"), factors.positive_yield("pb"))).collect()] == [0.25, 0.0, 0.5]
+
+
+@pytest.mark.parametrize(("n", "size"), [(1, 3), (2, 2), (24, 5), (30, 29)])
+def test_tournament_draws_without_putting_back(spark, n, size):
+    df = spark.createDataFrame([(f"a{k:02d}", float(k)) for k in range(n)] + [("none", None)], "alpha string, fitness double")
+    won = [int(r.fitness) for r in fitness.tournament(df, 300, size, seed=1).collect()]
+    # the fittest of `size` different ones is never among the size - 1 worst, and wins in size of n rounds
+    assert len(won) == 300 and min(won) >= min(size, n) - 1
+    assert won.count(n - 1) == pytest.approx(300 * min(size, n) / n, abs=45)
+    assert fitness.tournament(df.where("false"), 3, 2).count() == 0
