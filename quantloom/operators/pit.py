@@ -49,9 +49,9 @@ def date_edges(dates: DataFrame, on: str, ranges: int) -> list:
 
 
 def range_of(on: str, edges: list) -> Column:
-    """The number of a date's range."""
+    """The number of a date's range: of the edges, how many are not after it."""
     day = F.unix_date(F.col(on).cast("date"))
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<int>"), lambda e: e <= day)) if edges else F.lit(0)
+    return sum(((day >= e).cast("int") for e in edges), F.lit(0))
 
 
 def as_of_join(left: DataFrame, facts: DataFrame, columns: list[str], key: str = "code", on: str = "date", known: str = "available_date", tie: str = "fact_id", ranges: int = 16) -> DataFrame:

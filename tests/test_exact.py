@@ -184,3 +184,12 @@ def test_scratch_tables_go_and_others_stay(spark, tmp_path):
 
     assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
     assert spark.read.parquet(own).count() == 5 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
+
+
+def test_asof_join_counts_after_pruning(spark):
+    """Counting needs no column, so that the optimizer leaves out all it can."""
+    left = spark.createDataFrame([("a", day(k), k) for k in range(8)], "code string, date date, id int")
+    facts = spark.createDataFrame([("a", day(k), k, float(k)) for k in range(8)], "code string, available_date date, fact_id int, v double")
+    for some, n in ((left, 8), (left.where("false"), 0), (left.where("id = 3"), 1), (left.where("code = 'a'"), 8)):
+        assert pit.as_of_join(some, facts, ["v"], ranges=4).count() == n
+    assert pit.as_of_join(left, facts.where("false"), ["v"], ranges=4).count() == 8
