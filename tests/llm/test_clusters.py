@@ -5,7 +5,6 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from quantloom.llm.clusters import MOST, cluster_embeddings, delta_lloyd, nearest
 
