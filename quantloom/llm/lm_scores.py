@@ -456,6 +456,13 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
         for (part, task), x in have.items():
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([task]), pa.array([pack_array(x)], pa.binary())], names=["part", "task", "data"])
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the driver gets two bytes a slot, not counts
+        for batch in batches:
+            for part, task, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = pack_array(packed(unpacked(part, data))) if part < PARTS else data
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([task]), pa.array([x], pa.binary())], names=["part", "task", "data"])
+
     out = "part long, task long, data binary"
     # a task over the vocabulary has a table of its own to hand on, so a few large tasks are better than many small ones
     words = vocabulary.select("word", "c")
@@ -470,11 +477,11 @@ def train(docs: DataFrame, vocabulary: DataFrame, codes: Codes) -> tuple[np.ndar
     table, mixer = np.empty(SLOTS, np.uint16), Mixer.new()
     each = SLOTS // PARTS
     table[:] = packed(np.zeros(2, np.int64))[0]  # nothing counted
-    for r in both.collect():  # a row a part
-        x = unpacked(r.part, bytes(r.data))
+    for r in both.mapInArrow(told, out).collect():  # a row a part, two bytes a slot
         if r.part < PARTS:
-            table[r.part * each : (r.part + 1) * each] = packed(x)
+            table[r.part * each : (r.part + 1) * each] = unpack_array(bytes(r.data), np.uint16)
         else:
+            x = unpacked(r.part, bytes(r.data))
             kind, w = r.part - PARTS, mixer.weights[r.part - PARTS]
             mixer.weights[kind] = (x[1 : 1 + w.size] / x[0]).reshape(w.shape)
             mixer.ones[kind], mixer.seen[kind] = x[1 + w.size :].reshape(2, GATES, STEPS)
