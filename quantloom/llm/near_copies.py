@@ -5,7 +5,8 @@ That finds most copies at little cost, but many pairs at 0.8 are further apart t
 filter, which loses none: of two such sets, in any one order of all
 shingles, the first n - ceil(0.8 n) + 1 of both share one. The order is
 by hash, very common shingles last; which count as common bears on the speed alone. Those that share a shingle of their prefixes are
-compared with the least of them first, then only across the components that this leaves, so a large group of copies needs no pairs.
+compared with the least of them first, and with others of them in turn where many would be left, then only across the components that this leaves, so
+a large group of copies needs no pairs.
 Pairs whose sets' parities differ too much are left out before sets meet. Shingles are 63-bit hashes, of which 32 bits are compared, so that two texts may link whose sets
 are a few shingles further apart than they should be (one pair of shingles in 4 billion has equal bits); no pair is lost by it. Texts with equal sets are one node.
 """
@@ -17,8 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,10 @@ OF, LEAST = 5, 4
 #: Shingles in so many texts of a slice are handed on to be counted, and the most common ones, at most so many, come last in the order.
 OFTEN, COMMON_LEAST, COMMON = 3, 24, 1 << 20
 
+#: Bits that mark nodes by hash, a megabyte whatever the corpus. Rounds in which all of a shingle meet one of them, while the others' pairs are over PAIRS a row
+#: and a round leaves less than FEWER of them.
+MARKS, ROUNDS, PAIRS, FEWER = 1 << 23, 6, 2, 0.9
+
 #: Texts of a shingle up to which all of them meet, whatever their sizes.
 FEW = 64
 #: Pairs whose sizes n and m, and what follows a shingle at places p and q of their orders, let them be alike; at the first that alike ones share they pass.
@@ -155,6 +160,19 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def place_of(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(MARKS)) + 1
+
+
+def broadcast_marks(pairs: DataFrame) -> Broadcast:
+    """MARKS bits, set at the places of all nodes in pairs(a, b)."""
+    place = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(place_of("node").alias("p"))
+    bits, each = np.zeros(MARKS // 8, np.uint8), 4096
+    for r in place.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():  # MARKS bits at most
+        bits[(r.k - 1) * each : r.k * each] = np.frombuffer(r.bits, np.uint8)
+    return pairs.sparkSession.sparkContext.broadcast(bits)
+
+
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near copies: the one of the least doc_id, null ids last.
 
@@ -193,9 +211,10 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     shared = common.join(often, "key").select("key", "node", "at", "n", "least").unionAll(rare.select("key", "node", "at", "n", "least"))
     shared = written(shared.select("key", "node", "n", "least", F.shiftright("at", 32).alias("place"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("size")))
 
-    def setted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def setted(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            at = batch.column(2).to_numpy() - 1
+            for part in slices(batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))):
                 bounds, shingles = shingle_sets(part.column(1), np.zeros(0, np.uint64))
                 raw = (shingles >> np.uint64(31)).astype(np.uint32).tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[4 * i : 4 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "shingles"])
@@ -207,9 +226,10 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
         """The alike ones of a written table of pairs, which goes."""
         pairs = may_be_alike(met_pairs, prints)
         dropped(met_pairs)
-        met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = rows.select(F.col("__row").alias("node"), "text").join(met, "node", "left_semi").select("node", "text")
-        sets = written(texts.mapInArrow(setted, "node long, shingles binary"))
+        # texts of pairs are picked where they lie, by marked bits: some others come along, none is moved
+        marks = broadcast_marks(pairs)
+        texts = rows.select(F.col("__row").alias("node"), "text", place_of("__row").alias("mark"))
+        sets = written(texts.mapInArrow(lambda batches: setted(batches, marks), "node long, shingles binary"))
         found = alike(pairs, sets)
         dropped(pairs, sets)
         return found
@@ -236,12 +256,36 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     copies, roots = joined(copies, compared(apart(met.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")), roots)), roots)
     copies, roots = joined(copies, compared(apart(met, roots)), roots)
     dropped(met)
+    def across(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Those of shingles of several components, but for each shingle's least one, with their roots; and of each such shingle the component with the most
+        texts and the number of pairs across."""
+        members = shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", "n", F.coalesce("root", "node").alias("root"))
+        counted = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+        of = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count(F.lit(1)).alias("k"), ((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", F.lit(2)))) / 2).alias("pairs"))
+        return members, of.where("k > 1").select("key", F.col("x.root").alias("most"), "pairs")
+
+    # while the pairs across components are many, all who share a shingle meet one of them, another in each round, of those whose first shingles it is among: a group of near copies in which few are alike to its
+    # least one comes together without its pairs
+    before = float("inf")
+    for turn in range(ROUNDS):
+        members, largest = across(roots)
+        members = written(members.join(largest.select("key", "pairs"), "key"))
+        n, pairs = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("pairs").alias("pairs")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+        more = None
+        if pairs > PAIRS * n and pairs < FEWER * before:
+            one = members.groupBy("key").agg(F.min_by(F.struct("node", "place", "size", "root"), F.struct("place", F.xxhash64("node", F.lit(turn)))).alias("x"))
+            one = one.select("key", F.col("x.root").alias("r"), F.col("x.node").alias("a"), F.col("x.place").alias("p"), F.col("x.size").alias("n"))
+            right = members.select("key", F.col("root").alias("s"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("size").alias("m"))
+            more = compared(likely(one.join(right, "key").where("r != s")))
+        dropped(members)
+        if more is None:
+            break
+        copies, roots = joined(copies, more, roots)
+        before = pairs
     # across components, all who share a shingle; pairs with the least have been compared. Of each shingle the component with the most texts
     # meets the others only, so that a large group of copies makes no pairs of its own. Those of a shingle of many texts meet in classes of size, each a quarter
     # larger than the one before: alike ones are in one class or in neighbouring ones
-    members = shared.where("n > 2 AND node > least").join(roots, "node", "left").select("key", "node", "place", "size", "n", F.coalesce("root", "node").alias("root"))
-    counted = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("x.root").alias("most"))
+    members, largest = across(roots)
     size_class = F.when(F.col("n") > FEW, F.floor(F.log("size") / float(np.log(OF / LEAST))).cast("int"))
     members = written(members.join(largest, "key").select("key", "node", "place", "size", "root", (F.col("root") == F.col("most")).alias("large"), F.coalesce(size_class, F.lit(-1)).alias("class")))
     near_class = F.explode(F.when(F.col("class") < 0, F.array("class")).otherwise(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).alias("class")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from quantloom.llm import near_copies
 from quantloom.llm.common import lower_words
 
 
@@ -61,3 +62,26 @@ def test_edited_copies_chains_and_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in stage(spark, docs).collect()} == brute(rows)
     assert stage(spark, docs.limit(0)).count() == 0
+
+
+def test_group_whose_least_are_unlike_makes_few_pairs(spark, monkeypatch):
+    """Texts that are alike to each other, but not to the first ones with their shingles, come together without all their pairs."""
+    compared = []
+    plain = near_copies.alike
+    monkeypatch.setattr(near_copies, "alike", lambda pairs, sets: (compared.append(pairs.count()), plain(pairs, sets))[1])
+    words = [f"w{k}" for k in range(150)]
+
+    def edited(i, places):
+        return " ".join(f"x{i}y{k}" if k in places else w for k, w in enumerate(words))
+
+    texts = [edited(i, {7 + i, 40 + i, 75 + i, 110 + i, 140 - i}) for i in range(10)] + [edited(i, {(i * 37) % 140 + 5}) for i in range(10, 90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    left = sorted(r.doc_id for r in near_copies.one_of_near_copies(docs).collect())
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert left == sorted(set(root)) and sum(compared) < 1200
