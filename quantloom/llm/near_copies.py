@@ -173,6 +173,27 @@ def broadcast_marks(pairs: DataFrame) -> Broadcast:
     return pairs.sparkSession.sparkContext.broadcast(bits)
 
 
+def picked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose __row is in chosen(__row), some of theirs, by two sets of marks: of the chosen ones and of the others.
+
+    What only one of the sets has is settled where it lies. Just rows at places of both (few while all rows are fewer than the marks) are moved to be joined by their numbers.
+    """
+
+    def marks(numbers: DataFrame, name: str) -> DataFrame:
+        """MARKS bits at most, 64 a row."""
+        place = numbers.select(place_of("__row").alias("p"))
+        words = place.groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias(name))
+        return F.broadcast(words)
+
+    others = rows.select("__row").join(chosen.select("__row"), "__row", "left_anti")
+    marked = rows.withColumns({"__place": place_of("__row"), "__word": F.shiftright(place_of("__row"), 6)})
+    marked = marked.join(marks(chosen, "__in"), "__word", "left").join(marks(others, "__out"), "__word", "left")
+    has = "shiftright(coalesce({}, 0L), cast(__place & 63 AS int)) & 1L = 1L"
+    sure = marked.where(f"{has.format('__in')} AND NOT ({has.format('__out')})").select(*rows.columns)
+    doubtful = marked.where(f"{has.format('__in')} AND {has.format('__out')}").select(*rows.columns)
+    return sure.unionAll(doubtful.join(chosen.select("__row"), "__row", "left_semi").select(*rows.columns))
+
+
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near copies: the one of the least doc_id, null ids last.
 
@@ -199,7 +220,7 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     rows = written(plain.mapInArrow(numbered, T.StructType([*plain.schema, *schema(__row="long", __node="long", __fp="long", __bits="binary", __size="long", __heads="array<long>")])))
     # the first row of equal sets speaks for them, by its number, which is shorter than the set's
     nodes = written(rows.groupBy("__node").agg(F.min("__row").alias("node")))
-    heads = rows.select(F.col("__row").alias("node"), "__size", "__heads").join(nodes.select("node"), "node", "left_semi")
+    heads = picked(rows.select("__row", "__size", "__heads"), nodes.select(F.col("node").alias("__row"))).withColumnRenamed("__row", "node")
     # place and size in one number
     heads = heads.select("node", "__size", F.posexplode("__heads").alias("place", "key")).select("key", "node", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("__size")).alias("at"))
     # common shingles: counts first, then a join that adaptive execution can split, so that a shingle of very many texts is not one task's. All others have
@@ -297,7 +318,8 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     best = found.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("x"))
     best = written(best.select(F.col("x.__row").alias("__row")))
     dropped(nodes, shared, prints, members, roots)
-    return rows.join(best, "__row", "left_semi").select(*[F.col(f"__rest.c{rest.index(c)}").alias(c) if c in rest else F.col(c) for c in columns])
+    kept = picked(rows.select("__row", *(["__rest"] if rest else []), "doc_id", "text"), best)  # texts stay where they lie
+    return kept.select(*[F.col(f"__rest.c{rest.index(c)}").alias(c) if c in rest else F.col(c) for c in columns])
 
 
 def joined(copies: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:

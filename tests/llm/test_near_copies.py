@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quantloom.llm import near_copies
@@ -85,3 +86,29 @@ def test_group_whose_least_are_unlike_makes_few_pairs(spark, monkeypatch):
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
     assert left == sorted(set(root)) and sum(compared) < 1200
+
+
+def test_texts_are_not_moved_to_leave_out_copies(spark):
+    """However many rows stay, those that stay are told apart where they lie."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(10**9, size=400))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts + texts[:60])], "doc_id long, text string, source string").repartition(4)
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = near_copies.one_of_near_copies(docs)
+        before = moved()
+        assert sorted(r.doc_id for r in out.collect()) == list(range(300)) and out.columns == docs.columns
+        assert moved() - before < sum(map(len, texts)) / 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_picked_settles_rows_at_places_of_both(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MARKS", 128)
+    rows = spark.range(5000).select((F.col("id") * 7 + (F.col("id") % 3) * (1 << 33)).alias("__row"), F.col("id").cast("string").alias("text"))
+    for condition in ("false", "true", "__row % 10 = 0", "__row % 10 != 0", "__row = 7 + (1L << 33)"):
+        chosen = rows.where(condition)
+        got = near_copies.picked(rows, chosen.select("__row"))
+        assert got.columns == rows.columns and sorted(got.collect()) == sorted(chosen.collect())
