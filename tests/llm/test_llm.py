@@ -881,3 +881,21 @@ def test_conversations_keep_all_limits(spark):
     assert ((got[got.oversize].tokens > 2048) | (got[got.oversize].loss_tokens > 1024)).all()
     rows = [(1, 0, "user", None), (1, 1, None, "x y"), (None, 0, "assistant", "z")]
     assert packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), BYTE).count() == 2
+
+
+def test_lm_counts_and_learns_without_an_earlier_model(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} and more") for i in range(40)], "doc_id long, text string").repartition(3)
+    plain, sent, below = type(docs).mapInArrow, [], []
+
+    def noted(self, f, *a, **b):
+        sent.append(f)
+        below.append(self._jdf.queryExecution().analyzed().nodeName())
+        return plain(self, f, *a, **b)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    vocabulary = lm_scores.written(lm_scores.counted_words(docs))
+    lm_scores.train(docs, vocabulary, lm_scores.find_codes(vocabulary, docs.count())[0])
+    assert len(sent) == 4 and "MapInArrow" not in below  # two in a row would take two workers a task
+    for f in sent:
+        lm_scores._costs[:] = "model", object()
+        assert not list(f(iter([]))) and lm_scores._costs == [None, None]
