@@ -899,3 +899,19 @@ def test_lm_counts_and_learns_without_an_earlier_model(spark, monkeypatch):
     for f in sent:
         lm_scores._costs[:] = "model", object()
         assert not list(f(iter([]))) and lm_scores._costs == [None, None]
+
+
+def test_language_model_spells_what_words_share_once(monkeypatch):
+    """Costs are those of whole spellings, letter by letter, with fewer bits worked on."""
+    rng = random.Random(5)
+    words = sorted({(f"shared{i % 7}" * (i % 3) + "".join(rng.choices("abé", k=i % 40))).encode() for i in range(3000)} | {b"x" * 9000, b"x" * 9001, b"\xff\x00"}, key=lambda w: rng.random())
+    codes = lm_scores.make_codes([(w, 3) for w in words], 3 * len(words), len(words), 10)
+    counts, mixer = lm_scores.new_counts(1), lm_scores.Mixer.new()
+    lm_scores.learned(lm_scores.letter_steps(words, codes), 1, codes.letters[2], counts, mixer, np.ones(len(words)))
+    table = np.concatenate([np.zeros(lm_scores.SLOTS // 2, np.uint16), lm_scores.packed(counts)])
+    costs, seen, step_costs = lm_scores.Costs(codes, table, mixer), [], lm_scores.step_costs
+    whole = step_costs(lm_scores.letter_steps(words, codes), 1, len(words), codes.letters[2], table, mixer, costs.bits)
+    monkeypatch.setattr(lm_scores, "step_costs", lambda steps, *rest: step_costs((seen.append(len(s[0])) or s for s in steps), *rest))
+    assert np.allclose(costs.spelling(words), whole, rtol=1e-12, atol=0) and (whole < 0).all()
+    assert sum(seen) < 0.9 * sum(len(s[0]) for s in lm_scores.letter_steps(words, codes))
+    assert len(costs.spelling([])) == 0
