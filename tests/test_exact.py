@@ -186,6 +186,17 @@ def test_scratch_tables_go_and_others_stay(spark, tmp_path):
     assert spark.read.parquet(own).count() == 5 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
 
 
+def test_bucketed_tables_leave_no_name_and_keep_their_buckets(spark):
+    from quantloom.sources.scratch import bucketed
+
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = spark.range(50).withColumn("k", F.col("id") % 7)
+    a, b = bucketed(rows, "id", 4), bucketed(rows.select("id", (F.col("k") + 1).alias("m")), "id", 4)
+    both = a.join(b.hint("shuffle_hash"), "id")
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.where("m = k + 1").count() == 50
+
+
 def test_asof_join_counts_after_pruning(spark):
     """Counting needs no column, so that the optimizer leaves out all it can."""
     left = spark.createDataFrame([("a", day(k), k) for k in range(8)], "code string, date date, id int")
